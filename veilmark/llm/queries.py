@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from . import mpeg, secrets
+from pyspark.sql import functions as F
+
+from . import language, mpeg, pii, secrets
 from .shared import table
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit_profiles(docs.where(~language.held_out()))
+    return language.identify(docs, profiles).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("n_entropy")
 
 
+def op8_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs))
+
+
 def op10_mpeg_audio(spark, sf_dir):
     return mpeg.media_features(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op8_personal_data": op8_personal_data,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {}
