@@ -36,8 +36,18 @@ GENERATORS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hardware": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
 }
-#: A cheap test that texts without the kind fail.
-GATES = {"email": "@", "phone": "+", "email_spelled": None, "number": None, "iban": None, "hardware": None, "ip": None, "card": None}
+#: A cheap test that texts without the kind fail: they are not searched for it.
+_NUMBERS = lambda text: F.col("_digits")
+GATES = {
+    "email": lambda text: text.contains("@"),
+    "ip": _NUMBERS,
+    "card": _NUMBERS,
+    "phone": lambda text: text.contains("+"),
+    "email_spelled": lambda text: text.rlike(r"[\[(][Aa][Tt][\])]"),
+    "number": _NUMBERS,
+    "iban": _NUMBERS,
+    "hardware": lambda text: text.contains(":") | text.contains("-"),
+}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 OCTETS = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 KEYWORDS = (r"phone|mobile|\btel\b|\bcall\b|\bfax\b", r"e-?mail|contact|\bwrite to\b", r"\bcard\b|credit|visa|payment", r"\bssn\b|social security|passport|national id|\bdob\b", r"\biban\b|account|\bbank\b", r"\bip\b|address|\bmac\b|host")
@@ -103,10 +113,10 @@ def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_proposed``: array of structs of kind, start, end (code points, end exclusive) and features, for each row."""
     docs = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     text = F.col("_text")
+    docs = docs.withColumn("_digits", text.rlike("[0-9]"))
     none = F.array().cast("array<string>")
     for kind, pattern in GENERATORS.items():
-        gate = text.contains(GATES[kind]) if GATES[kind] else text.rlike(pattern)
-        docs = docs.withColumn(f"_m_{kind}", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+        docs = docs.withColumn(f"_m_{kind}", F.when(GATES[kind](text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     for kind, pattern in GENERATORS.items():
         m = F.col(f"_m_{kind}")
         gaps = F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none)
@@ -145,7 +155,7 @@ def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
         return F.struct(*[v.alias(k) for k, v in fields.items()], x["start"].alias("start"), x["end"].alias("end"))
 
-    helpers = ["_text", "_spans", *(f"_{p}_{k}" for p in "ms" for k in KINDS)]
+    helpers = ["_text", "_digits", "_spans", *(f"_{p}_{k}" for p in "ms" for k in KINDS)]
     return docs.withColumn("_proposed", F.transform("_spans", described)).drop(*helpers)
 
 
@@ -170,16 +180,20 @@ def boost(rows: list[tuple[list[int], int, int]]) -> dict:
     damp = [math.log1p(p + n) / (p + n) for _, p, n in rows]
     data = [(x, p * d, n * d) for (x, p, n), d in zip(rows, damp, strict=True)]
     scores = [0.0] * len(data)
-    cuts = [sorted({x[f] for x, _, _ in data})[:-1] for f in range(len(FEATURES))]
     trees = []
 
     def best_split(some: list[int], g: list[float], h: list[float]):
         G, H = sum(g[i] for i in some), sum(h[i] for i in some)
         best = (1e-9, None, 0)
-        for f, values in enumerate(cuts):
-            for c in values:
-                left = [i for i in some if data[i][0][f] <= c]
-                gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+        for f in range(len(FEATURES)):
+            by: dict[int, list[float]] = {}
+            for i in some:
+                at = by.setdefault(data[i][0][f], [0.0, 0.0])
+                at[0] += g[i]
+                at[1] += h[i]
+            gl = hl = 0.0
+            for c in sorted(by)[:-1]:
+                gl, hl = gl + by[c][0], hl + by[c][1]
                 gain = gl * gl / (hl + 1) + (G - gl) ** 2 / (H - hl + 1) - G * G / (H + 1)
                 if gain > best[0]:
                     best = (gain, f, c)
