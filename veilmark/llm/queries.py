@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mpeg, pii, secrets
+from . import jaccard, language, mpeg, pii, secrets
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op8_personal_data(spark, sf_dir):
     return pii.find_pii(docs, pii.fit(docs))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op10_mpeg_audio(spark, sf_dir):
     return mpeg.media_features(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op8_personal_data": op8_personal_data,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {}
