@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, mpeg, pii, secrets
+from . import decontaminate, jaccard, language, mixing, mpeg, pages, pii, quality, secrets
 from .shared import table
 
 
@@ -18,6 +18,12 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("n_entropy")
 
 
+def op4_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
+    return quality.quality_scores(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_source_mix(spark, sf_dir):
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -28,6 +34,10 @@ def op6_decontaminate(spark, sf_dir):
     return found.drop("item_ids", "hit_spans")
 
 
+def op7_main_text(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_personal_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.find_pii(docs, pii.fit(docs))
@@ -44,8 +54,10 @@ def op10_mpeg_audio(spark, sf_dir):
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_quality": op4_quality,
     "op5_source_mix": op5_source_mix,
     "op6_decontaminate": op6_decontaminate,
+    "op7_main_text": op7_main_text,
     "op8_personal_data": op8_personal_data,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mpeg_audio": op10_mpeg_audio,
