@@ -193,3 +193,19 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     out = rows.select("_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id.  Rows without words or with a null id stay; equal rows of one id leave one."""
+    classes = settled(similarity_classes(docs, size, percent, id_col, text_col))
+    gone = settled(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    twice = settled(classes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"))
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    kept = docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    repeated = kept.join(small(twice), kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(small(twice), kept[id_col] == F.col("_twice"), "left_anti").unionByName(repeated)

@@ -185,7 +185,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], min_score: float = 0.05, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that have a language with at least ``min_score``."""
+    """The rows of ``docs``, unchanged, that have a language with at least ``min_score``; without profiles, those with letters."""
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -194,9 +194,11 @@ def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], min_score:
             rows = batch.select([at, at])
             start = 0
             for _, texts in text_batches([rows], SLICE):
-                langs, scores = model.predict(texts)
-                kept = pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_())
-                yield batch.slice(start, len(texts)).filter(kept)
+                if profiles:
+                    kept = [lang != "und" and s >= min_score for lang, s in zip(*model.predict(texts), strict=True)]
+                else:
+                    kept = [any(c.isalpha() for c in t) for t in texts]
+                yield batch.slice(start, len(texts)).filter(pa.array(kept, pa.bool_()))
                 start += len(texts)
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, mpeg, pages, pii, quality, secrets
+from . import decontaminate, jaccard, language, mixing, mpeg, pages, pii, quality, secrets, substrings
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark, sf_dir):
     return language.identify(docs, profiles).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("n_entropy")
 
@@ -53,6 +57,7 @@ def op10_mpeg_audio(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality": op4_quality,
     "op5_source_mix": op5_source_mix,
