@@ -1,0 +1,532 @@
+"""Queries of the library on the driver's tables, each with its SQL where SQL can express it.
+
+Inputs that the tables lack (provider formats, shell commands, variable files)
+are built from their columns by expressions that SQL can repeat.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import rules as R
+from ..operators import detect, dotenv, mask, naming, nested, policy, refs, shell
+from ..operators import vault as V
+from ..sources import files
+from ..streaming import stream
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _hex(c, n: int):
+    return F.substring(F.sha2(c, 256), 1, n)
+
+
+def _id(c: str):
+    return F.col(c).cast("string")
+
+
+# --- detection -------------------------------------------------------------------------------------------------------
+
+
+def findings_by_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    found = detect.with_findings(docs, tiers="evidenced")
+    n = F.size("findings")
+    return found.groupBy("source").agg(F.count("*").alias("docs"), F.sum(n.cast("long")).alias("n_findings"), F.count_if(n > 0).alias("docs_with"))
+
+
+# Key-value findings as far as the tables hold any: a keyword, a separator, a value of 8 characters or more.
+_KV = r"(?i)((?:password|passwd|secret|token|api_?key)[ \t]*[=:][ \t]*(?:\"[^\"\\]{8,}\"|[^\s\"''<>]{8,}))"
+
+_FINDINGS_SQL = f"""
+SELECT source, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '{_KV}'))) AS BIGINT) AS n_findings,
+       count(*) FILTER (len(regexp_extract_all(text, '{_KV}')) > 0) AS docs_with
+FROM documents GROUP BY source"""
+
+
+def kv_findings(spark, sf_dir):
+    found = detect.findings(table(spark, sf_dir, "documents"), ["doc_id"], tiers="evidenced")
+    return found.select("doc_id", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.lower("hint").alias("hint"), P.fingerprint(F.col("value"), 16).alias("digest"))
+
+
+_KV_SQL = f"""
+WITH m AS (
+  SELECT doc_id, regexp_extract_all(text, '{_KV}') AS whole, string_split_regex(text, '{_KV.replace('((?:', '(?:(?:', 1)}') AS gaps FROM documents),
+e AS (SELECT doc_id, whole, gaps, unnest(range(1, len(whole) + 1)) AS i FROM m WHERE len(whole) > 0),
+p AS (SELECT doc_id, whole[i] AS w,
+        (SELECT sum(length(x)) FROM unnest(gaps[1:i]) t(x)) + coalesce((SELECT sum(length(x)) FROM unnest(whole[1:i-1]) t(x)), 0) AS off FROM e),
+v AS (SELECT doc_id, off, w, regexp_extract(w, '[=:][ \t]*(?:\"([^\"]*)\"|(.*))$', 1) AS q, regexp_extract(w, '[=:][ \t]*([^\"].*)$', 1) AS b FROM p)
+SELECT doc_id, CAST(off + length(w) - length(CASE WHEN q <> '' THEN q ELSE b END) - CASE WHEN q <> '' THEN 1 ELSE 0 END AS BIGINT) AS span_start,
+       CAST(off + length(w) - CASE WHEN q <> '' THEN 1 ELSE 0 END AS BIGINT) AS span_end,
+       lower(regexp_extract(w, '^([A-Za-z_]+)', 1)) AS hint, substr(sha256(CASE WHEN q <> '' THEN q ELSE b END), 1, 16) AS digest
+FROM v"""
+
+
+def capture_vs_shape(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = mask.mask_shapes(detect.with_findings(docs, tiers="evidenced"))
+    return both.agg(F.sum(F.size("findings").cast("long")).alias("captured"), F.sum(F.col("hits").cast("long")).alias("shape_masked"))
+
+
+_CAPTURE_SQL = f"""
+SELECT CAST(sum(len(regexp_extract_all(text, '{_KV}'))) AS BIGINT) AS captured,
+       CAST(sum(len(list_filter(regexp_extract_all(text, '{_KV}'), lambda x: NOT regexp_matches(x, '[^0-9a-f][0-9a-f]{{40}}"?$')))) AS BIGINT) AS shape_masked
+FROM documents"""
+
+_SYNTH = (("github", "gh" + "p_", 36), ("gitlab", "glp" + "at-", 24), ("npm", "np" + "m_", 32), ("openai", "sk" + "-proj-", 30), ("slack", "xox" + "b-", 16))
+
+
+def _synth(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    kind = F.col("c_custkey") % len(_SYNTH)
+    token = F.lit(None).cast("string")
+    for i, (_, prefix, n) in enumerate(_SYNTH):
+        token = F.when(kind == i, F.concat(F.lit(prefix), _hex(_id("c_custkey"), n))).otherwise(token)
+    return c.select("c_custkey", kind.alias("kind"), token.alias("token"), F.concat(F.lit("é use "), token, F.lit(" now")).alias("text"))
+
+
+_SYNTH_SQL = (
+    "synth AS (SELECT c_custkey, c_custkey % 5 AS kind, CASE c_custkey % 5 "
+    + " ".join(f"WHEN {i} THEN '{p[:2]}' || '{p[2:]}' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, {n})" for i, (_, p, n) in enumerate(_SYNTH))
+    + " END AS token FROM customer)"
+)
+
+
+def anchored_synth(spark, sf_dir):
+    found = detect.findings(_synth(spark, sf_dir), ["c_custkey"])
+    return found.select("c_custkey", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "confidence", "hint")
+
+
+_ANCHORED_SQL = (
+    f"WITH {_SYNTH_SQL} SELECT c_custkey, CAST(6 AS BIGINT) AS span_start, CAST(6 + length(token) AS BIGINT) AS span_end, 'anchored' AS confidence, CASE kind "
+    + " ".join(f"WHEN {i} THEN '{h}'" for i, (h, _, _) in enumerate(_SYNTH))
+    + " END AS hint FROM synth"
+)
+
+
+def _tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\s,()\[\]{}<>=;]{20,}"), F.lit(0))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n"))
+
+
+_TOKENS_SQL = r"tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\s,()\[\]{}<>=;]{20,}')) AS token FROM documents) GROUP BY token)"
+_ENTROPY_SQL = "(SELECT round(-sum(k / length(token) * log2(k / length(token))), 6) FROM (SELECT count(*) * 1.0 AS k FROM unnest(string_split(token, '')) t(c) WHERE c <> '' GROUP BY c))"
+
+
+def entropy_topk(spark, sf_dir, k: int = 50):
+    """The most random tokens of 20 characters or more: a top-k report."""
+    scored = _tokens(spark, sf_dir).withColumn("bits", F.round(P.shannon_entropy(F.col("token")), 6))
+    return scored.orderBy(F.desc("bits"), "token").limit(k)
+
+
+_TOPK_SQL = f"WITH {_TOKENS_SQL} SELECT token, n, {_ENTROPY_SQL} AS bits FROM tokens ORDER BY bits DESC, token LIMIT 50"
+
+
+def token_classes(spark, sf_dir):
+    t = F.col("token")
+    per = _tokens(spark, sf_dir).select("n", P.looks_like_identifier_text(t).alias("identifier"), P.is_digest_shaped(t).alias("digest"), t.contains("@").alias("address"))
+    return per.groupBy("identifier", "digest", "address").agg(F.count("*").alias("tokens"), F.sum("n").alias("occurrences"))
+
+
+_CLASSES_SQL = rf"""WITH {_TOKENS_SQL},
+f AS (SELECT n, regexp_extract_all(token, '[A-Z]?[a-z]{{3,}}') AS runs, token FROM tokens)
+SELECT len(runs) >= 2 AND list_sum(list_transform(runs, lambda x: length(x))) >= length(token) * 0.6 AS identifier,
+       regexp_matches(lower(token), '^([0-9a-f]{{7}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$') AS digest,
+       contains(token, '@') AS address, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS occurrences FROM f GROUP BY ALL"""
+
+_URLS = (("https://hooks.slack.com/services/", True), ("https://example.org/services/", False), ("https://u:p@example.org/", True), ("https://o1.ingest.sentry.io/4", True), ("https://x.datadoghq.com/account/", False), ("https://example.org/a?sig=", True))
+
+
+def url_rules(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    url = F.lit(None).cast("string")
+    for i, (u, _) in enumerate(_URLS):
+        url = F.when(F.col("s_suppkey") % len(_URLS) == i, F.concat(F.lit(u), _id("s_suppkey"))).otherwise(url)
+    return s.select("s_suppkey", P.is_credential_url(url).alias("credential"))
+
+
+_URLS_SQL = "SELECT s_suppkey, CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN {str(v).lower()}" for i, (_, v) in enumerate(_URLS)) + " END AS credential FROM supplier"
+
+# --- masking ---------------------------------------------------------------------------------------------------------
+
+
+def mask_shapes(spark, sf_dir):
+    text = F.concat(F.lit("see "), F.col("token"), F.lit(' and password="pw-'), _hex(_id("c_custkey"), 12), F.lit('" sha '), _hex(_id("c_custkey"), 40))
+    return mask.mask_shapes(_synth(spark, sf_dir).select("c_custkey", text.alias("text"))).select("c_custkey", "masked", F.col("hits").cast("long").alias("hits"))
+
+
+_MASK_SHAPES_SQL = (
+    "SELECT c_custkey, 'see {{sec:redacted}} and password=\"{{sec:redacted}}\" sha ' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 40) AS masked, CAST(2 AS BIGINT) AS hits FROM customer"
+)
+
+
+def mask_pages(spark, sf_dir):
+    """Shapes in raw pages, by the number of hits."""
+    hits = mask.mask_shapes(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return hits.groupBy(F.col("hits").cast("long").alias("hits")).agg(F.count("*").alias("pages"), F.count_if(F.col("masked") == F.col("html")).alias("unchanged"))
+
+
+_PAGES_SQL = r"""
+WITH m AS (SELECT regexp_extract_all(html, '(?i)((?:token|secret|password|passwd|pwd|api[_-]?key|authorization|access[_-]?key|private[_-]?key)[A-Za-z0-9_-]*["'']?\s*[=:]\s*["'']?[^\s"''<>]{8,})') AS w FROM pages),
+h AS (SELECT len(list_filter(w, lambda x: NOT regexp_matches(x, '[=:]\s*["'']?[0-9a-f]{40}$'))) AS hits FROM m)
+SELECT CAST(hits AS BIGINT) AS hits, count(*) AS pages, count(*) FILTER (hits = 0) AS unchanged FROM h GROUP BY hits"""
+
+
+def _nation_vault(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(_id("n_nationkey").alias("session_id"), F.lower("n_name").alias("label"), F.concat(F.lit("v_"), _id("n_nationkey")).alias("name"), F.concat(F.lit("pw-"), _hex(F.col("n_name"), 20)).alias("value"))
+
+
+def mask_values(spark, sf_dir):
+    """Raw values, base64 and hex, wrapped or not, of the customer's nation."""
+    v = _nation_vault(spark, sf_dir)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
+    b64 = P.base64_line(F.col("value"))
+    text = F.concat(F.lit("raw "), F.col("value"), F.lit(" b "), b64, F.lit(" w "), F.substring(b64, 1, 10), F.lit("\n"), F.substring(b64, 11, 100), F.lit(" h "), F.upper(F.hex(F.col("value").cast("binary"))), F.lit(" other"))
+    done = mask.mask_values(rows.select("c_custkey", "session_id", text.alias("text")), v, "session_id", token=None)
+    return done.select("c_custkey", "masked", F.col("hits").cast("long").alias("hits"))
+
+
+_MASK_VALUES_SQL = "SELECT c_custkey, 'raw ' || r || ' b ' || r || ' w ' || r || ' h ' || r || ' other' AS masked, CAST(4 AS BIGINT) AS hits FROM (SELECT c_custkey, '{{sec:v_' || c_nationkey || '}}' AS r FROM customer)"
+
+
+def overlap_longest(spark, sf_dir):
+    """Of a value inside a longer one, the longer is masked."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    short = F.concat(F.lit("zq"), _hex(_id("c_custkey"), 10))
+    values = c.select(_id("c_custkey").alias("session_id"), F.explode(F.array(F.struct(F.lit("short").alias("name"), short.alias("value")), F.struct(F.lit("long").alias("name"), F.concat(short, F.lit("-tail-99")).alias("value")))).alias("x"))
+    text = F.concat(short, F.lit("-tail-99 then "), short, F.lit("-tail."))
+    done = mask.mask_values(c.select("c_custkey", _id("c_custkey").alias("session_id"), text.alias("text")), values.select("session_id", "x.*"), "session_id", token=None)
+    return done.select("c_custkey", "masked")
+
+
+_OVERLAP_SQL = "SELECT c_custkey, '{{sec:long}} then {{sec:short}}-tail.' AS masked FROM customer"
+
+
+def nested_mask(spark, sf_dir):
+    c = _synth(spark, sf_dir)
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit("x").alias("data")), F.struct(F.lit("image").alias("type"), F.lit("ok").alias("text"), F.col("token").alias("data")))
+    done = nested.scrub_columns(c.select("c_custkey", block.alias("blocks"), F.create_map(F.lit("k"), F.col("text")).alias("notes")), ["blocks", "notes"], frozenset({"type"}))
+    return done.select("c_custkey", F.col("blocks")[0]["text"].alias("block_text"), (F.length(F.col("blocks")[1]["data"]) > 15).alias("payload_kept"), F.col("notes")["k"].alias("note"))
+
+
+_NESTED_SQL = "SELECT c_custkey, 'é use {{sec:redacted}} now' AS block_text, true AS payload_kept, 'é use {{sec:redacted}} now' AS note FROM customer"
+
+
+def redact_all(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.struct(F.lit("user").alias("role"), F.col("event_type").alias("body"), "value").alias("m"))
+    done = nested.redact_columns(e, ["m"])
+    return done.groupBy("m.role", "m.body").agg(F.count("*").alias("n"))
+
+
+_REDACT_SQL = "SELECT 'user' AS role, '{{sec:redacted}}' AS body, count(*) AS n FROM events HAVING count(*) > 0"
+
+
+def leak_sweep(spark, sf_dir):
+    """No canary of the synthesised tokens is left in the masked output."""
+    c = _synth(spark, sf_dir)
+    masked = mask.mask_shapes(c.select("c_custkey", "text"))
+    canaries = c.where(F.col("c_custkey") <= 100).select(F.substring("token", 1, 14).alias("canary"))
+    swept = files.leak_sweep(masked.select(F.col("masked").alias("text")), canaries)
+    return swept.agg(F.count("*").alias("canaries"), F.sum("leaks").alias("leaks"), F.max("examined").alias("examined"))
+
+
+_LEAK_SQL = f"WITH {_SYNTH_SQL} SELECT count(DISTINCT substr(token, 1, 14)) AS canaries, CAST(0 AS BIGINT) AS leaks, (SELECT count(*) FROM customer) AS examined FROM synth WHERE c_custkey <= 100"
+
+
+def stream_mask(spark, sf_dir):
+    """Documents as a file stream: what a stream of batches masks, from a table in memory."""
+    path = f"{sf_dir}/conversations.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not _is_file(spark, path) else f"{sf_dir}/conversations*.parquet")
+    name = "veilmark_stream_mask"
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    query = stream.mask_stream(source).select("conv_id", "turn", "hits").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select("conv_id", "turn", F.col("hits").cast("long").alias("hits"))
+
+
+def _is_file(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+_STREAM_SQL = "SELECT conv_id, turn, CAST(0 AS BIGINT) AS hits FROM conversations"
+
+# --- names, references, vault ----------------------------------------------------------------------------------------
+
+
+def suggest_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    a, b = F.concat(F.lit("pw1-"), _hex(_id("c_custkey"), 10)), F.concat(F.lit("pw2-"), _hex(_id("c_custkey"), 10))
+    text = F.concat(F.lit("staging password="), a, F.lit(" and again password="), a, F.lit("; then the other, password="), b)
+    rows = c.select("c_custkey", text.alias("text"))
+    found = detect.findings(rows, ["c_custkey"], tiers="evidenced")
+    return naming.suggest_names(found, rows, ["c_custkey"]).select("c_custkey", F.col("start").cast("long").alias("span_start"), "name")
+
+
+_NAMES_SQL = """SELECT c_custkey, CAST(x.off AS BIGINT) AS span_start, x.name AS name FROM customer,
+  (VALUES (17, 'password_staging'), (51, 'password_staging'), (92, 'password')) x(off, name)"""
+
+
+def apply_capture(spark, sf_dir):
+    found = detect.with_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), tiers="evidenced")
+    items = F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.concat(F.lit("k_"), P.fingerprint(x["value"], 12)).alias("name")))
+    done = mask.apply_capture(found.withColumn("items", items)).where(F.size("captured") > 0)
+    return done.select("doc_id", F.size("captured").cast("long").alias("captured"), F.md5("rewritten").alias("digest"))
+
+
+_APPLY_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, text, 0 AS k FROM documents WHERE regexp_matches(text, '(?i)(password|passwd|secret|token|api_?key)[ \t]*[=:][ \t]*"?[^\s"''<>{]{8,}')
+  UNION ALL
+  SELECT doc_id, replace(text, v, '{{sec:k_' || substr(sha256(v), 1, 12) || '}}'), k + (length(text) - length(replace(text, v, ''))) // length(v)
+  FROM (SELECT doc_id, text, k, regexp_extract(text, '(?i)(?:password|passwd|secret|token|api_?key)[ \t]*[=:][ \t]*"?([^\s"''<>{]{8,})', 1) AS v FROM t) WHERE v <> '')
+SELECT doc_id, CAST(max(k) AS BIGINT) AS captured, md5(arg_max(text, k)) AS digest FROM t GROUP BY doc_id"""
+
+
+def refs_expand(spark, sf_dir):
+    v = _nation_vault(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    text = F.concat(F.lit("a {{sec:v_"), F.col("session_id"), F.lit("}} b {{sec:gone}} c {{sec:v_"), F.col("session_id"), F.lit("}}{{sec:BAD}}"))
+    done = refs.expand_refs(c.select("c_custkey", "session_id", text.alias("text")), v, "session_id", value="label")
+    return done.select("c_custkey", "expanded", F.array_join("used", ",").alias("used"), F.array_join("missing", ",").alias("missing"))
+
+
+_REFS_SQL = "SELECT c_custkey, 'a ' || lower(n_name) || ' b {{sec:gone}} c ' || lower(n_name) || '{{sec:BAD}}' AS expanded, 'v_' || c_nationkey AS used, 'gone' AS missing FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def vault_collisions(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", "-").alias("name"))
+    found = refs.variable_collisions(names)
+    return names.agg(F.count_distinct("name").alias("names")).join(found.agg(F.count("*").alias("collisions")), F.lit(True))
+
+
+_COLLISIONS_SQL = "SELECT count(DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g')) AS names, CAST(0 AS BIGINT) AS collisions FROM customer"
+
+
+def _event_vault(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(_id("user_id").alias("session_id"), F.concat(F.lower("event_type"), F.lit("_key")).alias("name"), F.concat(F.lit("val-"), _hex(_id("event_id"), 12)).alias("value"), F.lit("prompt").alias("source"), F.col("ts").alias("added_at"), F.col("event_id").alias("seq"))
+
+
+def vault_latest(spark, sf_dir):
+    v = V.with_details(V.upsert(_event_vault(spark, sf_dir)))
+    return v.select("session_id", "name", "fingerprint", F.col("length").cast("long").alias("length"), "seq")
+
+
+_LATEST_SQL = "SELECT CAST(user_id AS VARCHAR) AS session_id, lower(event_type) || '_key' AS name, substr(sha256('val-' || substr(sha256(CAST(max(event_id) AS VARCHAR)), 1, 12)), 1, 4) AS fingerprint, CAST(16 AS BIGINT) AS length, min(event_id) AS seq FROM events GROUP BY user_id, event_type"
+
+
+def vault_listing(spark, sf_dir):
+    v = V.upsert(_event_vault(spark, sf_dir)).withColumn("source", F.when(F.col("seq") % 2 == 0, "output").otherwise("prompt"))
+    return V.listing(v, "c").groupBy("name", "seen").agg(F.count("*").alias("sessions"), F.min("seq").alias("first"))
+
+
+_LISTING_SQL = """WITH v AS (SELECT user_id, lower(event_type) || '_key' AS name, min(event_id) AS seq FROM events GROUP BY ALL)
+SELECT name, CASE WHEN seq % 2 = 0 THEN 'seen in tool output' ELSE '' END AS seen, count(*) AS sessions, min(seq) AS first FROM v WHERE starts_with(name, 'c') GROUP BY ALL"""
+
+
+def vault_rename_remove(spark, sf_dir):
+    v = V.upsert(_event_vault(spark, sf_dir))
+    moves = v.where(F.col("seq") % 3 == 0).select("session_id", "name", F.concat(F.lit("r_"), F.col("name")).alias("new_name"))
+    gone = v.where(F.col("seq") % 3 == 1).select("session_id", "name")
+    left = V.remove(V.rename(v, moves), gone)
+    return left.groupBy("name").agg(F.count("*").alias("n"))
+
+
+_RENAME_SQL = """WITH v AS (SELECT user_id, lower(event_type) || '_key' AS name, min(event_id) AS seq FROM events GROUP BY ALL)
+SELECT CASE WHEN seq % 3 = 0 THEN 'r_' || name ELSE name END AS name, count(*) AS n FROM v WHERE seq % 3 <> 1 GROUP BY 1"""
+
+
+def vault_by_value(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    v = e.select(_id("user_id").alias("session_id"), F.concat(F.lit("n_"), _id("event_id")).alias("name"), F.concat(F.lit("shared-"), F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    return V.names_by_value(v)
+
+
+_BY_VALUE_SQL = "SELECT CAST(user_id AS VARCHAR) AS session_id, 'shared-' || event_type AS value, 'n_' || min(event_id) AS name FROM events GROUP BY user_id, event_type"
+
+
+def adoption_session(spark, sf_dir):
+    """Adopted names of values met by nation, 64 a session at most."""
+    c = table(spark, sf_dir, "customer")
+    hits = c.select(_id("c_nationkey").alias("session_id"), F.col("c_custkey").alias("seq"), F.lit(0).alias("start"), _hex(_id("c_custkey"), 20).alias("value"), F.lit("kv").alias("kind"), F.lit("API-Key").alias("hint"))
+    empty = hits.limit(0).select("session_id", "value", F.lit("").alias("name"), "seq", F.lit("output").alias("source"))
+    return V.adopt(hits, empty).select("session_id", "value", "name")
+
+
+_ADOPT_SQL = """WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS session_id, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 20) AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer)
+SELECT session_id, value, CASE WHEN n > 64 THEN NULL WHEN n = 1 THEN 'api_key' ELSE 'api_key-' || n END AS name FROM r"""
+
+
+def preview_labels(spark, sf_dir):
+    c = _synth(spark, sf_dir)
+    plain = F.concat(F.lit("pw-"), _hex(_id("c_custkey"), 8))
+    return c.select("c_custkey", P.label(F.col("token")).alias("token_label"), P.label(plain).alias("plain_label"))
+
+
+_PREVIEW_SQL = (
+    f"WITH {_SYNTH_SQL} SELECT c_custkey, CASE kind "
+    + " ".join(f"WHEN {i} THEN '{p[:2]}' || '{p[2:]}' || substr(token, {len(p) + 1}, 4)" for i, (_, p, _) in enumerate(_SYNTH))
+    + " END || '…' || substr(token, length(token) - 3, 4) AS token_label, 'sha256:' || substr(sha256('pw-' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8)), 1, 4) AS plain_label FROM synth"
+)
+
+
+def derived_forms(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("v", F.concat("n_name", F.lit("?>~ÿ")))
+    return n.select("n_nationkey", F.array_join(P.derived_forms(F.col("v")), "|").alias("forms"), P.fingerprint(F.col("v")).alias("fingerprint"))
+
+
+_FORMS_SQL = """SELECT n_nationkey, v || '|' || b || '|' || u || '|' || lower(hex(encode(v))) AS forms, substr(sha256(v), 1, 4) AS fingerprint
+FROM (SELECT n_nationkey, v, base64(encode(v)) AS b, rtrim(translate(base64(encode(v)), '+/=', '-_ ')) AS u FROM (SELECT n_nationkey, n_name || '?>~ÿ' AS v FROM nation))"""
+
+# --- variable files, shell, policy -----------------------------------------------------------------------------------
+
+
+def _dotenv_files(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    name = F.regexp_replace("n_name", " ", "_")
+    text = F.concat(F.lit("\ufeff# "), F.col("n_name"), F.lit("\r\nexport "), name, F.lit('_TOKEN="first # kept" tail\nPORT='), _id("n_nationkey"), F.lit(" # port\nbroken line\n"), name, F.lit("_TOKEN='x$HOME-"), _hex(F.col("n_name"), 6), F.lit("'\nEMPTY=\n2FA=on\n"))
+    return n.select(F.concat(F.lit("/env/"), _id("n_nationkey")).alias("path"), text.alias("text"))
+
+
+def dotenv_parse(spark, sf_dir):
+    rows = dotenv.parse(_dotenv_files(spark, sf_dir))
+    return rows.select("path", "key", "value", F.col("line").cast("long").alias("line"), F.array_join("flags", ",").alias("flags"), F.col("place").cast("long").alias("place"))
+
+
+_DOTENV_SQL = """WITH n AS (SELECT '/env/' || n_nationkey AS path, replace(n_name, ' ', '_') AS v, n_nationkey, n_name FROM nation)
+SELECT path, v || '_TOKEN' AS key, 'x$HOME-' || substr(sha256(n_name), 1, 6) AS value, CAST(5 AS BIGINT) AS line, 'unexpanded' AS flags, CAST(2 AS BIGINT) AS place FROM n
+UNION ALL SELECT path, 'PORT', CAST(n_nationkey AS VARCHAR), 3, '', 3 FROM n UNION ALL SELECT path, '2FA', 'on', 7, '', 7 FROM n"""
+
+
+def dotenv_summary(spark, sf_dir):
+    return dotenv.summary(_dotenv_files(spark, sf_dir))
+
+
+_DOTENV_SUMMARY_SQL = "SELECT '/env/' || n_nationkey AS path, CAST(3 AS BIGINT) AS assignments, CAST(2 AS BIGINT) AS skipped, CAST(1 AS BIGINT) AS duplicates FROM nation"
+
+
+def import_classify(spark, sf_dir):
+    return dotenv.import_rows(_dotenv_files(spark, sf_dir)).select("path", "key", "name", "reason", "likely")
+
+
+_IMPORT_SQL = """WITH n AS (SELECT '/env/' || n_nationkey AS path, replace(n_name, ' ', '_') AS v FROM nation)
+SELECT path, v || '_TOKEN' AS key, lower(v) || '_token' AS name, NULL AS reason, true AS likely FROM n
+UNION ALL SELECT path, 'PORT', 'port', NULL, false FROM n UNION ALL SELECT path, '2FA', NULL, 'starts with a digit', false FROM n"""
+
+
+def _commands(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    ref = F.concat(F.lit("{{sec:v_"), F.col("session_id"), F.lit("}}"))
+    forms = (
+        F.concat(F.lit("echo "), ref, F.lit(" > out.txt")),
+        F.concat(F.lit("echo '"), ref, F.lit("'")),
+        F.concat(F.lit("ls # "), ref),
+        F.concat(F.lit("cat <<'E'\n"), ref, F.lit("\nE")),
+        F.concat(F.lit('echo "'), ref, F.lit('x" {{sec:gone}} | tee a.log >/dev/null')),
+    )
+    command = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        command = F.when(F.col("c_custkey") % len(forms) == i, f).otherwise(command)
+    return c.select("c_custkey", "session_id", command.alias("command"))
+
+
+def shell_classify(spark, sf_dir):
+    done = shell.classify(_commands(spark, sf_dir), _nation_vault(spark, sf_dir), "session_id")
+    kinds = F.array_join(F.transform("refs", lambda x: x["disposition"]), ",")
+    return done.select("c_custkey", kinds.alias("dispositions"), F.array_join("targets", ",").alias("targets"), "blocked", "warned")
+
+
+_SHELL_SQL = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'expand' WHEN 1 THEN 'expand' WHEN 4 THEN 'expand,unknown' ELSE 'inert' END AS dispositions,
+ CASE c_custkey % 5 WHEN 0 THEN 'out.txt' WHEN 4 THEN 'a.log' ELSE '' END AS targets, c_custkey % 5 >= 2 AS blocked, c_custkey % 5 IN (0, 4) AS warned FROM customer"""
+
+
+def shell_expand(spark, sf_dir):
+    done = shell.classify(_commands(spark, sf_dir).where("c_custkey % 5 < 2"), _nation_vault(spark, sf_dir), "session_id")
+    return done.select("c_custkey", "rewritten")
+
+
+_SHELL_EXPAND_SQL = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'echo \"$V_v_' || c_nationkey || '\" > out.txt' ELSE 'echo ''''\"$V_v_' || c_nationkey || '\"''''' END AS rewritten FROM customer WHERE c_custkey % 5 < 2"
+
+
+def literal_guard(spark, sf_dir):
+    """Calls whose text holds a value of their session."""
+    v = _nation_vault(spark, sf_dir).withColumn("source", F.lit("prompt"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    said = F.when(F.col("c_custkey") % 4 == 0, F.col("value")).otherwise("nothing")
+    calls = c.join(v.select("session_id", "value"), "session_id").select(F.col("c_custkey").alias("call_id"), "session_id", F.concat(F.lit('{"q":"'), said, F.lit('"}')).alias("args"))
+    return policy.literal_names(calls, v).select("call_id", F.array_join("names", ",").alias("names"))
+
+
+_LITERAL_SQL = "SELECT c_custkey AS call_id, 'v_' || c_nationkey AS names FROM customer WHERE c_custkey % 4 = 0"
+
+
+def policy_decide(spark, sf_dir):
+    v = _nation_vault(spark, sf_dir).withColumn("source", F.lit("prompt")).withColumn("origins", F.array(F.lit("/src/app.py")))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), _id("c_nationkey").alias("session_id"))
+    k = F.col("call_id") % 6
+    ref = F.concat(F.lit("{{sec:v_"), F.col("session_id"), F.lit("}}"))
+    tool = F.element_at(F.array(*map(F.lit, ("read", "write", "write", "write", "bash", "fetch"))), (k + 1).cast("int"))
+    path = F.when(k == 1, "/src/app.py").when(k == 2, "/src/other.py").when(k == 3, "/docs/a.md").otherwise("/x")
+    content = F.when(k.isin(1, 2, 3), ref).otherwise("")
+    args = F.when(k.isin(0, 4, 5), ref).otherwise("")
+    calls = c.select("call_id", "session_id", tool.alias("tool"), path.alias("path"), content.alias("content"), args.alias("args"))
+    return policy.decide(calls, v).select("call_id", "decision", F.array_join("expanded", ",").alias("expanded"))
+
+
+_POLICY_SQL = """SELECT c_custkey AS call_id, CASE c_custkey % 6 WHEN 0 THEN 'block: reference in a path tool' WHEN 1 THEN 'expand: restorable' WHEN 2 THEN 'block: would strand a value'
+ WHEN 3 THEN 'allow: literal in a document' WHEN 4 THEN 'allow: left to the shell' ELSE 'expand' END AS decision,
+ CASE WHEN c_custkey % 6 IN (1, 5) THEN 'v_' || c_nationkey ELSE '' END AS expanded FROM customer"""
+
+
+def record_origins(spark, sf_dir):
+    v = _nation_vault(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    reads = c.join(v.select("session_id", "value"), "session_id").where("c_custkey % 10 = 0").select("session_id", F.concat(F.lit("/f/"), _id("c_custkey")).alias("path"), F.concat(F.lit("key: "), F.col("value")).alias("text"))
+    return V.record_origins(v, reads).select("session_id", "name", F.array_join("origins", ",").alias("origins"))
+
+
+_ORIGINS_SQL = "SELECT CAST(c_nationkey AS VARCHAR) AS session_id, 'v_' || c_nationkey AS name, string_agg('/f/' || c_custkey, ',' ORDER BY '/f/' || c_custkey) AS origins FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey"
+
+QUERIES = {
+    "findings_by_source": (findings_by_source, _FINDINGS_SQL),
+    "kv_findings": (kv_findings, _KV_SQL),
+    "capture_vs_shape": (capture_vs_shape, _CAPTURE_SQL),
+    "anchored_synth": (anchored_synth, _ANCHORED_SQL),
+    "entropy_topk": (entropy_topk, _TOPK_SQL),
+    "token_classes": (token_classes, _CLASSES_SQL),
+    "url_rules": (url_rules, _URLS_SQL),
+    "mask_shapes": (mask_shapes, _MASK_SHAPES_SQL),
+    "mask_pages": (mask_pages, _PAGES_SQL),
+    "mask_values": (mask_values, _MASK_VALUES_SQL),
+    "overlap_longest": (overlap_longest, _OVERLAP_SQL),
+    "nested_mask": (nested_mask, _NESTED_SQL),
+    "redact_all": (redact_all, _REDACT_SQL),
+    "leak_sweep": (leak_sweep, _LEAK_SQL),
+    "stream_mask": (stream_mask, _STREAM_SQL),
+    "suggest_names": (suggest_names, _NAMES_SQL),
+    "apply_capture": (apply_capture, _APPLY_SQL),
+    "refs_expand": (refs_expand, _REFS_SQL),
+    "vault_collisions": (vault_collisions, _COLLISIONS_SQL),
+    "vault_latest": (vault_latest, _LATEST_SQL),
+    "vault_listing": (vault_listing, _LISTING_SQL),
+    "vault_rename_remove": (vault_rename_remove, _RENAME_SQL),
+    "vault_by_value": (vault_by_value, _BY_VALUE_SQL),
+    "adoption_session": (adoption_session, _ADOPT_SQL),
+    "preview_labels": (preview_labels, _PREVIEW_SQL),
+    "derived_forms": (derived_forms, _FORMS_SQL),
+    "dotenv_parse": (dotenv_parse, _DOTENV_SQL),
+    "dotenv_summary": (dotenv_summary, _DOTENV_SUMMARY_SQL),
+    "import_classify": (import_classify, _IMPORT_SQL),
+    "shell_classify": (shell_classify, _SHELL_SQL),
+    "shell_expand": (shell_expand, _SHELL_EXPAND_SQL),
+    "literal_guard": (literal_guard, _LITERAL_SQL),
+    "policy_decide": (policy_decide, _POLICY_SQL),
+    "record_origins": (record_origins, _ORIGINS_SQL),
+}
