@@ -9,7 +9,9 @@
    are candidates.  A short list of leaders gives its pairs; a long one pairs
    its most central leader with each other one, so it costs its length only.
    A group pairs its leader with each member.
-3. Candidates are verified by exact intersection; links give components.
+3. Candidates whose parity bitmaps differ in more bits than linked sets may
+   differ in shingles are out (the bits bound the difference from below, so no
+   link is lost); the rest is verified by exact intersection.  Links give components.
 4. Lists that more than one component still shares are expanded to members:
    those outside the list's largest component are paired with the members of
    other components, under the same filters, unless step 3 compared them.
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -80,12 +82,29 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> DataFrame:
     return counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
 
 
+def parity_bits(own: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a shingle; a bit is the parity of the shingles that fall on it."""
+    m = 1 << max(6, (4 * len(own) - 1).bit_length())
+    place = (own ^ (own >> 29)) & (m - 1)
+    return np.packbits((np.bincount(place, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded: at most the size of the sets' symmetric difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefixes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Id, two halves of the set's signature, set size and prefix of each row."""
+    """Of each row: id, two halves of the set's signature, set size, prefix, how many at its start are not frequent, two halves of the prefix's signature, bitmap."""
     often = frequent_shingles(docs, size, text_col).toPandas()
     often = often.sort_values("token")
     order = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, s1 long, s2 long, n int, prefix array<bigint>"
+    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, s1 long, s2 long, n int, prefix array<bigint>, n_rare int, p1 long, p2 long, bits binary"
     schema = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
@@ -93,16 +112,15 @@ def prefixes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         for ids, texts in text_batches(batches):
             rows = []
             for own in shingle_sets(texts, size):
-                first = own
+                first, rare = own, len(own)
                 if len(own):
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                         known = np.where(tokens[at] == own, counts[at], 0)
-                        first = own[np.argsort(known, kind="stable")]
+                        first, rare = own[np.argsort(known, kind="stable")], int((known == 0).sum())
                     first = first[: prefix_length(len(own), percent)]
-                rows.append((*signature(own), len(own), first))
-            s1, s2, n, first = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, s1, s2, n, first), schema, strict=True)], schema=schema)
+                rows.append((*signature(own), len(own), first, rare, *signature(first), parity_bits(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, *zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
     return docs.select(id_col, text_col).mapInArrow(run, ddl)
 
@@ -121,14 +139,32 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def close_pairs(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for a link."""
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
+            # |A ^ B| = na + nb - 2 common, and a link has common >= percent (na + nb) / (100 + percent)
+            kept = [differing(p, q) * (100 + percent) <= (m + n) * (100 - percent) for m, n, p, q in zip(na, nb, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema).filter(pa.array(kept, pa.bool_()))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def shingle_links(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes that link, with the exact size of their intersection."""
-    pairs = settled(pairs.distinct())
+    pairs = settled(close_pairs(nodes, pairs.distinct(), percent))
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = settled(ids.join(nodes.select("node", "doc", "s1", "s2"), "node"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    found = docs.join(wanted, docs["_id"] == F.col("doc")).select(F.struct("node", "s1", "s2").alias("key"), text_col)
+    found = docs.join(_small(wanted), docs["_id"] == F.col("doc")).select(F.struct("node", "s1", "s2").alias("key"), text_col)
     schema = pa_schema(docs.sparkSession, "node long, tokens array<bigint>")
 
     def run(batches):
@@ -137,7 +173,7 @@ def shingle_links(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, size: int
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
 
-    sets = settled(found.mapInArrow(run, "node long, tokens array<bigint>").dropDuplicates(["node"]))
+    sets = settled(found.mapInArrow(run, "node long, tokens array<bigint>"))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
@@ -148,16 +184,20 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     """``n_shingles`` and ``component_id`` (smallest id reachable by links) of each row."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col))
     rows = settled(prefixes(docs, size, percent, "_id", text_col))
-    sets = rows.where("n > 0 and _id is not null").groupBy("s1", "s2", "n").agg(F.min("_id").alias("doc"), F.min("prefix").alias("prefix"))
+    sets = rows.where("n > 0 and _id is not null").groupBy("s1", "s2", "n")
+    sets = sets.agg(F.min("_id").alias("doc"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("bits").alias("bits"))
     nodes = settled(sets.select(F.monotonically_increasing_id().alias("node"), "*"))
-    grouping = nodes.groupBy("n", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2")).agg(F.min("node").alias("leader"), F.count("*").alias("members"))
+    grouping = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     crowded = settled(grouping.where("members > 1"))
-    hashed = nodes.select("node", "n", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2"))
-    member = settled(hashed.join(crowded, ["n", "h1", "h2"]).where("node <> leader").select("node", "leader"))
-    leaders = nodes.join(member, "node", "left_anti")
-    lists = leaders.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    counts = lists.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    lists = settled(lists.join(counts, "token"))
+    member = settled(nodes.select("node", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).where("node <> leader").select("node", "leader"))
+    leaders = settled(nodes.select("node", "doc", "s1", "s2").join(member.select("node"), "node", "left_anti"))
+    same = (rows["_id"] == F.col("doc")) & (rows["s1"] == F.col("l.s1")) & (rows["s2"] == F.col("l.s2"))
+    each = rows.join(_small(leaders).alias("l"), same).select("node", "n", "n_rare", F.posexplode("prefix").alias("pos", "token"))
+    # Rare shingles are counted where one exchange brings them together; frequent ones, of which there are at most FREQUENT, by sums before it.
+    rare = each.where("pos < n_rare").drop("n_rare").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    often = each.where("pos >= n_rare").drop("n_rare")
+    counts = often.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    lists = settled(rare.unionByName(often.join(F.broadcast(counts), "token")))
 
     short = lists.where(F.col("m") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
