@@ -36,8 +36,8 @@ ALLOWED = (
     re.compile(r"\d{4}-\d\d-\d\dT[0-9T-]*"),  # time stamp
     re.compile(r".*example.*", re.I | re.S),
 )
-#: A path or name: its parts are words, or numbers of up to four digits.
-PART = re.compile(r"[A-Z]?[a-z]*+|[A-Z]++|\d{1,4}")
+#: A path or name: its parts are words, numbers of up to four digits, or words with such a number.
+PART = re.compile(r"(?:[A-Z]?[a-z]*+|[A-Z]++)\d{0,4}")
 SEPARATOR = re.compile(r"[/_-]")
 
 
