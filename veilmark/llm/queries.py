@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, mixing, mpeg, pages, pii, quality, secrets, substrings
+from . import decontaminate, jaccard, language, mixing, mpeg, oracles, pages, pii, quality, secrets, substrings
 from .shared import table
 
 
@@ -67,4 +67,8 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_source_mix": oracles.SOURCE_MIX,
+    "op6_decontaminate": oracles.DECONTAMINATE,
+    "op9_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
