@@ -72,7 +72,7 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                     seen.add(sign)
                     held.append(own)
                     room += len(own)
-            if room > 4_000_000:
+            if room > 2_000_000:
                 yield flush()
                 seen, held, room = set(), [], 0
         if held:

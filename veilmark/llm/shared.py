@@ -37,7 +37,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) in slices of about ``max_chars`` bytes, so that memory does not follow the batch size; null text is ''."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)

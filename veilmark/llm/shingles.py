@@ -14,7 +14,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         inverse = pow(_P, -1, 1 << 64)
-        _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, 1 << 20), b, np.uint64))), dtype=np.uint64) for b in (_P, inverse)]
+        _POWERS[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, 1 << 19), b, np.uint64))), dtype=np.uint64) for b in (_P, inverse)]
     return _POWERS[0], _POWERS[1]
 
 
