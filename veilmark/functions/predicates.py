@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
+from .spans import let
 
 
 def trimmed(c: Column) -> Column:
@@ -14,14 +15,14 @@ def trimmed(c: Column) -> Column:
 
 def shannon_entropy(c: Column) -> Column:
     """Bits a character; 0 for an empty string."""
-    n = F.length(c)
-    letters = F.array_distinct(F.split(c, "(?s)(?<=.)(?=.)"))
 
-    def share(x):
-        return (n - F.length(F.replace(c, x, F.lit("")))) / n
+    def of(v: Column) -> Column:
+        n = F.length(v["v"])
+        letters = F.array_distinct(F.split(v["v"], "(?s)(?<=.)(?=.)"))
+        share = lambda x: (n - F.length(F.replace(v["v"], x, F.lit("")))) / n
+        return F.when(n > 0, F.aggregate(F.transform(letters, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
 
-    bits = F.aggregate(letters, F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    return let(F.struct(c.alias("v")), of)
 
 
 def is_digest_shaped(c: Column) -> Column:
@@ -65,20 +66,22 @@ def looks_like_setting_name(c: Column) -> Column:
 
 
 def looks_credentialish(c: Column) -> Column:
-    t = trimmed(c)
-    classes = sum((t.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", rf"[^A-Za-z0-9{R.WS}]")), F.lit(0))
-    return (
-        F.when(F.length(t) < R.GUESS_LENGTH, False)
-        .when(is_digest_shaped(t), False)
-        .when(t.rlike(R.USERINFO), True)
-        .when(t.rlike(R.SCHEME), False)
-        .when(t.rlike(R.SHELL_SYNTAX), False)
-        .when(t.rlike(R.PATH_STEM), False)
-        .when(t.startswith("-"), False)
-        .when(~t.contains("://") & t.rlike("[:,]"), False)
-        .when(t.rlike(r"\A[A-Za-z0-9._/-]+\z") & t.contains("/"), False)
-        .otherwise((classes >= 2) & (shannon_entropy(t) > R.CREDENTIALISH_BITS))
-    )
+    def of(t: Column) -> Column:
+        classes = sum((t.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", rf"[^A-Za-z0-9{R.WS}]")), F.lit(0))
+        return (
+            F.when(F.length(t) < R.GUESS_LENGTH, False)
+            .when(is_digest_shaped(t), False)
+            .when(t.rlike(R.USERINFO), True)
+            .when(t.rlike(R.SCHEME), False)
+            .when(t.rlike(R.SHELL_SYNTAX), False)
+            .when(t.rlike(R.PATH_STEM), False)
+            .when(t.startswith("-"), False)
+            .when(~t.contains("://") & t.rlike("[:,]"), False)
+            .when(t.rlike(r"\A[A-Za-z0-9._/-]+\z") & t.contains("/"), False)
+            .otherwise((classes >= 2) & (shannon_entropy(t) > R.CREDENTIALISH_BITS))
+        )
+
+    return let(trimmed(c), of)
 
 
 def is_likely_secret(name: Column, value: Column) -> Column:

@@ -44,8 +44,9 @@ _KEY = (
     r"|credential|cred|url|auth|key)(?![A-Za-z0-9_-])[A-Za-z0-9_-]{0,32})"
 )
 #: name, pattern (group 1 the key, group 2 the value), fixed hint; the value ends the match but for closing quotes.
+#: A bare value reaches to the next white space; what ends its match, group 3, may stop before that.
 KV_RULES = (
-    ("bare", rf"(?i){_KEY}{_SEP}([^{WS}\"'<>]{{3,}})", None),
+    ("bare", rf"(?i){_KEY}{_SEP}(?=([^{WS}]+))([^{WS}\"'<>]{{3,}})", None),
     ("double", rf"(?i){_KEY}{_SEP}\\?\"([^\"\\]{{3,}}?)\\?\"", None),
     ("single", rf"(?i){_KEY}{_SEP}\\?'([^'\\]{{3,}}?)\\?'", None),
     ("flag", rf"(?i)(?<![\w-])--?(password|passwd|pwd|pass|secret|token|api-?key|access-?key|auth-?token|authorization)(?:=|[ \t]+)[\"']?([^{WS}\"'\n]{{3,}})", None),

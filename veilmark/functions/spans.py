@@ -5,50 +5,78 @@ Offsets are code points; ends are exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def running(lengths: Column) -> Column:
-    """Sums before each element of an integer array."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(lengths: Column, since: Column) -> Column:
+    start = F.struct(F.array().cast("array<int>").alias("out"), since.cast("int").alias("at"))
     step = lambda a, n: F.struct(F.array_append(a["out"], a["at"]).alias("out"), (a["at"] + n).alias("at"))
     return F.aggregate(lengths, start, step, lambda a: a["out"])
 
 
-def matches(text: Column, pattern: str | Column, group: int = 0, key_group: int = 0) -> Column:
+def running(lengths: Column) -> Column:
+    """Sums before each element of an integer array; by blocks, so that long arrays are not copied for each element."""
+
+    def summed(x: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, F.lit(0))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+        total = lambda blocks: F.transform(blocks, lambda y: F.aggregate(y, F.lit(0), lambda a, n: a + n))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, _sums(total(blocks), F.lit(0)), _sums)))
+
+    return let(lengths, summed)
+
+
+def matches(text: Column, pattern: str | Column, group: int = 0, key_group: int = 0, more_group: int | None = None) -> Column:
     """Array of (start, end, value, key) of the matches; ``value`` is ``group``, which ends its match but for a closing quote.
 
-    ``text`` should be a column of the input: it is searched twice.
+    ``more`` is added for ``more_group``, which may stand in a lookahead.
+    ``text`` should be a column of the input: it is searched more than once.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    inner = F.regexp_extract_all(text, pattern, F.lit(group))
-    keys = F.regexp_extract_all(text, pattern, F.lit(key_group))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), inner.alias("value"), keys.alias("key"))
-    before = running(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["whole"])))
+    found = lambda g: F.regexp_extract_all(text, pattern, F.lit(g))
+    fields = {"gap": F.split(text, pattern, -1), "whole": found(0), "value": found(group), "key": found(key_group)} | ({"more": found(more_group)} if more_group is not None else {})
 
     def placed(x, at):
         last = F.substring(x["whole"], F.length(x["whole"]), F.lit(1))
         closed = F.when(x["whole"].endswith(x["value"]), 0).when(F.substring(x["whole"], F.length(x["whole"]) - 1, F.lit(1)) == "\\", 2).otherwise(F.when(last.isin('"', "'"), 1).otherwise(0))
         end = at + F.length(x["gap"]) + F.length(x["whole"]) - closed
-        return F.struct((end - F.length(x["value"])).cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"), x["key"].alias("key"))
+        more = (x["more"].alias("more"),) if more_group is not None else ()
+        return F.struct((end - F.length(x["value"])).cast("int").alias("start"), end.cast("int").alias("end"), x["value"].alias("value"), x["key"].alias("key"), *more)
 
-    found = F.zip_with(parts, before, placed)
-    return F.when(F.regexp_like(text, pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,key:string>>"))
+    kind = "array<struct<start:int,end:int,value:string,key:string" + (",more:string>>" if more_group is not None else ">>")
+
+    def aligned(x: Column) -> Column:
+        """The gap after the last match has no match beside it."""
+        parts = F.arrays_zip(F.slice(x["gap"], F.lit(1), F.size(x["whole"])).alias("gap"), *(x[n].alias(n) for n in fields if n != "gap"))
+        return let(parts, lambda p: F.zip_with(p, running(F.transform(p, lambda y: F.length(y["gap"]) + F.length(y["whole"]))), placed))
+
+    return F.when(F.regexp_like(text, pattern), let(F.struct(*(c.alias(n) for n, c in fields.items())), aligned)).otherwise(F.array().cast(kind))
 
 
 def overlaps(x: Column, y: Column) -> Column:
     return (x["start"] < y["end"]) & (y["start"] < x["end"])
 
 
-def cut_and_join(text: Column, spans: Column, token) -> Column:
+def cut_and_join(text: Column, spans: Column, token: Callable[[Column], Column]) -> Column:
     """``text`` with each of the sorted, disjoint spans replaced by ``token(span)``."""
 
-    def piece(x, i):
-        since = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
-        return F.concat(F.substring(text, since + 1, x["start"] - since), token(x))
+    def joined(own: Column) -> Column:
+        def piece(x, i):
+            since = F.when(i == 0, 0).otherwise(F.get(own, i - 1)["end"])
+            return F.concat(F.substring(text, since + 1, x["start"] - since), token(x))
+
+        tail = F.substring(text, F.element_at(own, -1)["end"] + 1, F.length(text))
+        return F.when(F.size(own) > 0, F.concat(F.array_join(F.transform(own, piece), ""), tail)).otherwise(text)
 
-    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
+    return let(spans, joined)

@@ -42,9 +42,9 @@ def anchored(text: Column) -> Column:
     return F.when(gate, F.concat(*parts)).otherwise(F.array().cast(NONE))
 
 
-def _finalized(text: Column, x: Column, extend: bool) -> Column:
-    """The value up to the next white space (bare values only), less quotes, brackets and stops around it."""
-    value = F.regexp_extract(F.substring(text, x["start"] + 1, F.length(text)), rf"\A([^{R.WS}]+)", 1) if extend else x["value"]
+def _finalized(x: Column, extend: bool) -> Column:
+    """The value (of a bare one, all up to the next white space) less quotes, brackets and stops around it."""
+    value = x["more"] if extend else x["value"]
     right = F.regexp_replace(value, R.TRIM + r"\z", "")
     body = F.regexp_replace(right, r"\A" + R.TRIM, "")
     start = x["start"] + F.length(right) - F.length(body)
@@ -55,7 +55,9 @@ def keyed(text: Column) -> Column:
     """Tier 2: values after a keyword, with the veto of templates and references and the length floor of the keyword."""
 
     def each(i: int, name: str, pattern: str, hint: str | None) -> Column:
-        raw = F.transform(matches(text, pattern, 2, 1), lambda x: _finalized(text, x, name == "bare"))
+        bare = name == "bare"
+        found = matches(text, pattern, 3, 1, 2) if bare else matches(text, pattern, 2, 1)
+        raw = F.transform(found, lambda x: _finalized(x, bare))
 
         def stays(x):
             value = x["value"]
@@ -85,22 +87,22 @@ def deduped(found: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(NONE), fold)
 
 
-def guesses(text: Column, base: Column, refs: Column, regions: Column) -> Column:
-    """Tier 3: random-looking tokens that no keyword stands near."""
+def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: Column) -> Column:
+    """Tier 3: random-looking tokens that no keyword stands near.  All arrays are columns of the input: each token looks into them."""
     d = R.DELIMITERS
-    raw = matches(text, rf"(?<![^{d}])(?:[^{d}]{{18,}}+|[^{d}]*?://[^{d}]*+)")
+    raw = matches(text, rf"(?<![^{d}])((?:[^{d}]{{18,}}+|[^{d}]*?://[^{d}]*+))(?=([\s\S]{{0,3}}))", 1, 1, 2)
 
     def padded(x):
         n = F.length(x["value"]) % 4
         need = F.when(n == 2, "==").when(n == 3, "=").otherwise("")
-        after = F.substring(text, x["end"] + 1, F.lit(3))
+        after = x["more"]
         fits = (need != "") & after.startswith(need) & F.substring(after, F.length(need) + 1, F.lit(1)).rlike(rf"\A(?:[{R.WS}\"',;)\]}}]|)\z")
         pad = F.when(fits, need).otherwise("")
         return F.struct(x["start"].alias("start"), (x["end"] + F.length(pad)).alias("end"), F.concat(x["value"], pad).alias("value"), x["value"].alias("key"))
 
     def stays(x):
         v = x["value"]
-        near = F.exists(base, lambda b: v.contains(b["value"]) | b["value"].contains(v))
+        near = F.array_contains(values, v) | F.exists(values, lambda b: v.contains(b) | b.contains(v))
         bits = P.shannon_entropy(v)
         base64ish = v.rlike(r"\A(?:[A-Za-z0-9+/]+=*|[A-Za-z0-9_-]+=?)\z")
         parts = F.filter(F.split(v, "[_-]"), lambda s: s != "")
@@ -116,15 +118,15 @@ def guesses(text: Column, base: Column, refs: Column, regions: Column) -> Column
             & (v.rlike("[0-9]") | ~words)
         )
         wanted = (
-            F.when(P.is_digest_shaped(x["key"]) | near, False)
+            F.when(P.is_digest_shaped(x["key"]), False)
             .when(v.rlike(r"\A[a-z][a-z0-9+.-]*://"), P.is_credential_url(v))
             .when(v.rlike(r"(?i)\A(?:https?|file|git|ssh|node):"), False)
             .when(v.rlike(r"\A(?:\.\.?/|~[/\\]|[A-Za-z]:[/\\])"), False)
             .otherwise(random)
         )
-        lead = F.regexp_extract(F.substring(text, F.lit(1), x["start"]), rf"([^{R.WS}]*)\z", 1)
         held = F.exists(refs, lambda r: overlaps(r, x)) | F.exists(regions, lambda r: (x["start"] > r["start"]) & (x["end"] <= r["end"]))
-        return wanted & ~held & ~P.is_digest_shaped(v) & ~lead.rlike(r"(?i)\Adata:\S*;base64,?\z") & ~P.is_vetoed(v)
+        # The test against all values comes last: few tokens are left for it.
+        return wanted & ~P.is_digest_shaped(v) & ~P.is_vetoed(v) & ~F.array_contains(uris, x["start"]) & ~held & ~near
 
     def told(x):
         v = x["value"]
@@ -153,8 +155,10 @@ def with_findings(df: DataFrame, text_col: str = "text", out: str = "findings",
     df = df.withColumn("__base", F.filter(deduped(F.col("__hits")), stays))
     found = F.col("__base")
     if tiers == "all":
-        found = F.array_sort(F.concat("__base", guesses(text, F.col("__base"), F.col("__refs"), F.col("__pem"))))
-    return df.withColumn(out, found).drop("__t", "__refs", "__pem", "__hits", "__base")
+        df = df.withColumn("__values", F.transform("__base", lambda b: b["value"]))
+        df = df.withColumn("__uris", F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"]))
+        found = F.array_sort(F.concat("__base", guesses(text, F.col("__values"), F.col("__uris"), F.col("__refs"), F.col("__pem"))))
+    return df.withColumn(out, found).drop("__t", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
 
 
 def findings(df: DataFrame, id_cols: list[str], text_col: str = "text", tiers: str = "all") -> DataFrame:

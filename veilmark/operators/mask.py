@@ -7,14 +7,15 @@ as literals, so that no plan or event log holds one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import cut_and_join, matches, overlaps
+from ..functions.spans import cut_and_join, let, matches, overlaps
 
 _GAP = "[ \\t\\n\\r\\f\\x0B]*"
 SPAN = "array<struct<start:int,end:int,token:string>>"
@@ -53,15 +54,52 @@ def longest_first(spans: Column) -> Column:
     return F.array_sort(kept)
 
 
-def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", token: str | None = R.MARKER, out: str = "masked") -> DataFrame:
+def dense_mask(text: str, forms: list[tuple[re.Pattern, str]]) -> tuple[str, int]:
+    """What ``mask_values`` does to one text, in time that grows with its hits: longest first, kept where nothing is covered yet."""
+    found = sorted((m.start() - m.end(), m.start(), m.end(), token) for pattern, token in forms for m in pattern.finditer(text))
+    covered, kept = bytearray(len(text)), []
+    for _, a, b, token in found:
+        if not covered[a] and not covered[b - 1]:
+            covered[a:b] = b"\x01" * (b - a)
+            kept.append((a, b, token))
+    kept.sort()
+    parts, since = [], 0
+    for a, b, token in kept:
+        parts += (text[since:a], token)
+        since = b
+    return "".join([*parts, text[since:]]), len(kept)
+
+
+def _dense(text: Column, forms: Column) -> Column:
+    @F.pandas_udf("masked string, hits int")
+    def run(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
+        known: dict[str, re.Pattern] = {}
+
+        def compiled(p: str) -> re.Pattern:
+            if p not in known:
+                known[p] = re.compile(re.escape(p[2:-2].replace(r"\E\\E\Q", r"\E")) if p.startswith(r"\Q") else p)
+            return known[p]
+
+        rows = [(t, 0) if t is None or f is None else dense_mask(t, [(compiled(x["pattern"]), x["token"]) for x in f]) for t, f in zip(texts, forms, strict=True)]
+        return pd.DataFrame(rows, columns=["masked", "hits"])
+
+    return run(text, forms)
+
+
+def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", token: str | None = R.MARKER, out: str = "masked", dense: bool = False) -> DataFrame:
     """``df`` with ``out`` and ``hits``: every known value of the row's ``key`` in ``vault`` (key, name, value) is masked.
 
-    A null ``token`` masks a value with its own reference.
+    A null ``token`` masks a value with its own reference.  ``dense`` is for
+    texts with thousands of hits each: Arrow batches and a small function in
+    place of expressions whose work grows with the square of a row's hits.
     """
     name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
     forms = vault.select(F.col(key).alias("__key"), value_forms(F.col("value"), name).alias("f")).groupBy("__key").agg(F.flatten(F.collect_list("f")).alias("__forms"))
     both = df.join(forms, df[key] == F.col("__key"), "left")
     text = F.col(text_col)
+    if dense:
+        both = both.withColumn("__d", _dense(text, F.col("__forms")))
+        return both.withColumn(out, F.col("__d.masked")).withColumn("hits", F.col("__d.hits")).drop("__key", "__forms", "__d")
     spans = F.flatten(F.transform(F.coalesce("__forms", F.array().cast("array<struct<pattern:string,token:string>>")), lambda f: F.transform(matches(text, f["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), f["token"].alias("token")))))
     both = both.withColumn("__spans", longest_first(F.coalesce(spans, F.array().cast(SPAN))))
     return both.withColumn(out, cut_and_join(text, F.col("__spans"), lambda x: x["token"])).withColumn("hits", F.size("__spans")).drop("__key", "__forms", "__spans")
@@ -69,8 +107,6 @@ def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text
 
 def shape_hits(text: Column) -> Column:
     """Credential shapes that are masked: start, end, value, kind (kv, provider, jwt, pem) and hint."""
-    refs = matches(text, R.REF)
-
     def hit(m):
         kv = m["value"] != ""
         value = F.when(kv, m["value"]).otherwise(m["key"])
@@ -82,11 +118,11 @@ def shape_hits(text: Column) -> Column:
         word = F.when(kv, F.regexp_extract(m["key"], r"\A([A-Za-z0-9_-]+)", 1))
         return F.struct((m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), value.alias("value"), kind.alias("kind"), F.coalesce(hint, word).alias("hint"))
 
-    def stays(x):
+    def stays(refs, x):
         loose = (x["kind"] == "kv") & (P.has_reference_prefix(x["value"]) | P.is_placeholder(x["value"]))
         return ~F.exists(refs, lambda r: (r["start"] <= x["end"]) & (x["start"] <= r["end"])) & ~P.is_digest_shaped(x["value"]) & (F.length(x["value"]) >= R.MIN_VALUE) & ~loose
 
-    return F.filter(F.transform(matches(text, R.SHAPE, 1, 0), hit), stays)
+    return let(matches(text, R.REF), lambda refs: F.filter(F.transform(matches(text, R.SHAPE, 1, 0), hit), lambda x: stays(refs, x)))
 
 
 def mask_shapes(df: DataFrame, text_col: str = "text", out: str = "masked", hits: str = "hits") -> DataFrame:
