@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..operators import detect, dotenv, mask, naming, nested, policy, refs, shell
+from ..operators import detect, dotenv, mask, messages, naming, nested, policy, refs, shell
 from ..operators import vault as V
 from ..sources import files
 from ..streaming import stream
@@ -494,7 +494,63 @@ def record_origins(spark, sf_dir):
 
 _ORIGINS_SQL = "SELECT CAST(c_nationkey AS VARCHAR) AS session_id, 'v_' || c_nationkey AS name, string_agg('/f/' || c_custkey, ',' ORDER BY '/f/' || c_custkey) AS origins FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey"
 
+# --- messages --------------------------------------------------------------------------------------------------------
+
+
+def tool_results(spark, sf_dir):
+    """Without masking of file reads, shapes stay in the output of file tools."""
+    c = _synth(spark, sf_dir).withColumn("tool", F.when(F.col("c_custkey") % 2 == 0, "read").otherwise("bash"))
+    done = messages.mask_results(c.select("c_custkey", "tool", "text"), messages.Options(mask_file_reads=False))
+    return done.groupBy("tool", F.col("hits").cast("long").alias("hits")).agg(F.count("*").alias("n"), F.count_if(F.col("masked") == F.col("text")).alias("unchanged"))
+
+
+_RESULTS_SQL = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'read' ELSE 'bash' END AS tool, CAST(c_custkey % 2 AS BIGINT) AS hits, count(*) AS n,
+ count(*) FILTER (c_custkey % 2 = 0) AS unchanged FROM customer GROUP BY c_custkey % 2"""
+
+
+def fail_closed(spark, sf_dir):
+    c = _synth(spark, sf_dir).select("c_custkey", F.struct(F.lit("user").alias("role"), F.col("text").alias("body")).alias("m"))
+    done = messages.mask_or_redact(c, ["m"], F.col("c_custkey") % 3 == 0)
+    return done.groupBy("m.role", "m.body").agg(F.count("*").alias("n"))
+
+
+_CLOSED_SQL = """SELECT 'user' AS role, CASE WHEN c_custkey % 3 = 0 THEN '{{sec:redacted}}' ELSE 'é use {{sec:redacted}} now' END AS body, count(*) AS n FROM customer GROUP BY 2"""
+
+
+def declined_findings(spark, sf_dir):
+    """Findings left after every third value was declined."""
+    c = _synth(spark, sf_dir)
+    found = detect.findings(c, ["c_custkey"], tiers="evidenced")
+    declined = c.where("c_custkey % 3 = 0").select(F.sha2("token", 256).alias("digest"))
+    return messages.without_declined(found, declined).select("c_custkey", "confidence")
+
+
+_DECLINED_SQL = "SELECT c_custkey, 'anchored' AS confidence FROM customer WHERE c_custkey % 3 <> 0"
+
+
+def decline_memory(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(_id("user_id").alias("session_id"), F.md5("event_type").alias("digest"), F.col("event_id").alias("seq"))
+    return messages.remembered(e, 3)
+
+
+_MEMORY_SQL = """SELECT session_id, digest, seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, digest) AS n
+ FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, md5(event_type) AS digest, max(event_id) AS seq FROM events GROUP BY ALL)) WHERE n <= 3"""
+
+
+def resolve_paths(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    raw = F.element_at(F.array(*map(F.lit, ("~/a", "@b/../c", "/x//y/./z", "../../..", "~"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return s.select("s_suppkey", messages.resolve_path(raw, F.lit("/home/u"), F.lit("/w/d")).alias("path"), messages.split_path(raw)["fragment"].alias("fragment"))
+
+
+_PATHS_SQL = """SELECT s_suppkey, ['/home/u/a', '/w/d/c', '/x/y/z', '/', '/home/u'][s_suppkey % 5 + 1] AS path, ['a', 'c', 'z', '..', NULL][s_suppkey % 5 + 1] AS fragment FROM supplier"""
+
 QUERIES = {
+    "tool_results": (tool_results, _RESULTS_SQL),
+    "fail_closed": (fail_closed, _CLOSED_SQL),
+    "declined_findings": (declined_findings, _DECLINED_SQL),
+    "decline_memory": (decline_memory, _MEMORY_SQL),
+    "resolve_paths": (resolve_paths, _PATHS_SQL),
     "findings_by_source": (findings_by_source, _FINDINGS_SQL),
     "kv_findings": (kv_findings, _KV_SQL),
     "capture_vs_shape": (capture_vs_shape, _CAPTURE_SQL),
