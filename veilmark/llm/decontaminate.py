@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, text_batches
+from .shared import pa_schema, small_batches, text_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -242,6 +242,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     """``docs`` without hit spans of at least ``min_words`` words (or that are whole short items); a row with more than ``max_share`` of its words hit is removed."""
     items = docs.sparkSession.sparkContext.broadcast(collect_items(benchmark))
     at = docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         matcher = Matcher(items.value, window)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import pa_schema, settled, text_batches
+from .shared import pa_schema, settled, small_batches, text_batches
 from .shingles import shingle_sets, signature
 
 #: Lists of up to this many leaders give all their pairs.
@@ -78,6 +78,7 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     counts = docs.select(F.lit(0).alias("i"), text_col).mapInArrow(run, "token long, n long")
     return counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
 

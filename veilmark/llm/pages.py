@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, text_batches
+from .shared import pa_schema, settled, small_batches, text_batches
 
 #: A comment, declaration or instruction; or a tag with quoted attributes; or what a cut page leaves of one.
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -255,6 +255,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             paths = [p.best().path() for p in read]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths), pa.array([p.score for p in read], pa.int64())], schema=schema)
 
+    small_batches(pages.sparkSession)
     votes = pages.select(host_of(F.col(url_col)).alias("host"), html_col).mapInArrow(run, "host string, path string, score long").where("score > 0")
     counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     return counts.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
@@ -262,8 +263,6 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``text``, its length in code points and the path taken, for each row."""
-    from .shared import settled
-
     winners = settled(host_paths(pages, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("host"))
     if winners.count() <= BROADCAST_HOSTS:

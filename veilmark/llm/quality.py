@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, text_batches
+from .shared import pa_schema, small_batches, text_batches
 
 POSITIVES, UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for keys, texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k["pos"] for k in keys]), pa.array([k["any"] for k in keys]), pa.array([features(t).tobytes() for t in texts])], schema=schema)
 
+    small_batches(docs.sparkSession)
     got = rows.select(F.struct("pos", "any").alias("key"), text_col).mapInArrow(run, "pos boolean, any boolean, x binary").orderBy("x").collect()
 
     def matrix(kind):

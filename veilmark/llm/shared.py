@@ -61,8 +61,17 @@ def map_texts(df: DataFrame, one: Callable[[str], tuple], schema: str, id_col: s
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB in place of Spark's default of 64 MB, so that two tasks fit a small executor; a value set by the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    """The Arrow schema of ``ddl``, for a function that runs on (small) batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(spark)
     return to_arrow_schema(StructType.fromDDL(ddl))
