@@ -1,9 +1,9 @@
 """Substring dedup by hashing lines and sentences.
 
-Units are the lines of a text of at least ``LINE_WORDS`` words, and the
-sentences inside lines of at least ``SENTENCE_WORDS`` words, so that a passage
-is found in a longer line too.  A unit is normalised (lower case, white space
-as one space) and hashed to 128 bits.  Digests are grouped over all documents;
+Units are the lines of a text of at least ``LINE_WORDS`` words; and from each
+sentence of a line on, as many sentences as it takes to have ``RUN_WORDS``
+words, so that a passage is found in a longer line too.  A unit is normalised
+(lower case, white space as one space) and hashed to 96 bits.  Digests are grouped over all documents;
 the occurrence ranked first by id and offset stays, the others are removed.
 Spans are offsets in the original text, in code points, end exclusive.
 
@@ -23,23 +23,36 @@ from pyspark.sql import functions as F
 
 from .shared import pa_schema, settled, text_batches
 
-LINE_WORDS, SENTENCE_WORDS = 3, 8
+LINE_WORDS, RUN_WORDS = 3, 8
+DIGEST_BYTES = 12
 SENTENCE = re.compile(r"[^.!?\n]++[.!?]*+")
 
 
+def _digest(words: list[str], kind: bytes) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=DIGEST_BYTES, person=kind).digest()
+
+
 def units(text: str) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines and sentences that count."""
+    """(start, end, digest) of the lines and runs of sentences that count."""
     out, at = [], 0
     for line in text.split("\n"):
         words = line.lower().split()
         if len(words) >= LINE_WORDS:
-            out.append((at, at + len(line), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
-        if len(words) > SENTENCE_WORDS:
+            out.append((at, at + len(line), _digest(words, b"line")))
+        if len(words) > RUN_WORDS:
+            sentences = []
             for m in SENTENCE.finditer(line):
-                own = m.group().lower().split()
-                if SENTENCE_WORDS <= len(own) < len(words):
-                    start = at + m.start() + len(m.group()) - len(m.group().lstrip())
-                    out.append((start, at + m.end(), hashlib.blake2b(b"s" + " ".join(own).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+                if own := m.group().lower().split():
+                    start = m.start() + len(m.group()) - len(m.group().lstrip())
+                    sentences.append((at + start, at + m.end(), own))
+            for i, (start, end, own) in enumerate(sentences):
+                run = own
+                for _, end_, more in sentences[i + 1 :]:
+                    if len(run) >= RUN_WORDS:
+                        break
+                    run, end = run + more, end_
+                if RUN_WORDS <= len(run) < len(words):
+                    out.append((start, end, _digest(run, b"run")))
         at += len(line) + 1
     return out
 
@@ -79,7 +92,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     found = settled(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, ddl))
-    first = found.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last")).where("first <> last")
+    first = found.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = found.join(first.select("digest", "first"), "digest").where(F.struct("id", "start") != F.col("first"))
     return again.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
