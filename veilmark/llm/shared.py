@@ -31,10 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
+
+    The tables of an application stay in its folder there until that is removed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/veilmark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
@@ -45,6 +49,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 19) ->
         step = max(1, max_chars // lengths)
         for at in range(0, len(texts), step):
             yield ids.slice(at, step).to_pylist(), [t or "" for t in texts.slice(at, step).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(df: DataFrame, one: Callable[[str], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
