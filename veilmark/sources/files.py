@@ -15,7 +15,7 @@ def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
     """``path, text`` of regular files of up to ``max_bytes`` without a NUL in their first 8 KiB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= max_bytes)
-    clean = F.position(F.lit(b"\x00"), F.substring("content", 1, NUL_BYTES)) == 0
+    clean = ~F.decode(F.substring("content", 1, NUL_BYTES), "ISO-8859-1").contains("\x00")
     return small.where(clean).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
@@ -23,7 +23,7 @@ def listing(spark: SparkSession, path: str, fragment: str = "", limit: int = MAX
     """Names below ``path`` that start with ``fragment``: folders first, then by name.  The limit is part of the listing."""
     root = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    below = F.substring_index("path", F.concat(F.lit(root.split(":", 1)[-1].rstrip("/")), F.lit("/")), -1)
+    below = F.substring_index("path", root.split(":", 1)[-1].rstrip("/") + "/", -1)
     name = F.substring_index(below, "/", 1)
     rows = files.select(name.alias("name"), below.contains("/").alias("folder"), "length").where(F.col("name").startswith(fragment))
     return rows.groupBy("name", "folder").agg(F.sum("length").alias("bytes")).orderBy(F.desc("folder"), "name").limit(limit)
