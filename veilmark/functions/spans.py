@@ -37,7 +37,7 @@ def running(lengths: Column) -> Column:
     return let(lengths, summed)
 
 
-def matches(text: Column, pattern: str | Column, group: int = 0, key_group: int = 0, more_group: int | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, group: int | Column = 0, key_group: int = 0, more_group: int | None = None) -> Column:
     """Array of (start, end, value, key) of the matches; ``value`` is ``group``, which ends its match but for a closing quote.
 
     ``more`` is added for ``more_group``, which may stand in a lookahead.

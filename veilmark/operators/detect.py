@@ -19,7 +19,7 @@ FINDING = "struct<start:int,end:int,value:string,confidence:string,hint:string,e
 NONE = f"array<{FINDING}>"
 
 
-def _finding(x: Column, confidence: str, hint: Column, rule: int, evidence: Column | None = None) -> Column:
+def _finding(x: Column, confidence: str, hint: Column, rule: Column, evidence: Column | None = None) -> Column:
     return F.struct(
         x["start"].alias("start"),
         x["end"].alias("end"),
@@ -27,25 +27,27 @@ def _finding(x: Column, confidence: str, hint: Column, rule: int, evidence: Colu
         F.lit(confidence).alias("confidence"),
         hint.cast("string").alias("hint"),
         (evidence if evidence is not None else F.lit(None)).cast("string").alias("evidence"),
-        F.lit(rule).alias("rule"),
+        rule.alias("rule"),
     )
 
 
-def anchored(text: Column) -> Column:
-    """Tier 1: provider formats, tokens of three dotted parts, private keys whole or cut."""
+def _listed(names: tuple[str, ...], rows: list[tuple]) -> Column:
+    """Rules as one array of structs: a lambda over it holds the search once, however many rules there are."""
+    return F.array(*(F.struct(*(F.lit(v).cast("string" if v is None else type(v).__name__.replace("str", "string")).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))
 
-    def each(rule: int, hint: str, pattern: str) -> Column:
-        return F.transform(matches(text, pattern), lambda x: _finding(x, "anchored", F.lit(hint), rule))
 
-    parts = [each(i, hint, p) for i, (hint, p) in enumerate((*R.PROVIDERS, ("jwt", R.JWT), ("private_key", R.PEM), ("private_key", R.PEM_CUT)))]
+def anchored(text: Column) -> Column:
+    """Tier 1: provider formats, tokens of three dotted parts, private keys whole or cut."""
+    forms = (*R.PROVIDERS, ("jwt", R.JWT), ("private_key", R.PEM), ("private_key", R.PEM_CUT))
+    rules = _listed(("rule", "hint", "pattern"), [(i, *form) for i, form in enumerate(forms)])
+    found = F.transform(rules, lambda f: F.transform(matches(text, f["pattern"]), lambda x: _finding(x, "anchored", f["hint"], f["rule"])))
     gate = text.rlike(R.ANY_PROVIDER) | text.contains("eyJ") | text.contains("-----BEGIN ")
-    return F.when(gate, F.concat(*parts)).otherwise(F.array().cast(NONE))
+    return F.when(gate, F.flatten(found)).otherwise(F.array().cast(NONE))
 
 
-def _finalized(x: Column, extend: bool) -> Column:
+def _finalized(x: Column) -> Column:
     """The value (of a bare one, all up to the next white space) less quotes, brackets and stops around it."""
-    value = x["more"] if extend else x["value"]
-    right = F.regexp_replace(value, R.TRIM + r"\z", "")
+    right = F.regexp_replace(x["more"], R.TRIM + r"\z", "")
     body = F.regexp_replace(right, r"\A" + R.TRIM, "")
     start = x["start"] + F.length(right) - F.length(body)
     return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("value"), x["key"].alias("key"))
@@ -53,25 +55,21 @@ def _finalized(x: Column, extend: bool) -> Column:
 
 def keyed(text: Column) -> Column:
     """Tier 2: values after a keyword, with the veto of templates and references and the length floor of the keyword."""
+    rows = [(100 + i, name, pattern, hint, 3 if name == "bare" else 2) for i, (name, pattern, hint) in enumerate(R.KV_RULES)]
 
-    def each(i: int, name: str, pattern: str, hint: str | None) -> Column:
-        bare = name == "bare"
-        found = matches(text, pattern, 3, 1, 2) if bare else matches(text, pattern, 2, 1)
-        raw = F.transform(found, lambda x: _finalized(x, bare))
+    def each(f: Column) -> Column:
+        raw = F.transform(matches(text, f["pattern"], f["group"], 1, 2), _finalized)
 
         def stays(x):
             value = x["value"]
-            ok = (F.length(value) > 0) & ~P.is_vetoed(value)
-            if name == "prose":
-                ok = ok & (value.rlike("[0-9]|[^A-Za-z0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]")))
-            if hint:
-                return ok & (F.length(value) >= R.FLOOR)
-            return ok & (F.length(value) >= F.when(x["key"].rlike(R.STRONG_KEY), R.STRONG_FLOOR).otherwise(R.FLOOR))
+            telling = value.rlike("[0-9]|[^A-Za-z0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]"))
+            floor = F.when(f["hint"].isNull() & x["key"].rlike(R.STRONG_KEY), R.STRONG_FLOOR).otherwise(R.FLOOR)
+            return (F.length(value) > 0) & ~P.is_vetoed(value) & ((f["name"] != "prose") | telling) & (F.length(value) >= floor)
 
-        return F.transform(F.filter(raw, stays), lambda x: _finding(x, "kv", F.lit(hint) if hint else x["key"], 100 + i))
+        return F.transform(F.filter(raw, stays), lambda x: _finding(x, "kv", F.coalesce(f["hint"], x["key"]), f["rule"]))
 
-    parts = [each(i, *rule) for i, rule in enumerate(R.KV_RULES)]
-    return F.when(text.rlike(R.KV_GATE), F.concat(*parts)).otherwise(F.array().cast(NONE))
+    found = F.transform(_listed(("rule", "name", "pattern", "hint", "group"), rows), each)
+    return F.when(text.rlike(R.KV_GATE), F.flatten(found)).otherwise(F.array().cast(NONE))
 
 
 def deduped(found: Column) -> Column:
@@ -135,7 +133,7 @@ def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: C
             F.when(v.rlike(r"[^\x20-\x7E]"), "non-ascii, ").otherwise("ascii, "),
             F.when(v.rlike("[0-9]"), "has digit").otherwise("no digit"),
         )
-        return _finding(x, "entropy", F.lit(None), 200, evidence)
+        return _finding(x, "entropy", F.lit(None), F.lit(200), evidence)
 
     return F.transform(F.filter(F.transform(raw, padded), stays), told)
 
