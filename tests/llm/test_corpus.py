@@ -206,6 +206,22 @@ def test_long_lists_and_groups(spark, monkeypatch):
     assert got == brute_classes(texts, 3, 70)
 
 
+def test_links_between_members_of_one_prefix(spark):
+    """L, M1, M2 of one size and prefix; only M1 and M2 link, and no other leader (or one at a late place) shares the prefix."""
+    order = sorted((f"k{i}" for i in range(2000)), key=lambda w: shingles.shingle_sets([w], 1)[0][0])
+    texts = {}
+    for g in range(16):
+        prefix, tail = order[3 * g : 3 * g + 3], order[100 + 100 * g : 200 + 100 * g]
+        own = (tail[:10], tail[10:20], tail[10:19] + tail[20:21])
+        texts |= {10 * g + j: " ".join(prefix + words) for j, words in enumerate(own)}
+        if g % 2:
+            texts[10 * g + 3] = " ".join(prefix[2:] + tail[30:42])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(16, "doc_id")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(df, 1, 80).collect()}
+    assert got == brute_classes(texts, 1, 80)
+    assert all(got[10 * g + 2][1] == 10 * g + 1 for g in range(16))
+
+
 def test_similarity_odd_rows(odd, none):
     rows = jaccard.similarity_classes(odd).collect()
     assert len(rows) == odd.count()

@@ -12,9 +12,10 @@
 3. Candidates whose parity bitmaps differ in more bits than linked sets may
    differ in shingles are out (the bits bound the difference from below, so no
    link is lost); the rest is verified by exact intersection.  Links give components.
-4. Lists that more than one component still shares are expanded to members:
-   those outside the list's largest component are paired with the members of
-   other components, under the same filters, unless step 3 compared them.
+4. Lists that more than one component still shares are expanded to members;
+   a group with several members has one at least, its first shingle's, even if
+   no other leader is on it.  Those outside the list's largest component are
+   paired with the members of other components, under the same filters, unless step 3 compared them.
    Pairs inside a component need no comparison, since their class is known.
 So no link between components is lost, and a group of copies never gives all its pairs.
 
@@ -191,14 +192,17 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     grouping = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     crowded = settled(grouping.where("members > 1"))
     member = settled(nodes.select("node", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).where("node <> leader").select("node", "leader"))
-    leaders = settled(nodes.select("node", "doc", "s1", "s2").join(member.select("node"), "node", "left_anti"))
+    crowd = crowded.select(F.col("leader").alias("node"), F.lit(True).alias("crowd"))
+    leaders = settled(nodes.select("node", "doc", "s1", "s2").join(member.select("node"), "node", "left_anti").join(crowd, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))))
     same = (rows["_id"] == F.col("doc")) & (rows["s1"] == F.col("l.s1")) & (rows["s2"] == F.col("l.s2"))
-    each = rows.join(_small(leaders).alias("l"), same).select("node", "n", "n_rare", F.posexplode("prefix").alias("pos", "token"))
+    each = rows.join(_small(leaders).alias("l"), same).select("node", "n", "n_rare", "crowd", F.posexplode("prefix").alias("pos", "token"))
+    # A list of one leader is of use only for the members behind it, and the first shingle passes every filter between them.
+    useful = (F.col("m") > 1) | (F.col("crowd") & (F.col("pos") == 0))
     # Rare shingles are counted where one exchange brings them together; frequent ones, of which there are at most FREQUENT, by sums before it.
-    rare = each.where("pos < n_rare").drop("n_rare").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    rare = each.where("pos < n_rare").drop("n_rare").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(useful)
     often = each.where("pos >= n_rare").drop("n_rare")
-    counts = often.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    lists = settled(rare.unionByName(often.join(F.broadcast(counts), "token")))
+    counts = often.groupBy("token").agg(F.count("*").alias("m"))
+    lists = settled(rare.unionByName(often.join(F.broadcast(counts), "token").where(useful)))
 
     short = lists.where(F.col("m") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
@@ -213,9 +217,8 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     known = components(first)
     # Lists that could still join components: long ones, and those of groups with several members.
-    open_ = lists.join(crowded.select(F.col("leader").alias("node"), F.lit(True).alias("crowd")), "node", "left")
-    some = open_.groupBy("token").agg(F.max(F.col("crowd") | (F.col("m") > SHORT)).alias("some")).where("some").select("token")
-    rest = open_.join(some, "token").select("token", "node", "n", "pos", "m")
+    some = lists.groupBy("token").agg(F.max(F.col("crowd") | (F.col("m") > SHORT)).alias("some")).where("some").select("token")
+    rest = lists.join(some, "token").select("token", "node", "n", "pos", "m")
     more = rest.join(member.withColumnRenamed("node", "other"), F.col("node") == F.col("leader")).select("token", F.col("other").alias("node"), "n", "pos", "m", F.lit(True).alias("expanded"))
     rest = rest.withColumn("expanded", F.lit(False)).unionByName(more)
     rest = rest.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
