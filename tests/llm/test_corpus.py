@@ -277,6 +277,73 @@ def test_passage_inside_a_line(spark, odd, none):
     assert all(r.n_removed == 0 for r in rows)
 
 
+def brute_units(text):
+    """Normalised lines, and runs of at least eight words from sentence and line starts to sentence ends and line ends."""
+    out, at = set(), 0
+    starts, ends, stops, ended = [], [], [], True
+    for line in text.split("\n"):
+        if not line.strip():
+            if stops:
+                ends.append(stops[-1])
+            ended = True
+        else:
+            out.add((at, at + len(line), " ".join(line.lower().split())))
+            ended = True
+        for m in re.finditer(r"[^\s.!?]*[.!?]+|[^\s.!?]+", line):
+            if ended:
+                starts.append((at + m.start(), len(stops), at + len(line)))
+            stops.append(at + m.end())
+            if ended := m[0][-1] in ".!?":
+                ends.append(at + m.end())
+        at += len(line) + 1
+    for a, k, line_end in starts:
+        far = stops[k + 7] if len(stops) > k + 7 else None
+        if far is None:
+            continue
+        whole = min(e for e in [*ends, stops[-1]] if e >= far)
+        line_stop = max(s for s in stops if s <= line_end)
+        for b in {whole, min(whole, line_stop)} if far <= line_stop else {whole}:
+            words = " ".join(text[a:b].lower().split())
+            if not any(x <= a and b <= y and w == words for x, y, w in out):
+                out.add((a, b, words))
+    return out
+
+
+def test_units_against_brute_force(docs):
+    texts = [r.text for r in docs.limit(60).collect() if r.text]
+    texts += ["One two. Three four five six seven eight nine\nten. 3.14 is more than 3 or so they say it!\n\n  Short\n a. b\n", "...so. " * 3 + "\nİ ΟΔΟΣ x" * 12]
+    words = {}
+    for t in texts:
+        own = substrings.units(t)
+        assert {u[:2] for u in own} == {u[:2] for u in brute_units(t)}
+        digests = {u[:2]: u[2] for u in own}
+        for a, b, w in brute_units(t):
+            assert words.setdefault(w, digests[a, b]) == digests[a, b]
+    assert len(set(words.values())) == len(words)
+
+
+def test_passages_meet_across_lines(spark):
+    long = " ".join(f"only{i}" for i in range(20)) + "."
+    wrapped = [" ".join(f"wrap{i}" for i in range(k, k + 15)) + "." for k in (0, 15, 30, 45)]
+    words = " ".join(wrapped).split()
+    rows = [
+        (1, long),
+        (2, f"Before it. {long} After it."),
+        (3, "Head\n" + "\n".join(" ".join(words[i : i + 7]) for i in range(0, 60, 7))),
+        (4, "Other\n" + "\n".join(" ".join(words[i : i + 11]) for i in range(0, 60, 11)) + " Tail."),
+        (5, "\n".join(f"item{i}" for i in range(60)) + "\nfive"),
+        (6, "six\n" + "\n".join(f"item{i}" for i in range(60)) + "\nseven"),
+        (7, f"Early. {' '.join(f'in{i}' for i in range(20))}. Late."),
+        (8, " ".join(f"in{i}" for i in range(20)) + "."),
+    ]
+    got = {r.doc_id: r.text for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "only" not in got[2] and "Before it." in got[2]
+    assert "wrap15" not in got[4] and "wrap59" not in got[4] and "Tail." in got[4]
+    assert got[6] == "six\nseven"
+    assert got[8] == ""
+    assert all(got[i] == t for i, t in rows if i in (1, 3, 5, 7))
+
+
 # --- pages
 
 def test_articles(spark):

@@ -1,10 +1,12 @@
-"""Substring dedup by hashing lines and sentences.
-
-Units are the lines of a text of at least ``LINE_WORDS`` words; and from each
-sentence of a line on, as many sentences as it takes to have ``RUN_WORDS``
-words, so that a passage is found in a longer line too.  A unit is normalised
-(lower case, white space as one space) and hashed to 96 bits.  Digests are grouped over all documents;
-the occurrence ranked first by id and offset stays, the others are removed.
+"""Substring dedup by hashing lines and runs of sentences.
+
+Units are the lines of a text; and from the start of each line and sentence on,
+as many sentences as it takes to have ``RUN_WORDS`` words, once to the end of
+the line at most and once over line ends.  So a passage is found in a longer
+line, and where it is wrapped at other places.  A unit is normalised (lower
+case, white space as one space) and hashed to 96 bits, whichever kind it is.
+Digests are grouped over all documents; the occurrence ranked first by id and
+offset stays, the others are removed.
 Spans are offsets in the original text, in code points, end exclusive.
 
 Null text has no units and stays null.  Rows of a null id are kept as they are
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,37 +26,76 @@ from pyspark.sql import functions as F
 
 from .shared import pa_schema, settled, text_batches
 
-LINE_WORDS, RUN_WORDS = 3, 8
+RUN_WORDS = 8
 DIGEST_BYTES = 12
-SENTENCE = re.compile(r"[^.!?\n]++[.!?]*+")
+#: A word, or the part of one up to the marks that end a sentence.
+PART = re.compile(r"[^\s.!?]*+[.!?]++|[^\s.!?]++")
+#: Digests are polynomials over the hashes of parts, so that a run costs the same whatever its length.
+PRIME, BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
+_POWERS = [1]
+
+
+class _Hashes(dict):
+    """Of a part: its hash, that of the part with no white space before it, and whether it ends a sentence."""
+
+    def __missing__(self, part: str) -> tuple[int, int, bool]:
+        if len(self) >= 1 << 17:
+            self.clear()
+        own = hashlib.blake2b(part.lower().encode("utf-8", "surrogatepass"), digest_size=30).digest()
+        self[part] = found = int.from_bytes(own[:15]), int.from_bytes(own[15:]), part[-1] in ".!?"
+        return found
 
 
-def _digest(words: list[str], kind: bytes) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=DIGEST_BYTES, person=kind).digest()
+_HASHES = _Hashes()
 
 
 def units(text: str) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the lines and runs of sentences that count."""
-    out, at = [], 0
+    starts, stops, sums, free = [], [], [0], []
+    lines, ends, begins = [], [], []  # parts of each line; last parts of sentences; first parts of sentences and lines
+    at, total, find, hashes = 0, 0, PART.finditer, _HASHES
     for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= LINE_WORDS:
-            out.append((at, at + len(line), _digest(words, b"line")))
-        if len(words) > RUN_WORDS:
-            sentences = []
-            for m in SENTENCE.finditer(line):
-                if own := m.group().lower().split():
-                    start = m.start() + len(m.group()) - len(m.group().lstrip())
-                    sentences.append((at + start, at + m.end(), own))
-            for i, (start, end, own) in enumerate(sentences):
-                run = own
-                for _, end_, more in sentences[i + 1 :]:
-                    if len(run) >= RUN_WORDS:
-                        break
-                    run, end = run + more, end_
-                if RUN_WORDS <= len(run) < len(words):
-                    out.append((start, end, _digest(run, b"run")))
+        first, last, ended = len(starts), at, True
+        for m in find(text, at, at + len(line)):
+            a, z = m.span()
+            if ended:
+                begins.append(len(starts))
+            alone, glued, ended = hashes[m.group()]
+            total = (total * BASE + (glued if a == last and a > at else alone)) % PRIME
+            starts.append(a)
+            stops.append(last := z)
+            free.append(alone)
+            sums.append(total)
+            if ended:
+                ends.append(len(starts) - 1)
+        if len(starts) > first:
+            lines.append((first, len(starts) - 1, at, at + len(line)))
+        elif starts and (not ends or ends[-1] != len(starts) - 1):
+            ends.append(len(starts) - 1)  # a blank line
         at += len(line) + 1
+    n = len(starts)
+    if n and (not ends or ends[-1] != n - 1):
+        ends.append(n - 1)
+    while len(_POWERS) <= n:
+        _POWERS.append(_POWERS[-1] * BASE % PRIME)
+
+    def digest(i: int, j: int) -> bytes:
+        """Of the parts i to j; the first counts as if white space were before it."""
+        power = _POWERS[j - i]
+        return ((free[i] * power + sums[j + 1] - sums[i + 1] * power) % PRIME & (1 << 8 * DIGEST_BYTES) - 1).to_bytes(DIGEST_BYTES)
+
+    out, k = [], 0
+    for first, last, a, b in lines:
+        out.append((a, b, digest(first, last)))
+        while k < len(begins) and begins[k] <= last:
+            i, k = begins[k], k + 1
+            far = i + RUN_WORDS - 1
+            if far >= n:
+                continue
+            j = ends[bisect_left(ends, far)]
+            for stop in {j, min(j, last)} if far <= last else {j}:
+                if (i, stop) != (first, last):
+                    out.append((starts[i], stops[stop], digest(i, stop)))
     return out
 
 
