@@ -72,6 +72,30 @@ def test_entropy_and_allow_list(text, found):
     assert secrets.scan(text)[5] == found
 
 
+SECRET = "Zk9vQ2x7LmN4bTRwWjhyT3hTdQ1"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"eyJhbGciOiJIUzI1NiIsInR5.{SECRET}.x{SECRET}", 3),
+        (f"SG.{SECRET[:22]}.{SECRET}", 2),
+        (f"config.{SECRET} and the end.{SECRET}", 2),
+        (f"https://me:{SECRET}@host.example.org", 1),
+        (f"write to {SECRET}@host.org or mailto:{SECRET}@host.org", 0),
+        ("a@x1y2z3w4v5u6t7s8r9q0pomn.org", 0),
+        ("key ZkqvQbxdLmNcbTRwWjhyThxTdQGp end", 1),
+        ("getUserAccountBalanceOrDefault", 0),
+        ("deadbeefdeadbeef" + SECRET, 1),
+        (f"{SECRET}/AKIA" + "B" * 16 + f"/{SECRET}", 2),
+    ],
+)
+def test_dotted_letters_and_base_spans(text, found):
+    base, more = secrets.base_spans(text), secrets.scan(text)[5]
+    assert more == found
+    assert not any(s < e2 and s2 < e for s, e, _ in base for s2, e2, _ in secrets.entropy_spans(text, base))
+
+
 def test_secrets_odd_rows(odd, none):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == odd.count()
