@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, small_batches, text_batches
+from .shared import column_ddl, pa_schema, text_batches
 
 PROFILE = 300
 SLICE = 1 << 18
@@ -126,7 +126,6 @@ def fit_profiles(docs: DataFrame, size: int = PROFILE, text_col: str = "text", l
                 yield from flush()
         yield from flush()
 
-    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
     sums = known.mapInArrow(partial, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -174,8 +173,8 @@ class Classifier:
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``lang_pred`` and ``score`` of each row."""
-    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
-    schema = pa_schema(docs.sparkSession, ddl)
+    ddl = f"{column_ddl(docs, id_col)}, lang_pred string, score double"
+    schema = pa_schema(ddl)
 
     def run(batches):
         model = Classifier(profiles)
@@ -188,7 +187,6 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc
 def keep_identified(docs: DataFrame, profiles: dict[str, list[str]], min_score: float = 0.05, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that have a language with at least ``min_score``; without profiles, those with letters."""
     at = docs.columns.index(text_col)
-    small_batches(docs.sparkSession)
 
     def run(batches):
         model = Classifier(profiles)

@@ -210,11 +210,11 @@ def probe_streams(files: DataFrame, id_col: str = "path", data_col: str = "conte
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    from .shared import pa_schema
+    from .shared import column_ddl, pa_schema
 
     kind = files.schema[id_col].dataType.simpleString()
     ddl = f"{id_col} {kind}, seconds double, n_frames long, crc_checked long, crc_bad long, skipped_bytes long, frame_offsets array<bigint>, tags map<string,string>"
-    out = pa_schema(files.sparkSession, ddl)
+    out = pa_schema(ddl)
 
     def run(batches):
         for batch in batches:
