@@ -11,6 +11,8 @@ whole number that its sum crosses.
 
 Ranks come from one sort of the slim rows over all partitions, and counts of
 rows by partition and source: a source of any size is spread over partitions.
+The full rank order is source, size, md5 of the id and id; rows equal in these
+stand in any order and have the same size.
 Null text has size 0.  Repeated rows are documents of their own.  An empty table
 or only empty texts give targets of 0.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import fresh, scratch, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -41,23 +43,38 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     return out.withColumn("_part", F.shiftrightunsigned("_id64", 33)).withColumn("_at", F.col("_id64").bitwiseAND((1 << 33) - 1)).drop("_id64")
 
 
+def _shifts(rows: DataFrame, by: list[str], *sums: tuple[str, str]) -> DataFrame:
+    """For numbered ``rows``: by partition (and ``by``) what stands in earlier partitions: ``k`` rows, and sums under the names given."""
+    per = rows.groupBy(*by, "_part").agg(F.count("*").alias("k"), F.min("_at").alias("first"), *(F.sum(c).alias(n) for c, n in sums))
+    w = Window.partitionBy(*by).orderBy("_part")
+    return per.select(*by, "_part", "first", *((F.sum(c).over(w) - F.col(c)).alias(c) for c in ("k", *(n for _, n in sums))))
+
+
 def source_targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``source, source_size, n_docs, target`` of each source of ``sizes`` (source, size)."""
+    """``source, source_size, n_docs, target`` of each source of ``sizes`` (source, size).
+
+    The level, words for each unit of weight, follows from one sort of the
+    sources by the level at which each would be full: the first whose cap lies at
+    or above what the sources from it on would share has it.
+    """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    per = numbered(per, F.col("source").asc_nulls_last())
-    before = per.groupBy("_part").agg(F.count("*").alias("k")).select("_part", (F.sum("k").over(Window.orderBy("_part")) - F.col("k")).alias("before"))
-    rank = F.col("before") + F.col("_at")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    per = settled(per.join(F.broadcast(before), "_part").select("source", "source_size", "n_docs", weight.cast("double").alias("weight")))
-    total, share = per.agg(F.sum("source_size"), F.sum("weight")).first()
-    level, full = (total or 0) / (share or 1), -1
-    while True:  # each round closes at least one more source
-        above = F.col("source_size") * most < F.col("weight") * level
-        closed, capped, open_ = per.agg(F.count_if(above), F.sum(F.when(above, F.col("source_size") * most)), F.sum(F.when(~above, F.col("weight")))).first()
-        if closed == full or not open_:
-            break
-        full, level = closed, ((total or 0) - (capped or 0)) / open_
-    target = F.least(F.col("source_size") * float(most), F.col("weight") * level)
+    with scratch(sizes.sparkSession) as keep:
+        per = numbered(per, F.col("source").asc_nulls_last())
+        rank = F.col("k") + F.col("_at")
+        weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
+        per = keep(per.join(F.broadcast(_shifts(per, [])), "_part").select("source", "source_size", "n_docs", weight.cast("double").alias("weight")))
+        size = F.col("source_size").cast("double") * most
+        total, share = per.agg(F.sum("source_size"), F.sum("weight")).first()
+        full = numbered(per.select((size / F.col("weight")).alias("full"), "source", "source_size", "weight"), F.col("full"), F.col("source").asc_nulls_last())
+        inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        run = full.join(F.broadcast(_shifts(full, [], ("source_size", "closed"), ("weight", "shut"))), "_part")
+        closed = F.col("closed") + F.coalesce(F.sum("source_size").over(inside), F.lit(0))
+        shut = F.col("shut") + F.coalesce(F.sum("weight").over(inside), F.lit(0.0))
+        level = (F.lit(total or 0) - closed * most).cast("double") / (F.lit(share or 0.0) - shut)
+        found = run.select(F.struct("_part", "_at").alias("place"), "source_size", "weight", level.alias("level")).where(F.col("source_size").cast("double") * most >= F.col("weight") * F.col("level"))
+        level = found.agg(F.min_by("level", "place")).first()[0]
+    # Without a level every source is full, to a rounding of the last one's cap.
+    target = size if level is None else F.least(size, F.col("weight") * level)
     return per.select("source", "source_size", "n_docs", F.round(target, 6).alias("target"))
 
 
@@ -67,30 +84,40 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def copies(docs: DataFrame, most: int = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For each row its size, its source's size and target, and ``copies``: how often the mix takes it."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    order = (F.col("source").asc_nulls_last(), F.col("size").desc(), F.md5(F.col("_id").cast("string")), F.col("_id"))
+def _taken(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """``rows`` (id, source, size, and what else stands beside) with the source's size and target, and copies.  Settled tables: ``rows`` and a slim one."""
+    order = (F.col("source").asc_nulls_last(), F.col("size").desc(), F.md5(F.col("id").cast("string")), F.col("id"))
     rows = numbered(rows, *order)
-    targets = source_targets(rows)
-    runs = rows.groupBy("source", "_part").agg(F.count("*").alias("k"), F.min("_at").alias("first"))
-    start = F.sum("k").over(Window.partitionBy("source").orderBy("_part")) - F.col("k") - F.col("first")
-    runs = settled(runs.select("source", "_part", start.alias("shift")))
-    per_run = settled(runs.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.col("r.source").alias("source"), "_part", "shift", "source_size", "target"))
+    with scratch(rows.sparkSession) as keep:
+        targets = source_targets(rows.select("source", "size"))
+        runs = _shifts(rows, ["source"]).select("source", "_part", (F.col("k") - F.col("first")).alias("shift"))
+        per_run = keep(runs.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.col("r.source").alias("source"), "_part", "shift", "source_size", "target"))
     if per_run.count() <= BROADCAST_ROWS:
         per_run = F.broadcast(per_run)
     both = rows.alias("d").join(per_run.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._part") == F.col("p._part")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at, u = F.col("_at") + F.col("shift"), offset(F.col("d.source"), seed)
     taken = F.floor((at + 1) * rate + u) - F.floor(at * rate + u)
-    return both.select(F.col("_id").alias(id_col), F.col("d.source").alias("source"), "size", "source_size", "target", F.least(taken, F.lit(most)).alias("copies"))
+    return both.select("d.*", "source_size", "target", F.least(taken, F.lit(most)).alias("copies")).drop("_part", "_at")
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *more)
+
+
+def copies(docs: DataFrame, most: int = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """For each row its size, its source's size and target, and ``copies``: how often the mix takes it."""
+    rows = _taken(_slim(docs, id_col, text_col, source_col), most, seed)
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, most: int = MOST, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: ``docs`` with each row as often as it is taken, and ``copy``, its number from 1.
 
-    Rows of one id share the largest number of copies that one of them has.
+    Whole rows are sorted, so that each keeps the copies of its own place, also
+    among rows of one id or of none.  Where ``docs`` has a column ``copy``, the
+    new one is called ``copy_``, with underscores until the name is new.
     """
-    per = copies(docs, most, seed, id_col, text_col, source_col).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_n")).where("_mix_n > 0")
-    both = docs.join(per, docs[id_col].eqNullSafe(per["_mix_id"]))
-    return both.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))).alias("copy"))
+    rows = _taken(_slim(docs, id_col, text_col, source_col, F.struct("*").alias("row")), most, seed)
+    numbers = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(fresh(docs.columns, "copy"))
+    return rows.where("copies > 0").select("row", numbers).select("row.*", fresh(docs.columns, "copy"))
