@@ -19,10 +19,17 @@
    Pairs inside a component need no comparison, since their class is known.
 So no link between components is lost, and a group of copies never gives all its pairs.
 
+In step 4 documents of a list meet only within neighbouring bands of size, in
+slices of a long list, and where 256 parity bits leave room for a link; what
+remains of a list of n unlike documents is n * n tests of four numbers, spread
+over tasks, of which almost none gives a row.
+
 Two documents link when 100 * intersection >= percent * union.  Null text,
 empty text and text without words have an empty set: no links, class is the
 own id.  Rows with a null id are returned with a null class and link nothing.
-Repeated rows are equal sets and so one class.  Other columns are not read.
+Repeated rows are equal sets and so one class; rows that share an id but not
+the text are documents of their own, each with the class of its own text.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import pa_schema, settled, small_batches, text_batches
+from .shared import arrow, column_ddl, pa_schema, scratch, settled, text_batches
 from .shingles import shingle_sets, signature
 
 #: Lists of up to this many leaders give all their pairs.
@@ -42,8 +49,11 @@ SHORT = 16
 FREQUENT = 400_000
 #: A shingle counts as frequent from this many different documents in a slice of a task.
 SEEN = 3
-#: Ids up to this many are broadcast to pick out their texts (8 bytes each); more are joined by a shuffle.
+#: Rows of ids and set signatures (up to seven numbers, about 100 bytes in a hash table) up to which they are broadcast to
+#: pick out their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a list in one slice of step 4.
+SLICE = 2048
 
 
 def _ceil(x: Column, by: int) -> Column:
@@ -54,7 +64,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+def frequent_shingles(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """Shingles that several different documents of a slice share, with their summed counts; at most ``FREQUENT``."""
 
     def run(batches):
@@ -79,18 +89,25 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    small_batches(docs.sparkSession)
     counts = docs.select(F.lit(0).alias("i"), text_col).mapInArrow(run, "token long, n long")
     return counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
 
 
 def parity_bits(own: np.ndarray) -> bytes:
-    """A bitmap of at least four bits a shingle; a bit is the parity of the shingles that fall on it."""
-    m = 1 << max(6, (4 * len(own) - 1).bit_length())
+    """A bitmap of at least four bits a shingle and 256 in all; a bit is the parity of the shingles that fall on it."""
+    m = 1 << max(8, (4 * len(own) - 1).bit_length())
     place = (own ^ (own >> 29)) & (m - 1)
     return np.packbits((np.bincount(place, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes) -> np.ndarray:
+    """The bitmap folded to 256 bits, as four numbers: how many bits of two differ bounds the sets' difference from below."""
+    a = np.frombuffer(bits, np.uint64)
+    while len(a) > 4:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.view(np.int64)
+
+
 def differing(x: bytes, y: bytes) -> int:
     """Bits in which two bitmaps differ, the longer one folded: at most the size of the sets' symmetric difference."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -101,17 +118,17 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of each row: id, two halves of the set's signature, set size, prefix, how many at its start are not frequent, two halves of the prefix's signature, bitmap."""
-    often = frequent_shingles(docs, size, text_col).toPandas()
+def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of each row: id, text hash, two halves of the set's signature, set size, prefix, how many at its start are not frequent, two halves of the prefix's signature, bitmap."""
+    often = frequent_shingles(docs, size, "text").toPandas()
     often = often.sort_values("token")
     order = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, s1 long, s2 long, n int, prefix array<bigint>, n_rare int, p1 long, p2 long, bits binary"
-    schema = pa_schema(docs.sparkSession, ddl)
+    ddl = f"{column_ddl(docs, '_id')}, _h long, s1 long, s2 long, n int, prefix array<bigint>, n_rare int, p1 long, p2 long, bits binary"
+    schema = pa_schema(ddl)
 
     def run(batches):
         tokens, counts = order.value
-        for ids, texts in text_batches(batches):
+        for keys, texts in text_batches(batches):
             rows = []
             for own in shingle_sets(texts, size):
                 first, rare = own, len(own)
@@ -122,9 +139,9 @@ def prefixes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
                         first, rare = own[np.argsort(known, kind="stable")], int((known == 0).sum())
                     first = first[: prefix_length(len(own), percent)]
                 rows.append((*signature(own), len(own), first, rare, *signature(first), parity_bits(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, *zip(*rows, strict=True)), schema, strict=True)], schema=schema)
+            yield arrow(([k["_id"] for k in keys], [k["_h"] for k in keys], *zip(*rows, strict=True)), schema)
 
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    return docs.select(F.struct("_id", "_h").alias("key"), "text").mapInArrow(run, ddl)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -145,6 +162,10 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _same_row(rows: DataFrame) -> Column:
+    return (rows["_id"] == F.col("doc._id")) & (rows["_h"] == F.col("doc._h"))
+
+
 def close_pairs(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave room for a link."""
 
@@ -161,19 +182,19 @@ def close_pairs(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def shingle_links(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+def shingle_links(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, with the exact size of their intersection."""
     pairs = settled(close_pairs(nodes, pairs.distinct(), percent))
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = settled(ids.join(nodes.select("node", "doc", "s1", "s2"), "node"))
-    found = docs.join(_small(wanted), docs["_id"] == F.col("doc")).select(F.struct("node", "s1", "s2").alias("key"), text_col)
-    schema = pa_schema(docs.sparkSession, "node long, tokens array<bigint>")
+    found = docs.join(_small(wanted), _same_row(docs)).select(F.struct("node", "s1", "s2").alias("key"), "text")
+    schema = pa_schema("node long, tokens array<bigint>")
 
     def run(batches):
         for keys, texts in text_batches(batches):
             kept = [(k["node"], own) for k, own in zip(keys, shingle_sets(texts, size), strict=True) if signature(own) == (k["s1"], k["s2"])]
             if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+                yield arrow(zip(*kept, strict=True), schema)
 
     sets = settled(found.mapInArrow(run, "node long, tokens array<bigint>"))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
@@ -182,74 +203,103 @@ def shingle_links(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, size: int
     return both.where(F.col("common") * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select("a", "b", "common")
 
 
-def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``n_shingles`` and ``component_id`` (smallest id reachable by links) of each row."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col))
-    rows = settled(prefixes(docs, size, percent, "_id", text_col))
-    sets = rows.where("n > 0 and _id is not null").groupBy("s1", "s2", "n")
-    sets = sets.agg(F.min("_id").alias("doc"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("bits").alias("bits"))
-    nodes = settled(sets.select(F.monotonically_increasing_id().alias("node"), "*"))
-    grouping = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
-    crowded = settled(grouping.where("members > 1"))
-    member = settled(nodes.select("node", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).where("node <> leader").select("node", "leader"))
-    crowd = crowded.select(F.col("leader").alias("node"), F.lit(True).alias("crowd"))
-    leaders = settled(nodes.select("node", "doc", "s1", "s2").join(member.select("node"), "node", "left_anti").join(crowd, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))))
-    same = (rows["_id"] == F.col("doc")) & (rows["s1"] == F.col("l.s1")) & (rows["s2"] == F.col("l.s2"))
-    each = rows.join(_small(leaders).alias("l"), same).select("node", "n", "n_rare", "crowd", F.posexplode("prefix").alias("pos", "token"))
-    # A list of one leader is of use only for the members behind it, and the first shingle passes every filter between them.
-    useful = (F.col("m") > 1) | (F.col("crowd") & (F.col("pos") == 0))
-    # Rare shingles are counted where one exchange brings them together; frequent ones, of which there are at most FREQUENT, by sums before it.
-    rare = each.where("pos < n_rare").drop("n_rare").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(useful)
-    often = each.where("pos >= n_rare").drop("n_rare")
-    counts = often.groupBy("token").agg(F.count("*").alias("m"))
-    lists = settled(rare.unionByName(often.join(F.broadcast(counts), "token").where(useful)))
-
-    short = lists.where(F.col("m") <= SHORT)
-    x, y = short.alias("x"), short.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link("x", "y", percent)).select(*_ordered("x", "y"))
-    long = lists.where(F.col("m") > SHORT)
-    central = long.groupBy("node").agg((F.sum("m") / F.sqrt(F.max("n"))).alias("weight"))
-    best = long.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", -F.col("node"), "n", "pos")).alias("best"))
-    star = best.select("token", (-F.col("best")["col2"]).alias("node"), F.col("best")["n"].alias("n"), F.col("best")["pos"].alias("pos"))
-    rays = long.alias("x").join(star.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent)).select(*_ordered("x", "y"))
-    inside = member.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    first = settled(shingle_links(nodes, docs, pairs.union(rays).union(inside), size, percent, text_col))
-
-    known = components(first)
-    # Lists that could still join components: long ones, and those of groups with several members.
+def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _h, n, comp, component_id`` of each row: text hash, set size, class (null if the row links nothing), smallest id of it."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        rows = settled(prefixes(docs, size, percent))
+        sets = rows.where("n > 0 and _id is not null").groupBy("s1", "s2", "n")
+        sets = sets.agg(F.min(F.struct("_id", "_h")).alias("doc"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("bits").alias("bits"))
+        nodes = settled(sets.select(F.monotonically_increasing_id().alias("node"), "*"))
+        grouping = nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
+        crowded = settled(grouping.where("members > 1"))
+        member = settled(nodes.select("node", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).where("node <> leader").select("node", "leader"))
+        crowd = crowded.select(F.col("leader").alias("node"), F.lit(True).alias("crowd"))
+        leaders = settled(nodes.select("node", "doc", "s1", "s2").join(member.select("node"), "node", "left_anti").join(crowd, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))))
+        same = _same_row(rows) & (rows["s1"] == F.col("l.s1")) & (rows["s2"] == F.col("l.s2"))
+        each = rows.join(_small(leaders).alias("l"), same).select("node", "n", "n_rare", "crowd", F.posexplode("prefix").alias("pos", "token"))
+        # A list of one leader is of use only for the members behind it, and the first shingle passes every filter between them.
+        useful = (F.col("m") > 1) | (F.col("crowd") & (F.col("pos") == 0))
+        # Rare shingles are counted where one exchange brings them together; frequent ones, of which there are at most FREQUENT, by sums before it.
+        rare = each.where("pos < n_rare").drop("n_rare").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(useful)
+        often = each.where("pos >= n_rare").drop("n_rare")
+        counts = often.groupBy("token").agg(F.count("*").alias("m"))
+        lists = settled(rare.unionByName(often.join(F.broadcast(counts), "token").where(useful)))
+
+        short = lists.where(F.col("m") <= SHORT)
+        x, y = short.alias("x"), short.alias("y")
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link("x", "y", percent)).select(*_ordered("x", "y"))
+        long = lists.where(F.col("m") > SHORT)
+        central = long.groupBy("node").agg((F.sum("m") / F.sqrt(F.max("n"))).alias("weight"))
+        best = long.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", -F.col("node"), "n", "pos")).alias("best"))
+        star = best.select("token", (-F.col("best")["col2"]).alias("node"), F.col("best")["n"].alias("n"), F.col("best")["pos"].alias("pos"))
+        rays = long.alias("x").join(star.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent)).select(*_ordered("x", "y"))
+        inside = member.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        first = settled(shingle_links(nodes, docs, pairs.union(rays).union(inside), size, percent))
+
+        known = components(first)
+        last = shingle_links(nodes, docs, _open_pairs(lists, member, known, nodes, percent), size, percent)
+        known = components(settled(first.union(last)))
+
+        doc = nodes.select("node", "doc", "s1", "s2", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        smallest = doc.groupBy("comp").agg(F.min("doc._id").alias("component_id"))
+        classes = doc.join(smallest, "comp").select("s1", "s2", "n", "comp", "component_id")
+        out = rows.select("_id", "_h", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left")
+        linked = F.col("_id").isNotNull()
+        return keep(out.select("_id", "_h", F.col("n").cast("long").alias("n"), F.when(linked, F.col("comp")).alias("comp"), F.when(linked, F.coalesce("component_id", "_id")).alias("component_id")))
+
+
+def _open_pairs(lists: DataFrame, member: DataFrame, known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the lists that could still join components: long ones, and those of groups with several members."""
     some = lists.groupBy("token").agg(F.max(F.col("crowd") | (F.col("m") > SHORT)).alias("some")).where("some").select("token")
     rest = lists.join(some, "token").select("token", "node", "n", "pos", "m")
     more = rest.join(member.withColumnRenamed("node", "other"), F.col("node") == F.col("leader")).select("token", F.col("other").alias("node"), "n", "pos", "m", F.lit(True).alias("expanded"))
     rest = rest.withColumn("expanded", F.lit(False)).unionByName(more)
     rest = rest.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    share = rest.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("big")).where("comps > 1").drop("comps")
-    rest = settled(rest.join(share, "token"))
-    outside = rest.where("comp <> big").alias("x")
+    share = rest.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    share = share.groupBy("token").agg(F.count("*").alias("comps"), F.sum("k").alias("rows"), F.max_by("comp", F.struct("k", "comp")).alias("big")).where("comps > 1").drop("comps")
+    quarters = [F.col("word")[i].alias(f"q{i}") for i in range(4)]
+    small = nodes.select("node", "bits").mapInArrow(_fold, "node long, word array<bigint>").select("node", *quarters)
+    # Linked sets differ in size by less than one band.
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent) + 1e-9)).cast("long")
+    slices = (F.col("rows") / SLICE).cast("int") + 1
+    rest = settled(rest.join(share, "token").join(small, "node").withColumn("band", band).withColumn("slices", slices))
+    outside = rest.where("comp <> big").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    outside = outside.withColumn("near", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).alias("x")
+    other = rest.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).alias("y")
     fresh = (F.col("x.m") > SHORT) | F.col("x.expanded") | F.col("y.expanded")
     once = (F.col("y.comp") == F.col("y.big")) | (F.col("x.node") < F.col("y.node"))
-    tail = outside.join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & fresh & once & _may_link("x", "y", percent)).select(*_ordered("x", "y"))
-    last = shingle_links(nodes, docs, tail, size, percent, text_col)
-    known = components(settled(first.union(last)))
+    bits = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(4)), F.lit(0))
+    close = bits * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.near") == F.col("y.band"))
+    return outside.join(other, met & (F.col("x.comp") != F.col("y.comp")) & fresh & once & _may_link("x", "y", percent) & close).select(*_ordered("x", "y"))
+
+
+def _fold(batches):
+    schema = pa.schema([("node", pa.int64()), ("word", pa.list_(pa.int64()))])
+    for batch in batches:
+        yield arrow((batch.column(0), [folded(b) for b in batch.column(1).to_pylist()]), schema)
 
-    doc = nodes.select("node", "doc", "s1", "s2", "n").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = doc.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    classes = doc.join(smallest, "comp").select("s1", "s2", "n", "component_id")
-    out = rows.select("_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left")
-    own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``n_shingles`` and ``component_id`` (smallest id reachable by links) of each row."""
+    return _classes(docs, size, percent, id_col, text_col).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id.  Rows without words or with a null id stay; equal rows of one id leave one."""
-    classes = settled(similarity_classes(docs, size, percent, id_col, text_col))
-    gone = settled(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    twice = settled(classes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"))
-
-    def small(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    kept = docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
-    if twice.isEmpty():
-        return kept
-    repeated = kept.join(small(twice), kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(small(twice), kept[id_col] == F.col("_twice"), "left_anti").unionByName(repeated)
+    """``docs`` with one row of each class: that of the smallest id (and text hash).
+
+    Rows without words or with a null id stay; rows equal in id and text leave one.
+    """
+    with scratch(docs.sparkSession) as keep:
+        rows = _classes(docs, size, percent, id_col, text_col)
+        one = F.struct("_id", "_h")
+        first = rows.where("comp is not null").groupBy("comp").agg(F.min(one).alias("first"))
+        gone = keep(rows.join(first, "comp").where(one != F.col("first")).select("_id", "_h").distinct())
+        twice = keep(rows.where("_id is not null").groupBy("_id", "_h").count().where("count > 1").select("_id", "_h").join(gone, ["_id", "_h"], "left_anti"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"))
+    kept = packed.join(_small(gone), ["_id", "_h"], "left_anti")
+    if not twice.isEmpty():
+        repeated = kept.join(_small(twice), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+        kept = kept.join(_small(twice), ["_id", "_h"], "left_anti").unionByName(repeated)
+    return kept.select("row.*")
