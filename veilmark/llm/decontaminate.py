@@ -7,31 +7,35 @@ ends at each word.  Where that run reaches ``window`` words, the last ``window``
 words are a window of an item and are hit; an item of fewer words is one window
 by itself.  The items of a window are those of the state that holds it.
 
-The item set is a stated query set: it is collected, at most ``BLOCK_WORDS``
-words to an automaton; more items make more automata, run one after another
-over the same rows, so no bound drops an item.
+The item set is a stated query set, dealt by a hash of the item into blocks of
+about ``BLOCK_WORDS`` words.  One block is collected at a time, and its automaton
+is built in each task that streams rows past it.  Up to one block, that is the
+only pass; with more, each makes a pass of its own over the rows, and the spans
+and items of a row are merged by its number afterwards.  So memory follows the
+block (about 1 kB a word), not the item set, and no bound drops an item.
 
 Null text has no words.  Items of null text or without words have no window; a
 null item_id is written as an empty string.  Items with equal ids or equal texts
-both count once per id.  Repeated documents each get a row; columns other than
-the named ones are not read.
+both count once per id.  Without items nothing is hit.  Repeated documents each
+get a row; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, small_batches, text_batches
+from .shared import arrow, column_ddl, pa_schema, scratch, settled, text_batches
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 200_000
 #: Lower case, and a blank for every ASCII character that is no letter or digit; bytes over 127 belong to words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split()
@@ -96,6 +100,11 @@ class Automaton:
         base = lambda s: self.length[self.link[s]] if s else 0
         # The state that holds the last `window` words of a longer run is an ancestor of the run's state.
         self.items: list[frozenset | None] = [frozenset(owners[s]) if base(s) < self.window <= self.length[s] else None for s in range(len(self.link))]
+        #: Of each state that is as long as a window, that ancestor (or itself), so that a match takes no walk.
+        self.holder = [0] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
+            if self.length[s] >= self.window:
+                self.holder[s] = s if base(s) < self.window else self.holder[self.link[s]]
 
     def _short_ends(self, items: list[tuple[str, list[bytes]]]) -> dict[int, list[tuple[int, frozenset]]]:
         """By state, the short items that end a run of it: (words, item ids), longest first; links are followed here, once."""
@@ -118,7 +127,7 @@ class Automaton:
 
     def match(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Merged [first, end) word spans that are hit, and the items whose windows occur."""
-        nxt, link, length, window, items, shorts = self.next, self.link, self.length, self.window, self.items, self.shorts
+        nxt, link, length, window, items, shorts, holder = self.next, self.link, self.length, self.window, self.items, self.shorts, self.holder
         spans: list[list[int]] = []
         found: set[str] = set()
         seen: set[int] = set()
@@ -140,9 +149,7 @@ class Automaton:
             hit = 0
             if run >= window:
                 hit = window
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
+                s = holder[state]
                 if s not in seen:
                     seen.add(s)
                     found |= items[s]
@@ -162,108 +169,116 @@ class Automaton:
         return spans, found
 
 
-class Matcher:
-    """Automata of the items, each over at most ``block_words`` words or one item."""
+def collect_items(benchmark: DataFrame) -> list[tuple[str, list[bytes]]]:
+    """The items of one block, as words."""
+    return [(r["i"], words_of(r["t"])) for r in benchmark.orderBy("i", "t").collect()]
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, block_words: int = BLOCK_WORDS):
-        self.automata, block, room = [], [], 0
-        for name, text in items:
-            words = words_of(text)
-            if block and room + len(words) > block_words:
-                self.automata.append(Automaton(block, window))
-                block, room = [], 0
-            block.append((name, words))
-            room += len(words)
-        if block:
-            self.automata.append(Automaton(block, window))
 
-    def match(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        spans, found = [], set()
-        for automaton in self.automata:
-            some, names = automaton.match(words)
-            spans += some
-            found |= names
-        if len(self.automata) > 1:
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            spans = merged
-        return spans, found
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> list[DataFrame]:
+    """The items (``i``, ``t``) in blocks of about ``block_words`` words, or one item; none without items."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    total = items.agg(F.sum(F.regexp_count("t", F.lit(WORD)).cast("long"))).first()[0] or 0
+    if total <= block_words:
+        return [items] if total else []
+    n = -(-total // block_words)
+    placed = settled(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition(F.col("block")))
+    return [placed.where(F.col("block") == b).drop("block") for b in range(n)]
 
 
-def collect_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[str, str]]:
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t").collect()
-    return [(r["i"], r["t"]) for r in rows]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: words, hit words, items with windows that occur, and the word spans."""
-    items = docs.sparkSession.sparkContext.broadcast(collect_items(benchmark))
-    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<array<bigint>>"
-    schema = pa_schema(docs.sparkSession, ddl)
-
-    def run(batches):
-        matcher = Matcher(items.value, window)
-        for ids, texts in text_batches(batches):
-            rows = []
-            for text in texts:
-                words = words_of(text)
-                spans, found = matcher.match(words)
-                names = sorted(found)
-                hit = sum(b - a for a, b in spans)
-                rows.append((len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, names, spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, *zip(*rows, strict=True)), schema, strict=True)], schema=schema)
-
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
-
-
-def cut(text: str, spans: list[list[int]]) -> str:
-    """``text`` without the words of ``spans`` and what stands between them; a space where words would meet."""
+def places(text: str, spans: list[list[int]]) -> list[list[int]]:
+    """Word spans with the code points where they start and end."""
+    if not spans:
+        return []
     data = text.encode("utf-8", "surrogatepass")
-    flat = data.translate(NORMAL)
-    starts, at = [], 0
-    ends = []
-    for w in flat.split():
-        at = flat.index(w, at)
-        starts.append(at)
-        at += len(w)
-        ends.append(at)
-    out, since = [], 0
+    words = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(NORMAL))]
+    out, at, point = [], 0, 0
     for a, b in spans:
-        out += (data[since : starts[a]], b" ")
-        since = ends[b - 1]
-    return b"".join([*out, data[since:]]).decode("utf-8", "surrogatepass")
-
-
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = WINDOW, max_share: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without hit spans of at least ``min_words`` words (or that are whole short items); a row with more than ``max_share`` of its words hit is removed."""
-    items = docs.sparkSession.sparkContext.broadcast(collect_items(benchmark))
-    at = docs.columns.index(text_col)
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        matcher = Matcher(items.value, window)
-        for batch in batches:
-            start = 0
-            for _, texts in text_batches([batch.select([at, at])]):
-                part = batch.slice(start, len(texts))
-                start += len(texts)
-                kept, changed = [], {}
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    spans, _ = matcher.match(words)
-                    share = sum(b - a for a, b in spans) / len(words) if words else 0.0
-                    kept.append(share <= max_share)
-                    spans = [s for s in spans if s[1] - s[0] >= min(min_words, window) or window > s[1] - s[0]]
-                    if spans and kept[-1]:
-                        changed[i] = cut(text, spans)
-                if changed:
-                    old = part.column(at).to_pylist()
-                    new = pa.array([changed.get(i, t) for i, t in enumerate(old)], part.schema.field(at).type)
-                    part = part.set_column(at, part.schema.field(at), new)
-                yield part.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        edges = []
+        for byte in (words[a][0], words[b - 1][1]):
+            point += len(data[at:byte].decode("utf-8", "surrogatepass"))
+            at = byte
+            edges.append(point)
+        out.append([a, b, *edges])
+    return out
+
+
+def hits(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, with_text: bool) -> DataFrame:
+    """``row`` and, if wanted, ``text`` of ``rows``, ``n_words``, ``items``, and merged ``spans``: first and end word, first and end code point."""
+    spark = rows.sparkSession
+    rows = rows.select("row", F.col("text").cast("string").alias("text"))
+
+    def one_pass(rows: DataFrame, block: DataFrame | None, with_text: bool) -> DataFrame:
+        ddl = f"{column_ddl(rows, 'row')}, {'text string, ' if with_text else ''}n_words long, spans array<array<bigint>>, items array<string>"
+        schema = pa_schema(ddl)
+        items = spark.sparkContext.broadcast(collect_items(block) if block is not None else [])
+
+        def run(batches):
+            automaton = Automaton(items.value, window)
+            for batch in batches:
+                at = 0
+                for _, texts in text_batches([batch.select([1, 1])]):
+                    part = batch.slice(at, len(texts))
+                    at += len(texts)
+                    words = [words_of(t) for t in texts]
+                    found = [automaton.match(w) for w in words]
+                    spans = [places(t, s) for t, (s, _) in zip(texts, found, strict=True)]
+                    yield arrow((*part.columns[: 1 + with_text], [len(w) for w in words], spans, [sorted(f) for _, f in found]), schema)
+
+        return rows.mapInArrow(run, ddl)
+
+    with scratch(spark) as keep:
+        blocks = item_blocks(benchmark, block_words=block_words)
+        if len(blocks) <= 1:
+            return one_pass(rows, blocks[0] if blocks else None, with_text)
+        rows = keep(rows.withColumn("number", F.monotonically_increasing_id()))
+        every = None
+        for block in blocks:
+            found = settled(one_pass(rows.select(F.col("number").alias("row"), "text"), block, False).where("size(spans) > 0"))
+            every = found if every is None else every.unionByName(found)
+        spans = F.aggregate(F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast("array<array<bigint>>"), _join_spans)
+        items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+        every = keep(every.groupBy(F.col("row").alias("number")).agg(spans.alias("spans"), items.alias("items")))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("n_words")
+    none = {"spans": "array<array<bigint>>", "items": "array<string>"}
+    return rows.join(every, "number", "left").select("row", *["text"] * with_text, n_words, *(F.coalesce(n, F.array().cast(t)).alias(n) for n, t in none.items()))
+
+
+def _join_spans(a: Column, x: Column) -> Column:
+    """One more span, in order of their starts, to merged ones."""
+    last = F.element_at(a, -1)
+    longer = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]), last[2], F.greatest(last[3], x[3]))))
+    return F.when(F.size(a) == 0, F.array(x)).when(x[0] <= last[1], longer).otherwise(F.array_append(a, x))
+
+
+def _hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """For each row: words, hit words, items with windows that occur, and the word spans."""
+    found = hits(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), benchmark, window, block_words, False)
+    found = found.withColumn("n_hit", _hit_words())
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    spans = F.transform("spans", lambda s: F.slice(s, 1, 2)).alias("hit_spans")
+    return found.select(F.col("row").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"), F.col("items").alias("item_ids"), spans)
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 1, max_share: float = 0.5, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without hit spans of at least ``min_words`` words; a row with more than ``max_share`` of its words hit is removed.
+
+    A span is what hit windows cover together: at least ``window`` words, or a
+    whole item of fewer.  It goes with what stands between its words, and a blank
+    takes its place.  Shorter spans than ``min_words`` stay, but count towards the share.
+    """
+    found = hits(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), benchmark, window, block_words, True)
+    kept = found.where((F.col("n_words") == 0) | (_hit_words() <= F.col("n_words") * max_share))
+    kept = kept.withColumn("spans", F.filter("spans", lambda s: s[1] - s[0] >= min_words))
+
+    def before(s, i):
+        since = F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)[3])
+        return F.substring(F.col("text"), (since + 1).cast("int"), (s[2] - since).cast("int"))
+
+    tail = F.substring(F.col("text"), (F.element_at("spans", -1)[3] + 1).cast("int"), F.length("text"))
+    new = F.concat(F.array_join(F.transform("spans", before), " "), F.lit(" "), tail)
+    row = F.when(F.size("spans") > 0, F.col("row").withField(f"`{text_col}`", new)).otherwise(F.col("row"))
+    return kept.select(row.alias("row")).select("row.*")
