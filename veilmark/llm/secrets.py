@@ -6,6 +6,9 @@ with the two counts that change, so a step costs the same for every window
 width.  Windows at or above the threshold of the candidate's character class
 are merged into spans; the allow list suppresses what is known to be harmless.
 
+Shorter candidates than a window are not scored: ``window`` and ``thresholds`` are
+parameters, and thresholds hold for the window they were chosen for.
+
 Null text counts as empty: no spans.  Repeated rows each get a row of their own.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame
 
@@ -28,9 +32,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 WINDOW = 20
 #: Bits a character of a window of 20: random hex has about 3.2, random letters and digits 3.9.
 #: Of letters alone it has 3.9 in two cases; words run together stay below 3.8 but for a few.
-THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6, "letters": 3.8}
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64", "entropy_letters")
+#: Digits alone (of which long runs are base spans) have 3.3 at most, where each stands twice.
+THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6, "letters": 3.8, "digits": 3.25}
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64", "entropy_letters", "entropy_digits")
 #: Whole candidates that are known not to be secrets.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
@@ -50,16 +54,23 @@ def allowed(word: str) -> bool:
     return any(a.fullmatch(word) for a in ALLOWED) or len(parts) > 1 and all(PART.fullmatch(p) for p in parts)
 
 
-_XLOGX = [0.0, 0.0] + [c * math.log2(c) for c in range(2, WINDOW + 1)]
+@cache
+def _candidates(window: int) -> re.Pattern:
+    return re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{window},}}+={{0,2}}")
+
+
+@cache
+def _xlogx(window: int) -> list[float]:
+    return [0.0, 0.0] + [c * math.log2(c) for c in range(2, window + 1)]
 
 
-def char_class(candidate: str) -> str | None:
-    """The class whose threshold holds, or None without a letter (base formats have long runs of digits)."""
+def char_class(candidate: str) -> str:
+    """The class whose threshold holds."""
     body = candidate.rstrip("=")
     has_digit = any("0" <= c <= "9" for c in body)
     has_alpha = any(c.isalpha() for c in body)
     if not has_alpha:
-        return None
+        return "digits"
     if not has_digit:
         return "letters"
     if not body.strip("0123456789abcdef") or not body.strip("0123456789ABCDEF"):
@@ -69,17 +80,18 @@ def char_class(candidate: str) -> str | None:
     return "base64"
 
 
-def hot_windows(candidate: str, threshold: float) -> list[tuple[int, int]]:
+def hot_windows(candidate: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged [start, end) of the windows whose entropy reaches ``threshold``."""
+    xlogx = _xlogx(window)
     counts: dict[str, int] = {}
-    total, spans, whole = 0.0, [], math.log2(WINDOW)
+    total, spans, whole = 0.0, [], math.log2(window)
     for i, c in enumerate(candidate):
         n = counts.get(c, 0)
         counts[c] = n + 1
-        total += _XLOGX[n + 1] - _XLOGX[n]
-        if i + 1 >= WINDOW:
-            start = i + 1 - WINDOW
-            if whole - total / WINDOW >= threshold - 1e-9:
+        total += xlogx[n + 1] - xlogx[n]
+        if i + 1 >= window:
+            start = i + 1 - window
+            if whole - total / window >= threshold - 1e-9:
                 if spans and start <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], i + 1)
                 else:
@@ -87,7 +99,7 @@ def hot_windows(candidate: str, threshold: float) -> list[tuple[int, int]]:
             old = candidate[start]
             m = counts[old]
             counts[old] = m - 1
-            total += _XLOGX[m - 1] - _XLOGX[m]
+            total += xlogx[m - 1] - xlogx[m]
     return spans
 
 
@@ -103,12 +115,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def entropy_spans(text: str, taken: list[tuple[int, int, str]], window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int, str]]:
     """Spans of the entropy method in what base spans leave of each candidate."""
     out = []
     addresses = [m.span() for m in ADDRESS.finditer(text) if HOST_END.search(m.group())] if "@" in text else []
     known, i, j = sorted((s, e) for s, e, _ in taken), 0, 0
-    for m in CANDIDATE.finditer(text):
+    for m in _candidates(window).finditer(text):
         at, end = m.span()
         while i < len(addresses) and addresses[i][1] <= at:
             i += 1
@@ -120,8 +132,9 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
         while at < end:
             until = max(at, known[k][0]) if k < len(known) and known[k][0] < end else end
             word = text[at:until]
-            if len(word) >= WINDOW and not allowed(word) and (kind := char_class(word)):
-                out += [(at + s, at + e, f"entropy_{kind}") for s, e in hot_windows(word, THRESHOLDS[kind])]
+            if len(word) >= window and not allowed(word):
+                kind = char_class(word)
+                out += [(at + s, at + e, f"entropy_{kind}") for s, e in hot_windows(word, thresholds[kind], window)]
             at = max(at, known[k][1]) if until < end else end
             k += 1
     return out
@@ -131,15 +144,15 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-def scan(text: str) -> tuple:
+def scan(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> tuple:
     base = base_spans(text)
-    more = entropy_spans(text, base)
+    more = entropy_spans(text, base, window, thresholds)
     kinds = [k for _, _, k in base]
     digest = hashlib.sha256(joined(base).encode()).hexdigest()
     return kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest, joined(base + more), len(more)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """One row for each row of ``docs``: counts, digest of the base spans, all spans (code points, end exclusive)."""
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
-    return map_texts(docs, scan, schema, id_col, text_col)
+    return map_texts(docs, lambda t: scan(t, window, thresholds), schema, id_col, text_col)
