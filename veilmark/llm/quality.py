@@ -1,20 +1,23 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; unlabelled text is a sample of
-all documents.  A logistic model over text features minimises the non-negative
-unbiased risk
+Trusted positives are the labelled rows of quality 1; unlabelled text is every
+row, whatever its label.  A logistic model over text features minimises the
+non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with full gradients: while the second term is negative its own gradient is
-climbed instead, so that the model does not profit from fitting positives among
-the unlabelled text.  The class prior is estimated from the labelled training
-rows.  The fit reads a bounded sample (``POSITIVES`` and ``UNLABELLED`` rows,
-about, by a hash of the id); scores cover every row.
+by Newton steps.  While the second term is negative its own gradient is climbed
+instead, so that the model does not profit from fitting positives among the
+unlabelled text.  Each step is a pass of sums over the features of all rows,
+which are computed once and settled (90 bytes a row): nothing is sampled, and
+16 partial sums at most come to the driver.  The class prior is estimated as the
+share of positives among the labelled training rows, negatives included.
 
 Null text counts as empty and gets the score of an empty text.  Rows of a null
-label teach nothing; repeated rows each get a row.  Without any positive the
-score is the prior for every text.  Columns other than the named are not read.
+label teach nothing; repeated rows each get a row.  Rows that share an id share
+its label, also where their texts differ.  The order of rows, and so any tie,
+does not matter to sums.  Without any positive the score is the prior for every
+text.  Columns other than the named are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pa_schema, small_batches, text_batches
+from .shared import arrow, column_ddl, pa_schema, scratch, settled, text_batches
 
-POSITIVES, UNLABELLED = 20_000, 40_000
 THRESHOLD = 0.3
-STEPS, RATE, RIDGE = 400, 0.05, 1e-4
+STEPS, RIDGE, SETTLED = 25, 1e-3, 1e-7
+#: Partial sums that come to the driver.
+SLOTS = 16
 
 _BYTES = np.arange(256)
 _GROUPS = {
@@ -48,7 +53,6 @@ _GROUPS = {
 }
 _MATRIX = np.stack(list(_GROUPS.values()), 1).astype(float)
 NAMES = (*_GROUPS, "log_words", "word_length", "distinct", "top_word", "top_pair", "run", "long_words", "line_words", "line_repeats", "capital_words", "one_letter", "squeeze")
-RATIO_SLICE = 4096
 
 
 def features(text: str) -> np.ndarray:
@@ -92,28 +96,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    both = np.concatenate((positive, unlabelled))
-    width = len(NAMES)
-    if not len(positive) or not len(unlabelled):
-        flat = np.zeros(3 * width + 1)
-        flat[-1] = np.log(prior / (1 - prior))
-        return Model(np.zeros(width), np.ones(width), flat)
-    mean, spread = np.median(both, 0), both.std(0) + 1e-6
-    model = Model(mean, spread, np.zeros(3 * width + 1))
-    p, u = model.expand(positive), model.expand(unlabelled)
-    w, first, second = model.weights, 0.0, 0.0
+def zero_sums(width: int) -> np.ndarray:
+    return np.zeros(4 + 3 * width + width * width)
+
+
+def risk_sums(x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What the risk at ``w`` is made of, summed over rows of expanded features: numbers of rows and positives, the losses
+    of all rows as negatives and of positives as negatives, the gradients of both, the positives' features, the curvature."""
+    z = x @ w
+    s, loss = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.logaddexp(0, z)
+    p = positive.astype(float)
+    curve = (x * (s * (1 - s))[:, None]).T @ x
+    return np.concatenate(([len(x), p.sum(), loss.sum(), p @ loss], s @ x, (p * s) @ x, p @ x, curve.ravel()))
+
+
+def risk(sums: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The non-negative risk, its second term before the cut at 0, the gradient to descend, and the curvature."""
+    k = len(w)
+    n, n_p, loss, loss_p = sums[:4]
+    grad, grad_p, mean_p = sums[4 : 4 + k] / n, sums[4 + k : 4 + 2 * k] / n_p, sums[4 + 2 * k : 4 + 3 * k] / n_p
+    second = loss / n - prior * loss_p / n_p
+    value = prior * (loss_p / n_p - mean_p @ w) + max(0.0, second) + RIDGE / 2 * (w @ w)
+    push = grad - prior * grad_p  # of the second term
+    down = prior * (grad_p - mean_p) + push + RIDGE * w if second >= 0 else -push
+    return value, second, down, sums[4 + 3 * k :].reshape(k, k) / n + RIDGE * np.eye(k)
+
+
+def minimise(sums_at, prior: float, width: int) -> np.ndarray:
+    """Weights of least risk; ``sums_at(w)`` gives ``risk_sums`` over all rows.  A step that raises the risk is halved."""
+    w = np.zeros(width)
     w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, STEPS + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        push = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)  # of the second term
-        grad = prior * (p.T @ (sp - 1)) / len(p) + push if negative >= 0 else -push
-        grad = grad + RIDGE * w
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        w -= RATE * (1 - t / (STEPS + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return model
+    best, at, step, flips = (np.inf, w), w, None, 0
+    for _ in range(STEPS):
+        value, second, down, curve = risk(sums_at(at), prior, at)
+        gain = best[0] - value
+        if gain > 0:
+            best = (value, at)
+        if second < 0:
+            flips += 1
+        if abs(gain) < SETTLED or flips > 3:
+            break
+        if gain < 0 and second >= 0:
+            step = step / 2
+            at = best[1] + step
+            continue
+        step = -np.linalg.solve(curve, down)
+        at = at + (step if second >= 0 else step / 2)
+    return best[1]
 
 
 def held_out(id_col: str = "doc_id", mod: int = 5, rest: int = 0):
@@ -121,44 +150,95 @@ def held_out(id_col: str = "doc_id", mod: int = 5, rest: int = 0):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest
 
 
-def _sampled(id_col: str, share: float, salt: int):
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, x``: the features of each row, packed."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ddl = f"{column_ddl(rows, 'id')}, x binary"
+    schema = pa_schema(ddl)
+
+    def run(batches):
+        for ids, texts in text_batches(batches):
+            yield arrow((ids, [features(t).astype(np.float32).tobytes() for t in texts]), schema)
 
+    return rows.mapInArrow(run, ddl)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on ``docs`` and the labels of their ids; pass training rows only."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+
+def _matrix(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), np.float32).reshape(-1, len(NAMES)).astype(float)
+
+
+def _summed(rows: DataFrame, one, width: int) -> np.ndarray:
+    """The sum over all batches of ``rows`` of what ``one`` gives for a batch: by task, by slot, and on the driver."""
+
+    def partial(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                total += one(batch.slice(at, 4096))
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def together(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for b in batch.column(1).to_pylist():
+                total += np.frombuffer(b)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(partial, "slot int, sums binary").repartition(SLOTS, "slot").mapInArrow(together, "sums binary")
+    return np.sum([np.frombuffer(bytes(r["sums"])) for r in parts.collect()], 0)
+
+
+def fit_features(rows: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id") -> Model:
+    """Fits on ``rows`` (id, x) of ``feature_rows`` and the labels of their ids."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
     n_pos, n_all = known.agg(F.count_if(F.col(label_col) == 1), F.count("*")).first()
     prior = min(max(n_pos / n_all if n_all else 0.5, 0.05), 0.95)
-    n_docs = docs.count()
-    trusted = known.where((F.col(label_col) == 1) & _sampled(id_col, POSITIVES / max(1, n_pos), 1)).select(F.col(id_col).alias("_p")).distinct()
-    rows = docs.join(F.broadcast(trusted), docs[id_col] == F.col("_p"), "left").select(docs[id_col], F.col("_p").isNotNull().alias("pos"), docs[text_col])
-    rows = rows.withColumn("any", _sampled(id_col, UNLABELLED / max(1, n_docs), 2)).where("pos or any")
+    width = len(NAMES)
+    flat = np.zeros(3 * width + 1)
+    flat[-1] = np.log(prior / (1 - prior))
+    trusted = known.where(F.col(label_col) == 1).select(F.col(label_id).alias("p")).distinct()
+    with scratch(rows.sparkSession):
+        both = settled(rows.join(trusted, F.col("id") == F.col("p"), "left").select("x", F.col("p").isNotNull().alias("pos")))
 
-    def run(batches):
-        schema = pa.schema([("pos", pa.bool_()), ("any", pa.bool_()), ("x", pa.binary())])
-        for keys, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([k["pos"] for k in keys]), pa.array([k["any"] for k in keys]), pa.array([features(t).tobytes() for t in texts])], schema=schema)
+        def moments(batch):
+            x = _matrix(batch.column(0))
+            return np.concatenate(([len(x), sum(batch.column(1).to_pylist())], x.sum(0), (x * x).sum(0)))
 
-    small_batches(docs.sparkSession)
-    got = rows.select(F.struct("pos", "any").alias("key"), text_col).mapInArrow(run, "pos boolean, any boolean, x binary").orderBy("x").collect()
+        got = _summed(both, moments, 2 + 2 * width)
+        n, n_p = got[:2] if np.ndim(got) else (0, 0)
+        if not n or not n_p:
+            return Model(np.zeros(width), np.ones(width), flat)
+        mean = got[2 : 2 + width] / n
+        spread = np.sqrt(np.maximum(got[2 + width :] / n - mean**2, 0)) + 1e-6
+        shape = Model(mean, spread, flat)
 
-    def matrix(kind):
-        some = [np.frombuffer(bytes(r["x"])) for r in got if r[kind]]
-        return np.stack(some) if some else np.empty((0, len(NAMES)))
+        def sums_at(w):
+            return _summed(both, lambda batch: risk_sums(shape.expand(_matrix(batch.column(0))), np.array(batch.column(1).to_pylist(), bool), w), len(zero_sums(len(w))))
 
-    return fit_pu(matrix("pos"), matrix("any"), prior)
+        return Model(mean, spread, minimise(sums_at, prior, len(flat)))
 
 
-def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    ddl = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
-    schema = pa_schema(docs.sparkSession, ddl)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fits on ``docs`` and the labels of their ids; pass training rows only."""
+    with scratch(docs.sparkSession):
+        return fit_features(settled(feature_rows(docs, id_col, text_col)), labels, label_col, id_col)
+
+
+def feature_scores(rows: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, score, predicted`` of ``rows`` (id, x)."""
+    ddl = f"{column_ddl(rows, 'id')}, score double, predicted int"
+    schema = pa_schema(ddl)
     packed = (model.mean, model.spread, model.weights)
 
     def run(batches):
         own = Model(*packed)
-        for ids, texts in text_batches(batches):
-            s = own.score(np.stack([features(t) for t in texts]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, s, (s >= threshold).astype(np.int32)), schema, strict=True)], schema=schema)
+        for batch in batches:
+            s = own.score(_matrix(batch.column(1)))
+            yield arrow((batch.column(0), s, (s >= threshold).astype(np.int32)), schema)
 
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    return rows.select("id", "x").mapInArrow(run, ddl)
+
+
+def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` and ``predicted`` of each row."""
+    return feature_scores(feature_rows(docs, id_col, text_col), model, threshold).withColumnRenamed("id", id_col)

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, mixing, mpeg, oracles, pages, pii, quality, secrets, substrings
-from .shared import table
+from .shared import settled, small_batches, table
+
+
+def tuned(query):
+    """``query`` with Arrow batches that fit small executors."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op1_language_id(spark, sf_dir):
@@ -23,9 +36,11 @@ def op3_secret_scan(spark, sf_dir):
 
 
 def op4_quality(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
-    return quality.quality_scores(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+    labels = table(spark, sf_dir, "labels")
+    rows = settled(quality.feature_rows(table(spark, sf_dir, "documents")))
+    model = quality.fit_features(rows.where(~quality.held_out("id")), labels.where(~quality.held_out()))
+    scored = quality.feature_scores(rows, model)
+    return scored.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", "predicted")
 
 
 def op5_source_mix(spark, sf_dir):
@@ -56,16 +71,16 @@ def op10_mpeg_audio(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_language_id": op1_language_id,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_secret_scan": op3_secret_scan,
-    "op4_quality": op4_quality,
-    "op5_source_mix": op5_source_mix,
-    "op6_decontaminate": op6_decontaminate,
-    "op7_main_text": op7_main_text,
-    "op8_personal_data": op8_personal_data,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
-    "op10_mpeg_audio": op10_mpeg_audio,
+    "op1_language_id": tuned(op1_language_id),
+    "op2_substring_dedup": tuned(op2_substring_dedup),
+    "op3_secret_scan": tuned(op3_secret_scan),
+    "op4_quality": tuned(op4_quality),
+    "op5_source_mix": tuned(op5_source_mix),
+    "op6_decontaminate": tuned(op6_decontaminate),
+    "op7_main_text": tuned(op7_main_text),
+    "op8_personal_data": tuned(op8_personal_data),
+    "op9_ngram_jaccard": tuned(op9_ngram_jaccard),
+    "op10_mpeg_audio": tuned(op10_mpeg_audio),
 }
 ORACLE_SQL = {
     "op5_source_mix": oracles.SOURCE_MIX,
