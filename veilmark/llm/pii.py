@@ -1,18 +1,26 @@
 """Personal data: high-recall generators, boosted trees, calibrated thresholds; DataFrame functions only.
 
 Generators are regular expressions that propose spans, overlapping ones too.
-Four of them with their checks are the base kinds, whose spans always stay.
-For each proposal, features of its format and of its context are small
-integers, so all proposals of a corpus fall into a bounded number of feature
-vectors: one aggregation counts labels by vector, over all rows, and the trees
-are boosted on that table (weak labels: a proposal is positive if a checksum or
-range check of its kind holds, or a keyword that names the kind stands before
-it).  Thresholds are calibrated by kind: the lowest score above which the
-smoothed share of positives stays at ``PRECISION``; a kind with no such score
-selects nothing.  Scoring is a projection without a shuffle.
+Four of them with their checks are the base kinds, whose spans always stay; so
+does an account number whose checksum holds.  The other proposals are left to
+boosted trees.  Each has features of its format, its context and its company,
+small integers, so all proposals of a corpus fall into a bounded number of
+feature vectors (at most the product of their ranges): one aggregation over all
+rows counts labels by vector, and the trees are boosted on that table.
+
+Labels are weak, made by a rule: a checksum, or a keyword that names the kind
+just before the span.  What makes the label of a kind is no feature of that
+kind, so the trees learn how proposals look that such evidence confirms, and
+select others that look the same.  Three texts in four (by a hash of the text, so
+copies stay together) fit the trees; the fourth calibrates a threshold for each
+kind: the lowest score from which the share of confirmed proposals stays at
+``PRECISION``.  A kind with fewer than ``CALIBRATION`` proposals there takes the
+threshold of all kinds together; with no such score, nothing is selected.
+Scoring is a projection without a shuffle.
 
 Null text counts as empty: no spans.  Repeated rows each get a row; only the
-named columns are read.  An empty table gives a model that selects base spans only.
+named columns are read.  An empty table gives a model that selects no more than
+base spans and confirmed account numbers.
 """
 
 from __future__ import annotations
@@ -31,13 +39,13 @@ GENERATORS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "email_spelled": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++",
+    "email_spelled": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hardware": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
 }
 #: A cheap test that texts without the kind fail: they are not searched for it.
-_NUMBERS = lambda text: F.col("_digits")
+_NUMBERS = lambda text: F.col("digits")
 GATES = {
     "email": lambda text: text.contains("@"),
     "ip": _NUMBERS,
@@ -51,10 +59,12 @@ GATES = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 OCTETS = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 KEYWORDS = (r"phone|mobile|\btel\b|\bcall\b|\bfax\b", r"e-?mail|contact|\bwrite to\b", r"\bcard\b|credit|visa|payment", r"\bssn\b|social security|passport|national id|\bdob\b", r"\biban\b|account|\bbank\b", r"\bip\b|address|\bmac\b|host")
-WANTED = {"email": (2,), "ip": (6,), "card": (3,), "phone": (1,), "email_spelled": (2,), "number": (1, 4), "iban": (5,), "hardware": (6,)}
-FEATURES = ("f_kind", "f_digits", "f_letters", "f_space", "f_dash", "f_dot", "f_valid", "f_left", "f_right", "f_word")
+#: Keywords, by their place above from 1, that name a kind.
+WANTED = {"email_spelled": (2,), "number": (1, 4), "iban": (5,), "hardware": (6,)}
+#: Features and how many values each has.
+FEATURES = {"f_kind": 4, "f_digits": 12, "f_letters": 3, "f_space": 3, "f_dash": 3, "f_dot": 4, "f_left": 5, "f_right": 5, "f_word": 7, "f_before": 5, "f_crowd": 3}
 CONTEXT = 24
-PRECISION = 0.95
+PRECISION, CALIBRATION = 0.95, 30
 ROUNDS, RATE = 30, 0.3
 
 
@@ -98,87 +108,99 @@ def _side(c: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return {
-        "email": F.lit(True),
-        "ip": value.rlike(OCTETS),
-        "card": F.when(digits.between(12, 19), _luhn(value)).otherwise(False),
-        "phone": digits.between(9, 15),
-        "email_spelled": F.lit(False),
-        "number": F.lit(False),
-        "iban": F.when(F.length(value).between(15, 42), _iban_ok(value)).otherwise(False),
-        "hardware": F.lit(False),
-    }[kind]
-
-
-def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_proposed``: array of structs of kind, start, end (code points, end exclusive) and features, for each row."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    text = F.col("_text")
-    docs = docs.withColumn("_digits", text.rlike("[0-9]"))
+        "email": lambda: F.lit(True),
+        "ip": lambda: value.rlike(OCTETS),
+        "card": lambda: F.when(digits.between(12, 19), _luhn(value)).otherwise(False),
+        "phone": lambda: digits.between(9, 15),
+        "iban": lambda: F.when(F.length(value).between(15, 42), _iban_ok(value)).otherwise(False),
+    }.get(kind, lambda: F.lit(False))()
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """``row, text`` and for each row ``base``, the spans of the base kinds, and ``more``, the other proposals with features and label.
+
+    Spans have start and end in code points, end exclusive.
+    """
+    text = F.col("text")
+    rows = rows.select("row", F.coalesce(text.cast("string"), F.lit("")).alias("text")).withColumn("digits", text.rlike("[0-9]"))
     none = F.array().cast("array<string>")
+    found = {kind: F.when(GATES[kind](text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m_{kind}") for kind, pattern in GENERATORS.items()}
+    rows = rows.select("row", "text", *found.values())
+    steps = []
     for kind, pattern in GENERATORS.items():
-        docs = docs.withColumn(f"_m_{kind}", F.when(GATES[kind](text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    for kind, pattern in GENERATORS.items():
-        m = F.col(f"_m_{kind}")
+        m = F.col(f"m_{kind}")
         gaps = F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none)
-        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("n"), v.alias("value")))
-        docs = docs.withColumn(f"_s_{kind}", steps)
+        steps.append(F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("n"), v.alias("value"))).alias(f"s_{kind}"))
+    rows = rows.select("row", "text", *steps)
+
     def placed(i: int, kind: str) -> Column:
-        s = F.col(f"_s_{kind}")
+        s = F.col(f"s_{kind}")
         before = _prefix(F.transform(s, lambda x: x["gap"] + x["n"]))
 
         def one(x, b):
             at = b + x["gap"]
-            return F.struct(F.lit(i).alias("f_kind"), at.alias("start"), (at + x["n"]).alias("end"), x["value"].alias("value"), _valid(kind, x["value"]).alias("valid"))
+            return F.struct(at.alias("start"), F.lit(i).alias("kind"), (at + x["n"]).alias("end"), x["value"].alias("value"), _valid(kind, x["value"]).alias("valid"))
 
         return F.zip_with(s, before, one)
 
-    parts = [placed(i, kind) for i, kind in enumerate(KINDS)]
-    docs = docs.withColumn("_spans", F.concat(*parts))
+    base = F.concat(*(F.filter(placed(i, k), lambda x: x["valid"]) for i, k in enumerate(BASE)))
+    rows = rows.select("row", "text", F.transform(base, lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("base"), F.concat(*(placed(i, k) for i, k in enumerate(KINDS) if k not in BASE)).alias("other"))
 
     def described(x: Column) -> Column:
         value = x["value"]
-        near = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))))
+        context = F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
+        near = F.lower(context)
         word = F.lit(0)
         for k in range(len(KEYWORDS), 0, -1):
             word = F.when(near.rlike(KEYWORDS[k - 1]), k).otherwise(word)
-        fields = {
-            "f_kind": x["f_kind"],
-            "f_digits": _count(value, "[0-9]", 20),
-            "f_letters": _count(value, "[A-Za-z]", 3),
-            "f_space": _count(value, r"\x20", 2),
-            "f_dash": _count(value, "-", 2),
-            "f_dot": _count(value, r"\.", 4),
-            "f_valid": x["valid"].cast("int"),
-            "f_left": _side(F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")),
-            "f_right": _side(F.substring(text, x["end"] + 1, F.lit(1))),
-            "f_word": word,
-        }
-        return F.struct(*[v.alias(k) for k, v in fields.items()], x["start"].alias("start"), x["end"].alias("end"))
-
-    helpers = ["_text", "_digits", "_spans", *(f"_{p}_{k}" for p in "ms" for k in KINDS)]
-    return docs.withColumn("_proposed", F.transform("_spans", described)).drop(*helpers)
-
-
-def label() -> Column:
-    """Weak label of a proposal with its features as columns."""
-    named = F.lit(False)
-    for i, kind in enumerate(KINDS):
-        named = named | ((F.col("f_kind") == i) & (F.col("f_kind") >= len(BASE)) & F.col("f_word").isin(*WANTED[kind]))
-    return (F.col("f_valid") == 1) | named
+        last = F.regexp_extract(context, r"(\S)\s*\z", 1)
+        kind_is = lambda k: x["kind"] == KINDS.index(k)
+
+        def labelled(word):
+            named = F.lit(False)
+            for k, places in WANTED.items():
+                named = named | kind_is(k) & word.isin(*places)
+            by_word = named & ~kind_is("iban")
+            fields = {
+                "f_kind": x["kind"] - len(BASE),
+                "f_digits": _count(value, "[0-9]", 22) / 2,
+                "f_letters": (_count(value, "[A-Za-z]", 4) + 1) / 2,
+                "f_space": _count(value, r"\x20", 2),
+                "f_dash": _count(value, "-", 2),
+                "f_dot": _count(value, r"\.", 3),
+                "f_left": _side(F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")),
+                "f_right": _side(F.substring(text, x["end"] + 1, F.lit(1))),
+                # The keyword that makes the label is no feature of its kind.
+                "f_word": F.when(by_word, 0).otherwise(word),
+                "f_before": F.when(last == "", 0).when(last.rlike(r"[:=#]"), 1).otherwise(_side(last)),
+                "f_crowd": F.least(F.size("base"), F.lit(2)),
+            }
+            confirmed = F.when(kind_is("iban"), x["valid"]).otherwise(by_word)
+            return F.struct(*[v.cast("int").alias(k) for k, v in fields.items()], x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), confirmed.alias("confirmed"))
+
+        return F.get(F.transform(F.array(word), labelled), F.lit(0))
+
+    return rows.select("row", "text", "base", F.transform("other", described).alias("more"))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict:
     """Boosted trees and thresholds, from counts of labels by feature vector over all rows of ``docs``."""
-    each = proposals(docs.select(F.col(text_col)), text_col).select(F.explode("_proposed").alias("p")).select("p.*")
-    counts = each.groupBy(*FEATURES).agg(F.count_if(label()).alias("pos"), F.count_if(~label()).alias("neg"))
-    rows = [([r[f] for f in FEATURES], r["pos"], r["neg"]) for r in counts.orderBy(*FEATURES).collect()]
-    return boost(rows)
-
-
-def boost(rows: list[tuple[list[int], int, int]]) -> dict:
-    """Logistic boosting of two-level trees on (vector, positives, negatives); counts enter by their logarithm, so that no vector drowns the rest."""
-    damp = [math.log1p(p + n) / (p + n) for _, p, n in rows]
-    data = [(x, p * d, n * d) for (x, p, n), d in zip(rows, damp, strict=True)]
+    held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(4)) == 0
+    each = proposals(docs.select(F.lit(0).alias("row"), F.col(text_col).alias("text"))).select(held.alias("held"), "more")
+    # An outer explode: an inner one makes Spark test the array's size in a filter that repeats every search.
+    each = each.select("held", F.explode_outer("more").alias("p")).where("p is not null").select("held", "p.*")
+    yes, held = F.col("confirmed"), F.col("held")
+    counts = each.groupBy(*FEATURES).agg(F.count_if(yes & ~held), F.count_if(~yes & ~held), F.count_if(yes & held), F.count_if(~yes & held))
+    width = len(FEATURES)
+    return boost(sorted((list(r[:width]), *r[width:]) for r in counts.collect()))
+
+
+def boost(rows: list[tuple[list[int], int, int, int, int]]) -> dict:
+    """Logistic boosting of two-level trees on (vector, positives, negatives, and both again to calibrate with).
+
+    Counts enter by their logarithm, so that no vector drowns the rest.
+    """
+    data = [(x, p * d, n * d) for x, p, n, _, _ in rows if p + n for d in [math.log1p(p + n) / (p + n)]]
     scores = [0.0] * len(data)
     trees = []
 
@@ -213,17 +235,28 @@ def boost(rows: list[tuple[list[int], int, int]]) -> dict:
         tree = grow(list(range(len(data))), 2)
         trees.append(tree)
         scores = [s + value(tree, x) for s, (x, _, _) in zip(scores, data, strict=True)]
+
+    held = [(sum(value(t, x) for t in trees), x[0], p, n) for x, _, _, p, n in rows if p + n]
     thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = sorted(((s, p, n) for s, (x, p, n) in zip(scores, rows, strict=True) if x[0] == k), reverse=True)
-        pos = neg = 0
-        for at, (s, p, n) in enumerate(own):
-            pos, neg = pos + p, neg + n
-            if (at + 1 == len(own) or own[at + 1][0] < s) and s > 0 and pos / (pos + neg + 1) >= PRECISION:
-                thresholds[kind] = s
+    for k, kind in enumerate(KINDS[len(BASE) :]):
+        own = [h for h in held if h[1] == k]
+        least = calibrated(own if sum(p + n for _, _, p, n in own) >= CALIBRATION else held)
+        if least is not None:
+            thresholds[kind] = least
     return {"trees": trees, "thresholds": thresholds}
 
 
+def calibrated(held: list[tuple[float, int, int, int]]) -> float | None:
+    """The lowest of the scores from which on ``PRECISION`` of the (score, kind, positives, negatives) are positives."""
+    least, pos, neg = None, 0, 0
+    held = sorted(held, reverse=True)
+    for i, (s, _, p, n) in enumerate(held):
+        pos, neg = pos + p, neg + n
+        if (i + 1 == len(held) or held[i + 1][0] < s) and pos >= PRECISION * (pos + neg):
+            least = s
+    return least
+
+
 def value(tree, x: list[int]) -> float:
     while isinstance(tree, tuple):
         f, c, low, high = tree
@@ -232,11 +265,13 @@ def value(tree, x: list[int]) -> float:
 
 
 def _score(x: Column, trees: list) -> Column:
+    names = list(FEATURES)
+
     def expr(tree):
         if not isinstance(tree, tuple):
             return F.lit(float(tree))
         f, c, low, high = tree
-        return F.when(x[FEATURES[f]] <= c, expr(low)).otherwise(expr(high))
+        return F.when(x[names[f]] <= c, expr(low)).otherwise(expr(high))
 
     total = F.lit(0.0)
     for tree in trees:
@@ -244,19 +279,21 @@ def _score(x: Column, trees: list) -> Column:
     return total
 
 
-def _chosen(model: dict) -> Column:
-    """The base spans and the spans that the trees select, by start and kind."""
-    base = lambda x: (x["f_kind"] < len(BASE)) & (x["f_valid"] == 1)
+def chosen(rows: DataFrame, model: dict) -> DataFrame:
+    """``row, text, spans`` (start, kind, end, base), by start and kind: the base spans, confirmed account numbers, and what the trees select."""
 
     def selected(x):
-        enough = F.lit(False)
+        enough = x["valid"]
         for kind, least in model["thresholds"].items():
-            enough = enough | ((x["f_kind"] == KINDS.index(kind)) & (_score(x, model["trees"]) >= least - 1e-9))
-        return base(x) | enough
+            enough = enough | ((x["f_kind"] == KINDS.index(kind) - len(BASE)) & (_score(x, model["trees"]) >= least - 1e-9))
+        return enough
+
+    def span(x, kind, base):
+        return F.struct(x["start"].alias("start"), kind.alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"))
 
-    kept = F.filter("_proposed", selected)
-    slim = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["f_kind"].alias("kind"), x["end"].alias("end"), base(x).alias("base")))
-    return F.array_sort(slim)
+    more = F.transform(F.filter("more", selected), lambda x: span(x, x["f_kind"] + len(BASE), False))
+    spans = F.array_sort(F.concat(F.transform("base", lambda x: span(x, x["kind"], True)), more))
+    return proposals(rows).select("row", "text", spans.alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -266,21 +303,19 @@ def _joined(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, digest of the base spans, and all spans, for each row."""
-    found = proposals(docs.select(F.col(id_col), F.col(text_col)), text_col).select(F.col(id_col), _chosen(model).alias("_c"))
-    base = F.filter("_c", lambda x: x["base"])
+    found = chosen(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), model)
+    base = F.filter("spans", lambda x: x["base"])
 
     def count(i: int) -> Column:
-        return F.size(F.filter("_c", lambda x: x["base"] & (x["kind"] == i))).cast("long")
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == i))).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     digest = F.sha2(_joined(base), 256).alias("base_sha256")
-    return found.select(id_col, *counts, digest, _joined(F.col("_c")).alias("spans"))
+    return found.select(F.col("row").alias(id_col), *counts, digest, _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with each selected span (overlapping ones as one) replaced by ``[KIND]``; rows without a span are unchanged."""
-    columns = docs.columns
-    found = proposals(docs, text_col).withColumn("_c", _chosen(model))
 
     def fold(a, x):
         last = F.element_at(a, -1)
@@ -288,14 +323,15 @@ def redact(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         alone = F.array_append(a, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
         return F.when(F.size(a) == 0, alone).when(x["start"] < last["end"], joined).otherwise(alone)
 
-    found = found.withColumn("_u", F.aggregate("_c", F.array().cast("array<struct<start:int,end:int,kind:int>>"), fold))
+    found = chosen(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), model)
+    found = found.select("row", "text", F.aggregate("spans", F.array().cast("array<struct<start:int,end:int,kind:int>>"), fold).alias("spans"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col(text_col)
 
     def piece(x, i):
-        since = F.when(i == 0, 0).otherwise(F.get("_u", i - 1)["end"])
-        return F.concat(F.substring(text, since + 1, x["start"] - since), F.get(names, x["kind"]))
+        since = F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["end"])
+        return F.concat(F.substring("text", since + 1, x["start"] - since), F.get(names, x["kind"]))
 
-    tail = F.substring(text, F.element_at("_u", -1)["end"] + 1, F.length(text))
-    new = F.when(F.size("_u") > 0, F.concat(F.array_join(F.transform("_u", piece), ""), tail)).otherwise(text)
-    return found.withColumn(text_col, new).select(*columns)
+    tail = F.substring("text", F.element_at("spans", -1)["end"] + 1, F.length("text"))
+    new = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
+    row = F.when(F.size("spans") > 0, F.col("row").withField(f"`{text_col}`", new)).otherwise(F.col("row"))
+    return found.select(row.alias("row")).select("row.*")
