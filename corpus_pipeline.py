@@ -1,9 +1,9 @@
 """A corpus from ``documents``: language, near duplicates, decontamination, personal data, mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-each result to the shared folder and reads it as the next stage's documents.
-All stages but the last return the columns of ``documents``; the mix adds
-``copy``, the number of the copy.
+each result to the shared folder, reads it as the next stage's documents and
+deletes all but the last.  All stages but the last return the columns of
+``documents``; the mix adds ``copy``, the number of the copy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import decontaminate, jaccard, language, mixing, pii
-from veilmark.llm.shared import settled, table
+from veilmark.llm.shared import scratch, settled, small_batches, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.keep_identified(docs, language.fit_profiles(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _counted(decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -57,6 +60,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir))
-    return docs
+    (_, last) = STAGES[-1]
+    with scratch(spark) as keep:
+        for _, stage in STAGES[:-1]:
+            docs = settled(stage(spark, docs, sf_dir))
+        return keep(last(spark, docs, sf_dir))
