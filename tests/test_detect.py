@@ -1,11 +1,12 @@
 """Detection, masking and naming on small labelled texts of our own."""
 
 import base64
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from veilmark.functions import predicates as P
-from veilmark.operators import detect, dotenv, mask, naming, nested, policy, refs, shell
+from veilmark.operators import detect, dotenv, mask, messages, naming, nested, policy, refs, shell
 from veilmark.operators import vault as V
 from veilmark.plans.capture import capture
 
@@ -81,13 +82,12 @@ def test_predicates(spark):
 VALUE = "S3cr3tValue+/xyzABCDEFGHIJKLMNOPQRSTUVWXYZ01"
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_value_forms(spark, dense):
+def test_value_forms(spark):
     b64 = base64.b64encode(VALUE.encode()).decode()
     text = f"raw {VALUE} b {b64} w {b64[:20]}\n {b64[20:]} h {VALUE.encode().hex().upper()} cut {b64[:40]} short pw"
     vault = spark.createDataFrame([("s", "v", VALUE), ("s", "w", "short")], "session_id string, name string, value string")
     rows = spark.createDataFrame([("s", text), ("t", VALUE), ("s", None)], "session_id string, text string")
-    got = mask.mask_values(rows, vault, "session_id", token="#", dense=dense).collect()
+    got = mask.mask_values(rows, vault, "session_id", token="#").collect()
     by = {(r.session_id, r.text is None): (r.masked, r.hits) for r in got}
     assert by[("s", False)] == ("raw # b # w # h # cut # short pw", 5)
     assert by[("t", False)] == (VALUE, 0)
@@ -151,6 +151,8 @@ def test_refs_and_collisions(spark):
     r = refs.expand_refs(spark.createDataFrame([("s", "use {{sec:w}} {{sec:zz}} {{sec:w}}")], "session_id string, text string"), v, "session_id").first()
     assert (r.expanded, r.used, r.missing) == ("use V$1\\ {{sec:zz}} V$1\\", ["w"], ["zz"])
     assert refs.variable_collisions(v).count() == 0
+    twice = spark.createDataFrame([("s", "w", "old", 1), ("s", "w", "new", 2)], "session_id string, name string, value string, seq long")
+    assert refs.expand_refs(spark.createDataFrame([("s", "{{sec:w}}")], "session_id string, text string"), twice, "session_id").first().expanded == "new"
 
 
 def test_dotenv(spark):
@@ -181,12 +183,26 @@ REF = "{{sec:w}}"
 )
 def test_shell(command, rewritten, states):
     x = shell.expand_command(command)
-    assert x["command"] == rewritten
+    assert x["command"] == rewritten.replace("V_w", shell.variable("w"))
     assert [r[3] for r in x["refs"]] == states
 
 
+def test_variables_of_dashed_names(spark):
+    v = spark.createDataFrame([("s", "api_key-2", "value-one"), ("s", "w", "value-two")], "session_id string, name string, value string")
+    df = spark.createDataFrame([("s", "a {{sec:api_key-2}} '{{sec:w}}'"), ("s", "b {{sec:zz}}"), ("s", None)], "session_id string, command string")
+    rows = {r.command: r for r in shell.environment(shell.classify(df, v, "session_id"), v, "session_id").collect()}
+    one = rows["a {{sec:api_key-2}} '{{sec:w}}'"]
+    names = {n: v.select(P.variable_name(F.lit(n))).first()[0] for n in ("api_key-2", "w")}
+    assert {n: shell.variable(n) for n in names} == names
+    assert all(re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", n) for n in names.values())
+    assert one.rewritten == f"a \"${names['api_key-2']}\" ''\"${names['w']}\"''"
+    assert one.environment == {names["api_key-2"]: "value-one", names["w"]: "value-two"}
+    two = rows["b {{sec:zz}}"]
+    assert (two.blocked, two.issues, two.environment) == (True, ["sec:zz is not in the vault"], {})
+
+
 def test_write_targets():
-    assert shell.write_targets("a > f 2>&1 >> 'g h' | tee -a x y >/dev/null; echo '> no' &> all") == ["f", "x", "y", "all"] or "f" in shell.write_targets("a > f")
+    assert shell.write_targets("a > f 2>&1 >> 'g h' | tee -a x y >/dev/null; echo '> no' &> all") == ["f", "g h", "x", "y", "all"]
     assert shell.write_targets("echo '> no' # > no") == []
 
 
@@ -205,6 +221,99 @@ def test_nested(spark):
     assert spark.createDataFrame([('{"role":"u","a":["b"]}',)], "t string").select(nested.redact_json_column(F.col("t"))).first()[0] == '{"role":"u","a":["{{sec:redacted}}"]}'
 
 
+def test_names_take_free_numbers(spark):
+    found = spark.createDataFrame([(1, 0, 5, "v1", "key"), (1, 9, 14, "v2", "key"), (1, 20, 25, "v3", "key")], "id int, start int, end int, value string, hint string")
+    texts = spark.createDataFrame([(1, "x" * 30)], "id int, text string")
+    taken = spark.createDataFrame([(1, "key-3", "other"), (1, "key-02", "more"), (1, "key-1", "one")], "id int, name string, value string")
+    assert [r.name for r in naming.suggest_names(found, texts, ["id"], taken=taken).orderBy("start").collect()] == ["key", "key-2", "key-4"]
+    hits = spark.createDataFrame([("s", i, 0, f"new-value-{i}", "kv", "key") for i in range(4)], "session_id string, seq long, start int, value string, kind string, hint string")
+    vault = spark.createDataFrame([("s", "key-3", "held-value", "prompt", 1), ("s", "key", "held-too", "output", 2)], "session_id string, name string, value string, source string, seq long")
+    assert sorted(r.name for r in V.adopt(hits, vault).collect()) == ["key-2", "key-4", "key-5", "key-6"]
+
+
+def test_import_names_in_order(spark):
+    rows = spark.createDataFrame([("f", "A", 1), ("f", "a", 2), ("f", "A1", 3), ("g", "a", 1), ("f", "_x", 4), ("f", "B" * 64, 5), ("f", "b" * 64, 6)], "path string, key string, line int")
+    got = {(r.path, r.line): (r.name, r.reason) for r in naming.choose_names(rows).collect()}
+    assert [got["f", i][0] for i in range(1, 7)] == ["a", "a1", "a11", None, "b" * 64, None]
+    assert got["g", 1] == ("a", None)
+    assert (got["f", 4][1], got["f", 6][1]) == ("starts with an underscore", "at the limit of 64 characters")
+    taken = spark.createDataFrame([("a",), ("a1",)], "name string")
+    assert naming.choose_names(rows.where("path = 'g'"), taken=taken).first().name == "a2"
+
+
+def test_scrub_finds_adopted_values_elsewhere(spark):
+    vault = spark.createDataFrame([("s", "db", "Known-value-77")], "session_id string, name string, value string")
+    secret = "hunter22abcdef"
+    b64 = base64.b64encode(secret.encode()).decode()
+    rows = spark.createDataFrame([("s", f"password={secret}\nthen {secret} and {b64}; Known-value-77"), ("t", "Known-value-77"), ("s", None)], "session_id string, text string")
+    got = [(r.masked, r.hits) for r in mask.scrub(rows, vault, "session_id").collect()]
+    m = "{{sec:redacted}}"
+    assert sorted(got, key=str) == sorted([(f"password={m}\nthen {m} and {m}; {{{{sec:db}}}}", 4), ("Known-value-77", 0), (None, 0)], key=str)
+
+
+def test_values_in_nested_columns_and_results(spark):
+    vault = spark.createDataFrame([("s", "db", "Known-value-77")], "session_id string, name string, value string")
+    kind = "session_id string, m struct<role:string,parts:array<struct<type:string,text:string,data:string>>,notes:map<string,string>>"
+    df = spark.createDataFrame([("s", ("user", [("text", "a Known-value-77 token: zzzzzzzzz1", "x"), ("image/png", "", "Known-value-77")], {"k": "Known-value-77"}))], kind)
+    r = messages.mask_outgoing(df, ["m"], vault).first()
+    assert r.m.parts[0].text == "a {{sec:db}} token: {{sec:redacted}}"
+    assert r.m.parts[1].data == "Known-value-77"
+    assert r.m.notes == {"k": "{{sec:db}}"}
+    assert r.skipped_payloads == 1
+    assert messages.mask_outgoing(df, ["m"], vault, messages.Options(enabled=False)).first().m.notes == {"k": "Known-value-77"}
+    results = spark.createDataFrame([("s", "read", "Known-value-77 password=hunter22abc"), ("s", "bash", "Known-value-77 password=hunter22abc")], "session_id string, tool string, text string")
+    got = {r.tool: r.masked for r in messages.mask_results(results, messages.Options(mask_file_reads=False), vault=vault).collect()}
+    assert got == {"read": "{{sec:db}} password=hunter22abc", "bash": "{{sec:db}} password={{sec:redacted}}"}
+    back = nested.expand_columns(spark.createDataFrame([("s", ["x {{sec:db}}", "{{sec:no}}"])], "session_id string, a array<string>"), ["a"], vault).first()
+    assert back.a == ["x Known-value-77", "{{sec:no}}"]
+
+
+def test_capture_is_all_or_nothing(spark):
+    big = "Zk9" * 400_000
+    rows = spark.createDataFrame([(1, f"password={big} token=abcdefgh12"), (2, "token=abcdefgh12")], "id int, text string")
+    done, vault = capture(rows, ["id"])
+    texts = {r.id: r.rewritten for r in done.collect()}
+    assert texts == {1: f"password={big} token=abcdefgh12", 2: "token={{sec:token}}"}
+    assert [(r.id, r.name) for r in vault.collect()] == [(2, "token")]
+    off, none = capture(rows, ["id"], options=messages.Options(enabled=False))
+    assert [r.rewritten == r.text for r in off.collect()] == [True, True]
+    assert none.count() == 0
+
+
+def test_long_texts_take_linear_time(spark):
+    """The dense texts of the baseline, within its bounds."""
+    import time
+
+    word = spark.createDataFrame([("a" * 1_000_000,)], "text string")
+    lines = spark.createDataFrame([("\n".join(f"my_key = value-{i:020d}\npath: /usr/lib/x{i}\nurl = https://example.org/{i}" for i in range(4000)),)], "text string")
+    value = "Zk9vQ2x7LmN4bTRwWjhyT3hTdQ1aBcDeFgHiJkLm"
+    vault = spark.createDataFrame([("s", "n", value)], "session_id string, name string, value string")
+    dense = spark.createDataFrame([("s", f"{value}\n" * 60_000)], "session_id string, text string")
+    for make, bound, want in (
+        (lambda: detect.with_findings(word).select(F.size("findings")), 5, 0),
+        (lambda: mask.mask_shapes(word).select("hits"), 5, 0),
+        (lambda: detect.with_findings(lines).select(F.size("findings")), 4, 4000),
+        (lambda: mask.mask_values(dense, vault, "session_id").select("hits"), 3, 60_000),
+    ):
+        make().collect()
+        began = time.time()
+        assert make().first()[0] == want
+        assert time.time() - began < bound
+
+
+def test_texts_with_marks(spark):
+    """A text that holds the mark between parts is read like any other."""
+    rows = spark.createDataFrame([("\ue000 password=hunter22abc \ue000\ue000 token: zzzzzzzzz1",)], "text string")
+    assert mask.mask_shapes(rows).first().masked == "\ue000 password={{sec:redacted}} \ue000\ue000 token: {{sec:redacted}}"
+
+
+def test_policy_delivers(spark):
+    v = spark.createDataFrame([("s", "w", "longvalue1", "prompt", ["/a.py"])], "session_id string, name string, value string, source string, origins array<string>")
+    calls = spark.createDataFrame([(1, "s", "write", "/a.py", f"x {REF} {{{{sec:no}}}}", ""), (2, "s", "fetch", None, None, REF), (3, "s", "write", "/b.py", REF, "")], "call_id long, session_id string, tool string, path string, content string, args string")
+    got = {r.call_id: (r.content, r.args) for r in policy.decide(calls, v, deliver=True).collect()}
+    assert got == {1: ("x longvalue1 {{sec:no}}", ""), 2: (None, "longvalue1"), 3: (REF, "")}
+
+
 def test_policy_blocks_literals(spark):
     v = spark.createDataFrame([("s", "w", "longvalue1", "prompt", ["/a.py"]), ("s", "o", "outvalue11", "output", [])], "session_id string, name string, value string, source string, origins array<string>")
     calls = spark.createDataFrame([(1, "s", "bash", None, None, "echo longvalue1"), (2, "s", "bash", None, None, "echo outvalue11"), (3, "s", "write", "/a.py", REF, ""), (4, "s", "write", "/b.py", REF, ""), (5, "s", "write", "/b.py", "{{sec:redacted}}", ""), (6, "s", "fetch", None, None, REF)], "call_id long, session_id string, tool string, path string, content string, args string")

@@ -18,15 +18,27 @@ def test_files(spark, tmp_path):
     rows = files.text_files(spark, str(tmp_path), max_bytes=50).collect()
     assert sorted(r.text for r in rows) == ["X=1\n", "Y=é\n"]
     names = [(r.name, r.folder) for r in files.listing(spark, str(tmp_path)).collect()]
-    assert names == [("d", True), ("a.env", False), ("big", False), ("bin", False)]
+    assert names == [("..", True), ("d", True), ("a.env", False), ("big", False), ("bin", False)]
+    assert [r.name for r in files.listing(spark, str(tmp_path), "b").collect()] == ["big", "bin"]
 
 
 def test_sweep(spark):
     texts = spark.createDataFrame([("a canary-1 b",), (None,), ("clean",)], "text string")
     canaries = spark.createDataFrame([("canary-1",), ("canary-2",)], "canary string")
     assert {(r.canary, r.leaks) for r in files.leak_sweep(texts, canaries).collect()} == {("canary-1", 1), ("canary-2", 0)}
-    with pytest.raises(ValueError, match="nothing"):
-        files.leak_sweep(texts.limit(0), canaries)
+    assert {r.verdict for r in files.leak_sweep(texts, canaries).collect()} == {"hit", "clean"}
+    assert {r.verdict for r in files.leak_sweep(texts.limit(0), canaries).collect()} == {"nothing examined"}
+
+
+def test_snapshot_replaces_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    files.write_snapshot(spark.range(3), path)
+    files.write_snapshot(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="bad row"):
+        files.write_snapshot(spark.range(5).selectExpr("if(id = 3, raise_error('bad row'), id) as id"), path)
+    assert spark.read.parquet(path).count() == 5
+    assert sorted(p.name for p in tmp_path.iterdir() if "old" in p.name) == []
 
 
 def test_receipts_hold_no_value(spark, tmp_path):

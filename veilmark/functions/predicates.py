@@ -18,7 +18,9 @@ def shannon_entropy(c: Column) -> Column:
 
     def of(v: Column) -> Column:
         n = F.length(v["v"])
-        letters = F.array_distinct(F.split(v["v"], "(?s)(?<=.)(?=.)"))
+        # Of a long text, runs of one letter are drawn together before it is split.
+        once = F.when(n > 1024, F.regexp_replace(v["v"], r"(?s)(.)\1+", "$1")).otherwise(v["v"])
+        letters = F.array_distinct(F.split(once, "(?s)(?<=.)(?=.)"))
         share = lambda x: (n - F.length(F.replace(v["v"], x, F.lit("")))) / n
         return F.when(n > 0, F.aggregate(F.transform(letters, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
 
@@ -65,23 +67,25 @@ def looks_like_setting_name(c: Column) -> Column:
     return trimmed(c).rlike(R.SETTING_NAME)
 
 
+def credentialish_form(t: Column) -> Column:
+    """Trimmed text that looks like a credential but for its randomness."""
+    classes = sum((t.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", rf"[^A-Za-z0-9{R.WS}]")), F.lit(0))
+    return (
+        F.when(F.length(t) < R.GUESS_LENGTH, False)
+        .when(is_digest_shaped(t), False)
+        .when(t.rlike(R.USERINFO), True)
+        .when(t.rlike(R.SCHEME), False)
+        .when(t.rlike(R.SHELL_SYNTAX), False)
+        .when(t.rlike(R.PATH_STEM), False)
+        .when(t.startswith("-"), False)
+        .when(~t.contains("://") & t.rlike("[:,]"), False)
+        .when(t.rlike(r"\A[A-Za-z0-9._/-]+\z") & t.contains("/"), False)
+        .otherwise(classes >= 2)
+    )
+
+
 def looks_credentialish(c: Column) -> Column:
-    def of(t: Column) -> Column:
-        classes = sum((t.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", rf"[^A-Za-z0-9{R.WS}]")), F.lit(0))
-        return (
-            F.when(F.length(t) < R.GUESS_LENGTH, False)
-            .when(is_digest_shaped(t), False)
-            .when(t.rlike(R.USERINFO), True)
-            .when(t.rlike(R.SCHEME), False)
-            .when(t.rlike(R.SHELL_SYNTAX), False)
-            .when(t.rlike(R.PATH_STEM), False)
-            .when(t.startswith("-"), False)
-            .when(~t.contains("://") & t.rlike("[:,]"), False)
-            .when(t.rlike(r"\A[A-Za-z0-9._/-]+\z") & t.contains("/"), False)
-            .otherwise((classes >= 2) & (shannon_entropy(t) > R.CREDENTIALISH_BITS))
-        )
-
-    return let(trimmed(c), of)
+    return let(trimmed(c), lambda t: credentialish_form(t) & (t.rlike(R.USERINFO) | (shannon_entropy(t) > R.CREDENTIALISH_BITS)))
 
 
 def is_likely_secret(name: Column, value: Column) -> Column:
@@ -185,3 +189,10 @@ def ago(then: Column, now: Column) -> Column:
     """Rounded age: minutes, hours or days."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
     return F.when(s < 3600, F.concat(F.round(s / 60).cast("int"), F.lit("m ago"))).when(s < 86400, F.concat(F.round(s / 3600).cast("int"), F.lit("h ago"))).otherwise(F.concat(F.round(s / 86400).cast("int"), F.lit("d ago")))
+
+
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out

@@ -13,63 +13,58 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import matches, overlaps
+from ..functions.spans import by_cluster, matches, overlaps, searched, template, value_row
 
 FINDING = "struct<start:int,end:int,value:string,confidence:string,hint:string,evidence:string,rule:int>"
 NONE = f"array<{FINDING}>"
 
 
-def _finding(x: Column, confidence: str, hint: Column, rule: Column, evidence: Column | None = None) -> Column:
-    return F.struct(
-        x["start"].alias("start"),
-        x["end"].alias("end"),
-        x["value"].alias("value"),
-        F.lit(confidence).alias("confidence"),
-        hint.cast("string").alias("hint"),
-        (evidence if evidence is not None else F.lit(None)).cast("string").alias("evidence"),
-        rule.alias("rule"),
-    )
+def _rules() -> Column:
+    """Tiers 1 and 2 as one array, so that the search stands once in a plan however many rules there are.
 
+    ``words`` and ``marks``: lower-case text of which one each must be there, so
+    that a pattern is only compiled and searched for in texts that may hold it.
+    """
+    rows = [(i, "anchored", hint, pattern, template(0, 0, 0, 0), False, False, [h.lower() for h in R.PROVIDER_HEADS[hint]], []) for i, (hint, pattern) in enumerate(R.PROVIDERS)]
+    for hint, pattern, head in (("jwt", R.JWT, "eyj"), ("private_key", R.PEM, "-----begin "), ("private_key", R.PEM_CUT, "-----begin ")):
+        rows.append((len(rows), "anchored", hint, pattern, template(0, 0, 0, 0), False, False, [head], []))
+    for i, (name, pattern, hint) in enumerate(R.KV_RULES):
+        words, marks = R.KV_GATES[name]
+        groups = (0, 3, 1, 2) if name == "bare" else (0, 2, 1, 2)
+        rows.append((100 + i, "kv", hint, pattern, template(*groups), name in ("bare", "double", "single"), name == "prose", list(words), list(marks or ())))
+    names = ("rule", "confidence", "hint", "pattern", "given", "named", "prose", "words", "marks")
+    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v).cast("string") if v is None else F.lit(v)
+    return F.array(*(F.struct(*(lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))
 
-def _listed(names: tuple[str, ...], rows: list[tuple]) -> Column:
-    """Rules as one array of structs: a lambda over it holds the search once, however many rules there are."""
-    return F.array(*(F.struct(*(F.lit(v).cast("string" if v is None else type(v).__name__.replace("str", "string")).alias(n) for n, v in zip(names, row, strict=True))) for row in rows))
 
-
-def anchored(text: Column) -> Column:
-    """Tier 1: provider formats, tokens of three dotted parts, private keys whole or cut."""
-    forms = (*R.PROVIDERS, ("jwt", R.JWT), ("private_key", R.PEM), ("private_key", R.PEM_CUT))
-    rules = _listed(("rule", "hint", "pattern"), [(i, *form) for i, form in enumerate(forms)])
-    found = F.transform(rules, lambda f: F.transform(matches(text, f["pattern"]), lambda x: _finding(x, "anchored", f["hint"], f["rule"])))
-    gate = text.rlike(R.ANY_PROVIDER) | text.contains("eyJ") | text.contains("-----BEGIN ")
-    return F.when(gate, F.flatten(found)).otherwise(F.array().cast(NONE))
-
-
-def _finalized(x: Column) -> Column:
-    """The value (of a bare one, all up to the next white space) less quotes, brackets and stops around it."""
-    right = F.regexp_replace(x["more"], R.TRIM + r"\z", "")
-    body = F.regexp_replace(right, r"\A" + R.TRIM, "")
-    start = x["start"] + F.length(right) - F.length(body)
-    return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("value"), x["key"].alias("key"))
-
-
-def keyed(text: Column) -> Column:
-    """Tier 2: values after a keyword, with the veto of templates and references and the length floor of the keyword."""
-    rows = [(100 + i, name, pattern, hint, 3 if name == "bare" else 2) for i, (name, pattern, hint) in enumerate(R.KV_RULES)]
+def evidenced(text: Column, low: Column) -> Column:
+    """Tier 1: provider formats, tokens of three dotted parts, private keys whole or cut.  Tier 2: values after a keyword,
+    less quotes, brackets and stops around them, with the veto of templates and references and the length floor of the
+    keyword.  ``low``: the text in lower case."""
 
     def each(f: Column) -> Column:
-        raw = F.transform(matches(text, f["pattern"], f["group"], 1, 2), _finalized)
-
-        def stays(x):
+        kv = f["confidence"] == "kv"
+
+        def row(gap: Column, group, at: Column) -> Column:
+            x = value_row(group(1), group(0), at)
+            right = F.when(kv, F.regexp_replace(group(3), R.TRIM + r"\z", "")).otherwise(group(1))
+            body = F.when(kv, F.regexp_replace(right, r"\A" + R.TRIM, "")).otherwise(right)
+            start = x["start"] + F.length(right) - F.length(body)
+            key = F.when(f["named"], F.concat(F.regexp_extract(F.substring(gap, -R.KEY_BEFORE, R.KEY_BEFORE), r"[A-Za-z0-9_-]*\z", 0), group(2))).otherwise(group(2))
+            hint = F.coalesce(f["hint"], key)
+            return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("value"), f["confidence"].alias("confidence"), hint.alias("hint"), F.lit(None).cast("string").alias("evidence"), f["rule"].alias("rule"))
+
+        def stays(x: Column) -> Column:
             value = x["value"]
+            floor = F.when(f["hint"].isNull() & x["hint"].rlike(R.STRONG_KEY), R.STRONG_FLOOR).otherwise(R.FLOOR)
             telling = value.rlike("[0-9]|[^A-Za-z0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]"))
-            floor = F.when(f["hint"].isNull() & x["key"].rlike(R.STRONG_KEY), R.STRONG_FLOOR).otherwise(R.FLOOR)
-            return (F.length(value) > 0) & ~P.is_vetoed(value) & ((f["name"] != "prose") | telling) & (F.length(value) >= floor)
+            return ~kv | (F.length(value) >= floor) & (~f["prose"] | telling) & ~P.is_vetoed(value)
 
-        return F.transform(F.filter(raw, stays), lambda x: _finding(x, "kv", F.coalesce(f["hint"], x["key"]), f["rule"]))
+        return F.filter(searched(text, f["pattern"], f["given"], 4, row), stays)
 
-    found = F.transform(_listed(("rule", "name", "pattern", "hint", "group"), rows), each)
-    return F.when(text.rlike(R.KV_GATE), F.flatten(found)).otherwise(F.array().cast(NONE))
+    held = lambda words: F.exists(words, lambda w: low.contains(w))
+    active = F.filter(_rules(), lambda f: held(f["words"]) & ((F.size(f["marks"]) == 0) | held(f["marks"])))
+    return F.coalesce(F.flatten(F.transform(active, each)), F.array()).cast(NONE)
 
 
 def deduped(found: Column) -> Column:
@@ -82,7 +77,7 @@ def deduped(found: Column) -> Column:
         further = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(x))
         return F.when(F.size(a) == 0, F.array(x)).when(~overlaps(last, x), F.array_append(a, x)).when(x["end"] > last["end"], further).otherwise(a)
 
-    return F.aggregate(ordered, F.array().cast(NONE), fold)
+    return by_cluster(ordered, lambda own: F.aggregate(own, F.array().cast(NONE), fold))
 
 
 def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: Column) -> Column:
@@ -101,19 +96,18 @@ def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: C
     def stays(x):
         v = x["value"]
         near = F.array_contains(values, v) | F.exists(values, lambda b: v.contains(b) | b.contains(v))
-        bits = P.shannon_entropy(v)
         base64ish = v.rlike(r"\A(?:[A-Za-z0-9+/]+=*|[A-Za-z0-9_-]+=?)\z")
         parts = F.filter(F.split(v, "[_-]"), lambda s: s != "")
         words = (F.size(parts) >= 3) & F.forall(parts, lambda s: s.rlike(r"\A[A-Za-z]{2,}\z"))
         random = (
             (F.length(v) >= R.GUESS_LENGTH)
-            & (bits > R.GUESS_BITS)
-            & (P.looks_credentialish(v) | base64ish)
+            & (P.credentialish_form(v) | base64ish)
             & ~v.rlike(r"[^\x20-\x7E]")
             & ~P.looks_like_identifier_text(v)
             & ~v.rlike(r"(?i)\A[0-9a-f]+\z")
             & v.rlike("[a-z0-9]")
             & (v.rlike("[0-9]") | ~words)
+            & (P.shannon_entropy(v) > R.GUESS_BITS)  # the costly test comes last
         )
         wanted = (
             F.when(P.is_digest_shaped(x["key"]), False)
@@ -133,17 +127,19 @@ def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: C
             F.when(v.rlike(r"[^\x20-\x7E]"), "non-ascii, ").otherwise("ascii, "),
             F.when(v.rlike("[0-9]"), "has digit").otherwise("no digit"),
         )
-        return _finding(x, "entropy", F.lit(None), F.lit(200), evidence)
+        unknown = F.lit(None).cast("string")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value"), F.lit("entropy").alias("confidence"), unknown.alias("hint"), evidence.alias("evidence"), F.lit(200).alias("rule"))
 
     return F.transform(F.filter(F.transform(raw, padded), stays), told)
 
 
 def with_findings(df: DataFrame, text_col: str = "text", out: str = "findings", tiers: str = "all") -> DataFrame:
     """``df`` with the array column ``out``; ``tiers``: ``all``, or ``evidenced`` without the entropy tier."""
-    text = F.col("__t")
-    df = df.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn("__refs", matches(text, R.REF)).withColumn("__pem", F.when(text.contains("-----BEGIN "), matches(text, R.PEM_REGION)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,key:string>>")))
-    df = df.withColumn("__hits", F.concat(anchored(text), keyed(text)))
+    text, low = F.col("__t"), F.col("__low")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,key:string>>")
+    df = df.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__low", F.lower(F.col("__t")))
+    spans = {"__refs": ("{{sec:", R.REF), "__pem": ("-----begin ", R.PEM_REGION)}
+    df = df.withColumns({n: F.when(low.contains(gate), matches(text, pattern)).otherwise(none) for n, (gate, pattern) in spans.items()} | {"__hits": evidenced(text, low)})
 
     def stays(x):
         held = F.exists("__refs", lambda r: overlaps(r, x)) | F.exists("__pem", lambda r: (x["start"] > r["start"]) & (x["end"] <= r["end"]))
@@ -154,12 +150,13 @@ def with_findings(df: DataFrame, text_col: str = "text", out: str = "findings",
     found = F.col("__base")
     if tiers == "all":
         df = df.withColumn("__values", F.transform("__base", lambda b: b["value"]))
-        df = df.withColumn("__uris", F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"]))
+        df = df.withColumn("__uris", F.when(low.contains(";base64"), F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"])).otherwise(F.array().cast("array<int>")))
         found = F.array_sort(F.concat("__base", guesses(text, F.col("__values"), F.col("__uris"), F.col("__refs"), F.col("__pem"))))
-    return df.withColumn(out, found).drop("__t", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
+    return df.withColumn(out, found).drop("__t", "__low", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
 
 
 def findings(df: DataFrame, id_cols: list[str], text_col: str = "text", tiers: str = "all") -> DataFrame:
     """One row for each finding, with the columns ``id_cols``."""
+    # An outer explode: an inner one makes Spark test the array's size in a filter that repeats every search.
     found = with_findings(df.select(*id_cols, text_col), text_col, "__found", tiers)
-    return found.select(*id_cols, F.explode("__found").alias("f")).select(*id_cols, "f.start", "f.end", "f.value", "f.confidence", "f.hint", "f.evidence")
+    return found.select(*id_cols, F.explode_outer("__found").alias("f")).where("f is not null").select(*id_cols, "f.start", "f.end", "f.value", "f.confidence", "f.hint", "f.evidence")

@@ -7,17 +7,16 @@ as literals, so that no plan or event log holds one.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import cut_and_join, let, matches, overlaps
+from ..functions.spans import by_cluster, cut_and_join, let, matches, overlaps, searched, slicer, template, value_row
 
-_GAP = "[ \\t\\n\\r\\f\\x0B]*"
+_BLANK = "[ \\t\\n\\r\\f\\x0B]"
+_GAP = _BLANK + "*"
+FORM = "array<struct<pattern:string,probe:string,tight:boolean,token:string>>"
 SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
@@ -27,7 +26,15 @@ def _spaced(form: Column) -> Column:
 
 
 def value_forms(value: Column, token: Column) -> Column:
-    """Patterns of a value: itself; its encodings over white space; the head and tail of long encodings, grown over their alphabet."""
+    """Patterns of a value: itself; its encodings over white space; the head and tail of long encodings, grown over their alphabet.
+
+    Each with a probe: a text without it (``tight``: without it once white space
+    is taken out) has no match, so only forms that occur are searched for.
+    """
+
+    def form(pattern, probe, tight):
+        return F.struct(pattern.alias("pattern"), probe.alias("probe"), F.lit(tight).alias("tight"), token.alias("token"))
+
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     b64 = P.base64_line(value)
     hexed = F.lower(F.hex(value.cast("binary")))
@@ -37,107 +44,130 @@ def value_forms(value: Column, token: Column) -> Column:
         return F.when(e.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), "[0-9a-fA-F]").when(e.rlike("[-_]"), "[A-Za-z0-9_-]").otherwise("[A-Za-z0-9+/=]")
 
     def windows(e):
-        grown = lambda part: F.concat(alphabet(e), F.lit("*"), F.replace(part, F.lit("+"), F.lit(r"\+")), alphabet(e), F.lit("*"))
+        grown = lambda part: form(F.concat(alphabet(e), F.lit("*"), F.replace(part, F.lit("+"), F.lit(r"\+")), alphabet(e), F.lit("*")), part, False)
         body = F.rtrim(F.translate(e, "=", " "))
-        return F.when(F.length(e) >= R.WINDOW_FORM, F.array(grown(F.substring(e, 1, R.WINDOW)), grown(F.substring(body, F.length(body) - R.WINDOW + 1, F.lit(R.WINDOW))))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(e) >= R.WINDOW_FORM, F.array(grown(F.substring(e, 1, R.WINDOW)), grown(F.substring(body, F.length(body) - R.WINDOW + 1, F.lit(R.WINDOW))))).otherwise(F.array().cast(FORM))
 
-    whole = F.transform(encodings, _spaced)
-    patterns = F.concat(F.array(quoted), whole, F.flatten(F.transform(encodings, windows)))
-    return F.when(F.length(value) >= R.MIN_VALUE, F.transform(F.array_distinct(patterns), lambda p: F.struct(p.alias("pattern"), token.alias("token")))).otherwise(F.array().cast("array<struct<pattern:string,token:string>>"))
+    whole = F.transform(encodings, lambda e: form(_spaced(e), e, True))
+    every = F.concat(F.array(form(quoted, value, False)), whole, F.flatten(F.transform(encodings, windows)))
+    return F.when(F.length(value) >= R.MIN_VALUE, F.array_distinct(every)).otherwise(F.array().cast(FORM))
 
 
 def longest_first(spans: Column) -> Column:
     """Of overlapping spans the longest stays, then the first; by start."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct((x["start"] - x["end"]).alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"))))
-    plain = F.transform(order, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")))
-    kept = F.aggregate(plain, F.array().cast(SPAN), lambda a, x: F.when(F.exists(a, lambda y: overlaps(x, y)), a).otherwise(F.array_append(a, x)))
-    return F.array_sort(kept)
 
+    def settle(own: Column) -> Column:
+        order = F.array_sort(F.transform(own, lambda x: F.struct((x["start"] - x["end"]).alias("o"), x.alias("x"))))
+        kept = F.aggregate(F.transform(order, lambda k: k["x"]), F.array().cast(SPAN), lambda a, x: F.when(F.exists(a, lambda y: overlaps(x, y)), a).otherwise(F.array_append(a, x)))
+        return F.array_sort(kept)
+
+    return by_cluster(F.array_sort(spans), settle)
 
-def dense_mask(text: str, forms: list[tuple[re.Pattern, str]]) -> tuple[str, int]:
-    """What ``mask_values`` does to one text, in time that grows with its hits: longest first, kept where nothing is covered yet."""
-    found = sorted((m.start() - m.end(), m.start(), m.end(), token) for pattern, token in forms for m in pattern.finditer(text))
-    covered, kept = bytearray(len(text)), []
-    for _, a, b, token in found:
-        if not covered[a] and not covered[b - 1]:
-            covered[a:b] = b"\x01" * (b - a)
-            kept.append((a, b, token))
-    kept.sort()
-    parts, since = [], 0
-    for a, b, token in kept:
-        parts += (text[since:a], token)
-        since = b
-    return "".join([*parts, text[since:]]), len(kept)
 
+def value_spans(text: Column, forms: Column) -> Column:
+    """Where the forms of known values stand in a text: disjoint spans (start, end, token)."""
 
-def _dense(text: Column, forms: Column) -> Column:
-    @F.pandas_udf("masked string, hits int")
-    def run(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
-        known: dict[str, re.Pattern] = {}
+    def found(tight: Column) -> Column:
+        def each(f: Column) -> Column:
+            spans = F.transform(matches(text, f["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), f["token"].alias("token")))
+            return F.when(F.when(f["tight"], tight).otherwise(text).contains(f["probe"]), spans).otherwise(F.array().cast(SPAN))
 
-        def compiled(p: str) -> re.Pattern:
-            if p not in known:
-                known[p] = re.compile(re.escape(p[2:-2].replace(r"\E\\E\Q", r"\E")) if p.startswith(r"\Q") else p)
-            return known[p]
+        return longest_first(F.flatten(F.transform(forms, each)))
 
-        rows = [(t, 0) if t is None or f is None else dense_mask(t, [(compiled(x["pattern"]), x["token"]) for x in f]) for t, f in zip(texts, forms, strict=True)]
-        return pd.DataFrame(rows, columns=["masked", "hits"])
+    spans = F.when(F.size(forms) > 0, let(F.regexp_replace(text, _BLANK + "+", ""), found))
+    return F.coalesce(spans, F.array().cast(SPAN))
 
-    return run(text, forms)
+
+def forms_by_key(vault: DataFrame, key: str, token: str | None = R.MARKER) -> DataFrame:
+    """``__key, __forms``: the forms of all values of a key, as one array; a null ``token`` stands for the value's own reference."""
+    name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
+    return vault.select(F.col(key).alias("__key"), value_forms(F.col("value"), name).alias("f")).groupBy("__key").agg(F.flatten(F.collect_list("f")).alias("__forms"))
 
 
-def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", token: str | None = R.MARKER, out: str = "masked", dense: bool = False) -> DataFrame:
+def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", token: str | None = R.MARKER, out: str = "masked") -> DataFrame:
     """``df`` with ``out`` and ``hits``: every known value of the row's ``key`` in ``vault`` (key, name, value) is masked.
 
-    A null ``token`` masks a value with its own reference.  ``dense`` is for
-    texts with thousands of hits each: Arrow batches and a small function in
-    place of expressions whose work grows with the square of a row's hits.
+    A null ``token`` masks a value with its own reference.
     """
-    name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
-    forms = vault.select(F.col(key).alias("__key"), value_forms(F.col("value"), name).alias("f")).groupBy("__key").agg(F.flatten(F.collect_list("f")).alias("__forms"))
-    both = df.join(forms, df[key] == F.col("__key"), "left")
+    both = df.join(forms_by_key(vault, key, token), df[key] == F.col("__key"), "left")
     text = F.col(text_col)
-    if dense:
-        both = both.withColumn("__d", _dense(text, F.col("__forms")))
-        return both.withColumn(out, F.col("__d.masked")).withColumn("hits", F.col("__d.hits")).drop("__key", "__forms", "__d")
-    spans = F.flatten(F.transform(F.coalesce("__forms", F.array().cast("array<struct<pattern:string,token:string>>")), lambda f: F.transform(matches(text, f["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), f["token"].alias("token")))))
-    both = both.withColumn("__spans", longest_first(F.coalesce(spans, F.array().cast(SPAN))))
+    spans = value_spans(text, F.coalesce("__forms", F.array().cast(FORM)))
+    both = both.withColumn("__spans", spans)
     return both.withColumn(out, cut_and_join(text, F.col("__spans"), lambda x: x["token"])).withColumn("hits", F.size("__spans")).drop("__key", "__forms", "__spans")
 
 
-def shape_hits(text: Column) -> Column:
-    """Credential shapes that are masked: start, end, value, kind (kv, provider, jwt, pem) and hint."""
+HIT = "array<struct<start:int,end:int,value:string,kind:string,hint:string>>"
+
+
+def shape_hits(text: Column, hints: bool = True) -> Column:
+    """Credential shapes that are masked: start, end, value, kind (kv, provider, jwt, pem) and hint; null text has none.
+
+    Without ``hints``, kinds but kv and hints are null: masking needs no more.
+    """
+
     def hit(m):
         kv = m["value"] != ""
         value = F.when(kv, m["value"]).otherwise(m["key"])
         provider = value.rlike(rf"(?i)\A{R.ANY_PROVIDER}\z")
         hint = F.lit(None).cast("string")
+        if not hints:
+            return F.struct((m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), value.alias("value"), F.when(kv & ~provider, "kv").alias("kind"), hint.alias("hint"))
         for name, pattern in reversed(R.PROVIDERS):
             hint = F.when(value.rlike(rf"(?i)\A{pattern}\z"), name).otherwise(hint)
+        hint = F.when(provider, hint)
         kind = F.when(kv & ~provider, "kv").when(value.startswith("-----BEGIN"), "pem").when(provider, "provider").otherwise("jwt")
         word = F.when(kv, F.regexp_extract(m["key"], r"\A([A-Za-z0-9_-]+)", 1))
         return F.struct((m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), value.alias("value"), kind.alias("kind"), F.coalesce(hint, word).alias("hint"))
 
-    def stays(refs, x):
-        loose = (x["kind"] == "kv") & (P.has_reference_prefix(x["value"]) | P.is_placeholder(x["value"]))
-        return ~F.exists(refs, lambda r: (r["start"] <= x["end"]) & (x["start"] <= r["end"])) & ~P.is_digest_shaped(x["value"]) & (F.length(x["value"]) >= R.MIN_VALUE) & ~loose
+    def kept(own: Column) -> Column:
+        def stays(refs, x):
+            loose = F.coalesce(x["kind"] == "kv", F.lit(False)) & (P.has_reference_prefix(x["value"]) | P.is_placeholder(x["value"]))
+            near = F.exists(refs, lambda r: (r["start"] <= x["end"]) & (x["start"] <= r["end"]))
+            return (F.length(x["value"]) >= R.MIN_VALUE) & ~P.is_digest_shaped(x["value"]) & ~loose & ~near
+
+        return F.when(F.size(own) > 0, let(matches(text, R.REF), lambda refs: F.filter(own, lambda x: stays(refs, x)))).otherwise(own)
+
+    def gated(low: Column) -> Column:
+        word, form = P.holds_any(low, R.SHAPE_WORDS), P.holds_any(low, R.SHAPE_HEADS)
+        # Where only one kind can occur its pattern does alone; the whole one, which tries every name, is the dearest.
+        pattern = F.when(word & form, rf"(?i)(?:{R.SHAPE_FORMATS}|{R.SHAPE_KV})").when(word, f"(?i){R.SHAPE_KV_BARE}").when(form, rf"(?i)(?:{R.SHAPE_FORMATS}|(\b\B))")
+
+        def row(gap: Column, group, at: Column) -> Column:
+            before = F.when(form, "").otherwise(F.regexp_extract(F.substring(gap, -R.KEY_BEFORE, R.KEY_BEFORE), r"[A-Za-z0-9_-]*\z", 0))
+            return hit(value_row(group(1), group(0), at, F.concat(before, group(0)).alias("key")))
+
+        every = let(pattern, lambda p: F.when(p.isNotNull(), searched(text, p, F.lit(template(0, 1)), 2, row)))
+        return let(F.coalesce(every, F.array().cast(HIT)), kept)
 
-    return let(matches(text, R.REF), lambda refs: F.filter(F.transform(matches(text, R.SHAPE, 1, 0), hit), lambda x: stays(refs, x)))
+    return F.coalesce(let(F.lower(text), gated), F.array().cast(HIT))
 
 
 def mask_shapes(df: DataFrame, text_col: str = "text", out: str = "masked", hits: str = "hits") -> DataFrame:
     """``df`` with credential shapes masked and their number."""
     text = F.col(text_col)
-    df = df.withColumn("__shapes", F.coalesce(shape_hits(text), F.array().cast("array<struct<start:int,end:int,value:string,kind:string,hint:string>>")))
+    df = df.withColumn("__shapes", shape_hits(text, hints=False))
     return df.withColumn(out, cut_and_join(text, F.col("__shapes"), lambda x: F.lit(R.MARKER))).withColumn(hits, F.size("__shapes")).drop("__shapes")
 
 
-def scrub(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", shapes: bool = True) -> DataFrame:
-    """Known values first, then shapes; ``hits`` is the sum."""
-    done = mask_values(df, vault, key, text_col)
-    if not shapes:
-        return done
-    return mask_shapes(done.withColumnRenamed("hits", "__h"), "masked", "masked").withColumn("hits", F.col("hits") + F.col("__h")).drop("__h")
+def scrub(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", shapes: bool | Column = True) -> DataFrame:
+    """``df`` with ``masked`` and ``hits``: known values of the row's ``key`` by their references, then credential shapes, then
+    the values of these shapes where they stand bare or encoded (by the marker in any form, as they have no name yet)."""
+    text = F.col(text_col)
+    none = F.array().cast(FORM)
+    df = df.join(forms_by_key(vault, key, None), df[key] == F.col("__key"), "left")
+    df = df.withColumn("__v", value_spans(text, F.coalesce("__forms", none)))
+    df = df.withColumn("__m", cut_and_join(text, F.col("__v"), lambda x: x["token"]))
+    found = shape_hits(F.col("__m"), hints=False)
+    df = df.withColumn("__h", found if shapes is True else F.when(F.lit(shapes) if isinstance(shapes, bool) else shapes, found).otherwise(F.array().cast(HIT)))
+    df = df.withColumn("__m", cut_and_join(F.col("__m"), F.col("__h"), lambda x: F.lit(R.MARKER))).withColumn("__f", shape_forms(F.col("__h")))
+    df = df.withColumn("__w", value_spans(F.col("__m"), F.col("__f")))
+    df = df.withColumns({"masked": cut_and_join(F.col("__m"), F.col("__w"), lambda x: x["token"]), "hits": F.size("__v") + F.size("__h") + F.size("__w")})
+    return df.drop("__key", "__forms", "__v", "__m", "__h", "__f", "__w")
+
+
+def shape_forms(found: Column) -> Column:
+    """The forms of what shapes gave away."""
+    return F.flatten(F.transform(F.array_distinct(F.transform(found, lambda h: h["value"])), lambda v: value_forms(v, F.lit(R.MARKER))))
 
 
 def apply_capture(df: DataFrame, items: str = "items", text_col: str = "text") -> DataFrame:
@@ -147,11 +177,14 @@ def apply_capture(df: DataFrame, items: str = "items", text_col: str = "text") -
     an earlier one or whose span no longer holds the value.
     """
     text = F.col(text_col)
-    order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["start"], -x["end"], x["value"], x["name"], x.alias("x")))), lambda k: k["x"])
-    twice = lambda x: F.exists(items, lambda y: (y["name"] == x["name"]) & (y["value"] != x["value"]))
-    clear = F.filter(order, lambda x: ~twice(x) & (F.substring(text, x["start"] + 1, x["end"] - x["start"]) == x["value"]))
     kind = "array<struct<start:int,end:int,value:string,name:string>>"
-    kept = F.aggregate(clear, F.array().cast(kind), lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.element_at(a, -1)["end"]), a).otherwise(F.array_append(a, x)))
-    df = df.withColumn("captured", kept).withColumn("name_conflicts", F.size(F.filter(items, twice)))
-    df = df.withColumn("stale_spans", F.size(items) - F.size("captured") - F.col("name_conflicts"))
+    order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["start"], -x["end"], x["value"], x["name"], x.alias("x")))), lambda k: k["x"])
+    df = df.withColumn("__names", F.array_sort(F.transform(items, lambda y: F.struct(y["name"].alias("name"), y["value"].alias("value")))))
+    other = F.filter("__names", lambda n, i: (n["name"] == F.get("__names", i - 1)["name"]) & (n["value"] != F.get("__names", i - 1)["value"]))
+    df = df.withColumn("__twice", F.array_distinct(F.transform(other, lambda n: n["name"])))
+    twice = lambda x: F.array_contains("__twice", x["name"])
+    clear = slicer(text, lambda between: F.filter(order, lambda x: ~twice(x) & (between(x["start"], x["end"]) == x["value"])))
+    first = lambda own: F.aggregate(own, F.array().cast(kind), lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.element_at(a, -1)["end"]), a).otherwise(F.array_append(a, x)))
+    df = df.withColumn("captured", by_cluster(clear, first)).withColumn("name_conflicts", F.size(F.filter(items, twice)))
+    df = df.withColumn("stale_spans", F.size(items) - F.size("captured") - F.col("name_conflicts")).drop("__twice", "__names")
     return df.withColumn("rewritten", cut_and_join(text, F.col("captured"), lambda x: P.ref_token(x["name"])))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from .mask import mask_shapes
-from .nested import redact_columns, scrub_columns
+from .mask import mask_shapes, scrub
+from .nested import payloads, redact_columns, scrub_columns
 from .policy import PATH_TOOLS
 from .refs import find_refs
 
+#: Fields whose strings carry structure, not text.
+STRUCTURAL = R.STRUCTURAL_KEYS
+
 
 @dataclass(frozen=True)
 class Options:
@@ -29,15 +32,32 @@ class Options:
         return "all" if self.guess_policy == "apply" else "evidenced"
 
 
-def mask_results(results: DataFrame, options: Options = Options(), tool_col: str = "tool", text_col: str = "text") -> DataFrame:
-    """Tool results with shapes masked; file tools only if ``mask_file_reads``."""
+def mask_results(results: DataFrame, options: Options = Options(), tool_col: str = "tool", text_col: str = "text", vault: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """Tool results with known values of a ``vault`` masked always, and shapes: of file tools only if ``mask_file_reads``."""
+    plain = F.lit(False) if options.mask_file_reads else F.coalesce(F.col(tool_col).isin(*PATH_TOOLS), F.lit(False))
+    if vault is not None:
+        return scrub(results, vault, key, text_col, ~plain)
     done = mask_shapes(results, text_col)
-    if options.mask_file_reads:
-        return done
-    plain = F.col(tool_col).isin(*PATH_TOOLS)
     return done.withColumn("masked", F.when(plain, F.col(text_col)).otherwise(F.col("masked"))).withColumn("hits", F.when(plain, 0).otherwise(F.col("hits")))
 
 
+def mask_outgoing(messages: DataFrame, columns: list[str], vault: DataFrame, options: Options = Options(), key: str = "session_id", broken: Column | None = None) -> DataFrame:
+    """Context or payloads on their way out: known values and shapes masked in every string of ``columns``; unchanged where switched off.
+
+    ``skipped_payloads`` counts the binary strings that were passed over.  Rows
+    for which ``broken`` holds close: all their strings but structural ones are replaced.
+    """
+    count = sum((payloads(F.col(c), messages.schema[c].dataType) for c in columns), F.lit(0))
+    if not options.enabled:
+        return messages.withColumn("skipped_payloads", F.lit(0))
+    rows = messages.withColumn("skipped_payloads", count)
+    masked = scrub_columns(rows, columns, frozenset(STRUCTURAL), vault, key)
+    if broken is None:
+        return masked
+    whole = F.coalesce(broken, F.lit(True))
+    return scrub_columns(rows.where(~whole), columns, frozenset(STRUCTURAL), vault, key).unionByName(redact_columns(rows.where(whole), columns))
+
+
 def mask_or_redact(df: DataFrame, columns: list[str], broken: Column) -> DataFrame:
     """Nested columns masked; where ``broken`` holds, every string of them replaced: a row that cannot be trusted closes."""
     masked = scrub_columns(df.withColumn("__broken", broken), columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.spans import let
 
 AROUND = 60
 
@@ -36,12 +37,25 @@ def base_name(hint: Column, context: Column) -> Column:
     return F.when(P.is_valid_name(base), base).otherwise(F.substring(F.concat(F.lit("s_"), base), 1, 64))
 
 
+def free_name(base: Column, used: Column, rank: Column) -> Column:
+    """``base``, or with the next number from 2 on, so that the ``rank``-th new name of a base is the ``rank``-th that is not in ``used``."""
+
+    def number(u: Column) -> Column:
+        tail = F.substring(u, F.length(base) + 2, F.lit(64))
+        counted = u.startswith(F.concat(base, F.lit("-"))) & tail.rlike(r"\A(?:[2-9]|[1-9][0-9]{1,8})\z")
+        return F.when(u == base, 1).when(counted, tail.cast("int"))
+
+    taken = F.array_compact(F.transform(F.coalesce(used, F.array().cast("array<string>")), number))
+    free = let(taken, lambda t: F.get(F.filter(F.sequence(F.lit(1), (rank + F.size(t)).cast("int")), lambda i: ~F.array_contains(t, i)), rank.cast("int") - 1))
+    return let(free, lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n)))
+
+
 def suggest_names(found: DataFrame, texts: DataFrame, ids: list[str], text_col: str = "text", taken: DataFrame | None = None) -> DataFrame:
     """``found`` (ids, start, end, value, hint) with ``name``: one for each distinct value of a text.
 
     A value that ``taken`` (ids, name, value) already names keeps that name;
-    others take their base name at their first place, and a number where the
-    base is in use in the same text or its vault.  The context of a value ends
+    others take their base name at their first place, or that with the first
+    number that neither the same text nor its vault has in use.  The context of a value ends
     where its neighbours stand.
     """
     by = Window.partitionBy(*ids).orderBy("start", "end")
@@ -57,9 +71,8 @@ def suggest_names(found: DataFrame, texts: DataFrame, ids: list[str], text_col:
         used = taken.groupBy(*ids).agg(F.collect_set("name").alias("used"))
         first = first.join(old, [*ids, "value"], "left").join(used, ids, "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
     rank = F.row_number().over(Window.partitionBy(*ids, F.col("old").isNull(), "base").orderBy("at", "value"))
-    taken_before = F.size(F.filter("used", lambda u: (u == F.col("base")) | (u.startswith(F.concat(F.col("base"), F.lit("-"))) & F.substring(u, F.length("base") + 2, F.lit(64)).rlike(r"\A[0-9]+\z"))))
-    n = rank + taken_before
-    name = F.when(F.col("old").isNotNull(), F.col("old")).when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n))
+    first = first.withColumn("rank", rank)
+    name = F.coalesce("old", free_name(F.col("base"), F.col("used"), F.col("rank")))
     names = first.withColumn("name", F.substring(name, 1, 64)).select(*ids, "value", "name")
     return found.join(names, [*ids, "value"])
 
@@ -71,14 +84,40 @@ def adopted_base(kind: Column, key: Column, hint: Column) -> Column:
     return F.when(name == R.RESERVED, "secret").otherwise(name)
 
 
-def choose_names(rows: DataFrame, key_col: str = "key", order: str = "line") -> DataFrame:
-    """Names of imported variables: the key in lower case or a reason; a number without a dash where it is in use."""
+def choose_names(rows: DataFrame, key_col: str = "key", order: str = "line", taken: DataFrame | None = None) -> DataFrame:
+    """Names of imported variables: the key in lower case, with the first free number from 1 where that is in use, or a reason.
+
+    A file's keys are named in order, since each name can take the place of a
+    later one; they are gathered by file, which is at most 1 MiB.  Names of
+    ``taken`` (name) are in use from the start; it is gathered too, so pass the
+    names of one vault.
+    """
     low = F.lower(key_col)
     reason = (
         F.when(low.rlike(r"\A[0-9]"), "starts with a digit")
         .when(low.rlike(r"\A_"), "starts with an underscore")
+        .when(low.rlike("[^a-z0-9_-]"), "has a character that names cannot hold")
         .when(F.length(low) > 64, "longer than 64 characters")
         .when(~P.is_valid_name(low), "has a character that names cannot hold")
     )
-    n = F.row_number().over(Window.partitionBy("path", low).orderBy(order))
-    return rows.withColumn("reason", reason).withColumn("name", F.when(F.col("reason").isNull(), F.when(n == 1, low).otherwise(F.concat(low, (n - 1).cast("string")))))
+    rows = rows.withColumn("reason", reason)
+    names = "array<string>"
+    files = rows.where("reason is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key_col).alias("key")))).alias("keys"))
+    if taken is None:
+        files = files.withColumn("used", F.array().cast(names))
+    else:
+        files = files.join(F.broadcast(taken.agg(F.collect_set("name").alias("used"))))
+
+    def named(a: Column, x: Column) -> Column:
+        base = F.lower(x["key"])
+        forms = F.transform(F.sequence(F.lit(0), F.size(a["used"])), lambda n: F.when(n == 0, base).otherwise(F.concat(base, n.cast("string"))))
+        free = F.get(F.filter(forms, lambda f: ~F.array_contains(a["used"], f)), F.lit(0))
+        fits = lambda f: F.struct(F.array_append(a["used"], f).alias("used"), F.array_append(a["out"], F.when(F.length(f) <= 64, f)).alias("out"))
+        return let(free, fits)
+
+    start = F.struct("used", F.array().cast(names).alias("out"))
+    files = files.select("path", "keys", F.aggregate("keys", start, named, lambda a: a["out"]).alias("names"))
+    each = files.select("path", F.explode_outer(F.arrays_zip("keys", "names")).alias("x")).select("path", F.col("x.keys.key").alias(key_col), F.col("x.keys.o").alias(order), F.col("x.names").alias("name"))
+    both = rows.join(each, ["path", key_col, order], "left")
+    full = F.when(F.col("reason").isNull() & F.col("name").isNull(), "at the limit of 64 characters").otherwise(F.col("reason"))
+    return both.withColumn("reason", full).select(*rows.columns, "name")

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from ..functions import predicates as P
 from ..functions import rules as R
 from ..functions.spans import cut_and_join
-from .mask import shape_hits
+from .mask import FORM, forms_by_key, shape_forms, shape_hits, value_spans
+from .refs import expanded
+from .vault import by_name
 
 
 def rewrite(column: Column, kind: T.DataType, change: Callable[[Column], Column], keep: frozenset[str] = frozenset()) -> Column:
@@ -48,12 +50,68 @@ def rewrite(column: Column, kind: T.DataType, change: Callable[[Column], Column]
 
 def mask_text(c: Column) -> Column:
     """A string with its credential shapes masked."""
-    return cut_and_join(c, shape_hits(c), lambda x: F.lit(R.MARKER))
+    return cut_and_join(c, shape_hits(c, hints=False), lambda x: F.lit(R.MARKER))
 
 
-def scrub_columns(df: DataFrame, columns: list[str], keep: frozenset[str] = frozenset()) -> DataFrame:
-    """``df`` with shapes masked in every string of ``columns``."""
-    return df.withColumns({c: rewrite(F.col(c), df.schema[c].dataType, mask_text, keep) for c in columns})
+def strings(column: Column, kind: T.DataType, keep: frozenset[str] = frozenset()) -> Column:
+    """The strings of a nested column that ``rewrite`` would change, as one array."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        return F.when(column.isNotNull() & ~P.is_binary_payload(column), F.array(column)).otherwise(none)
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(column, lambda x: strings(x, kind.elementType, keep))), none)
+    if isinstance(kind, T.MapType):
+        return strings(F.map_values(column), T.ArrayType(kind.valueType), keep)
+    if isinstance(kind, T.StructType):
+        return F.concat(none, *(strings(column[f.name], f.dataType, keep) for f in kind.fields if f.name not in keep))
+    return none
+
+
+def scrub_columns(df: DataFrame, columns: list[str], keep: frozenset[str] = frozenset(), vault: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """``df`` with known values of the row's ``key`` (where a ``vault`` is given) and shapes masked in every string of ``columns``.
+
+    With a vault, what a shape gives away in one string of a row is masked in all of them.
+    """
+    types = {c: df.schema[c].dataType for c in columns}
+    shaped = {c: rewrite(F.col(c), types[c], mask_text, keep) for c in columns}
+    if vault is None:
+        return df.withColumns(shaped)
+
+    def valued(forms: Column) -> dict[str, Column]:
+        change = lambda t: cut_and_join(t, value_spans(t, forms), lambda x: x["token"])
+        return {c: rewrite(F.col(c), types[c], change, keep) for c in columns}
+
+    both = df.join(forms_by_key(vault, key, None), df[key] == F.col("__key"), "left")
+    both = both.withColumns(valued(F.coalesce("__forms", F.array().cast(FORM))))
+    texts = F.concat(*(strings(F.col(c), types[c], keep) for c in columns))
+    both = both.withColumn("__h", F.flatten(F.transform(texts, lambda t: shape_hits(t, hints=False))))
+    both = both.withColumns(shaped | {"__f": shape_forms(F.col("__h"))})
+    return both.withColumns(valued(F.col("__f"))).drop("__key", "__forms", "__h", "__f")
+
+
+def expand_columns(df: DataFrame, columns: list[str], vault: DataFrame, key: str = "session_id") -> DataFrame:
+    """``df`` with the references in every string of ``columns`` replaced by the values that the row's ``key`` holds."""
+    held = by_name(vault, key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
+    both = df.join(held, df[key] == F.col("__key"), "left")
+    return both.withColumns({c: rewrite(F.col(c), df.schema[c].dataType, lambda t: expanded(t, F.col("__m"))["text"]) for c in columns}).drop("__key", "__m")
+
+
+def payloads(column: Column, kind: T.DataType) -> Column:
+    """How many strings of a nested column are binary payloads, which masking passes over."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(P.is_binary_payload(column).cast("int"), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(F.transform(column, lambda x: payloads(x, kind.elementType)), F.lit(0), lambda a, n: a + n), F.lit(0))
+    if isinstance(kind, T.MapType):
+        return payloads(F.map_values(column), T.ArrayType(kind.valueType))
+    total = F.lit(0)
+    if isinstance(kind, T.StructType):
+        medium = next((column[f] for f in ("mimeType", "type") if f in kind.names), None)
+        for f in kind.fields:
+            own = column[f.name]
+            media = f.name == "data" and isinstance(f.dataType, T.StringType) and medium is not None
+            total = total + (F.coalesce(P.is_binary_payload(own, medium).cast("int"), F.lit(0)) if media else payloads(own, f.dataType))
+    return total
 
 
 def redact_columns(df: DataFrame, columns: list[str], keep: tuple[str, ...] = R.STRUCTURAL_KEYS) -> DataFrame:

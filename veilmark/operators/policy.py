@@ -1,6 +1,7 @@
 """Decisions on tool calls: literal secrets, references in paths, what may expand.
 
 Input rows have session_id, tool, path, content and args (the call as text).
+A session's names stay together in one row, so a decision is a lookup.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from .refs import find_refs
+from .refs import expanded, find_refs
+from .vault import by_name
 
 PATH_TOOLS = ("read", "grep", "find", "ls")
 WRITE_TOOLS = ("write", "edit")
@@ -23,16 +25,22 @@ def literal_names(calls: DataFrame, vault: DataFrame, id_col: str = "call_id", t
     return pairs.where(F.col(text_col).contains(F.col("value"))).groupBy(id_col).agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
-def decide(calls: DataFrame, vault: DataFrame, id_col: str = "call_id") -> DataFrame:
-    """``calls`` with ``decision`` and ``expanded``: the first rule that holds decides."""
+def decide(calls: DataFrame, vault: DataFrame, id_col: str = "call_id", deliver: bool = False) -> DataFrame:
+    """``calls`` with ``decision`` and ``expanded``: the first rule that holds decides.
+
+    With ``deliver``, the references that may expand are replaced by their
+    values: in ``content`` (never in ``path``) of a write back to the file they
+    came from, and in ``args`` of other tools.
+    """
     literal = literal_names(calls, vault, id_col).withColumnRenamed("names", "literal")
-    held = vault.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("origins", F.array().cast("array<string>"))))).alias("held"))
+    sources = vault.withColumn("origins", F.coalesce("origins", F.array().cast("array<string>")))
+    held = by_name(sources, "session_id", "origins", *(("value",) if deliver else ()))
     rows = calls.join(literal, id_col, "left").join(held, "session_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = rows.withColumn("in_path", find_refs(text("path"))).withColumn("in_content", find_refs(text("content"))).withColumn("in_args", find_refs(text("args")))
     known = lambda x: F.coalesce(F.map_contains_key("held", x["name"]), F.lit(False))
     # A reference may be written back to a file that its value was read from.
-    back = lambda x: known(x) & F.coalesce(F.array_contains(F.element_at("held", x["name"]), F.col("path")), F.lit(False))
+    back = lambda x: known(x) & F.coalesce(F.array_contains(F.element_at("held", x["name"])["origins"], F.col("path")), F.lit(False))
     write, doc = F.col("tool").isin(*WRITE_TOOLS), P.is_doc_path(text("path"))
     content = F.col("in_content")
     stranded = F.exists(content, lambda x: known(x) & ~back(x))
@@ -51,4 +59,8 @@ def decide(calls: DataFrame, vault: DataFrame, id_col: str = "call_id") -> DataF
     )
     used = F.when(F.col("decision") == "expand: restorable", F.filter(content, back)).when(F.col("decision") == "expand", F.filter("in_args", known)).otherwise(F.filter("in_args", lambda x: F.lit(False)))
     rows = rows.withColumn("decision", decision).withColumn("expanded", F.array_distinct(F.transform(used, lambda x: x["name"])))
+    if deliver:
+        for column, rule in (("content", "expand: restorable"), ("args", "expand")):
+            given = expanded(F.col(column), F.col("held"), F.col("expanded"))["text"]
+            rows = rows.withColumn(column, F.when(F.col("decision") == rule, given).otherwise(F.col(column)))
     return rows.drop("literal", "held", "in_path", "in_content", "in_args")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import cut_and_join, matches
+from ..functions.spans import cut_and_join, let, matches
+from .vault import by_name
 
 
 def find_refs(text: Column) -> Column:
@@ -15,16 +16,24 @@ def find_refs(text: Column) -> Column:
     return F.transform(matches(text, R.REF, 0, 1), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["key"].alias("name")))
 
 
+def expanded(text: Column, held: Column, only: Column | None = None) -> Column:
+    """Struct of ``text`` with the references that the map ``held`` (name to struct with ``value``) knows, and the names ``used`` and ``missing``, in order."""
+
+    def of(found: Column) -> Column:
+        names = lambda c: F.array_distinct(F.transform(c, lambda x: x["name"]))
+        known = lambda x: F.coalesce(F.map_contains_key(held, x["name"]), F.lit(False)) & (F.array_contains(only, x["name"]) if only is not None else F.lit(True))
+        hit = F.filter(found, known)
+        text_ = cut_and_join(text, hit, lambda x: F.element_at(held, x["name"])["value"])
+        return F.struct(text_.alias("text"), names(hit).alias("used"), names(F.filter(found, lambda x: ~known(x))).alias("missing"))
+
+    return let(find_refs(text), of)
+
+
 def expand_refs(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", value: str = "value") -> DataFrame:
     """``df`` with ``expanded``, and the distinct names ``used`` and ``missing`` in order; names resolve within the row's ``key``."""
-    known = vault.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("name", value))).alias("__m"))
-    both = df.join(known, df[key] == F.col("__key"), "left").withColumn("__refs", F.coalesce(find_refs(F.col(text_col)), F.array().cast("array<struct<start:int,end:int,name:string>>")))
-    held = lambda x: F.coalesce(F.map_contains_key("__m", x["name"]), F.lit(False))
-    both = both.withColumn("__hit", F.filter("__refs", held))
-    names = lambda c: F.array_distinct(F.transform(c, lambda x: x["name"]))
-    both = both.withColumn("expanded", cut_and_join(F.col(text_col), F.col("__hit"), lambda x: F.element_at("__m", x["name"])))
-    both = both.withColumn("used", names(F.col("__hit"))).withColumn("missing", names(F.filter("__refs", lambda x: ~held(x))))
-    return both.drop("__key", "__m", "__refs", "__hit")
+    held = by_name(vault.withColumn("value", F.col(value)), key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
+    both = df.join(held, df[key] == F.col("__key"), "left").withColumn("__x", expanded(F.col(text_col), F.col("__m")))
+    return both.withColumn("expanded", F.col("__x.text")).withColumn("used", F.col("__x.used")).withColumn("missing", F.col("__x.missing")).drop("__key", "__m", "__x")
 
 
 def variable_collisions(names: DataFrame, name_col: str = "name") -> DataFrame:

@@ -7,6 +7,7 @@ decisions) is DataFrame work.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .vault import by_name
 
 REF = re.compile(R.REF)
 HEREDOC = re.compile(r"<<(-?)[ \t]*(?:'([^'\n]*)'|\"([^\"\n]*)\"|((?:\\.|[^\s<>|&;()'\"])+))")
@@ -80,7 +82,12 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def expand_command(text: str, known: set[str] | None = None, variable=lambda name: "V_" + name) -> dict:
+def variable(name: str) -> str:
+    """The environment variable of a reference name, as ``predicates.variable_name`` has it."""
+    return f"__VEIL_{re.sub('[^A-Za-z0-9]', '_', name).upper()}_{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+
+
+def expand_command(text: str, known: set[str] | None = None) -> dict:
     """References by disposition, the command with variables in their place, and the variables it needs."""
     spans, refs, out, since, env = scan(text), [], [], 0, {}
     for m in REF.finditer(text):
@@ -119,18 +126,19 @@ REFS = "array<struct<start:int,end:int,name:string,disposition:string,context:st
 def lex(commands: Column) -> Column:
     """References, rewritten command and write targets of each command; null stays null."""
 
-    @F.pandas_udf(f"struct<refs:{REFS},command:string,targets:array<string>>")
+    @F.pandas_udf(f"struct<refs:{REFS},command:string,targets:array<string>,env:map<string,string>>")
     def scanned(commands: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if c is None else ((x := expand_command(c))["refs"], x["command"], write_targets(c)) for c in commands]
+        rows = [(None, None, None, None) if c is None else ((x := expand_command(c))["refs"], x["command"], write_targets(c), x["env"]) for c in commands]
         names = ("start", "end", "name", "disposition", "context")
-        refs = [None if r is None else [dict(zip(names, y, strict=True)) for y in r] for r, _, _ in rows]
-        return pd.DataFrame({"refs": refs, "command": [c for _, c, _ in rows], "targets": [t for _, _, t in rows]})
+        refs = [None if r is None else [dict(zip(names, y, strict=True)) for y in r] for r, *_ in rows]
+        return pd.DataFrame({"refs": refs, "command": [r[1] for r in rows], "targets": [r[2] for r in rows], "env": [r[3] for r in rows]})
 
     return scanned(commands)
 
 
 def classify(df: DataFrame, vault: DataFrame, key: str, command_col: str = "command") -> DataFrame:
-    """``df`` with classified references, the rewritten command (variable names, never values), targets, and whether it is blocked.
+    """``df`` with classified references, the rewritten command (variable names, never values), ``env`` (variable to name of each reference that
+    expands), targets, issues, and whether it is blocked.
 
     A reference the vault lacks is ``unknown``; one in a comment or a quoted
     here-document is ``inert``.  Known inert references block; unknown inert ones are prose.
@@ -141,6 +149,18 @@ def classify(df: DataFrame, vault: DataFrame, key: str, command_col: str = "comm
     refs = F.transform("__lex.refs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["name"].alias("name"), F.when(~held(x), "unknown").otherwise(x["disposition"]).alias("disposition"), x["context"].alias("context")))
     both = both.withColumn("refs", refs)
     inert_place = lambda x: x["context"].isin("comment", "inert")
-    bad = F.exists("refs", lambda x: (x["disposition"] == "inert") | ((x["disposition"] == "unknown") & ~inert_place(x) & (x["name"] != R.RESERVED)))
+    held_inert = lambda x: (x["disposition"] == "inert") & (x["name"] != R.RESERVED)
+    bad = F.filter("refs", lambda x: held_inert(x) | (x["disposition"] == "unknown") & ~inert_place(x) & (x["name"] != R.RESERVED))
+    why = lambda x: F.when(x["disposition"] == "inert", F.format_string("{{sec:%s}} stands where the shell does not expand it", x["name"])).otherwise(F.format_string("sec:%s is not in the vault", x["name"]))
+    issues = F.transform(bad, why)
+    env = F.map_filter("__lex.env", lambda _, n: F.exists("refs", lambda x: (x["name"] == n) & (x["disposition"] == "expand")))
     warn = (F.size("refs") > 0) & (F.size("__lex.targets") > 0)
-    return both.withColumn("targets", F.col("__lex.targets")).withColumn("rewritten", F.col("__lex.command")).withColumn("blocked", bad).withColumn("warned", warn).drop("__lex", "__key", "__names")
+    return both.withColumn("targets", F.col("__lex.targets")).withColumn("rewritten", F.col("__lex.command")).withColumn("env", env).withColumn("issues", issues).withColumn("blocked", F.size("issues") > 0).withColumn("warned", warn).drop("__lex", "__key", "__names")
+
+
+def environment(df: DataFrame, vault: DataFrame, key: str, out: str = "environment") -> DataFrame:
+    """Classified commands with the variables that their process gets, and the values: the one place where values are delivered."""
+    held = by_name(vault, key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
+    both = df.join(held, df[key] == F.col("__key"), "left")
+    values = F.transform_values("env", lambda _, n: F.element_at("__m", n)["value"])
+    return both.withColumn(out, F.when(F.col("blocked"), F.create_map().cast("map<string,string>")).otherwise(values)).drop("__key", "__m")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from .naming import adopted_base
+from .naming import adopted_base, free_name
 
 KEYS = ["session_id", "name"]
 
@@ -22,11 +22,26 @@ def is_storable(name: Column, value: Column) -> Column:
 
 
 def upsert(changes: DataFrame) -> DataFrame:
-    """The vault after ``changes`` in order of ``seq``: the latest value of a name, at the place of its first."""
+    """The vault after ``changes`` in order of ``seq``: the latest value of a name, at the place of its first.
+
+    A name whose shell variable an earlier name of the session has is refused:
+    a command that asks for one must never get the other.
+    """
     good = changes.where(is_storable(F.col("name"), F.col("value")))
     last = F.struct("seq", "value", "source", "added_at")
     merged = good.groupBy(*KEYS).agg(F.max(last).alias("l"), F.min("seq").alias("seq"))
-    return merged.select(*KEYS, "l.value", "l.source", "l.added_at", "seq")
+    same = Window.partitionBy("session_id", P.variable_name(F.col("name"))).orderBy("seq", "name")
+    return merged.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*KEYS, "l.value", "l.source", "l.added_at", "seq")
+
+
+def by_name(vault: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``key`` and the map ``held`` from each name to its columns; of a name held twice the latest (by ``seq``, else the greatest) counts.
+
+    A session's names stay together in one row: some 100 bytes a name, without the values unless asked for.
+    """
+    one = F.struct(*columns)
+    latest = F.max_by(one, F.struct("seq", one)) if "seq" in vault.columns else F.max(one)
+    return vault.groupBy(key, "name").agg(latest.alias("__o")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "__o"))).alias("held"))
 
 
 def with_details(vault: DataFrame) -> DataFrame:
@@ -86,7 +101,5 @@ def adopt(hits: DataFrame, vault: DataFrame, cap: int = R.ADOPT_CAP) -> DataFram
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("f.seq", "f.start", "value"))
     new = new.withColumn("n", order).where(F.col("n") + F.coalesce("held", F.lit(0)) <= cap)
     rank = F.row_number().over(Window.partitionBy("session_id", "base").orderBy("n"))
-    in_use = F.size(F.filter(F.coalesce("used", F.array().cast("array<string>")), lambda u: (u == F.col("base")) | u.rlike(r"-[0-9]+\z") & (F.regexp_replace(u, r"-[0-9]+\z", "") == F.col("base"))))
-    k = rank + in_use
-    new = new.select("session_id", "value", F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), k)).alias("new"))
+    new = new.withColumn("rank", rank).select("session_id", "value", free_name(F.col("base"), F.col("used"), F.col("rank")).alias("new"))
     return rows.join(new, ["session_id", "value"], "left").select("session_id", "value", F.coalesce("old", "new").alias("name"))

@@ -5,10 +5,14 @@ All reads go through Spark's readers, so any store that Spark can open will do.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES, NUL_BYTES, MAX_ROWS = 1 << 20, 8192, 500
+#: Characters by which a canary is looked for.
+PROBE = 8
 
 
 def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -20,32 +24,53 @@ def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
 
 
 def listing(spark: SparkSession, path: str, fragment: str = "", limit: int = MAX_ROWS) -> DataFrame:
-    """Names below ``path`` that start with ``fragment``: folders first, then by name.  The limit is part of the listing."""
-    root = path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    below = F.substring_index("path", root.split(":", 1)[-1].rstrip("/") + "/", -1)
-    name = F.substring_index(below, "/", 1)
-    rows = files.select(name.alias("name"), below.contains("/").alias("folder"), "length").where(F.col("name").startswith(fragment))
-    return rows.groupBy("name", "folder").agg(F.sum("length").alias("bytes")).orderBy(F.desc("folder"), "name").limit(limit)
+    """Names in ``path`` that start with ``fragment``: the folder above, then folders, then files by name.  The limit is part of the listing.
+
+    One level is listed by the store itself; what lies below is not read.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = [("..", True, 0)] if "..".startswith(fragment) and where.getParent() is not None else []
+    steps = store.listStatusIterator(where)
+    while steps.hasNext():
+        one = steps.next()
+        if (name := one.getPath().getName()).startswith(fragment):
+            rows.append((name, one.isDirectory(), one.getLen()))
+    rows.sort(key=lambda r: (r[0] != "..", not r[1], r[0]))
+    return spark.createDataFrame(rows[:limit], "name string, folder boolean, bytes long")
 
 
 def leak_sweep(texts: DataFrame, canaries: DataFrame, text_col: str = "text") -> DataFrame:
-    """``canary, leaks, examined``: rows that hold each canary; raises if there was nothing to examine.
+    """``canary, leaks, examined, verdict``: rows that hold each canary, of how many, and clean, hit or nothing examined.
 
-    Canaries are a stated query set, joined as one array to every row.
+    Canaries of any number are looked for by their first ``PROBE`` characters: the
+    distinct windows of that length of each text are met by an equality join
+    (by broadcast while the canaries are few), and a hit is tested whole.
+    Canaries shorter than that are left out.
     """
-    examined = texts.count()
-    if not examined:
-        raise ValueError("the sweep examined nothing")
-    listed = canaries.agg(F.collect_set("canary").alias("c"))
-    hits = texts.select(text_col).join(F.broadcast(listed), F.lit(True)).select(F.explode(F.filter("c", lambda c: F.col(text_col).contains(c))).alias("canary"))
-    counts = hits.groupBy("canary").agg(F.count("*").alias("leaks"))
-    return canaries.select("canary").distinct().join(counts, "canary", "left").select("canary", F.coalesce("leaks", F.lit(0)).cast("long").alias("leaks"), F.lit(examined).cast("long").alias("examined"))
+    wanted = canaries.where(F.length("canary") >= PROBE).select("canary", F.substring("canary", 1, PROBE).alias("probe")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    windows = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PROBE}}}))"), F.lit(1)))
+    each = texts.select(text.alias("text"), windows.alias("w")).select("text", F.explode_outer("w").alias("probe"))
+    counts = each.join(wanted, "probe").where(F.col("text").contains(F.col("canary"))).groupBy("canary").agg(F.count("*").alias("leaks"))
+    examined = texts.agg(F.count("*").alias("examined"))
+    rows = wanted.select("canary").join(counts, "canary", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)).cast("long")).crossJoin(F.broadcast(examined))
+    return rows.withColumn("verdict", F.when(F.col("examined") == 0, "nothing examined").when(F.col("leaks") > 0, "hit").otherwise("clean"))
 
 
 def write_snapshot(masked: DataFrame, path: str) -> None:
-    """Publishes masked output; a failed job commits nothing, since Spark moves files at its end only."""
-    masked.write.mode("overwrite").parquet(path)
+    """Publishes masked output whole: written aside, then put in place of the old one, which stays if the job fails."""
+    spark = masked.sparkSession
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    aside = here.suffix(f"-{uuid.uuid4().hex}")
+    masked.write.parquet(aside.toString())
+    store = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = here.suffix(f"-old-{uuid.uuid4().hex}")
+    if store.exists(here):
+        store.rename(here, old)
+    if not store.rename(aside, here):
+        raise OSError(f"cannot put the snapshot in place at {path}")
+    store.delete(old, True)
 
 
 def append_receipts(captured: DataFrame, path: str) -> None:
