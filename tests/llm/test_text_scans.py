@@ -251,6 +251,48 @@ def test_audio_reader_resynchronises():
     assert mpeg.parse(b"")["offsets"] == []
 
 
+def slow_crc(bits):
+    """CRC-16 of the format, bit by bit."""
+    crc = 0xFFFF
+    for bit in bits:
+        top = crc >> 15 & 1
+        crc = crc << 1 & 0xFFFF
+        if top != int(bit):
+            crc ^= 0x8005
+    return crc
+
+
+def test_checksums_of_layers_one_and_two():
+    """Frames with random allocations, whose covered bits are counted here by hand."""
+    import random
+
+    rng = random.Random(6)
+    # layer bits, bitrate index, mode byte, covered bits but for scale factor selections, widths for the selections
+    cases = [
+        (3, 4, 0xC0, 4 * 32, None, 1),  # layer I, mono
+        (3, 4, 0x00, 8 * 32, None, 1),  # layer I, stereo
+        (3, 4, 0x50, 4 * (2 * 8 + 24), None, 1),  # layer I, joint from subband 8
+        (2, 2, 0xC0, 2 * 4 + 6 * 3, [4] * 2 + [3] * 6, 2),  # layer II, mono, 48 kbit/s: 8 subbands
+        (2, 10, 0xC0, 11 * 4 + 12 * 3 + 7 * 2, [4] * 11 + [3] * 12 + [2] * 7, 2),  # layer II, mono, 192 kbit/s: 30
+    ]
+    for layer_bits, index, mode, covered, widths, layer in cases:
+        frame = bytearray((0xFF, 0xF8 | (layer_bits << 1), index << 4, mode))
+        h = mpeg.header(bytes(frame), 0)
+        assert (h["layer"], h["crc"]) == (layer, True)
+        frame += bytes(2) + bytes(rng.randrange(256) for _ in range(h["size"] - 6))
+        body = mpeg.bits_of(bytes(frame[6:]))
+        if widths:
+            x = 0
+            for w in widths:
+                covered += 2 * ("1" in body[x : x + w])
+                x += w
+        frame[4:6] = slow_crc(mpeg.bits_of(bytes(frame[2:4])) + body[:covered]).to_bytes(2, "big")
+        good = bytes(frame) * 3
+        assert (mpeg.parse(good)["crc_checked"], mpeg.parse(good)["crc_bad"]) == (3, 0)
+        frame[6] ^= 0x40
+        assert mpeg.parse(good[: h["size"]] + bytes(frame) * 2)["crc_bad"] == 2
+
+
 def test_audio_column(spark):
     media = mpeg.encode(b"x" * 4000)
     rows = mpeg.probe_streams(spark.createDataFrame([("a", bytearray(media)), ("b", None)], "path string, content binary")).collect()

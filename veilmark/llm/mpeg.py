@@ -4,7 +4,7 @@
 (CRC protected, silent: all side information is zero), after an ID3v2 tag and
 an information frame with the frame count, the byte count and a seek table.
 ``parse`` is the general reader: it passes over tags, resynchronises on frame
-headers that a second header confirms, verifies checksums, reads Xing, Info
+headers that a second header confirms, verifies checksums of all three layers, reads Xing, Info
 and VBRI tables, and returns exact durations and frame offsets.
 
 Null or empty text is a payload of 64 zero bytes.  Bytes that are no frames are
@@ -54,6 +54,46 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(bits: str) -> int:
+    """The checksum of a string of 0 and 1: whole bytes by table, the rest bit by bit."""
+    whole = len(bits) // 8 * 8
+    crc = crc16(int(bits[:whole] or "0", 2).to_bytes(whole // 8, "big"))
+    for bit in bits[whole:]:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ (bit == "1") else 0)
+    return crc
+
+
+def allocation_widths(h: dict) -> list[int]:
+    """Bits of each subband's allocation in layer II."""
+    if h["version"] != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h["kbit"] if h["mono"] else h["kbit"] // 2
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if h["hz"] == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if h["hz"] == 48000 or each <= 80 else 7)
+
+
+def protected_bits(b: bytes, at: int, h: dict) -> str:
+    """What the checksum of a frame covers: half of the header, and of layer I the allocations, of layer II those and the selection of scale factors."""
+    start = at + 6
+    body = bits_of(b[start : start + 96])
+    channels = 1 if h["mono"] else 2
+    widths = [4] * 32 if h["layer"] == 1 else allocation_widths(h)
+    # Joint stereo: from this subband on, one allocation serves both channels.
+    bound = min(len(widths), 4 * ((b[at + 3] >> 4 & 3) + 1)) if b[at + 3] >> 6 == 1 else len(widths)
+    x = used = 0
+    for band, width in enumerate(widths):
+        own = channels if band < bound else 1
+        for _ in range(own):
+            used += ("1" in body[x : x + width]) * (channels // own)
+            x += width
+    return bits_of(b[at + 2 : at + 4]) + body[: x + (2 * used if h["layer"] == 2 else 0)]
+
+
+def bits_of(b: bytes) -> str:
+    return "".join(f"{byte:08b}" for byte in b)
+
+
 def header(b: bytes, at: int) -> dict | None:
     """The frame header at ``at``, or None."""
     if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
@@ -117,10 +157,10 @@ def parse(b: bytes) -> dict:
     while at < end:
         h = header(b, at)
         if h and at + h["size"] <= end and h["size"] > 4 and (locked or at + h["size"] == end or header(b, at + h["size"])):
-            if h["crc"] and h["layer"] == 3:
+            if h["crc"]:
                 checked += 1
-                body = bytes(b[at + 2 : at + 4]) + bytes(b[at + 6 : at + 6 + h["side"]])
-                bad_crc += crc16(body) != int.from_bytes(b[at + 4 : at + 6], "big")
+                own = crc16(b[at + 2 : at + 4] + b[at + 6 : at + 6 + h["side"]]) if h["layer"] == 3 else crc16_bits(protected_bits(b, at, h))
+                bad_crc += own != int.from_bytes(b[at + 4 : at + 6], "big")
             if table is None and not heads and (table := seek_table(b, at, h)):
                 table["offset"] = at
             else:
