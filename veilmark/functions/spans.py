@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -24,6 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once for each row whatever is done with it later.
+
+    A generator stands between: Spark does not copy what it computes into filters
+    below it, as it does with plain columns, which would repeat every search.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def part(x: Column, first: Column, end: Column) -> Column:
     """Elements [first, end) of an array; ``slice`` copies the whole array each time."""
     return F.transform(F.sequence(first, end - 1), lambda j: F.get(x, j))

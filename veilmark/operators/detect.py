@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import by_cluster, matches, overlaps, searched, template, value_row
+from ..functions.spans import by_cluster, matches, once, overlaps, searched, template, value_row
 
 FINDING = "struct<start:int,end:int,value:string,confidence:string,hint:string,evidence:string,rule:int>"
 NONE = f"array<{FINDING}>"
@@ -152,7 +152,7 @@ def with_findings(df: DataFrame, text_col: str = "text", out: str = "findings",
         df = df.withColumn("__values", F.transform("__base", lambda b: b["value"]))
         df = df.withColumn("__uris", F.when(low.contains(";base64"), F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"])).otherwise(F.array().cast("array<int>")))
         found = F.array_sort(F.concat("__base", guesses(text, F.col("__values"), F.col("__uris"), F.col("__refs"), F.col("__pem"))))
-    return df.withColumn(out, found).drop("__t", "__low", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
+    return once(df, "__every", found).withColumn(out, F.col("__every")).drop("__every", "__t", "__low", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
 
 
 def findings(df: DataFrame, id_cols: list[str], text_col: str = "text", tiers: str = "all") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import by_cluster, cut_and_join, let, matches, overlaps, searched, slicer, template, value_row
+from ..functions.spans import by_cluster, cut_and_join, let, matches, once, overlaps, searched, slicer, template, value_row
 
 _BLANK = "[ \\t\\n\\r\\f\\x0B]"
 _GAP = _BLANK + "*"
@@ -92,7 +92,7 @@ def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text
     both = df.join(forms_by_key(vault, key, token), df[key] == F.col("__key"), "left")
     text = F.col(text_col)
     spans = value_spans(text, F.coalesce("__forms", F.array().cast(FORM)))
-    both = both.withColumn("__spans", spans)
+    both = once(both, "__spans", spans)
     return both.withColumn(out, cut_and_join(text, F.col("__spans"), lambda x: x["token"])).withColumn("hits", F.size("__spans")).drop("__key", "__forms", "__spans")
 
 
@@ -145,7 +145,7 @@ def shape_hits(text: Column, hints: bool = True) -> Column:
 def mask_shapes(df: DataFrame, text_col: str = "text", out: str = "masked", hits: str = "hits") -> DataFrame:
     """``df`` with credential shapes masked and their number."""
     text = F.col(text_col)
-    df = df.withColumn("__shapes", shape_hits(text, hints=False))
+    df = once(df, "__shapes", shape_hits(text, hints=False))
     return df.withColumn(out, cut_and_join(text, F.col("__shapes"), lambda x: F.lit(R.MARKER))).withColumn(hits, F.size("__shapes")).drop("__shapes")
 
 
@@ -185,6 +185,6 @@ def apply_capture(df: DataFrame, items: str = "items", text_col: str = "text") -
     twice = lambda x: F.array_contains("__twice", x["name"])
     clear = slicer(text, lambda between: F.filter(order, lambda x: ~twice(x) & (between(x["start"], x["end"]) == x["value"])))
     first = lambda own: F.aggregate(own, F.array().cast(kind), lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.element_at(a, -1)["end"]), a).otherwise(F.array_append(a, x)))
-    df = df.withColumn("captured", by_cluster(clear, first)).withColumn("name_conflicts", F.size(F.filter(items, twice)))
+    df = once(df, "__captured", by_cluster(clear, first)).withColumn("captured", F.col("__captured")).drop("__captured").withColumn("name_conflicts", F.size(F.filter(items, twice)))
     df = df.withColumn("stale_spans", F.size(items) - F.size("captured") - F.col("name_conflicts")).drop("__twice", "__names")
     return df.withColumn("rewritten", cut_and_join(text, F.col("captured"), lambda x: P.ref_token(x["name"])))
