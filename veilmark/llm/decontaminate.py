@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow, column_ddl, pa_schema, scratch, settled, text_batches
+from .shared import arrow, column_ddl, fresh, pa_schema, scratch, settled, text_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -270,7 +270,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     whole item of fewer.  It goes with what stands between its words, and a blank
     takes its place.  Shorter spans than ``min_words`` stay, but count towards the share.
     """
-    found = hits(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), benchmark, window, block_words, True)
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(True).alias(fresh(others, "beside")), *(F.col(f"`{c}`") for c in others))
+    found = hits(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), benchmark, window, block_words, True)
     kept = found.where((F.col("n_words") == 0) | (_hit_words() <= F.col("n_words") * max_share))
     kept = kept.withColumn("spans", F.filter("spans", lambda s: s[1] - s[0] >= min_words))
 
@@ -280,5 +282,5 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     tail = F.substring(F.col("text"), (F.element_at("spans", -1)[3] + 1).cast("int"), F.length("text"))
     new = F.concat(F.array_join(F.transform("spans", before), " "), F.lit(" "), tail)
-    row = F.when(F.size("spans") > 0, F.col("row").withField(f"`{text_col}`", new)).otherwise(F.col("row"))
-    return kept.select(row.alias("row")).select("row.*")
+    text = F.when(F.size("spans") > 0, new).otherwise(F.col("text"))
+    return kept.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -72,7 +72,11 @@ def frequent_shingles(docs: DataFrame, size: int, text_col: str = "text") -> Dat
         seen, held, room = set(), [], 0
 
         def flush():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()  # in place: np.unique would hold three copies
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            tokens, counts = every[first], np.diff(first, append=len(every))
             often = counts >= SEEN
             return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], schema=schema)
 

@@ -84,7 +84,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 1 << 19) ->
         step = max(1, max_chars // lengths)
         for at in range(0, len(texts), step):
             yield ids.slice(at, step).to_pylist(), [t or "" for t in texts.slice(at, step).to_pylist()]
-    pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
 
 
 def column_ddl(df: DataFrame, name: str, as_name: str | None = None) -> str:
@@ -110,13 +110,13 @@ def arrow(columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB in place of Spark's default of 64 MB, so that two tasks fit a small executor; a value set by the user stays.
+    """Arrow batches of 4 MB in place of Spark's default of 64 MB, so that two tasks fit a small executor; a value set by the user stays.
 
     A setting of the session: the registered queries and stages call this, the operators do not.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in (None, "67108864", "67108864b", "64m", "64MB"):
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "4m")
 
 
 def pa_schema(ddl: str) -> pa.Schema:
