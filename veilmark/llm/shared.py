@@ -29,12 +29,25 @@ def settled(df: DataFrame) -> DataFrame:
 
     Inside ``scratch`` the table goes at its end; else it stays until ``clear``.
     """
-    spark = df.sparkSession
+    path = _new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str) -> DataFrame:
+    """As ``settled``, of all ``parts`` in one table: each is written before the next is asked for."""
+    path = _new_path(spark)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _new_path(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/veilmark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if (paths := _OPEN.get()) is not None:
         paths.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
