@@ -20,8 +20,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ BUCKET = 4
 #: Displacements that are tried together.
 TRIES = 256
 #: Merged pre-tokens that a worker remembers.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 18
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -107,7 +110,6 @@ class Vocabulary:
         if len(ranks) > MAX_ENTRIES or not all(bytes([b]) in ranks for b in range(256)):
             raise ValueError(f"a vocabulary has all single bytes and at most {MAX_ENTRIES} entries")
         self.ranks, self.pattern = ranks, pattern
-        self.of = {rank: token for token, rank in ranks.items()}
         tokens = list(ranks)
         lengths = np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -118,6 +120,11 @@ class Vocabulary:
         self.starts, self.lengths, self.ids = (np.empty(len(tokens), np.int64) for _ in range(3))
         self.starts[slot], self.lengths[slot], self.ids[slot] = starts, lengths, np.fromiter(ranks.values(), np.int64, len(tokens))
         self.buffer = buffer
+        self.singles = [ranks[bytes([b])] for b in range(256)]
+        #: The rank of each pair of bytes, or -1.
+        self.pairs = [ranks.get(bytes(divmod(i, 256)), -1) for i in range(1 << 16)]
+        self.slot_of = np.full(max(ranks.values()) + 1, -1, np.int64)
+        self.slot_of[self.ids] = np.arange(len(tokens))
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -138,65 +145,97 @@ class Vocabulary:
         out[same[good]] = self.ids[slot[same[good]]]
         return out
 
-    def merged(self, piece: bytes) -> list[int]:
+    def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no entry: the pair of lowest rank is joined first, of equal ones the first."""
-        n, rank = len(piece), self.ranks.get
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        # A pair is known by its start and end; one that a join has changed no longer ends there.
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        n, rank, pairs = len(piece), self.ranks.get, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # A key holds rank and place, and each place has one key that counts: that of the pair which begins there now.
+        own = [pairs[a << 8 | b] for a, b in pairwise(piece)]
+        own = [r << 32 | i if r >= 0 else -1 for i, r in enumerate(own)]
+        own.append(-1)
+        ids = [self.singles[b] for b in piece]
+        heap = [key for key in own if key >= 0]
         heapify(heap)
         while heap:
-            _, i, end = heappop(heap)
-            middle = after[i]
-            if middle == 0 or middle >= n or after[middle] != end:
+            key = heappop(heap)
+            i = key & 0xFFFFFFFF
+            if own[i] != key:
                 continue
-            after[i], after[middle] = end, 0
+            middle = after[i]
+            ids[i] = key >> 32
+            after[i] = end = after[middle]
+            own[middle] = own[i] = -1
             if end < n:
                 before[end] = i
                 if (r := rank(piece[i : after[end]])) is not None:
-                    heappush(heap, (r, i, after[end]))
-            if i > 0 and (r := rank(piece[before[i] : end])) is not None:
-                heappush(heap, (r, before[i], end))
+                    own[i] = key = r << 32 | i
+                    heappush(heap, key)
+            if i:
+                i = before[i]
+                own[i] = -1
+                if (r := rank(piece[i:end])) is not None:
+                    own[i] = key = r << 32 | i
+                    heappush(heap, key)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
-        return out
+        return tuple(out)
 
-    def encode(self, texts: list[str], memory: dict[bytes, list[int]] | None = None) -> Iterable[list[int]]:
-        """The ids of each text; ``memory`` keeps merged pre-tokens from slice to slice."""
-        memory = {} if memory is None else memory
+    def encode_slice(self, texts: list[str], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where those of each text end; ``memory`` keeps merged pre-tokens from slice to slice."""
         find = regex.compile(self.pattern).findall
         parts = [find(t) for t in texts]
-        if any(len("".join(p)) != len(t) for p, t in zip(parts, texts, strict=True)):
-            raise ValueError("the pattern passes over some characters")
         flat = [x for p in parts for x in p]
-        data = "".join(flat).encode()
-        buffer = np.frombuffer(data, np.uint8)
-        chars = np.append(np.flatnonzero((buffer & 0xC0) != 0x80), len(buffer))
-        bounds = chars[np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))] if flat else np.empty(0, np.int64)
-        starts = np.concatenate(([0], bounds[:-1])).astype(np.int64) if flat else bounds
-        ids = self.whole(buffer, starts, bounds - starts).tolist() if flat else []
-        at = 0
-        for p in parts:
-            out: list[int] = []
-            for k in range(at, at + len(p)):
-                if ids[k] >= 0:
-                    out.append(ids[k])
-                    continue
-                piece = data[starts[k] : bounds[k]]
-                known = memory.get(piece)
-                if known is None:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[piece] = known = self.merged(piece)
-                out += known
-            at += len(p)
-            yield out
+        if sum(map(len, flat)) != sum(map(len, texts)):
+            raise ValueError("the pattern passes over some characters")
+        per_text = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        if not flat:
+            return np.empty(0, np.int32), per_text
+        buffer = np.frombuffer("".join(flat).encode(), np.uint8)
+        bounds = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+        if len(buffer) != bounds[-1]:  # offsets of characters become offsets of bytes
+            bounds = np.append(np.flatnonzero((buffer & 0xC0) != 0x80), len(buffer))[bounds]
+        starts = np.concatenate(([0], bounds[:-1]))
+        ids = self.whole(buffer, starts, bounds - starts)
+        rest = np.flatnonzero(ids < 0)
+        joined: list[tuple[int, ...]] = []
+        for k in rest.tolist():
+            known = memory.get(flat[k])
+            if known is None:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[flat[k]] = known = self.merged(flat[k].encode())
+            joined.append(known)
+        counts = np.ones(len(flat), np.int64)
+        counts[rest] = np.fromiter(map(len, joined), np.int64, len(joined))
+        ends = np.cumsum(counts)
+        out = np.empty(ends[-1], np.int32)
+        single = np.ones(len(out), bool)
+        if len(rest):
+            single[np.repeat(ends[rest] - counts[rest], counts[rest]) + np.arange(counts[rest].sum()) - np.repeat(np.cumsum(counts[rest]) - counts[rest], counts[rest])] = False
+        out[single] = ids[ids >= 0]
+        out[~single] = np.fromiter(chain.from_iterable(joined), np.int32, len(out) - int(single.sum()))
+        return out, np.concatenate(([0], ends))[per_text]
+
+    def encode(self, texts: list[str], memory: dict[str, tuple[int, ...]] | None = None) -> Iterable[list[int]]:
+        """The ids of each text."""
+        ids, ends = self.encode_slice(texts, {} if memory is None else memory)
+        starts = np.concatenate(([0], ends[:-1]))
+        return (ids[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+
+    def decode_slice(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes behind the ids of each text."""
+        slot = self.slot_of[ids]
+        size = self.lengths[slot]
+        last = np.cumsum(size)
+        data = self.buffer[np.repeat(self.starts[slot] - (last - size), size) + np.arange(last[-1] if len(last) else 0)].tobytes()
+        bounds = np.concatenate(([0], last))[np.concatenate(([0], ends))].tolist()
+        return [data[a:b] for a, b in pairwise(bounds)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.of.__getitem__, ids))
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_slice(ids, np.array([len(ids)]))[0]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,9 +245,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        memory: dict[bytes, list[int]] = {}
+        memory: dict[str, tuple[int, ...]] = {}
         for keys, texts in text_batches(batches):
-            yield arrow([keys, list(shared.value.encode(texts, memory))], schema)
+            ids, ends = shared.value.encode_slice(texts, memory)
+            yield arrow([keys, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))], schema)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
 
@@ -224,6 +264,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
             step = max(1, len(batch) * (1 << 19) // max(1, batch.nbytes))
             for at in range(0, len(batch), step):
                 keys, ids = (c.slice(at, step) for c in batch.columns)
-                yield arrow([keys, ids, [shared.value.decode(x or ()) for x in ids.to_pylist()]], schema)
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+                yield arrow([keys, ids, shared.value.decode_slice(ids.flatten().to_numpy(), np.cumsum(sizes))], schema)
 
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, ddl)

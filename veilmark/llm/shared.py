@@ -119,7 +119,7 @@ def map_texts(df: DataFrame, one: Callable[[str], tuple], schema: str, id_col: s
 
 def arrow(columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
     """A batch of ``schema`` from its columns."""
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def small_batches(spark: SparkSession) -> None:
