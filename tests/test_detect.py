@@ -180,6 +180,15 @@ REF = "{{sec:w}}"
         (f"cat <<-E\n\t{REF}\n\tE\necho $((1<<2)) {REF}", 'cat <<-E\n\t${V_w}\n\tE\necho $((1<<2)) "$V_w"', ["expand", "expand"]),
         (f"cat <<< {REF}", 'cat <<< "$V_w"', ["expand"]),
         (f"echo \\' {REF} '", "echo \\' \"$V_w\" '", ["expand"]),
+        (f"echo '{REF}", f"echo '{REF}", ["inert"]),
+        (f"echo 'x\nrun \"{REF}", f"echo 'x\nrun \"{REF}", ["inert"]),
+        (f"(cd x; ls)#{REF}", f"(cd x; ls)#{REF}", ["inert"]),
+        (f"a$(ls)#{REF}", 'a$(ls)#"$V_w"', ["expand"]),
+        (f"(a $(b) c)#{REF}\nd {REF}", f'(a $(b) c)#{REF}\nd "$V_w"', ["inert", "expand"]),
+        (f"echo \\{REF}", f"echo \\{REF}", ["inert"]),
+        (f'echo "\\{REF}"', f'echo "\\{REF}"', ["inert"]),
+        (f"echo \\\\{REF}", 'echo \\\\"$V_w"', ["expand"]),
+        (f"echo '\\{REF}'", "echo '\\'\"$V_w\"''", ["expand"]),
     ],
 )
 def test_shell(command, rewritten, states):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
 from ..functions.spans import by_cluster, matches, once, overlaps, searched, template, value_row
 
 FINDING = "struct<start:int,end:int,value:string,confidence:string,hint:string,evidence:string,rule:int>"
@@ -135,28 +136,31 @@ def guesses(text: Column, values: Column, uris: Column, refs: Column, regions: C
 
 def with_findings(df: DataFrame, text_col: str = "text", out: str = "findings", tiers: str = "all") -> DataFrame:
     """``df`` with the array column ``out``; ``tiers``: ``all``, or ``evidenced`` without the entropy tier."""
-    text, low = F.col("__t"), F.col("__low")
+    t, l, refs, pem, hits, base, values, uris, every = fresh([*df.columns, out], "t", "low", "refs", "pem", "hits", "base", "values", "uris", "every")
+    text, low = F.col(t), F.col(l)
     none = F.array().cast("array<struct<start:int,end:int,value:string,key:string>>")
-    df = df.withColumn("__t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__low", F.lower(F.col("__t")))
-    spans = {"__refs": ("{{sec:", R.REF), "__pem": ("-----begin ", R.PEM_REGION)}
-    df = df.withColumns({n: F.when(low.contains(gate), matches(text, pattern)).otherwise(none) for n, (gate, pattern) in spans.items()} | {"__hits": evidenced(text, low)})
+    df = df.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(l, F.lower(F.col(t)))
+    spans = {refs: ("{{sec:", R.REF), pem: ("-----begin ", R.PEM_REGION)}
+    df = df.withColumns({n: F.when(low.contains(gate), matches(text, pattern)).otherwise(none) for n, (gate, pattern) in spans.items()} | {hits: evidenced(text, low)})
 
     def stays(x):
-        held = F.exists("__refs", lambda r: overlaps(r, x)) | F.exists("__pem", lambda r: (x["start"] > r["start"]) & (x["end"] <= r["end"]))
+        held = F.exists(refs, lambda r: overlaps(r, x)) | F.exists(pem, lambda r: (x["start"] > r["start"]) & (x["end"] <= r["end"]))
         url = (x["confidence"] == "kv") & F.lower(F.coalesce(x["hint"], F.lit(""))).contains("url")
         return ~held & ~P.is_path(x["value"]) & (~url | P.is_credential_url(x["value"]))
 
-    df = df.withColumn("__base", F.filter(deduped(F.col("__hits")), stays))
-    found = F.col("__base")
+    df = df.withColumn(base, F.filter(deduped(F.col(hits)), stays))
+    found = F.col(base)
     if tiers == "all":
-        df = df.withColumn("__values", F.transform("__base", lambda b: b["value"]))
-        df = df.withColumn("__uris", F.when(low.contains(";base64"), F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"])).otherwise(F.array().cast("array<int>")))
-        found = F.array_sort(F.concat("__base", guesses(text, F.col("__values"), F.col("__uris"), F.col("__refs"), F.col("__pem"))))
-    return once(df, "__every", found).withColumn(out, F.col("__every")).drop("__every", "__t", "__low", "__refs", "__pem", "__hits", "__base", "__values", "__uris")
+        df = df.withColumn(values, F.transform(base, lambda b: b["value"]))
+        df = df.withColumn(uris, F.when(low.contains(";base64"), F.transform(matches(text, rf"(?i)(?<![^{R.WS}])data:[^{R.WS}]*;base64,?"), lambda x: x["end"])).otherwise(F.array().cast("array<int>")))
+        found = F.array_sort(F.concat(base, guesses(text, *map(F.col, (values, uris, refs, pem)))))
+    return once(df, every, found).withColumn(out, F.col(every)).drop(every, t, l, refs, pem, hits, base, values, uris)
 
 
 def findings(df: DataFrame, id_cols: list[str], text_col: str = "text", tiers: str = "all") -> DataFrame:
     """One row for each finding, with the columns ``id_cols``."""
     # An outer explode: an inner one makes Spark test the array's size in a filter that repeats every search.
-    found = with_findings(df.select(*id_cols, text_col), text_col, "__found", tiers)
-    return found.select(*id_cols, F.explode_outer("__found").alias("f")).where("f is not null").select(*id_cols, "f.start", "f.end", "f.value", "f.confidence", "f.hint", "f.evidence")
+    text, own, f = fresh(id_cols, "text", "found", "f")
+    found = with_findings(df.select(*id_cols, F.col(text_col).alias(text)), text, own, tiers)
+    each = found.select(*id_cols, F.explode_outer(own).alias(f)).where(F.col(f).isNotNull())
+    return each.select(*id_cols, *(F.col(f)[n].alias(n) for n in ("start", "end", "value", "confidence", "hint", "evidence")))

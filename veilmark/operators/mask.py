@@ -1,99 +1,81 @@
 """Masking: known values in raw and encoded form, and credential shapes.
 
-Both passes are projections.  ``hits`` counts masked regions, not distinct
-secrets.  Null text stays null with 0 hits.  Values come in as a DataFrame, never
-as literals, so that no plan or event log holds one.
+Shapes are masked by a projection.  Values are met by an inverted index of their
+forms, and a small function masks the texts that may hold one.  ``hits`` counts
+masked regions, not distinct secrets.  Null text stays null with 0 hits.  Values
+come in as a DataFrame, never as literals, so that no plan or event log holds one.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..functions.spans import by_cluster, cut_and_join, let, matches, once, overlaps, searched, slicer, template, value_row
+from ..functions.columns import fresh
+from ..functions.forms import masked as masked_text
+from ..functions.spans import by_cluster, cut_and_join, let, matches, once, searched, slicer, template, value_row
+from .index import with_candidates
 
-_BLANK = "[ \\t\\n\\r\\f\\x0B]"
-_GAP = _BLANK + "*"
-FORM = "array<struct<pattern:string,probe:string,tight:boolean,token:string>>"
-SPAN = "array<struct<start:int,end:int,token:string>>"
-
-
-def _spaced(form: Column) -> Column:
-    """A pattern that finds ``form`` with white space between any two characters."""
-    return F.array_join(F.transform(F.split(form, "(?<=.)(?=.)"), lambda c: F.when(c == "+", r"\+").otherwise(c)), _GAP)
+FORM = "array<struct<form:string,tight:boolean,grows:string,token:string>>"
 
 
 def value_forms(value: Column, token: Column) -> Column:
-    """Patterns of a value: itself; its encodings over white space; the head and tail of long encodings, grown over their alphabet.
-
-    Each with a probe: a text without it (``tight``: without it once white space
-    is taken out) has no match, so only forms that occur are searched for.
-    """
+    """What a value is looked for as: itself; its encodings, where blanks do not count; the head and tail of long encodings, grown over their alphabet."""
 
-    def form(pattern, probe, tight):
-        return F.struct(pattern.alias("pattern"), probe.alias("probe"), F.lit(tight).alias("tight"), token.alias("token"))
+    def form(text, tight, grows):
+        return F.struct(text.alias("form"), F.lit(tight).alias("tight"), grows.cast("string").alias("grows"), token.alias("token"))
 
-    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     b64 = P.base64_line(value)
     hexed = F.lower(F.hex(value.cast("binary")))
     encodings = F.array_distinct(F.array(b64, F.rtrim(F.translate(b64, "=", " ")), F.rtrim(F.translate(b64, "+/=", "-_ ")), hexed, F.upper(hexed)))
 
-    def alphabet(e):
-        return F.when(e.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), "[0-9a-fA-F]").when(e.rlike("[-_]"), "[A-Za-z0-9_-]").otherwise("[A-Za-z0-9+/=]")
-
     def windows(e):
-        grown = lambda part: form(F.concat(alphabet(e), F.lit("*"), F.replace(part, F.lit("+"), F.lit(r"\+")), alphabet(e), F.lit("*")), part, False)
+        alphabet = F.when(e.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z"), "hex").when(e.rlike("[-_]"), "url").otherwise("base64")
         body = F.rtrim(F.translate(e, "=", " "))
-        return F.when(F.length(e) >= R.WINDOW_FORM, F.array(grown(F.substring(e, 1, R.WINDOW)), grown(F.substring(body, F.length(body) - R.WINDOW + 1, F.lit(R.WINDOW))))).otherwise(F.array().cast(FORM))
+        parts = F.array(F.substring(e, 1, R.WINDOW), F.substring(body, F.length(body) - R.WINDOW + 1, F.lit(R.WINDOW)))
+        return F.when(F.length(e) >= R.WINDOW_FORM, F.transform(parts, lambda x: form(x, True, alphabet))).otherwise(F.array().cast(FORM))
 
-    whole = F.transform(encodings, lambda e: form(_spaced(e), e, True))
-    every = F.concat(F.array(form(quoted, value, False)), whole, F.flatten(F.transform(encodings, windows)))
+    whole = F.transform(encodings, lambda e: form(e, True, F.lit(None)))
+    every = F.concat(F.array(form(value, False, F.lit(None))), whole, F.flatten(F.transform(encodings, windows)))
     return F.when(F.length(value) >= R.MIN_VALUE, F.array_distinct(every)).otherwise(F.array().cast(FORM))
 
 
-def longest_first(spans: Column) -> Column:
-    """Of overlapping spans the longest stays, then the first; by start."""
-
-    def settle(own: Column) -> Column:
-        order = F.array_sort(F.transform(own, lambda x: F.struct((x["start"] - x["end"]).alias("o"), x.alias("x"))))
-        kept = F.aggregate(F.transform(order, lambda k: k["x"]), F.array().cast(SPAN), lambda a, x: F.when(F.exists(a, lambda y: overlaps(x, y)), a).otherwise(F.array_append(a, x)))
-        return F.array_sort(kept)
-
-    return by_cluster(F.array_sort(spans), settle)
-
-
-def value_spans(text: Column, forms: Column) -> Column:
-    """Where the forms of known values stand in a text: disjoint spans (start, end, token)."""
+def forms_of(vault: DataFrame, key: str, token: str | None = R.MARKER) -> DataFrame:
+    """``k, f``: each form of the values of a key; a null ``token`` stands for the value's own reference."""
+    name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
+    return vault.select(F.col(key).alias("k"), F.explode(value_forms(F.col("value"), name)).alias("f"))
 
-    def found(tight: Column) -> Column:
-        def each(f: Column) -> Column:
-            spans = F.transform(matches(text, f["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), f["token"].alias("token")))
-            return F.when(F.when(f["tight"], tight).otherwise(text).contains(f["probe"]), spans).otherwise(F.array().cast(SPAN))
 
-        return longest_first(F.flatten(F.transform(forms, each)))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("masked", T.StringType()), T.StructField("hits", T.IntegerType())])))
+def masked_forms(texts: pa.Array, forms: pa.Array) -> pa.Array:
+    """Each of the texts with its forms masked, and their number; rows without texts are passed over."""
+    out = [None if own is None else [{"masked": m, "hits": n} for t in own for m, n in [masked_text(t, some or [])]] for own, some in zip(texts.to_pylist(), forms.to_pylist(), strict=True)]
+    return pa.array(out, pa.list_(pa.struct([("masked", pa.string()), ("hits", pa.int32())])))
 
-    spans = F.when(F.size(forms) > 0, let(F.regexp_replace(text, _BLANK + "+", ""), found))
-    return F.coalesce(spans, F.array().cast(SPAN))
 
-
-def forms_by_key(vault: DataFrame, key: str, token: str | None = R.MARKER) -> DataFrame:
-    """``__key, __forms``: the forms of all values of a key, as one array; a null ``token`` stands for the value's own reference."""
-    name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
-    return vault.select(F.col(key).alias("__key"), value_forms(F.col("value"), name).alias("f")).groupBy("__key").agg(F.flatten(F.collect_list("f")).alias("__forms"))
+def with_forms_masked(df: DataFrame, texts: str, forms: str, out: str) -> DataFrame:
+    """``df`` with ``out``, array of (masked, hits), for the array column ``texts``; only rows that have ``forms`` go to Python."""
+    has = F.coalesce(F.size(forms) > 0, F.lit(False))
+    done = masked_forms(F.when(has, F.col(texts)), F.when(has, F.col(forms)))
+    same = F.transform(texts, lambda t: F.struct(t.alias("masked"), F.lit(0).alias("hits")))
+    return df.withColumn(out, F.coalesce(done, same))
 
 
 def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", token: str | None = R.MARKER, out: str = "masked") -> DataFrame:
     """``df`` with ``out`` and ``hits``: every known value of the row's ``key`` in ``vault`` (key, name, value) is masked.
 
-    A null ``token`` masks a value with its own reference.
+    A null ``token`` masks a value with its own reference.  Values are met by an
+    index of their forms (``index.with_candidates``), so a key may have any number.
     """
-    both = df.join(forms_by_key(vault, key, token), df[key] == F.col("__key"), "left")
-    text = F.col(text_col)
-    spans = value_spans(text, F.coalesce("__forms", F.array().cast(FORM)))
-    both = once(both, "__spans", spans)
-    return both.withColumn(out, cut_and_join(text, F.col("__spans"), lambda x: x["token"])).withColumn("hits", F.size("__spans")).drop("__key", "__forms", "__spans")
+    texts, forms, done = fresh([*df.columns, out, "hits"], "texts", "forms", "done")
+    own = df.withColumn(texts, F.array_compact(F.array(F.col(text_col))))
+    own = with_forms_masked(with_candidates(own, key, F.col(texts), forms_of(vault, key, token), forms), texts, forms, done)
+    first = F.get(done, F.lit(0))
+    return own.withColumns({out: first["masked"], "hits": F.coalesce(first["hits"], F.lit(0))}).drop(texts, forms, done)
 
 
 HIT = "array<struct<start:int,end:int,value:string,kind:string,hint:string>>"
@@ -145,24 +127,32 @@ def shape_hits(text: Column, hints: bool = True) -> Column:
 def mask_shapes(df: DataFrame, text_col: str = "text", out: str = "masked", hits: str = "hits") -> DataFrame:
     """``df`` with credential shapes masked and their number."""
     text = F.col(text_col)
-    df = once(df, "__shapes", shape_hits(text, hints=False))
-    return df.withColumn(out, cut_and_join(text, F.col("__shapes"), lambda x: F.lit(R.MARKER))).withColumn(hits, F.size("__shapes")).drop("__shapes")
+    (own,) = fresh([*df.columns, out, hits], "shapes")
+    df = once(df, own, shape_hits(text, hints=False))
+    return df.withColumns({out: cut_and_join(text, F.col(own), lambda x: F.lit(R.MARKER)), hits: F.size(own)}).drop(own)
+
+
+def scrub_texts(df: DataFrame, vault: DataFrame, key: str, texts: str, out: str, shapes: bool | Column = True) -> DataFrame:
+    """``df`` with ``out``, array of (masked, hits), for the strings of the array column ``texts``: known values of the row's ``key`` by
+    their references, then credential shapes, then the values of these shapes in any string of the row, bare or encoded
+    (by the marker, as they have no name yet)."""
+    forms, known, found, given, bare = fresh([*df.columns, out], "forms", "known", "found", "given", "bare")
+    df = with_forms_masked(with_candidates(df, key, F.col(texts), forms_of(vault, key, None), forms), texts, forms, known)
+    one = lambda k: F.when(F.lit(shapes) if isinstance(shapes, bool) else shapes, shape_hits(k["masked"], hints=False)).otherwise(F.array().cast(HIT))
+    df = once(df, found, F.transform(known, one))
+    cut = F.zip_with(known, found, lambda k, h: cut_and_join(k["masked"], h, lambda x: F.lit(R.MARKER)))
+    df = df.withColumn(given, cut).withColumn(forms, shape_forms(F.flatten(found)))
+    df = with_forms_masked(df, given, forms, bare)
+    hits = F.zip_with(F.zip_with(known, found, lambda k, h: k["hits"] + F.size(h)), bare, lambda n, b: F.struct(b["masked"].alias("masked"), (n + b["hits"]).alias("hits")))
+    return df.withColumn(out, hits).drop(forms, known, found, given, bare)
 
 
 def scrub(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", shapes: bool | Column = True) -> DataFrame:
-    """``df`` with ``masked`` and ``hits``: known values of the row's ``key`` by their references, then credential shapes, then
-    the values of these shapes where they stand bare or encoded (by the marker in any form, as they have no name yet)."""
-    text = F.col(text_col)
-    none = F.array().cast(FORM)
-    df = df.join(forms_by_key(vault, key, None), df[key] == F.col("__key"), "left")
-    df = df.withColumn("__v", value_spans(text, F.coalesce("__forms", none)))
-    df = df.withColumn("__m", cut_and_join(text, F.col("__v"), lambda x: x["token"]))
-    found = shape_hits(F.col("__m"), hints=False)
-    df = df.withColumn("__h", found if shapes is True else F.when(F.lit(shapes) if isinstance(shapes, bool) else shapes, found).otherwise(F.array().cast(HIT)))
-    df = df.withColumn("__m", cut_and_join(F.col("__m"), F.col("__h"), lambda x: F.lit(R.MARKER))).withColumn("__f", shape_forms(F.col("__h")))
-    df = df.withColumn("__w", value_spans(F.col("__m"), F.col("__f")))
-    df = df.withColumns({"masked": cut_and_join(F.col("__m"), F.col("__w"), lambda x: x["token"]), "hits": F.size("__v") + F.size("__h") + F.size("__w")})
-    return df.drop("__key", "__forms", "__v", "__m", "__h", "__f", "__w")
+    """``df`` with ``masked`` and ``hits``: known values of the row's ``key``, then credential shapes, then the values of these shapes elsewhere in the text."""
+    texts, done = fresh([*df.columns, "masked", "hits"], "texts", "done")
+    own = scrub_texts(df.withColumn(texts, F.array_compact(F.array(F.col(text_col)))), vault, key, texts, done, shapes)
+    first = F.get(done, F.lit(0))
+    return own.withColumns({"masked": first["masked"], "hits": F.coalesce(first["hits"], F.lit(0))}).drop(texts, done)
 
 
 def shape_forms(found: Column) -> Column:
@@ -179,12 +169,13 @@ def apply_capture(df: DataFrame, items: str = "items", text_col: str = "text") -
     text = F.col(text_col)
     kind = "array<struct<start:int,end:int,value:string,name:string>>"
     order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["start"], -x["end"], x["value"], x["name"], x.alias("x")))), lambda k: k["x"])
-    df = df.withColumn("__names", F.array_sort(F.transform(items, lambda y: F.struct(y["name"].alias("name"), y["value"].alias("value")))))
-    other = F.filter("__names", lambda n, i: (n["name"] == F.get("__names", i - 1)["name"]) & (n["value"] != F.get("__names", i - 1)["value"]))
-    df = df.withColumn("__twice", F.array_distinct(F.transform(other, lambda n: n["name"])))
-    twice = lambda x: F.array_contains("__twice", x["name"])
+    names, same, own = fresh([*df.columns, "captured", "name_conflicts", "stale_spans", "rewritten"], "names", "twice", "own")
+    df = df.withColumn(names, F.array_sort(F.transform(items, lambda y: F.struct(y["name"].alias("name"), y["value"].alias("value")))))
+    other = F.filter(names, lambda n, i: (n["name"] == F.get(names, i - 1)["name"]) & (n["value"] != F.get(names, i - 1)["value"]))
+    df = df.withColumn(same, F.array_distinct(F.transform(other, lambda n: n["name"])))
+    twice = lambda x: F.array_contains(same, x["name"])
     clear = slicer(text, lambda between: F.filter(order, lambda x: ~twice(x) & (between(x["start"], x["end"]) == x["value"])))
     first = lambda own: F.aggregate(own, F.array().cast(kind), lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.element_at(a, -1)["end"]), a).otherwise(F.array_append(a, x)))
-    df = once(df, "__captured", by_cluster(clear, first)).withColumn("captured", F.col("__captured")).drop("__captured").withColumn("name_conflicts", F.size(F.filter(items, twice)))
-    df = df.withColumn("stale_spans", F.size(items) - F.size("captured") - F.col("name_conflicts")).drop("__twice", "__names")
+    df = once(df, own, by_cluster(clear, first)).withColumn("captured", F.col(own)).drop(own).withColumn("name_conflicts", F.size(F.filter(items, twice)))
+    df = df.withColumn("stale_spans", F.size(items) - F.size("captured") - F.col("name_conflicts")).drop(same, names)
     return df.withColumn("rewritten", cut_and_join(text, F.col("captured"), lambda x: P.ref_token(x["name"])))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
 from .mask import mask_shapes, scrub
 from .nested import payloads, redact_columns, scrub_columns
 from .policy import PATH_TOOLS
@@ -60,15 +61,15 @@ def mask_outgoing(messages: DataFrame, columns: list[str], vault: DataFrame, opt
 
 def mask_or_redact(df: DataFrame, columns: list[str], broken: Column) -> DataFrame:
     """Nested columns masked; where ``broken`` holds, every string of them replaced: a row that cannot be trusted closes."""
-    masked = scrub_columns(df.withColumn("__broken", broken), columns)
-    kept = df.withColumn("__broken", broken)
-    closed = redact_columns(kept, columns)
-    return masked.where("not coalesce(__broken, true)").unionByName(closed.where("coalesce(__broken, true)")).drop("__broken")
+    (whole,) = fresh(df.columns, "whole")
+    rows = df.withColumn(whole, F.coalesce(broken, F.lit(True)))
+    return scrub_columns(rows, columns).where(~F.col(whole)).unionByName(redact_columns(rows, columns).where(F.col(whole))).drop(whole)
 
 
 def without_declined(findings: DataFrame, declined: DataFrame) -> DataFrame:
     """Findings whose value was not declined; ``declined`` has full SHA-256 digests."""
-    return findings.withColumn("__d", F.sha2("value", 256)).join(declined.select(F.col("digest").alias("__d")).distinct(), "__d", "left_anti").drop("__d")
+    (d,) = fresh(findings.columns, "digest")
+    return findings.withColumn(d, F.sha2("value", 256)).join(declined.select(F.col("digest").alias(d)).distinct(), d, "left_anti").drop(d)
 
 
 def remembered(declines: DataFrame, limit: int = 200) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
 from ..functions.spans import let
 
 AROUND = 60
@@ -59,11 +60,12 @@ def suggest_names(found: DataFrame, texts: DataFrame, ids: list[str], text_col:
     where its neighbours stand.
     """
     by = Window.partitionBy(*ids).orderBy("start", "end")
-    rows = found.join(texts.select(*ids, F.col(text_col).alias("__t")), ids)
+    t, base_col = fresh([*found.columns, *ids], "t", "base")
+    rows = found.join(texts.select(*ids, F.col(text_col).alias(t)), ids)
     left = F.greatest(F.col("start") - AROUND, F.coalesce(F.lag("end").over(by), F.lit(0)))
     right = F.coalesce(F.lead("end").over(by) * 0 + F.col("end"), F.col("end") + AROUND)
-    rows = rows.withColumn("__base", base_name(F.col("hint"), F.substring(F.col("__t"), left + 1, right - left)))
-    first = rows.groupBy(*ids, "value").agg(F.min_by("__base", F.struct("start", "end")).alias("base"), F.min("start").alias("at"))
+    rows = rows.withColumn(base_col, base_name(F.col("hint"), F.substring(F.col(t), left + 1, right - left)))
+    first = rows.groupBy(*ids, "value").agg(F.min_by(base_col, F.struct("start", "end")).alias("base"), F.min("start").alias("at"))
     if taken is None:
         first = first.withColumn("old", F.lit(None).cast("string")).withColumn("used", F.array().cast("array<string>"))
     else:

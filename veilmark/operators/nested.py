@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
 from ..functions.spans import cut_and_join
-from .mask import FORM, forms_by_key, shape_forms, shape_hits, value_spans
+from .mask import scrub_texts, shape_hits
 from .refs import expanded
 from .vault import by_name
 
@@ -73,27 +74,23 @@ def scrub_columns(df: DataFrame, columns: list[str], keep: frozenset[str] = froz
     With a vault, what a shape gives away in one string of a row is masked in all of them.
     """
     types = {c: df.schema[c].dataType for c in columns}
-    shaped = {c: rewrite(F.col(c), types[c], mask_text, keep) for c in columns}
     if vault is None:
-        return df.withColumns(shaped)
-
-    def valued(forms: Column) -> dict[str, Column]:
-        change = lambda t: cut_and_join(t, value_spans(t, forms), lambda x: x["token"])
-        return {c: rewrite(F.col(c), types[c], change, keep) for c in columns}
-
-    both = df.join(forms_by_key(vault, key, None), df[key] == F.col("__key"), "left")
-    both = both.withColumns(valued(F.coalesce("__forms", F.array().cast(FORM))))
-    texts = F.concat(*(strings(F.col(c), types[c], keep) for c in columns))
-    both = both.withColumn("__h", F.flatten(F.transform(texts, lambda t: shape_hits(t, hints=False))))
-    both = both.withColumns(shaped | {"__f": shape_forms(F.col("__h"))})
-    return both.withColumns(valued(F.col("__f"))).drop("__key", "__forms", "__h", "__f")
+        return df.withColumns({c: rewrite(F.col(c), types[c], mask_text, keep) for c in columns})
+    texts, done = fresh(df.columns, "texts", "done")
+    rows = df.withColumn(texts, F.array_distinct(F.concat(*(strings(F.col(c), types[c], keep) for c in columns))))
+    rows = scrub_texts(rows, vault, key, texts, done)
+    # Each distinct string of a row is masked once; the columns are rebuilt by looking their strings up.
+    rows = rows.withColumn(done, F.map_from_arrays(texts, F.transform(done, lambda x: x["masked"])))
+    change = lambda t: F.coalesce(F.element_at(done, t), t)
+    return rows.withColumns({c: rewrite(F.col(c), types[c], change, keep) for c in columns}).drop(texts, done)
 
 
 def expand_columns(df: DataFrame, columns: list[str], vault: DataFrame, key: str = "session_id") -> DataFrame:
     """``df`` with the references in every string of ``columns`` replaced by the values that the row's ``key`` holds."""
-    held = by_name(vault, key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
-    both = df.join(held, df[key] == F.col("__key"), "left")
-    return both.withColumns({c: rewrite(F.col(c), df.schema[c].dataType, lambda t: expanded(t, F.col("__m"))["text"]) for c in columns}).drop("__key", "__m")
+    k, m = fresh(df.columns, "k", "m")
+    held = by_name(vault, key, "value").select(F.col(key).alias(k), F.col("held").alias(m))
+    both = df.join(held, df[key] == F.col(k), "left")
+    return both.withColumns({c: rewrite(F.col(c), df.schema[c].dataType, lambda t: expanded(t, F.col(m))["text"]) for c in columns}).drop(k, m)
 
 
 def payloads(column: Column, kind: T.DataType) -> Column:

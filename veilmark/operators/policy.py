@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import rules as R
 from .refs import expanded, find_refs
-from .vault import by_name
+from .vault import by_name, held_names
 
 PATH_TOOLS = ("read", "grep", "find", "ls")
 WRITE_TOOLS = ("write", "edit")
 
 
 def literal_names(calls: DataFrame, vault: DataFrame, id_col: str = "call_id", text_col: str = "args") -> DataFrame:
-    """``id, names``: values of a session, not from output, that a call holds literally.  Joined by session, then tested."""
+    """``id, names``: values of a session, not from output, that a call holds literally.
+
+    Calls meet values by the index, then are tested: a session may have many of both.
+    """
     values = vault.where((F.length("value") >= R.MIN_VALUE) & (F.col("source") != "output"))
-    pairs = calls.select(id_col, "session_id", text_col).join(values.select("session_id", "name", "value"), "session_id")
-    return pairs.where(F.col(text_col).contains(F.col("value"))).groupBy(id_col).agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return held_names(calls.select(id_col, "session_id", text_col), values, text_col).groupBy(id_col).agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
 def decide(calls: DataFrame, vault: DataFrame, id_col: str = "call_id", deliver: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
 from ..functions.spans import cut_and_join, let, matches
 from .vault import by_name
 
@@ -31,9 +32,10 @@ def expanded(text: Column, held: Column, only: Column | None = None) -> Column:
 
 def expand_refs(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", value: str = "value") -> DataFrame:
     """``df`` with ``expanded``, and the distinct names ``used`` and ``missing`` in order; names resolve within the row's ``key``."""
-    held = by_name(vault.withColumn("value", F.col(value)), key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
-    both = df.join(held, df[key] == F.col("__key"), "left").withColumn("__x", expanded(F.col(text_col), F.col("__m")))
-    return both.withColumn("expanded", F.col("__x.text")).withColumn("used", F.col("__x.used")).withColumn("missing", F.col("__x.missing")).drop("__key", "__m", "__x")
+    k, m, x = fresh([*df.columns, "expanded", "used", "missing"], "k", "m", "x")
+    held = by_name(vault.withColumn("value", F.col(value)), key, "value").select(F.col(key).alias(k), F.col("held").alias(m))
+    both = df.join(held, df[key] == F.col(k), "left").withColumn(x, expanded(F.col(text_col), F.col(m)))
+    return both.withColumns({"expanded": F.col(x)["text"], "used": F.col(x)["used"], "missing": F.col(x)["missing"]}).drop(k, m, x)
 
 
 def variable_collisions(names: DataFrame, name_col: str = "name") -> DataFrame:

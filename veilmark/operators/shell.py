@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.columns import fresh
 from .vault import by_name
 
 REF = re.compile(R.REF)
@@ -23,9 +24,17 @@ TARGET = re.compile(r"(?:[0-9]*|&)>>?\|?(?!&)[ \t]*([^\s<>|&;()]+)|(?:^|[|;&(\n]
 DEVICE = re.compile(r"/dev/(?:null|zero|stdout|stderr|tty|fd/.*)\Z")
 
 
+#: Places where the shell expands nothing, or nothing that could be put there safely.
+INERT = ("comment", "inert", "open", "escaped")
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) of quotes (sq, dq, ansq), comments and here-documents (heredoc, inert)."""
-    spans, waiting, i, n, depth = [], [], 0, len(text), 0
+    """Spans (start, end, kind) of quotes (sq, dq, ansq), comments and here-documents (heredoc, inert).
+
+    A quote that nothing closes is ``open``, to the end of the text.  A bracket of a
+    subshell ends a word, that of a substitution does not.
+    """
+    spans, waiting, brackets, i, n, depth = [], [], [], 0, len(text), 0
     word = True  # a comment may start here
     while i < n:
         c = text[i]
@@ -37,14 +46,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             i += 1 + ansi
             while i < n and text[i] != "'":
                 i += 2 if ansi and text[i] == "\\" else 1
+            spans.append((start, min(n, i + 1), "open" if i >= n else "ansq" if ansi else "sq"))
             i = min(n, i + 1)
-            spans.append((start, i, "ansq" if ansi else "sq"))
         elif c == '"':
             start, i = i, i + 1
             while i < n and text[i] != '"':
                 i += 2 if text[i] == "\\" else 1
+            spans.append((start, min(n, i + 1), "open" if i >= n else "dq"))
             i = min(n, i + 1)
-            spans.append((start, i, "dq"))
         elif c == "#" and word:
             start = i
             while i < n and text[i] != "\n":
@@ -55,6 +64,12 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             depth, i = depth + 1, i + 3
         elif depth and text.startswith("))", i):
             depth, i = depth - 1, i + 2
+        elif c == "(":
+            brackets.append(i > 0 and text[i - 1] in "$<>")
+            i += 1
+        elif c == ")" and brackets:
+            word, i = not brackets.pop(), i + 1
+            continue
         elif text.startswith("<<<", i):
             i += 3
         elif not depth and text.startswith("<<", i) and (m := HEREDOC.match(text, i)):
@@ -88,12 +103,19 @@ def variable(name: str) -> str:
 
 
 def expand_command(text: str, known: set[str] | None = None) -> dict:
-    """References by disposition, the command with variables in their place, and the variables it needs."""
+    """References by disposition, the command with variables in their place, and the variables it needs.
+
+    Inert, though held: those in comments, quoted here-documents and open quotes,
+    and those behind a backslash that would quote what takes their place.
+    """
     spans, refs, out, since, env = scan(text), [], [], 0, {}
     for m in REF.finditer(text):
         kind = next((k for a, b, k in spans if a <= m.start() and m.end() <= b), "plain")
+        slashes = m.start() - len(text[: m.start()].rstrip("\\"))
+        if kind not in ("sq", "comment", "inert", "open") and slashes % 2:
+            kind = "escaped"
         held = (known is None or m[1] in known) and m[1] != R.RESERVED
-        state = "unknown" if not held else "inert" if kind in ("comment", "inert") else "expand"
+        state = "unknown" if not held else "inert" if kind in INERT else "expand"
         refs.append((m.start(), m.end(), m[1], state, kind))
         if state == "expand":
             v = variable(m[1])
@@ -143,24 +165,27 @@ def classify(df: DataFrame, vault: DataFrame, key: str, command_col: str = "comm
     A reference the vault lacks is ``unknown``; one in a comment or a quoted
     here-document is ``inert``.  Known inert references block; unknown inert ones are prose.
     """
-    names = vault.groupBy(F.col(key).alias("__key")).agg(F.collect_set("name").alias("__names"))
-    both = df.withColumn("__lex", lex(F.col(command_col))).join(names, df[key] == F.col("__key"), "left")
-    held = lambda x: F.coalesce(F.array_contains("__names", x["name"]), F.lit(False))
-    refs = F.transform("__lex.refs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["name"].alias("name"), F.when(~held(x), "unknown").otherwise(x["disposition"]).alias("disposition"), x["context"].alias("context")))
+    k, own, lexed = fresh([*df.columns, "refs", "targets", "rewritten", "env", "issues", "blocked", "warned"], "k", "names", "lexed")
+    names = vault.groupBy(F.col(key).alias(k)).agg(F.collect_set("name").alias(own))
+    both = df.withColumn(lexed, lex(F.col(command_col))).join(names, df[key] == F.col(k), "left")
+    held = lambda x: F.coalesce(F.array_contains(own, x["name"]), F.lit(False))
+    refs = F.transform(F.col(lexed)["refs"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["name"].alias("name"), F.when(~held(x), "unknown").otherwise(x["disposition"]).alias("disposition"), x["context"].alias("context")))
     both = both.withColumn("refs", refs)
-    inert_place = lambda x: x["context"].isin("comment", "inert")
+    inert_place = lambda x: x["context"].isin(*INERT)
     held_inert = lambda x: (x["disposition"] == "inert") & (x["name"] != R.RESERVED)
     bad = F.filter("refs", lambda x: held_inert(x) | (x["disposition"] == "unknown") & ~inert_place(x) & (x["name"] != R.RESERVED))
     why = lambda x: F.when(x["disposition"] == "inert", F.format_string("{{sec:%s}} stands where the shell does not expand it", x["name"])).otherwise(F.format_string("sec:%s is not in the vault", x["name"]))
     issues = F.transform(bad, why)
-    env = F.map_filter("__lex.env", lambda _, n: F.exists("refs", lambda x: (x["name"] == n) & (x["disposition"] == "expand")))
-    warn = (F.size("refs") > 0) & (F.size("__lex.targets") > 0)
-    return both.withColumn("targets", F.col("__lex.targets")).withColumn("rewritten", F.col("__lex.command")).withColumn("env", env).withColumn("issues", issues).withColumn("blocked", F.size("issues") > 0).withColumn("warned", warn).drop("__lex", "__key", "__names")
+    env = F.map_filter(F.col(lexed)["env"], lambda _, n: F.exists("refs", lambda x: (x["name"] == n) & (x["disposition"] == "expand")))
+    warn = (F.size("refs") > 0) & (F.size(F.col(lexed)["targets"]) > 0)
+    given = {"targets": F.col(lexed)["targets"], "rewritten": F.col(lexed)["command"], "env": env, "issues": issues, "blocked": F.size(issues) > 0, "warned": warn}
+    return both.withColumns(given).drop(lexed, k, own)
 
 
 def environment(df: DataFrame, vault: DataFrame, key: str, out: str = "environment") -> DataFrame:
     """Classified commands with the variables that their process gets, and the values: the one place where values are delivered."""
-    held = by_name(vault, key, "value").select(F.col(key).alias("__key"), F.col("held").alias("__m"))
-    both = df.join(held, df[key] == F.col("__key"), "left")
-    values = F.transform_values("env", lambda _, n: F.element_at("__m", n)["value"])
-    return both.withColumn(out, F.when(F.col("blocked"), F.create_map().cast("map<string,string>")).otherwise(values)).drop("__key", "__m")
+    k, m = fresh([*df.columns, out], "k", "m")
+    held = by_name(vault, key, "value").select(F.col(key).alias(k), F.col("held").alias(m))
+    both = df.join(held, df[key] == F.col(k), "left")
+    values = F.transform_values("env", lambda _, n: F.element_at(m, n)["value"])
+    return both.withColumn(out, F.when(F.col("blocked"), F.create_map().cast("map<string,string>")).otherwise(values)).drop(k, m)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
+from ..functions.columns import fresh
+from .index import with_candidates
 from .naming import adopted_base, free_name
 
 KEYS = ["session_id", "name"]
@@ -31,7 +33,7 @@ def upsert(changes: DataFrame) -> DataFrame:
     last = F.struct("seq", "value", "source", "added_at")
     merged = good.groupBy(*KEYS).agg(F.max(last).alias("l"), F.min("seq").alias("seq"))
     same = Window.partitionBy("session_id", P.variable_name(F.col("name"))).orderBy("seq", "name")
-    return merged.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*KEYS, "l.value", "l.source", "l.added_at", "seq")
+    return merged.withColumn("n", F.row_number().over(same)).where("n = 1").select(*KEYS, "l.value", "l.source", "l.added_at", "seq")
 
 
 def by_name(vault: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -41,7 +43,8 @@ def by_name(vault: DataFrame, key: str, *columns: str) -> DataFrame:
     """
     one = F.struct(*columns)
     latest = F.max_by(one, F.struct("seq", one)) if "seq" in vault.columns else F.max(one)
-    return vault.groupBy(key, "name").agg(latest.alias("__o")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "__o"))).alias("held"))
+    (own,) = fresh([key], "own")
+    return vault.groupBy(key, "name").agg(latest.alias(own)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", own))).alias("held"))
 
 
 def with_details(vault: DataFrame) -> DataFrame:
@@ -81,10 +84,19 @@ def remove(vault: DataFrame, gone: DataFrame) -> DataFrame:
 
 def record_origins(vault: DataFrame, reads: DataFrame) -> DataFrame:
     """``session_id, name, origins``: the paths of a session's reads that held a value literally."""
-    pairs = vault.where(F.length("value") >= R.MIN_VALUE).join(reads, "session_id").where(F.col("text").contains(F.col("value")))
+    pairs = held_names(reads.select("session_id", "path", "text"), vault.where(F.length("value") >= R.MIN_VALUE), "text")
     return pairs.groupBy(*KEYS).agg(F.sort_array(F.collect_set("path")).alias("origins"))
 
 
+def held_names(texts: DataFrame, values: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` with ``name``, a row for each value of the text's session that it holds literally; values have ``MIN_VALUE`` characters."""
+    (tried,) = fresh([*texts.columns, "name"], "tried")
+    raw = values.select(F.col("session_id").alias("k"), F.struct(F.col("value").alias("form"), F.lit(False).alias("tight"), "name").alias("f"))
+    rows = with_candidates(texts, "session_id", F.array(F.col(text_col)), raw, tried).where(F.col(tried).isNotNull())
+    names = F.transform(F.filter(tried, lambda x: F.col(text_col).contains(x["form"])), lambda x: x["name"])
+    return rows.withColumn("name", F.explode_outer(names)).drop(tried).where("name is not null")
+
+
 def adopt(hits: DataFrame, vault: DataFrame, cap: int = R.ADOPT_CAP) -> DataFrame:
     """Names for values that masking met: ``session_id, value, name`` (null beyond the cap).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.columns import fresh
 from ..operators import detect, mask, naming
 from ..operators.messages import Options
 from ..operators.vault import is_storable
@@ -31,8 +32,9 @@ def capture(texts: DataFrame, ids: list[str], text_col: str = "text", vault: Dat
     done = mask.apply_capture(both, "items", text_col)
     variables = F.transform("captured", lambda c: P.variable_name(c["name"]))
     apart = F.size(F.array_distinct(variables)) == F.size(F.array_distinct(F.transform("captured", lambda c: c["name"])))
-    done = done.withColumn("__kept", apart & F.forall("captured", lambda c: is_storable(c["name"], c["value"])))
-    done = done.withColumn("rewritten", F.when(F.col("__kept"), F.col("rewritten")).otherwise(F.col(text_col)))
-    done = done.withColumn("captured", F.when(F.col("__kept"), F.col("captured")).otherwise(F.slice("captured", 1, 0))).drop("__kept")
+    (kept,) = fresh(done.columns, "kept")
+    done = done.withColumn(kept, apart & F.forall("captured", lambda c: is_storable(c["name"], c["value"])))
+    done = done.withColumn("rewritten", F.when(F.col(kept), F.col("rewritten")).otherwise(F.col(text_col)))
+    done = done.withColumn("captured", F.when(F.col(kept), F.col("captured")).otherwise(F.slice("captured", 1, 0))).drop(kept)
     rows = done.select(*ids, F.explode_outer("captured").alias("c")).where("c is not null").select(*ids, "c.name", "c.value").distinct()
     return done.drop("items"), rows

@@ -242,6 +242,35 @@ _LEAK_SQL = f"""WITH {_SYNTH_SQL}, k AS (SELECT substr(token, 1, 14) AS canary,
 SELECT canary, leaks, (SELECT count(*) FROM customer) AS examined, CASE WHEN leaks > 0 THEN 'hit' ELSE 'clean' END AS verdict FROM k"""
 
 
+def leak_sweep_texts(spark, sf_dir):
+    """A passage of each document, of 8 to 97 characters, looked for in all documents and pages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    passage = F.substring("text", (F.length("text") / 2).cast("int") + 1, (8 + F.col("doc_id") % 90).cast("int"))
+    canaries = docs.where("length(text) >= 200").select(passage.alias("canary"))
+    texts = docs.select("text").union(table(spark, sf_dir, "pages").select("html"))
+    return files.leak_sweep(texts, canaries)
+
+
+_LEAK_TEXTS_SQL = """WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages),
+c AS (SELECT DISTINCT substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1, 8 + doc_id % 90) AS canary FROM documents WHERE length(text) >= 200),
+n AS (SELECT canary, count(*) AS leaks FROM c JOIN t ON contains(t.text, c.canary) GROUP BY canary)
+SELECT canary, coalesce(leaks, 0) AS leaks, (SELECT count(*) FROM t) AS examined, CASE WHEN leaks > 0 THEN 'hit' ELSE 'clean' END AS verdict FROM c LEFT JOIN n USING (canary)"""
+
+
+def large_vault(spark, sf_dir):
+    """The values of all customers in one session, raw, encoded over line ends, and cut."""
+    value = F.concat(F.lit("pw-"), _hex(_id("c_custkey"), 33))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("v_"), _id("c_custkey")).alias("name"), value.alias("value"), F.lit("one").alias("session_id"))
+    b64, code = P.base64_line(F.col("value")), F.upper(F.hex(F.col("value").cast("binary")))
+    wrapped = F.concat(F.substring(b64, 1, 16), F.lit("\r\n  "), F.substring(b64, 17, 100))
+    text = F.concat(F.lit("é raw "), "value", F.lit(", b64 "), wrapped, F.lit(" cut "), F.substring(b64, 1, 30), F.lit(" tail "), F.substring(code, 31, 100), F.lit(" of "), "name")
+    done = mask.mask_values(c.select("c_custkey", "session_id", text.alias("text")), c, "session_id", token=None)
+    return done.select("c_custkey", "masked", F.col("hits").cast("long").alias("hits"))
+
+
+_LARGE_VAULT_SQL = "SELECT c_custkey, 'é raw ' || r || ', b64 ' || r || ' cut ' || r || ' tail ' || r || ' of v_' || c_custkey AS masked, CAST(4 AS BIGINT) AS hits FROM (SELECT c_custkey, '{{sec:v_' || c_custkey || '}}' AS r FROM customer)"
+
+
 def stream_mask(spark, sf_dir):
     """Documents as a file stream, masked in batches: what each leaves, from a table in memory."""
     path = f"{sf_dir}/documents.parquet"
@@ -866,6 +895,8 @@ QUERIES = {
     "nested_mask": (nested_mask, _NESTED_SQL),
     "redact_all": (redact_all, _REDACT_SQL),
     "leak_sweep": (leak_sweep, _LEAK_SQL),
+    "leak_sweep_texts": (leak_sweep_texts, _LEAK_TEXTS_SQL),
+    "large_vault": (large_vault, _LARGE_VAULT_SQL),
     "stream_mask": (stream_mask, _STREAM_SQL),
     "suggest_names": (suggest_names, _NAMES_SQL),
     "apply_capture": (apply_capture, _APPLY_SQL),

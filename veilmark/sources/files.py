@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
+from ..operators.index import LEAST, with_places
+
 MAX_BYTES, NUL_BYTES, MAX_ROWS = 1 << 20, 8192, 500
-#: Characters by which a canary is looked for.
-PROBE = 8
 
 
 def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -43,19 +44,28 @@ def listing(spark: SparkSession, path: str, fragment: str = "", limit: int = MAX
 def leak_sweep(texts: DataFrame, canaries: DataFrame, text_col: str = "text") -> DataFrame:
     """``canary, leaks, examined, verdict``: rows that hold each canary, of how many, and clean, hit or nothing examined.
 
-    Canaries of any number are looked for by their first ``PROBE`` characters: the
-    distinct windows of that length of each text are met by an equality join
-    (by broadcast while the canaries are few), and a hit is tested whole.
-    Canaries shorter than that are left out.
+    Any number of canaries is met by postings of winnowed fingerprints and
+    compared in place.  Shorter ones than ``LEAST`` are not looked for: their
+    verdict is ``not examined``, without a count.
     """
-    wanted = canaries.where(F.length("canary") >= PROBE).select("canary", F.substring("canary", 1, PROBE).alias("probe")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    windows = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PROBE}}}))"), F.lit(1)))
-    each = texts.select(text.alias("text"), windows.alias("w")).select("text", F.explode_outer("w").alias("probe"))
-    counts = each.join(wanted, "probe").where(F.col("text").contains(F.col("canary"))).groupBy("canary").agg(F.count("*").alias("leaks"))
+    wanted = canaries.where("canary is not null").select("canary").distinct()
+    found = leak_places(texts, wanted, text_col, [])
+    counts = found.select(F.explode_outer("canaries").alias("canary")).where("canary is not null").groupBy("canary").agg(F.count("*").alias("leaks"))
     examined = texts.agg(F.count("*").alias("examined"))
-    rows = wanted.select("canary").join(counts, "canary", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)).cast("long")).crossJoin(F.broadcast(examined))
-    return rows.withColumn("verdict", F.when(F.col("examined") == 0, "nothing examined").when(F.col("leaks") > 0, "hit").otherwise("clean"))
+    rows = wanted.join(counts, "canary", "left").crossJoin(F.broadcast(examined))
+    short = F.length("canary") < LEAST
+    verdict = F.when(short, "not examined").when(F.col("examined") == 0, "nothing examined").when(F.col("leaks") > 0, "hit").otherwise("clean")
+    return rows.select("canary", F.when(~short, F.coalesce("leaks", F.lit(0)).cast("long")).alias("leaks"), "examined", verdict.alias("verdict"))
+
+
+def leak_places(texts: DataFrame, canaries: DataFrame, text_col: str, ids: list[str]) -> DataFrame:
+    """``ids, canaries, starts`` of the rows that leak: the distinct canaries each holds, and the first place of each in code points."""
+    strings = canaries.where(F.length("canary") >= LEAST).select(F.col("canary").alias("string")).distinct()
+    text, places = fresh(ids, "text", "places")
+    rows = with_places(texts.select(*ids, F.col(text_col).alias(text)), text, strings, places).where(F.col(places).isNotNull())
+    names = F.array_sort(F.array_distinct(F.transform(places, lambda x: x["string"])))
+    first = F.transform(names, lambda n: F.array_min(F.transform(F.filter(places, lambda x: x["string"] == n), lambda x: x["start"])))
+    return rows.select(*ids, names.alias("canaries"), first.alias("starts"))
 
 
 def write_snapshot(masked: DataFrame, path: str) -> None:
