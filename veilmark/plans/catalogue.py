@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..operators import detect, dotenv, mask, messages, naming, nested, policy, refs, shell
+from ..operators import context, detect, dotenv, mask, messages, naming, nested, policy, refs, shell
 from ..operators import vault as V
 from ..sources import files
-from ..streaming import stream
+from ..streaming import session, stream
 from .capture import capture
 
 
@@ -272,16 +272,58 @@ _LARGE_VAULT_SQL = "SELECT c_custkey, 'é raw ' || r || ', b64 ' || r || ' cut '
 
 
 def stream_mask(spark, sf_dir):
-    """Documents as a file stream, masked in batches: what each leaves, from a table in memory."""
-    path = f"{sf_dir}/documents.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not _is_file(spark, path) else f"{sf_dir}/documents*.parquet")
-    name = "veilmark_stream_mask"
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    """Documents as a file stream, masked in batches: what each leaves."""
+    source = _as_stream(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" token=qT-"), F.substring(F.sha2(_id("doc_id"), 256), 1, 9))).otherwise(F.col("text"))
     hits = stream.mask_stream(source.select("doc_id", text.alias("text"))).where("hits > 0").select("doc_id", "hits", F.substring("masked", -40, 40).alias("ending"))
-    query = hits.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("doc_id", F.col("hits").cast("long").alias("hits"), F.when(F.col("doc_id") % 3 == 0, F.substring("ending", -22, 22)).alias("ending"))
+    done = stream.drained(hits)
+    return done.select("doc_id", F.col("hits").cast("long").alias("hits"), F.when(F.col("doc_id") % 3 == 0, F.substring("ending", -22, 22)).alias("ending"))
+
+
+def _as_stream(spark, sf_dir, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not _is_file(spark, path) else f"{sf_dir}/{name}*.parquet")
+
+
+def session_vault(spark, sf_dir):
+    """Conversations as a stream that shows a new token every second turn: the names that each session's vault gives them."""
+    value = F.concat(F.lit("qT-"), _hex(F.concat_ws(":", "conv_id", F.floor(F.col("turn") / 2)), 12))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" token="), value)
+    rows = _as_stream(spark, sf_dir, "conversations").select(_id("conv_id").alias("session_id"), F.col("turn").alias("seq"), text.alias("text"))
+    key, store = session.STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        return stream.drained(session.session_stream(rows))
+    finally:
+        spark.conf.set(key, before)
+
+
+_SESSION_SQL = """WITH v AS (SELECT DISTINCT conv_id, CAST(floor(turn / 2) AS BIGINT) AS k FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS n FROM v)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, sha256('qT-' || substr(sha256(conv_id || ':' || k), 1, 12)) AS digest, CASE WHEN n = 1 THEN 'token' ELSE 'token-' || n END AS name FROM n WHERE n <= 64"""
+
+
+def conversation_requests(spark, sf_dir):
+    """Every message as the requests of its conversation send it: its token is named in turn 1 to 3, and forgotten in turn 5 by every fourth conversation."""
+    c = table(spark, sf_dir, "conversations")
+    value, met = F.concat(F.lit("kT-"), _hex(_id("conv_id"), 14)), 1 + F.col("conv_id") % 3
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") == met, " token=").otherwise(" key "), value)
+    rows = c.select("conv_id", "turn", "role", text.alias("text"))
+    names = context.met_values(rows)
+    gone = rows.where("conv_id % 4 = 0").groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 5").select("conv_id", F.lit(5).cast("long").alias("turn"), F.lit("token").alias("name"), F.lit(None).cast("string").alias("value"))
+    sent = context.outgoing(rows, context.vault_versions(names.unionByName(gone)))
+    ending = F.regexp_extract("masked", r" (?:key |token=)[^ ]*\z", 0)
+    return sent.select("conv_id", "turn", "role", "sent_from", "sent_to", ending.alias("ending"), F.col("hits").cast("long").alias("hits"))
+
+
+_REQUESTS_SQL = """WITH c AS (SELECT conv_id, turn, role, 1 + conv_id % 3 AS met, 'kT-' || substr(sha256(CAST(conv_id AS VARCHAR)), 1, 14) AS v, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+k AS (SELECT *, bool_or(turn = met) OVER (PARTITION BY conv_id) AS named, CASE WHEN conv_id % 4 = 0 AND last >= 5 THEN 5 END AS gone FROM c),
+b AS (SELECT *, turn AS since FROM k UNION ALL SELECT *, met FROM k WHERE named AND met > turn UNION ALL SELECT *, gone FROM k WHERE named AND gone > turn),
+i AS (SELECT *, lead(since) OVER (PARTITION BY conv_id, turn ORDER BY since) AS until, named AND since >= met AND (gone IS NULL OR since < gone) AS known FROM b)
+SELECT conv_id, turn, role, CAST(since AS BIGINT) AS sent_from, CAST(until AS BIGINT) AS sent_to,
+       CASE WHEN turn = met THEN ' token=' ELSE ' key ' END || CASE WHEN known THEN '{{sec:token}}' WHEN turn = met THEN '{{sec:redacted}}' ELSE v END AS ending,
+       CAST(CASE WHEN known OR turn = met THEN 1 ELSE 0 END AS BIGINT) AS hits FROM i"""
 
 
 def _is_file(spark, path: str) -> bool:
@@ -898,6 +940,8 @@ QUERIES = {
     "leak_sweep_texts": (leak_sweep_texts, _LEAK_TEXTS_SQL),
     "large_vault": (large_vault, _LARGE_VAULT_SQL),
     "stream_mask": (stream_mask, _STREAM_SQL),
+    "session_vault": (session_vault, _SESSION_SQL),
+    "conversation_requests": (conversation_requests, _REQUESTS_SQL),
     "suggest_names": (suggest_names, _NAMES_SQL),
     "apply_capture": (apply_capture, _APPLY_SQL),
     "refs_expand": (refs_expand, _REFS_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,3 +64,13 @@ def adopt_stream(messages: DataFrame, text_col: str = "text", end_col: str | Non
         .groupBy("session_id")
         .applyInPandasWithState(_adopt, "session_id string, digest string, name string", "digests array<string>, names array<string>", "append", "NoTimeout")
     )
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that its source holds now, written to files in the shared folder (``spark.checkpoint.dir``, else the warehouse) and read back."""
+    spark = stream.sparkSession
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    path = f"{shared}/veilmark-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
