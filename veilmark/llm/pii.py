@@ -2,20 +2,23 @@
 
 Generators are regular expressions that propose spans, overlapping ones too.
 Four of them with their checks are the base kinds, whose spans always stay; so
-does an account number whose checksum holds.  The other proposals are left to
+does what its own evidence confirms: an account number whose checksum holds, and
+any other proposal right after a keyword that names its kind.  Proposals that
+meet a base span are part of it and count nowhere.  The others are left to
 boosted trees.  Each has features of its format, its context and its company,
 small integers, so all proposals of a corpus fall into a bounded number of
 feature vectors (at most the product of their ranges): one aggregation over all
 rows counts labels by vector, and the trees are boosted on that table.
 
-Labels are weak, made by a rule: a checksum, or a keyword that names the kind
-just before the span.  What makes the label of a kind is no feature of that
-kind, so the trees learn how proposals look that such evidence confirms, and
-select others that look the same.  Three texts in four (by a hash of the text, so
+Labels are made by a rule: a check (checksum, digits or ranges: cards, addresses,
+phones and account numbers, those that fail included), or a keyword that names
+the kind just before the span.  What makes the label of a kind is no feature of
+that kind, so the trees learn how proposals look that such evidence confirms,
+from the checked kinds in every corpus, and select others that look the same.  Three texts in four (by a hash of the text, so
 copies stay together) fit the trees; the fourth calibrates a threshold for each
 kind: the lowest score from which the share of confirmed proposals stays at
 ``PRECISION``.  A kind with fewer than ``CALIBRATION`` proposals there takes the
-threshold of all kinds together; with no such score, nothing is selected.
+threshold of all kinds that have no check; with no such score, the trees select nothing.
 Scoring is a projection without a shuffle.
 
 Null text counts as empty: no spans.  Repeated rows each get a row; only the
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "number", "iban", "hardware")
 BASE = KINDS[:4]
+#: Base kinds whose check can fail: they teach the trees, with the check withheld.
+CHECKED = ("ip", "card", "phone")
 #: Each run is taken whole from its start, as leftmost greedy matching does; possessive, so that no input backtracks.
 _LOCAL = "A-Za-z0-9._%+-"
 GENERATORS = {
@@ -62,7 +67,7 @@ KEYWORDS = (r"phone|mobile|\btel\b|\bcall\b|\bfax\b", r"e-?mail|contact|\bwrite
 #: Keywords, by their place above from 1, that name a kind.
 WANTED = {"email_spelled": (2,), "number": (1, 4), "iban": (5,), "hardware": (6,)}
 #: Features and how many values each has.
-FEATURES = {"f_kind": 4, "f_digits": 12, "f_letters": 3, "f_space": 3, "f_dash": 3, "f_dot": 4, "f_left": 5, "f_right": 5, "f_word": 7, "f_before": 5, "f_crowd": 3}
+FEATURES = {"f_kind": 8, "f_digits": 12, "f_letters": 3, "f_space": 3, "f_dash": 3, "f_dot": 4, "f_left": 5, "f_right": 5, "f_word": 7, "f_before": 5, "f_crowd": 3}
 CONTEXT = 24
 PRECISION, CALIBRATION = 0.95, 30
 ROUNDS, RATE = 30, 0.3
@@ -116,8 +121,8 @@ def _valid(kind: str, value: Column) -> Column:
     }.get(kind, lambda: F.lit(False))()
 
 
-def proposals(rows: DataFrame) -> DataFrame:
-    """``row, text`` and for each row ``base``, the spans of the base kinds, and ``more``, the other proposals with features and label.
+def proposals(rows: DataFrame, taught: bool = False) -> DataFrame:
+    """``row, text`` and for each row ``base``, the spans of the base kinds, and ``more``, the other proposals with features and label; with those of the ``CHECKED`` kinds where ``taught``.
 
     Spans have start and end in code points, end exclusive.
     """
@@ -144,7 +149,12 @@ def proposals(rows: DataFrame) -> DataFrame:
         return F.zip_with(s, before, one)
 
     base = F.concat(*(F.filter(placed(i, k), lambda x: x["valid"]) for i, k in enumerate(BASE)))
-    rows = rows.select("row", "text", F.transform(base, lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("base"), F.concat(*(placed(i, k) for i, k in enumerate(KINDS) if k not in BASE)).alias("other"))
+    wanted = [i for i, k in enumerate(KINDS) if k not in BASE or (taught and k in CHECKED)]
+    spans = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    rows = rows.select("row", "text", spans.alias("base"), F.concat(*(placed(i, KINDS[i]) for i in wanted)).alias("other"))
+    own = lambda x: (x["kind"] < len(BASE)) & x["valid"]
+    apart = lambda x: own(x) | ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    rows = rows.withColumn("other", F.filter("other", apart))
 
     def described(x: Column) -> Column:
         value = x["value"]
@@ -162,7 +172,7 @@ def proposals(rows: DataFrame) -> DataFrame:
                 named = named | kind_is(k) & word.isin(*places)
             by_word = named & ~kind_is("iban")
             fields = {
-                "f_kind": x["kind"] - len(BASE),
+                "f_kind": (x["kind"] + len(KINDS) - len(BASE)) % len(KINDS),
                 "f_digits": _count(value, "[0-9]", 22) / 2,
                 "f_letters": (_count(value, "[A-Za-z]", 4) + 1) / 2,
                 "f_space": _count(value, r"\x20", 2),
@@ -175,7 +185,7 @@ def proposals(rows: DataFrame) -> DataFrame:
                 "f_before": F.when(last == "", 0).when(last.rlike(r"[:=#]"), 1).otherwise(_side(last)),
                 "f_crowd": F.least(F.size("base"), F.lit(2)),
             }
-            confirmed = F.when(kind_is("iban"), x["valid"]).otherwise(by_word)
+            confirmed = F.when(kind_is("iban") | (x["kind"] < len(BASE)), x["valid"]).otherwise(by_word)
             return F.struct(*[v.cast("int").alias(k) for k, v in fields.items()], x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), confirmed.alias("confirmed"))
 
         return F.get(F.transform(F.array(word), labelled), F.lit(0))
@@ -186,7 +196,7 @@ def proposals(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text") -> dict:
     """Boosted trees and thresholds, from counts of labels by feature vector over all rows of ``docs``."""
     held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(4)) == 0
-    each = proposals(docs.select(F.lit(0).alias("row"), F.col(text_col).alias("text"))).select(held.alias("held"), "more")
+    each = proposals(docs.select(F.lit(0).alias("row"), F.col(text_col).alias("text")), taught=True).select(held.alias("held"), "more")
     # An outer explode: an inner one makes Spark test the array's size in a filter that repeats every search.
     each = each.select("held", F.explode_outer("more").alias("p")).where("p is not null").select("held", "p.*")
     yes, held = F.col("confirmed"), F.col("held")
@@ -238,6 +248,8 @@ def boost(rows: list[tuple[list[int], int, int, int, int]]) -> dict:
 
     held = [(sum(value(t, x) for t in trees), x[0], p, n) for x, _, _, p, n in rows if p + n]
     thresholds = {}
+    free = len(KINDS) - len(BASE)
+    held = [h for h in held if h[1] < free]
     for k, kind in enumerate(KINDS[len(BASE) :]):
         own = [h for h in held if h[1] == k]
         least = calibrated(own if sum(p + n for _, _, p, n in own) >= CALIBRATION else held)
@@ -280,10 +292,10 @@ def _score(x: Column, trees: list) -> Column:
 
 
 def chosen(rows: DataFrame, model: dict) -> DataFrame:
-    """``row, text, spans`` (start, kind, end, base), by start and kind: the base spans, confirmed account numbers, and what the trees select."""
+    """``row, text, spans`` (start, kind, end, base), by start and kind: the base spans, confirmed proposals, and what the trees select."""
 
     def selected(x):
-        enough = x["valid"]
+        enough = x["valid"] | x["confirmed"]
         for kind, least in model["thresholds"].items():
             enough = enough | ((x["f_kind"] == KINDS.index(kind) - len(BASE)) & (_score(x, model["trees"]) >= least - 1e-9))
         return enough
