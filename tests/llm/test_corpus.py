@@ -481,8 +481,9 @@ def brute_dedup(rows, run=20, line_least=20):
                 struck.update(range(a, b))
             seen.add(words)
         spans = [(k, next(e for e in range(k, len(text) + 1) if e not in struck)) for k in sorted(struck) if k - 1 not in struck]
-        left = "".join(c for k, c in enumerate(text) if k not in struck)
-        out[i] = ",".join(f"{a}:{b}" for a, b in spans), "\n".join(x for x in left.split("\n") if x.strip()) if spans else text
+        marked = "".join("" if k in struck and k - 1 in struck else "\0" if k in struck else c for k, c in enumerate(text))
+        left = [line.replace("\0", "") for line in marked.split("\n") if "\0" not in line or line.replace("\0", "").strip()]
+        out[i] = ",".join(f"{a}:{b}" for a, b in spans), "\n".join(left)
     return out
 
 
@@ -497,6 +498,16 @@ def test_dedup_against_brute_force(spark, docs, monkeypatch):
     assert sum(bool(s) for s, _ in want.values()) > 50
 
 
+def test_paragraph_breaks_stay():
+    text = "First one.\n\nSecond one.\n\nGONE gone\n  \nmore GONE\nLast"
+    at = text.index("GONE gone")
+    assert substrings.without(text, []) == text
+    assert substrings.without(text, [(at, at + 9)]) == "First one.\n\nSecond one.\n\n  \nmore GONE\nLast"
+    assert substrings.without(text, [(at, at + 9), (text.index("GONE\nLast"), len(text) - 5)]) == "First one.\n\nSecond one.\n\n  \nmore \nLast"
+    assert substrings.without(text, [(at, len(text) - 4)]) == "First one.\n\nSecond one.\n\nLast"
+    assert substrings.without("a\nb", [(0, 3)]) == ""
+
+
 def test_one_id_keeps_both_texts(spark):
     passage = " ".join(f"said{i}" for i in range(30)) + "."
     rows = [(1, f"{passage} More."), (2, f"{passage} Other."), (2, "completely different and unique words here at all"), (None, passage), (3, None), (2, f"{passage} Other.")]
@@ -570,6 +581,17 @@ def test_article_text_is_kept(spark):
     assert text == "Title Let x be one. Kept para. A long discussion of the matter, see. No video here. Read on. typed drawn painted object text"
 
 
+def test_names_inside_an_article_only_raise_doubt(spark):
+    """Parts of an article that are named like page furniture stay, unless they are links or named so and nothing else."""
+    kept = {"privacy": '<section id="privacy">', "search": '<div id="search">', "menu": '<p class="menu">', "comments policy": '<section class="comments-policy">', "ad hoc": '<section class="ad-hoc">', "login": '<div class="login">', "form": '<div class="long form">'}
+    gone = ['<div class="comments">', '<section id="comment-list">', '<div class="ad">', '<div class="ad-slot">', '<div class="sidebar">', '<div class="cookie-notice">', '<div class="post-comments">', '<div class="newsletter box">']
+    close = lambda tag: f"</{tag[1:].split()[0]}>"
+    body = "".join(f"{t}Text on {n} here.{close(t)}" for n, t in kept.items()) + "".join(f"{t}Dropped words.{close(t)}" for t in gone)
+    page = f'<body><article><h1>Title</h1>{body}<div class="menu"><a href=a>Dropped</a> <a href=b>words</a></div></article></body>'
+    text = pages.main_text(spark.createDataFrame([(1, "http://doubt.example/", page)], "page_id long, url string, html string")).first().text
+    assert text == "Title " + " ".join(f"Text on {n} here." for n in kept)
+
+
 def test_host_outvotes_a_page(spark, monkeypatch):
     """A page whose own best container is the wrong one gives the container that its host's pages agree on."""
     def page(i, body, extra):

@@ -68,6 +68,10 @@ def test_entropy_windows():
         ("12345-67890_12345-67890", 1),
         ("11111-11111_11111-11111", 0),
         ("2026-11-27T01-02-03-04-05-06", 0),
+        ("qzxwvutsrqponmlk-4821-zyxwvutsrqpo", 1),
+        ("bKx-qhvzrpwltnmcdsgf-tz", 1),
+        ("the-quick-brown-fox-jumps-over-it", 0),
+        ("docs/getting_started/installation-guide", 0),
         ("", 0),
     ],
 )
@@ -99,6 +103,29 @@ def test_dotted_letters_and_base_spans(text, found):
     assert not any(s < e2 and s2 < e for s, e, _ in base for s2, e2, _ in secrets.entropy_spans(text, base))
 
 
+def test_recall_on_planted_candidates_by_class():
+    """Random tokens of each class are found, words and paths joined like them are not."""
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    classes = {
+        "upper hex": ("0123456789ABCDEF", 32, 0.99),
+        "alnum": (letters + letters.upper() + "0123456789", 28, 0.99),
+        "base64": (letters + letters.upper() + "0123456789+/", 40, 0.99),
+        "letters": (letters + letters.upper(), 28, 0.95),
+        "one case in parts": (letters, 36, 0.75),
+    }
+    for name, (alphabet, n, least) in classes.items():
+        hits = 0
+        for _ in range(500):
+            token = "".join(rng.choice(alphabet) for _ in range(n))
+            token = f"{token[:12]}-{token[12:24]}-{token[24:]}" if name == "one case in parts" else token
+            hits += secrets.scan(f"see {token} there")[5] > 0
+        assert hits >= least * 500, (name, hits)
+    words = "access account budget carbon detail engine factor garden handle island jacket kernel ladder market nation object packet record school target update vendor window".split()
+    wrong = sum(secrets.scan("see " + rng.choice("-_/").join(rng.choice(words) for _ in range(5)) + " there")[5] > 0 for _ in range(500))
+    assert wrong == 0
+
+
 def test_window_is_a_parameter():
     assert secrets.scan("key Zk9vQ2x7Lm end")[5] == 0
     assert secrets.scan("key Zk9vQ2x7Lm end", 10, dict.fromkeys(secrets.THRESHOLDS, 3.0))[5] == 1

@@ -64,6 +64,13 @@ LINK_WORDS = frozenset(
     """share sharing sharebar social related recommended recommendations popular trending rail widget widgets skip feedback survey
     respond responses reply replies discussion""".split()
 )
+#: Within an article these names, with no more than ``PLACE_WORDS`` beside them, still speak against an element; the rest of
+#: ``JUNK_WORDS`` only raise a doubt there, which links settle: an article may well have a part on privacy, menus or search.
+STRONG_WORDS = JUNK_WORDS - frozenset("privacy search menu menus consent alert banner promotion promoted login copyright form overlay masthead".split())
+PLACE_WORDS = frozenset(
+    """area article bar block body bottom box container content first form header inline inner item items last left link links list main
+    page panel post reader right section site slot text thread title top unit user wrap wrapper""".split()
+)
 GOOD_WORDS = frozenset("article content entry post story main text body maincontent bodytext".split())
 NEUTRAL_STARTS = frozenset("has with no is without hide show".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -110,6 +117,9 @@ def is_junk(tag: str, inside: bool, found: dict[str, str], names: list[list[str]
         return True, good, False
     ends = [(n, {n[0], n[-1]}) for n in names if n and n[0] not in NEUTRAL_STARTS]
     bad = any(e & JUNK_WORDS or n in (["header"], ["site", "header"], ["page", "header"]) and not inside for n, e in ends)
+    if inside:
+        strong = any(set(n) <= STRONG_WORDS | PLACE_WORDS and set(n) & STRONG_WORDS for n, _ in ends)
+        return strong and not (good and not any(len(n) == 1 and n[0] in STRONG_WORDS for n in names)), good, bad or any(e & LINK_WORDS for _, e in ends)
     return bad and not (good and not any(len(n) == 1 and n[0] in JUNK_WORDS for n in names)), good, any(e & LINK_WORDS for _, e in ends)
 
 

@@ -44,14 +44,25 @@ ALLOWED = (
 #: An address, in which neither the name nor the host counts; after ``name:`` or ``//`` it is a credential of a URL.
 ADDRESS = re.compile(r"(?:(?<=mailto:)|(?<![A-Za-z0-9._%+:/-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 HOST_END = re.compile(r"\.[A-Za-z]{2,}\Z")
-#: A path or name: its parts are words, numbers of up to four digits, or words with such a number.
+#: A path or name: its parts are words (by their vowels), numbers of up to four digits, or words with such a number.
 PART = re.compile(r"(?:[A-Z]?[a-z]*+|[A-Z]++)\d{0,4}")
 SEPARATOR = re.compile(r"[/_-]")
+LETTERS = re.compile(r"[a-z]+")
+#: What words do not have: five letters and more without a vowel between.
+UNSPOKEN = re.compile(r"[^aeiouy]{5}")
+#: From this many letters on a word shows vowels, one in ``VOWELS`` at least.
+SPOKEN, VOWELS = 6, 6
+
+
+def is_word(part: str) -> bool:
+    """Whether the letters of a part may be a word: short, or with vowels as words have them."""
+    letters = "".join(LETTERS.findall(part.lower()))
+    return len(letters) < SPOKEN or not UNSPOKEN.search(letters) and VOWELS * sum(map(letters.count, "aeiouy")) >= len(letters)
 
 
 def allowed(word: str) -> bool:
     parts = SEPARATOR.split(word.rstrip("="))
-    return any(a.fullmatch(word) for a in ALLOWED) or len(parts) > 1 and all(PART.fullmatch(p) for p in parts)
+    return any(a.fullmatch(word) for a in ALLOWED) or len(parts) > 1 and all(PART.fullmatch(p) and is_word(p) for p in parts)
 
 
 @cache

@@ -20,8 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset.
+
+    On a cluster a local warehouse is no such folder: each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def settled(df: DataFrame) -> DataFrame:

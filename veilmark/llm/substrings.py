@@ -121,15 +121,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` less the spans; a line that is left without words goes with its line end."""
-    parts, since = [], 0
+    """``text`` less the spans; a line that they leave without words goes with its line end, other blank lines stay."""
+    parts, since, cuts, at = [], 0, [], 0
     for a, b in spans:
         parts.append(text[since:a])
+        at += a - since
+        cuts.append(at)
         since = b
     left = "".join([*parts, text[since:]])
     if not spans:
         return text
-    return "\n".join(line for line in left.split("\n") if line.strip())
+    lines, kept, at, k = left.split("\n"), [], 0, 0
+    for line in lines:
+        while k < len(cuts) and cuts[k] < at:
+            k += 1
+        touched = k < len(cuts) and cuts[k] <= at + len(line)
+        if line.strip() or not touched:
+            kept.append(line)
+        at += len(line) + 1
+    return "\n".join(kept)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
