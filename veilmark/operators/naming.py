@@ -38,17 +38,25 @@ def base_name(hint: Column, context: Column) -> Column:
     return F.when(P.is_valid_name(base), base).otherwise(F.substring(F.concat(F.lit("s_"), base), 1, 64))
 
 
-def free_name(base: Column, used: Column, rank: Column) -> Column:
-    """``base``, or with the next number from 2 on, so that the ``rank``-th new name of a base is the ``rank``-th that is not in ``used``."""
+def numbered(new: DataFrame, keys: list[str], taken: DataFrame | None) -> DataFrame:
+    """``new`` (keys, base, rank) with ``name``: the base, or with the next number from 2 on, so that the rank-th name of a base takes the rank-th number that ``taken`` (keys, name) leaves free.
 
-    def number(u: Column) -> Column:
-        tail = F.substring(u, F.length(base) + 2, F.lit(64))
-        counted = u.startswith(F.concat(base, F.lit("-"))) & tail.rlike(r"\A(?:[2-9]|[1-9][0-9]{1,8})\z")
-        return F.when(u == base, 1).when(counted, tail.cast("int"))
-
-    taken = F.array_compact(F.transform(F.coalesce(used, F.array().cast("array<string>")), number))
-    free = let(taken, lambda t: F.get(F.filter(F.sequence(F.lit(1), (rank + F.size(t)).cast("int")), lambda i: ~F.array_contains(t, i)), rank.cast("int") - 1))
-    return let(free, lambda n: F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n)))
+    Before the i-th taken number t there are t - i free ones.  So the rank-th free
+    number is rank and as many more as there are taken ones with t - i < rank: a
+    running count over both, in order, whatever the number of names.
+    """
+    each = new.withColumn("at", F.col("rank").cast("long")).withColumn("is_taken", F.lit(0))
+    if taken is not None:
+        parts = F.array(F.struct(F.col("name").alias("base"), F.lit(1).cast("long").alias("number")))
+        tail = F.regexp_extract("name", r"-([2-9]|[1-9][0-9]{1,8})\z", 1)
+        more = F.array(F.struct(F.regexp_replace("name", r"-[0-9]+\z", "").alias("base"), F.expr("try_cast(regexp_extract(name, '-([0-9]+)$', 1) as bigint)").alias("number")))
+        used = taken.select(*keys, F.explode_outer(F.when(tail != "", F.concat(parts, more)).otherwise(parts)).alias("t")).select(*keys, "t.base", "t.number").distinct()
+        place = F.row_number().over(Window.partitionBy(*keys, "base").orderBy("number"))
+        gaps = used.select(*keys, "base", (F.col("number") - place).alias("at"), F.lit(1).alias("is_taken"))
+        each = each.unionByName(gaps, allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "base").orderBy("at", "is_taken").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col("rank") + F.sum("is_taken").over(before)
+    return each.withColumn("number", number).where("is_taken = 0").withColumn("name", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), "number"))).drop("at", "is_taken", "number")
 
 
 def suggest_names(found: DataFrame, texts: DataFrame, ids: list[str], text_col: str = "text", taken: DataFrame | None = None) -> DataFrame:
@@ -67,15 +75,17 @@ def suggest_names(found: DataFrame, texts: DataFrame, ids: list[str], text_col:
     rows = rows.withColumn(base_col, base_name(F.col("hint"), F.substring(F.col(t), left + 1, right - left)))
     first = rows.groupBy(*ids, "value").agg(F.min_by(base_col, F.struct("start", "end")).alias("base"), F.min("start").alias("at"))
     if taken is None:
-        first = first.withColumn("old", F.lit(None).cast("string")).withColumn("used", F.array().cast("array<string>"))
+        first = first.withColumn("old", F.lit(None).cast("string"))
     else:
         old = taken.groupBy(*ids, "value").agg(F.min("name").alias("old"))
-        used = taken.groupBy(*ids).agg(F.collect_set("name").alias("used"))
-        first = first.join(old, [*ids, "value"], "left").join(used, ids, "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
-    rank = F.row_number().over(Window.partitionBy(*ids, F.col("old").isNull(), "base").orderBy("at", "value"))
-    first = first.withColumn("rank", rank)
-    name = F.coalesce("old", free_name(F.col("base"), F.col("used"), F.col("rank")))
-    names = first.withColumn("name", F.substring(name, 1, 64)).select(*ids, "value", "name")
+        # A name that two values ask for stays with the first; the other gets a name of its own.
+        asked = F.row_number().over(Window.partitionBy(*ids, "old").orderBy("at", "value"))
+        first = first.join(old, [*ids, "value"], "left").withColumn("old", F.when(asked == 1, F.col("old")))
+    rank = F.row_number().over(Window.partitionBy(*ids, "base").orderBy("at", "value"))
+    new = first.where("old is null").select(*ids, "value", "base", rank.alias("rank"))
+    named = numbered(new, ids, taken).select(*ids, "value", "name")
+    names = first.where("old is not null").select(*ids, "value", F.col("old").alias("name")).unionByName(named)
+    names = names.select(*ids, "value", F.substring("name", 1, 64).alias("name"))
     return found.join(names, [*ids, "value"])
 
 

@@ -13,7 +13,7 @@ from ..functions import predicates as P
 from ..functions import rules as R
 from ..functions.columns import fresh
 from .index import with_candidates
-from .naming import adopted_base, free_name
+from .naming import adopted_base, numbered
 
 KEYS = ["session_id", "name"]
 
@@ -107,11 +107,11 @@ def adopt(hits: DataFrame, vault: DataFrame, cap: int = R.ADOPT_CAP) -> DataFram
     """
     first = hits.groupBy("session_id", "value").agg(F.min(F.struct("seq", "start", "kind", "hint")).alias("f"))
     old = names_by_value(vault).withColumnRenamed("name", "old")
-    full = vault.groupBy("session_id").agg(F.count_if(F.col("source") == "output").alias("held"), F.collect_set("name").alias("used"))
+    full = vault.groupBy("session_id").agg(F.count_if(F.col("source") == "output").alias("held"))
     rows = first.join(old, ["session_id", "value"], "left").join(full, "session_id", "left")
     new = rows.where("old is null").withColumn("base", adopted_base(F.col("f.kind"), F.col("f.hint"), F.col("f.hint")))
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("f.seq", "f.start", "value"))
     new = new.withColumn("n", order).where(F.col("n") + F.coalesce("held", F.lit(0)) <= cap)
     rank = F.row_number().over(Window.partitionBy("session_id", "base").orderBy("n"))
-    new = new.withColumn("rank", rank).select("session_id", "value", free_name(F.col("base"), F.col("used"), F.col("rank")).alias("new"))
+    new = numbered(new.select("session_id", "value", "base", rank.alias("rank")), ["session_id"], vault).select("session_id", "value", F.col("name").alias("new"))
     return rows.join(new, ["session_id", "value"], "left").select("session_id", "value", F.coalesce("old", "new").alias("name"))

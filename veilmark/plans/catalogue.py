@@ -6,12 +6,12 @@ are built from their columns by expressions that SQL can repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import rules as R
-from ..operators import context, detect, dotenv, mask, messages, naming, nested, policy, refs, shell
+from ..operators import context, detect, dotenv, intervals, mask, messages, naming, nested, policy, refs, shell
 from ..operators import vault as V
 from ..sources import files
 from ..streaming import session, stream
@@ -813,6 +813,43 @@ f AS (SELECT *, n + CASE WHEN n >= 4 THEN 2 WHEN n >= 3 THEN 1 ELSE 0 END AS k F
 SELECT CAST(c_nationkey AS VARCHAR) AS session_id, substr(h, 1, 20) AS value, CASE WHEN n > 64 THEN NULL WHEN k = 1 THEN 'api_key' ELSE 'api_key-' || k END AS name FROM f"""
 
 
+def gap_numbers(spark, sf_dir):
+    """A new value of each customer takes the next number of its base that the vault of its nation leaves free."""
+    c = table(spark, sf_dir, "customer").select(_id("c_nationkey").alias("session_id"), "c_custkey")
+    base = F.concat(F.lit("key_"), F.col("c_custkey") % 4)
+    taken = c.where("c_custkey % 3 = 0").select("session_id", F.concat(base, F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("-"), 2 + F.floor(F.col("c_custkey") / 3) % 90)).otherwise("")).alias("name"))
+    rank = F.row_number().over(Window.partitionBy("session_id", base).orderBy("c_custkey"))
+    new = c.select("session_id", "c_custkey", base.alias("base"), rank.alias("rank"))
+    return naming.numbered(new, ["session_id"], taken).select("session_id", "c_custkey", "name")
+
+
+_GAPS_SQL = """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS session_id, c_custkey, 'key_' || c_custkey % 4 AS base FROM customer),
+t AS (SELECT DISTINCT session_id, base, CASE WHEN c_custkey % 7 > 0 THEN 2 + CAST(floor(c_custkey / 3) AS BIGINT) % 90 ELSE 1 END AS n FROM c WHERE c_custkey % 3 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, base ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY session_id, base) AS total FROM c),
+b AS (SELECT DISTINCT session_id, base, total FROM r), f AS (SELECT session_id, base, unnest(range(1, total + 100)) AS n FROM b),
+g AS (SELECT *, row_number() OVER (PARTITION BY session_id, base ORDER BY n) AS k FROM f ANTI JOIN t USING (session_id, base, n))
+SELECT session_id, c_custkey, base || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS name FROM r JOIN g USING (session_id, base, k)"""
+
+
+def spans_outside_regions(spark, sf_dir):
+    """A table of spans of all documents against a table of regions: what is left of it, and the pairs that overlap."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 37))).alias("k")).select("doc_id", (F.col("k") * 37).alias("start"), (F.col("k") * 37 + 1 + (F.col("k") + F.col("doc_id")) % 50).alias("end"))
+    regions = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 211))).alias("j")).select("doc_id", (F.col("j") * 211 + F.col("doc_id") % 50).alias("start"), (F.col("j") * 211 + F.col("doc_id") % 50 + 10 + F.col("j") * F.col("j") % 300).alias("end"))
+    left = intervals.excluded(spans, regions, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("start").alias("starts"))
+    held = intervals.overlapping(spans, regions, ["doc_id"], inside=True).groupBy("doc_id").agg(F.count("*").alias("inside"))
+    return docs.select("doc_id").join(left, "doc_id", "left").join(held, "doc_id", "left").na.fill(0)
+
+
+_OUTSIDE_SQL = """WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents),
+k AS (SELECT doc_id, unnest(range(0, CAST(floor(n / 37) AS BIGINT) + 1)) AS k FROM d), s AS (SELECT doc_id, k * 37 AS a, k * 37 + 1 + (k + doc_id) % 50 AS b FROM k),
+j AS (SELECT doc_id, unnest(range(0, CAST(floor(n / 211) AS BIGINT) + 1)) AS j FROM d), r AS (SELECT doc_id, j * 211 + doc_id % 50 AS x, j * 211 + doc_id % 50 + 10 + j * j % 300 AS y FROM j),
+p AS (SELECT s.doc_id, a, b, x, y FROM s JOIN r ON s.doc_id = r.doc_id AND a < y AND x < b),
+l AS (SELECT doc_id, count(*) AS kept, CAST(sum(a) AS BIGINT) AS starts FROM s ANTI JOIN p USING (doc_id, a, b) GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) AS inside FROM p WHERE a > x AND b <= y GROUP BY doc_id)
+SELECT doc_id, coalesce(kept, 0) AS kept, coalesce(starts, 0) AS starts, coalesce(inside, 0) AS inside FROM d LEFT JOIN l USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
+
 def import_names(spark, sf_dir):
     """Keys of one file that meet in lower case or with their numbers."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("/e/"), _id("n_nationkey")).alias("path"), F.regexp_replace("n_name", " ", "").alias("k"))
@@ -912,6 +949,8 @@ QUERIES = {
     "suggest_taken": (suggest_taken, _TAKEN_SQL),
     "adopt_taken": (adopt_taken, _ADOPT_TAKEN_SQL),
     "import_names": (import_names, _IMPORT_NAMES_SQL),
+    "gap_numbers": (gap_numbers, _GAPS_SQL),
+    "spans_outside_regions": (spans_outside_regions, _OUTSIDE_SQL),
     "scrub_text": (scrub_text, _SCRUB_SQL),
     "nested_values": (nested_values, _NESTED_VALUES_SQL),
     "tool_values": (tool_values, _TOOL_VALUES_SQL),
