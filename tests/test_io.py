@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
-from veilmark.plans import catalogue
+from pyspark.sql import functions as F
+from veilmark.operators import refs
+from veilmark.plans import catalogue, functions
 from veilmark.sources import files
 from veilmark.streaming import stream
 
@@ -20,6 +22,7 @@ def test_files(spark, tmp_path):
     names = [(r.name, r.folder) for r in files.listing(spark, str(tmp_path)).collect()]
     assert names == [("..", True), ("d", True), ("a.env", False), ("big", False), ("bin", False)]
     assert [r.name for r in files.listing(spark, str(tmp_path), "b").collect()] == ["big", "bin"]
+    assert [r.name for r in files.listing(spark, str(tmp_path), ".").collect()] == []
 
 
 def test_sweep(spark):
@@ -30,17 +33,6 @@ def test_sweep(spark):
     assert {r.verdict for r in files.leak_sweep(texts.limit(0), canaries).collect()} == {"nothing examined"}
 
 
-def test_snapshot_replaces_the_old_one(spark, tmp_path):
-    path = str(tmp_path / "snap")
-    files.write_snapshot(spark.range(3), path)
-    files.write_snapshot(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
-    with pytest.raises(Exception, match="bad row"):
-        files.write_snapshot(spark.range(5).selectExpr("if(id = 3, raise_error('bad row'), id) as id"), path)
-    assert spark.read.parquet(path).count() == 5
-    assert sorted(p.name for p in tmp_path.iterdir() if "old" in p.name) == []
-
-
 def test_receipts_hold_no_value(spark, tmp_path):
     rows = spark.createDataFrame([("s", "n", "topsecretvalue", "prompt")], "session_id string, name string, value string, source string")
     files.append_receipts(rows, str(tmp_path / "r"))
@@ -69,6 +61,25 @@ def duck():
     return con
 
 
+def test_sql_functions(spark):
+    functions.register_functions(spark)
+    functions.register_functions(spark)
+    row = "veil_entropy('abcdefgh'), veil_entropy(''), veil_entropy(NULL), veil_is_digest(repeat('A', 40)), veil_is_digest('x'), veil_is_name('a-1'), veil_is_name('A'), veil_ref('n'), veil_mask_formats(NULL)"
+    assert tuple(spark.sql(f"SELECT {row}").first()) == (3.0, 0.0, None, True, False, True, False, "{{sec:n}}", None)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM veil_refs('é {{sec:one}}{{sec:two}} {{sec:No}}') ORDER BY start").collect()] == [("one", 2), ("two", 13)]
+    assert spark.sql("SELECT * FROM veil_formats(NULL)").isEmpty()
+    plan = spark.sql("SELECT f.* FROM VALUES ('x') AS t(text), LATERAL veil_formats(text) f")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_typed_prefix(spark):
+    rows = spark.createDataFrame([("use {{sec:ab-",), ("{{sec:",), ("{{sec:a}} ",), ("{{sec:A",), (None,)], "text string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(refs.typed_prefix(F.col("text"))).collect()]
+    assert got == [("{{sec:ab-", "ab-"), ("{{sec:", ""), None, None, None]
+    vault = spark.createDataFrame([("s", "ab-1", "v", "prompt", 0, 1), ("s", "b", "v", "prompt", 0, 2)], "session_id string, name string, value string, source string, added_at long, seq long")
+    assert [(r.text, r.names) for r in refs.completions(rows.withColumn("session_id", F.lit("s")), vault, "session_id").orderBy("text").collect() if r.names] == [("use {{sec:ab-", ["ab-1"]), ("{{sec:", ["ab-1", "b"])]
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 

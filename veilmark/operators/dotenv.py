@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -53,6 +53,6 @@ def summary(files: DataFrame, path_col: str = "path", text_col: str = "text") ->
 
 
 def import_rows(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Assignments with a name or a reason, and whether they look like secrets."""
-    rows = choose_names(parse(files, path_col, text_col), "key", "place")
-    return rows.withColumn("likely", P.is_likely_secret(F.col("key"), F.col("value")))
+    """Assignments with a name or a reason, whether they look like secrets, and where a list shows them (``shown``, from 1): likely ones first, then by place."""
+    rows = choose_names(parse(files, path_col, text_col), "key", "place").withColumn("likely", P.is_likely_secret(F.col("key"), F.col("value")))
+    return rows.withColumn("shown", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("likely"), "place")))

@@ -42,3 +42,18 @@ def variable_collisions(names: DataFrame, name_col: str = "name") -> DataFrame:
     """Variables that more than one name would take."""
     per = names.select(P.variable_name(F.col(name_col)).alias("variable"), F.col(name_col).alias("name"))
     return per.groupBy("variable").agg(F.count_distinct("name").alias("names")).where("names > 1")
+
+
+def typed_prefix(before: Column) -> Column:
+    """Of the text before a cursor, struct of the reference begun there (``prefix``) and of its name so far (``typed``); null if none is."""
+    own = F.regexp_extract(before, r"\{\{sec:[a-z0-9_-]*\z", 0)
+    return F.when(own != "", F.struct(own.alias("prefix"), F.substring(own, 7, 64).alias("typed")))
+
+
+def completions(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``names``: those of the row's ``key`` that start with what is typed before the cursor, in order of insertion; null if nothing is."""
+    k, held, typed = fresh([*df.columns, "names"], "k", "held", "typed")
+    own = vault.groupBy(F.col(key).alias(k)).agg(F.array_sort(F.collect_set(F.struct("seq", "name"))).alias(held))
+    rows = df.withColumn(typed, typed_prefix(F.col(text_col))).join(own, F.col(key) == F.col(k), "left")
+    fit = F.transform(F.filter(held, lambda x: x["name"].startswith(F.col(typed)["typed"])), lambda x: x["name"])
+    return rows.withColumn("names", F.when(F.col(typed).isNotNull(), fit)).drop(k, held, typed)

@@ -15,6 +15,7 @@ from ..operators import context, detect, dotenv, intervals, mask, messages, nami
 from ..operators import vault as V
 from ..sources import files
 from ..streaming import session, stream
+from . import functions
 from .capture import capture
 
 
@@ -813,6 +814,34 @@ f AS (SELECT *, n + CASE WHEN n >= 4 THEN 2 WHEN n >= 3 THEN 1 ELSE 0 END AS k F
 SELECT CAST(c_nationkey AS VARCHAR) AS session_id, substr(h, 1, 20) AS value, CASE WHEN n > 64 THEN NULL WHEN k = 1 THEN 'api_key' ELSE 'api_key-' || k END AS name FROM f"""
 
 
+def sql_functions(spark, sf_dir):
+    """Formats found, described and masked by SQL text alone."""
+    functions.register_functions(spark)
+    tokens = " ".join(f"WHEN {i} THEN concat('{p[:2]}', '{p[2:]}', substr(sha2(string(c_custkey), 256), 1, {n}))" for i, (_, p, n) in enumerate(_SYNTH))
+    return spark.sql(f"""
+        SELECT c_custkey, f.hint, f.start AS span_start, veil_fingerprint(f.value) AS mark, round(veil_entropy(f.value), 6) AS bits, veil_mask_formats(text) AS masked
+        FROM (SELECT c_custkey, concat('é use ', CASE c_custkey % 5 {tokens} END, ' now') AS text FROM parquet.`{sf_dir}/customer.parquet`) AS t, LATERAL veil_formats(text) AS f""")
+
+
+_FUNCTIONS_SQL = f"""WITH {_SYNTH_SQL} SELECT c_custkey, CASE kind {" ".join(f"WHEN {i} THEN '{h}'" for i, (h, _, _) in enumerate(_SYNTH))} END AS hint, CAST(6 AS INTEGER) AS span_start,
+  substr(sha256(token), 1, 4) AS mark, {_ENTROPY_SQL} AS bits, 'é use {{{{sec:redacted}}}} now' AS masked FROM synth"""
+
+
+def completion(spark, sf_dir):
+    """What a reference begun in each customer's text may become: names of its nation's vault."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"))
+    vault = c.select(_id("n").alias("session_id"), F.concat(F.lit("k_"), F.col("c_custkey") % 10, F.lit("-"), F.col("c_custkey") % 3).alias("name"), F.lit("v").alias("value"), F.col("c_custkey").alias("seq"))
+    vault = vault.groupBy("session_id", "name").agg(F.min("seq").alias("seq"))
+    typed = F.concat(F.lit("{{sec:a}} and {{sec:"), F.when(F.col("c_custkey") % 4 == 0, F.lit("k_")).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("k_"), F.col("c_custkey") % 10)).when(F.col("c_custkey") % 4 == 2, F.lit("zz")).otherwise(F.lit("a}}")))
+    rows = refs.completions(c.select("c_custkey", _id("n").alias("session_id"), typed.alias("text")), vault, "session_id")
+    return rows.select("c_custkey", F.array_join("names", ",").alias("names"))
+
+
+_COMPLETION_SQL = """WITH c AS (SELECT c_custkey, c_nationkey AS n, CASE c_custkey % 4 WHEN 0 THEN 'k_' WHEN 1 THEN 'k_' || c_custkey % 10 WHEN 2 THEN 'zz' END AS typed FROM customer),
+v AS (SELECT c_nationkey AS n, 'k_' || c_custkey % 10 || '-' || c_custkey % 3 AS name, min(c_custkey) AS seq FROM customer GROUP BY ALL)
+SELECT c_custkey, CASE WHEN typed IS NOT NULL THEN coalesce(string_agg(name, ',' ORDER BY seq), '') END AS names FROM c LEFT JOIN v ON c.n = v.n AND starts_with(name, typed) GROUP BY c_custkey, typed"""
+
+
 def gap_numbers(spark, sf_dir):
     """A new value of each customer takes the next number of its base that the vault of its nation leaves free."""
     c = table(spark, sf_dir, "customer").select(_id("c_nationkey").alias("session_id"), "c_custkey")
@@ -950,6 +979,8 @@ QUERIES = {
     "adopt_taken": (adopt_taken, _ADOPT_TAKEN_SQL),
     "import_names": (import_names, _IMPORT_NAMES_SQL),
     "gap_numbers": (gap_numbers, _GAPS_SQL),
+    "sql_functions": (sql_functions, _FUNCTIONS_SQL),
+    "completion": (completion, _COMPLETION_SQL),
     "spans_outside_regions": (spans_outside_regions, _OUTSIDE_SQL),
     "scrub_text": (scrub_text, _SCRUB_SQL),
     "nested_values": (nested_values, _NESTED_VALUES_SQL),

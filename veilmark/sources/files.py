@@ -1,12 +1,10 @@
-"""Files in and out: variable files, listings, the leak sweep, masked snapshots, receipts.
+"""Files in and out: variable files, listings, the leak sweep, receipts; masked snapshots are in ``publish``.
 
 All reads go through Spark's readers, so any store that Spark can open will do.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +23,13 @@ def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
 
 
 def listing(spark: SparkSession, path: str, fragment: str = "", limit: int = MAX_ROWS) -> DataFrame:
-    """Names in ``path`` that start with ``fragment``: the folder above, then folders, then files by name.  The limit is part of the listing.
+    """Names in ``path`` that start with ``fragment``: the folder above (with no fragment only), then folders, then files by name.  The limit is part of the listing.
 
     One level is listed by the store itself; what lies below is not read.
     """
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = [("..", True, 0)] if "..".startswith(fragment) and where.getParent() is not None else []
+    rows = [("..", True, 0)] if fragment == "" and where.getParent() is not None else []
     steps = store.listStatusIterator(where)
     while steps.hasNext():
         one = steps.next()
@@ -68,21 +66,6 @@ def leak_places(texts: DataFrame, canaries: DataFrame, text_col: str, ids: list[
     return rows.select(*ids, names.alias("canaries"), first.alias("starts"))
 
 
-def write_snapshot(masked: DataFrame, path: str) -> None:
-    """Publishes masked output whole: written aside, then put in place of the old one, which stays if the job fails."""
-    spark = masked.sparkSession
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
-    aside = here.suffix(f"-{uuid.uuid4().hex}")
-    masked.write.parquet(aside.toString())
-    store = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = here.suffix(f"-old-{uuid.uuid4().hex}")
-    if store.exists(here):
-        store.rename(here, old)
-    if not store.rename(aside, here):
-        raise OSError(f"cannot put the snapshot in place at {path}")
-    store.delete(old, True)
-
-
 def append_receipts(captured: DataFrame, path: str) -> None:
     """Names, fingerprints, lengths, sources: never a value."""
     from ..functions import predicates as P
