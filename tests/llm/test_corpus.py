@@ -498,6 +498,16 @@ def test_dedup_against_brute_force(spark, docs, monkeypatch):
     assert sum(bool(s) for s, _ in want.values()) > 50
 
 
+def test_common_short_lines_go_by_their_documents(spark):
+    """A line of three words that five documents have goes from all but the first; one that two share, or one repeats, stays."""
+    rows = [(i, f"Own text number {i}.\nShare this page\n" + ("By chance\n" if i < 2 else "") + ("twice here\ntwice here\n" * 4 if i == 3 else "") + "End.") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substrings.dedup_substrings(df, common=5).collect()}
+    assert got == {i: t if i == 0 else t.replace("Share this page\n", "").replace("\nEnd.", "") for i, t in rows}
+    assert {r.doc_id: r.text for r in substrings.dedup_substrings(df, common=6).collect()} == dict(rows)
+    assert {r.doc_id: r.text for r in substrings.dedup_substrings(df).collect()} == dict(rows)
+
+
 def test_paragraph_breaks_stay():
     text = "First one.\n\nSecond one.\n\nGONE gone\n  \nmore GONE\nLast"
     at = text.index("GONE gone")

@@ -6,7 +6,9 @@ the line at most and once over line ends.  So a passage is found in a longer
 line, and where it is wrapped at other places; short lines count as parts of
 runs, and on their own only from ``LINE_WORDS`` words.  Both bounds keep stock
 phrases and single common lines where they are: on the synthetic tables most
-lines that documents share by chance have 3 to 14 words.
+lines that documents share by chance have 3 to 14 words.  With ``common``, a
+shorter line goes too where that many documents have it: the number of documents
+tells boilerplate from chance, whatever the length.
 
 A unit is normalised (lower case, white space as one space) and hashed to 96
 bits, whichever kind it is.  Digests are grouped over all documents; the
@@ -58,8 +60,8 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def units(text: str, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines and runs of sentences that count."""
+def units(text: str, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, digest, words) of the lines and runs of sentences that count."""
     starts, stops, sums, free = [], [], [0], []
     lines, ends, begins = [], [], []  # parts of each line; last parts of sentences; first parts of sentences and lines
     at, total, find, hashes = 0, 0, PART.finditer, _HASHES
@@ -97,7 +99,7 @@ def units(text: str, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -
     for first, last, a, b in lines:
         whole = last - first + 1 >= line_words
         if whole:
-            out.append((a, b, digest(first, last)))
+            out.append((a, b, digest(first, last), last - first + 1))
         while k < len(begins) and begins[k] <= last:
             i, k = begins[k], k + 1
             far = i + run_words - 1
@@ -106,7 +108,7 @@ def units(text: str, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -
             j = ends[bisect_left(ends, far)]
             for stop in {j, min(j, last)} if far <= last else {j}:
                 if not whole or (i, stop) != (first, last):
-                    out.append((starts[i], stops[stop], digest(i, stop)))
+                    out.append((starts[i], stops[stop], digest(i, stop), stop - i + 1))
     return out
 
 
@@ -147,22 +149,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, line_words: int = LINE_WORDS, common: int | None = None) -> DataFrame:
     """``id, hash, spans``: spans to remove (they may overlap), for documents that have any; ``hash`` is xxhash64 of the text."""
     rows = _keyed(docs, id_col, text_col)
-    ddl = f"{column_ddl(rows, 'id')}, hash long, start int, stop int, digest binary"
+    ddl = f"{column_ddl(rows, 'id')}, hash long, start int, stop int, digest binary, short boolean, lead int"
     schema = pa_schema(ddl)
+    least_words = line_words if common is None else 1
+    whole = min(line_words, run_words)
 
     def run(batches):
         for keys, texts in text_batches(batches):
-            out = [(k["id"], k["hash"], *u) for k, t in zip(keys, texts, strict=True) for u in units(t, run_words, line_words)]
+            out = []
+            for k, t in zip(keys, texts, strict=True):
+                seen = set()
+                for a, b, digest, n in units(t, run_words, least_words):
+                    out.append((k["id"], k["hash"], a, b, digest, n < whole, int(digest not in seen)))
+                    seen.add(digest)
             if out:
                 yield arrow(zip(*out, strict=True), schema)
 
     with scratch(docs.sparkSession) as keep:
         found = settled(rows.where("id is not null").select(F.struct("id", "hash").alias("key"), "text").mapInArrow(run, ddl))
         place = F.struct("id", "hash", "start")
-        first = settled(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        each = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("short").alias("short"), F.sum("lead").alias("documents"))
+        first = settled(each.where("n > 1" if common is None else f"n > 1 AND (NOT short OR documents >= {common:d})").drop("short", "documents"))
         least = max(HOT_UNITS, found.count() // HOT_SHARE)
         hot = F.broadcast(first.where(F.col("n") > least).select("digest", "first"))
         # A row of a hot digest needs no exchange; one of a digest of its own has no partner there.
@@ -172,9 +182,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return keep(spans)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, line_words: int = LINE_WORDS, common: int | None = None) -> DataFrame:
     """For each row: removed spans with original offsets, their number and length, and the text that stays."""
-    spans = repeated_spans(docs, id_col, text_col, run_words, line_words)
+    spans = repeated_spans(docs, id_col, text_col, run_words, line_words, common)
     both = _keyed(docs, id_col, text_col).join(spans, ["id", "hash"], "left")
     ddl = f"{column_ddl(docs, id_col)}, n_removed long, removed_chars long, removed_spans string, text string"
     schema = pa_schema(ddl)
