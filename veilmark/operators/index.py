@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fresh
@@ -56,9 +56,9 @@ def anchors(strings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(grams)], schema=schema)
 
     each = strings.where(F.length("f.form") >= LEAST).select("k", "f").mapInArrow(run, ddl).withColumn("tight", F.col("f.tight"))
-    counts = each.groupBy("k", "tight", "gram").agg(F.count("*").alias("n"))
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy("k", "tight", "gram")))
     rarest = F.min_by("gram", F.struct("n", "gram"))
-    return each.join(counts, ["k", "tight", "gram"]).groupBy("k", "f").agg(rarest.alias("gram")).select("k", F.col("f.tight").alias("tight"), "gram", "f")
+    return each.groupBy("k", "f").agg(rarest.alias("gram")).select("k", F.col("f.tight").alias("tight"), "gram", "f")
 
 
 def postings(rows: DataFrame) -> DataFrame:
