@@ -152,27 +152,32 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, line_words: int = LINE_WORDS, common: int | None = None) -> DataFrame:
     """``id, hash, spans``: spans to remove (they may overlap), for documents that have any; ``hash`` is xxhash64 of the text."""
     rows = _keyed(docs, id_col, text_col)
-    ddl = f"{column_ddl(rows, 'id')}, hash long, start int, stop int, digest binary, short boolean, lead int"
+    ddl = f"{column_ddl(rows, 'id')}, hash long, start int, stop int, digest binary" + (", short boolean, lead int" if common is not None else "")
     schema = pa_schema(ddl)
     least_words = line_words if common is None else 1
     whole = min(line_words, run_words)
 
     def run(batches):
         for keys, texts in text_batches(batches):
-            out = []
-            for k, t in zip(keys, texts, strict=True):
-                seen = set()
-                for a, b, digest, n in units(t, run_words, least_words):
-                    out.append((k["id"], k["hash"], a, b, digest, n < whole, int(digest not in seen)))
-                    seen.add(digest)
-            if out:
-                yield arrow(zip(*out, strict=True), schema)
+            out = [(k["id"], k["hash"], *u) for k, t in zip(keys, texts, strict=True) for u in units(t, run_words, least_words)]
+            if not out:
+                continue
+            columns = list(zip(*out, strict=True))
+            if common is not None:
+                met = set()
+                lead = [0 if x in met else (met.add(x) or 1) for x in zip(columns[0], columns[1], columns[4], strict=True)]
+                columns[5:] = [n < whole for n in columns[5]], lead
+            yield arrow(columns[: len(schema)], schema)
 
     with scratch(docs.sparkSession) as keep:
         found = settled(rows.where("id is not null").select(F.struct("id", "hash").alias("key"), "text").mapInArrow(run, ddl))
         place = F.struct("id", "hash", "start")
-        each = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("short").alias("short"), F.sum("lead").alias("documents"))
-        first = settled(each.where("n > 1" if common is None else f"n > 1 AND (NOT short OR documents >= {common:d})").drop("short", "documents"))
+        place_and_count = [F.min(place).alias("first"), F.count("*").alias("n")]
+        if common is None:
+            first = settled(found.groupBy("digest").agg(*place_and_count).where("n > 1"))
+        else:
+            each = found.groupBy("digest").agg(*place_and_count, F.max("short").alias("short"), F.sum("lead").alias("documents"))
+            first = settled(each.where("n > 1").where(~F.col("short") | (F.col("documents") >= common)).drop("short", "documents"))
         least = max(HOT_UNITS, found.count() // HOT_SHARE)
         hot = F.broadcast(first.where(F.col("n") > least).select("digest", "first"))
         # A row of a hot digest needs no exchange; one of a digest of its own has no partner there.
