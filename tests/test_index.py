@@ -152,3 +152,17 @@ def test_columns_of_the_user_survive(spark):
         for c in set(MINE) & set(df.columns):
             assert row[c] == c, (name, c)
     assert {n: len(set(MINE) - set(df.columns)) for n, df in done.items() if n not in ("held_names", "findings_rows", "suggest_names")} == dict.fromkeys(set(done) - {"held_names", "findings_rows", "suggest_names"}, 0)
+
+
+def test_no_postings_or_forms_are_broadcast(spark, tmp_path):
+    """Estimates take what Python makes for no larger than the file it came from; only the bitmap, which is bounded, may go to the driver."""
+    path = str(tmp_path / "rows")
+    spark.range(50).select(F.lit("s").alias("session_id"), F.concat(F.lit("pw-"), F.sha2(F.col("id").cast("string"), 256)).alias("value"), F.lit("n").alias("name"), F.lit("x").alias("text")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    by_value = mask.mask_values(rows, rows, "session_id")
+    by_place = index.with_places(rows.select("text"), "text", rows.select(F.col("value").alias("string")), "places")
+    for done in (by_value, by_place):
+        plan = done._jdf.queryExecution().sparkPlan().toString().split("\n")
+        met = [line for line in plan if "Join" in line and "gram" in line]
+        assert met and all("SortMergeJoin" in line for line in met)
+        assert all("word" in line or "Left" in line for line in plan if "BroadcastHashJoin" in line)

@@ -31,6 +31,8 @@ LEAST = GRAM + WINDOW - 1
 HEAD = 256
 #: Characters whose fingerprints are taken together.
 SLICE = 1 << 19
+#: Bits of the filter that fingerprints of texts pass before they are dealt out; it decides cost, never results.
+FILTER_BITS = 1 << 24
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -96,6 +98,22 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("k", "h", "texts").mapInArrow(run, ddl)
 
 
+def _met(own: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The equality join of the postings ``own`` and the fingerprints ``wanted``.
+
+    Few postings meet any: a bitmap of the hashes of ``wanted``, of at most ``FILTER_BITS``, goes to every task, and only what passes
+    it is shuffled.  Spark's estimate, which takes what Python makes for no larger than its input, must not choose to
+    broadcast either side, so the join names its kind.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    word, mask = fresh([*own.columns, *wanted.columns], "word", "mask")
+    flag = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    bits = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias(word)).agg(F.bit_or(flag).alias(mask))
+    some = own.withColumn("bit", bit).withColumn(word, F.floor(F.col("bit") / 64)).join(F.broadcast(bits), word)
+    some = some.where(F.col(mask).bitwiseAND(flag) != 0).drop("bit", word, mask)
+    return some.join(wanted.hint("merge"), on)
+
+
 def with_candidates(df: DataFrame, key: str, texts: Column, strings: DataFrame, out: str) -> DataFrame:
     """``df`` with ``out``: those of ``strings`` (k, f) of the row's ``key`` that its ``texts`` (an array column) may hold, as an array; null if none.
 
@@ -104,7 +122,7 @@ def with_candidates(df: DataFrame, key: str, texts: Column, strings: DataFrame,
     h, k, h2 = fresh([*df.columns, out], "h", "k", "h2")
     rows = df.withColumn(h, F.xxhash64(texts))
     own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"), texts.alias("texts"))
-    tried = postings(own).join(anchors(strings), ["k", "tight", "gram"]).groupBy(F.col("k").alias(k), F.col("h").alias(h2)).agg(F.collect_set("f").alias(out))
+    tried = _met(postings(own), anchors(strings), ["k", "tight", "gram"]).groupBy(F.col("k").alias(k), F.col("h").alias(h2)).agg(F.collect_set("f").alias(out))
     return rows.join(tried, (F.col(key) == F.col(k)) & (F.col(h) == F.col(h2)), "left").drop(h, k, h2)
 
 
@@ -144,9 +162,9 @@ def with_places(df: DataFrame, text_col: str, strings: DataFrame, out: str) -> D
         n = F.length("string")
         some = strings.where((n >= least) & (n < SIZES[i + 1][0]) if i + 1 < len(SIZES) else n >= least)
         each = _postings_at(some.select(F.col("string").alias("h"), F.col("string").alias("text")), gram, window)
-        counts = each.groupBy("gram").agg(F.count("*").alias("n"))
-        rare = each.join(counts, "gram").groupBy("h").agg(F.min(F.struct("n", "gram", "at")).alias("r")).select(F.col("h").alias("string"), "r.gram", F.col("r.at").alias("off"))
-        both = _postings_at(own, gram, window).join(rare, "gram").select("h", F.struct("string", (F.col("at") - F.col("off")).alias("start")).alias("x"))
+        each = each.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
+        rare = each.groupBy("h").agg(F.min(F.struct("n", "gram", "at")).alias("r")).select(F.col("h").alias("string"), "r.gram", F.col("r.at").alias("off"))
+        both = _met(_postings_at(own, gram, window), rare, ["gram"]).select("h", F.struct("string", (F.col("at") - F.col("off")).alias("start")).alias("x"))
         met.append(both.where("x.start >= 0"))
     places = met[0].unionByName(met[1]).groupBy(F.col("h").alias(h2)).agg(F.collect_set("x").alias(tried))
     both = rows.join(places, F.col(h) == F.col(h2), "left")
