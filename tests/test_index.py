@@ -166,3 +166,11 @@ def test_no_postings_or_forms_are_broadcast(spark, tmp_path):
         met = [line for line in plan if "Join" in line and "gram" in line]
         assert met and all("SortMergeJoin" in line for line in met)
         assert all("word" in line or "Left" in line for line in plan if "BroadcastHashJoin" in line)
+
+
+def test_small_files_with_dear_rows_are_dealt_out(spark):
+    """A table of one small file is one partition as it is read, however many texts are made from it."""
+    from veilmark.plans import catalogue
+
+    assert catalogue.table(spark, "/root/testdata/sf0.01", "customer").rdd.getNumPartitions() == 1
+    assert catalogue._customers(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism

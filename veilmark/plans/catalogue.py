@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, dealt out by key: their file is small, so it would be read by one or two tasks, and each row becomes texts that take long."""
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+
+
 def _hex(c, n: int):
     return F.substring(F.sha2(c, 256), 1, n)
 
@@ -83,7 +88,7 @@ _SYNTH = (("github", "gh" + "p_", 36), ("gitlab", "glp" + "at-", 24), ("npm", "n
 
 
 def _synth(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    c = _customers(spark, sf_dir)
     kind = F.col("c_custkey") % len(_SYNTH)
     token = F.lit(None).cast("string")
     for i, (_, prefix, n) in enumerate(_SYNTH):
@@ -187,7 +192,7 @@ def _nation_vault(spark, sf_dir):
 def mask_values(spark, sf_dir):
     """Raw values, base64 and hex, wrapped or not, of the customer's nation."""
     v = _nation_vault(spark, sf_dir)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
+    rows = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
     b64 = P.base64_line(F.col("value"))
     text = F.concat(F.lit("raw "), F.col("value"), F.lit(" b "), b64, F.lit(" w "), F.substring(b64, 1, 10), F.lit("\n"), F.substring(b64, 11, 100), F.lit(" h "), F.upper(F.hex(F.col("value").cast("binary"))), F.lit(" other"))
     done = mask.mask_values(rows.select("c_custkey", "session_id", text.alias("text")), v, "session_id", token=None)
@@ -199,7 +204,7 @@ _MASK_VALUES_SQL = "SELECT c_custkey, 'raw ' || r || ' b ' || r || ' w ' || r ||
 
 def overlap_longest(spark, sf_dir):
     """Of a value inside a longer one, the longer is masked."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = _customers(spark, sf_dir).select("c_custkey")
     short = F.concat(F.lit("zq"), _hex(_id("c_custkey"), 10))
     values = c.select(_id("c_custkey").alias("session_id"), F.explode(F.array(F.struct(F.lit("short").alias("name"), short.alias("value")), F.struct(F.lit("long").alias("name"), F.concat(short, F.lit("-tail-99")).alias("value")))).alias("x"))
     text = F.concat(short, F.lit("-tail-99 then "), short, F.lit("-tail."))
@@ -261,7 +266,7 @@ SELECT canary, coalesce(leaks, 0) AS leaks, (SELECT count(*) FROM t) AS examined
 def large_vault(spark, sf_dir):
     """The values of all customers in one session, raw, encoded over line ends, and cut."""
     value = F.concat(F.lit("pw-"), _hex(_id("c_custkey"), 33))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("v_"), _id("c_custkey")).alias("name"), value.alias("value"), F.lit("one").alias("session_id"))
+    c = _customers(spark, sf_dir).select("c_custkey", F.concat(F.lit("v_"), _id("c_custkey")).alias("name"), value.alias("value"), F.lit("one").alias("session_id"))
     b64, code = P.base64_line(F.col("value")), F.upper(F.hex(F.col("value").cast("binary")))
     wrapped = F.concat(F.substring(b64, 1, 16), F.lit("\r\n  "), F.substring(b64, 17, 100))
     text = F.concat(F.lit("é raw "), "value", F.lit(", b64 "), wrapped, F.lit(" cut "), F.substring(b64, 1, 30), F.lit(" tail "), F.substring(code, 31, 100), F.lit(" of "), "name")
@@ -339,7 +344,7 @@ _STREAM_SQL = f"""SELECT doc_id, CAST(hits AS BIGINT) AS hits, CASE WHEN doc_id
 
 
 def suggest_names(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = _customers(spark, sf_dir).select("c_custkey")
     a, b = F.concat(F.lit("pw1-"), _hex(_id("c_custkey"), 10)), F.concat(F.lit("pw2-"), _hex(_id("c_custkey"), 10))
     text = F.concat(F.lit("staging password="), a, F.lit(" and again password="), a, F.lit("; then the other, password="), b)
     rows = c.select("c_custkey", text.alias("text"))
@@ -369,7 +374,7 @@ SELECT doc_id, CAST(max(k) AS BIGINT) AS captured, md5(arg_max(text, k)) AS dige
 
 def refs_expand(spark, sf_dir):
     v = _nation_vault(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id"))
     text = F.concat(F.lit("a {{sec:v_"), F.col("session_id"), F.lit("}} b {{sec:gone}} c {{sec:v_"), F.col("session_id"), F.lit("}}{{sec:BAD}}"))
     done = refs.expand_refs(c.select("c_custkey", "session_id", text.alias("text")), v, "session_id", value="label")
     return done.select("c_custkey", "expanded", F.array_join("used", ",").alias("used"), F.array_join("missing", ",").alias("missing"))
@@ -503,7 +508,7 @@ UNION ALL SELECT path, 'PORT', 'port', NULL, false FROM n UNION ALL SELECT path,
 
 
 def _commands(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id"))
     ref = F.concat(F.lit("{{sec:v-"), F.col("session_id"), F.lit("}}"))
     forms = (
         F.concat(F.lit("echo "), ref, F.lit(" > out.txt")),
@@ -552,7 +557,7 @@ SELECT c_custkey, CASE k WHEN 0 THEN 'echo "$' || v || '" > out.txt' WHEN 1 THEN
 def literal_guard(spark, sf_dir):
     """Calls whose text holds a value of their session."""
     v = _nation_vault(spark, sf_dir).withColumn("source", F.lit("prompt"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id"))
     said = F.when(F.col("c_custkey") % 4 == 0, F.col("value")).otherwise("nothing")
     calls = c.join(v.select("session_id", "value"), "session_id").select(F.col("c_custkey").alias("call_id"), "session_id", F.concat(F.lit('{"q":"'), said, F.lit('"}')).alias("args"))
     return policy.literal_names(calls, v).select("call_id", F.array_join("names", ",").alias("names"))
@@ -563,7 +568,7 @@ _LITERAL_SQL = "SELECT c_custkey AS call_id, 'v_' || c_nationkey AS names FROM c
 
 def policy_decide(spark, sf_dir):
     v = _nation_vault(spark, sf_dir).withColumn("source", F.lit("prompt")).withColumn("origins", F.array(F.lit("/src/app.py")))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select(F.col("c_custkey").alias("call_id"), _id("c_nationkey").alias("session_id"))
     k = F.col("call_id") % 6
     ref = F.concat(F.lit("{{sec:v_"), F.col("session_id"), F.lit("}}"))
     tool = F.element_at(F.array(*map(F.lit, ("read", "write", "write", "write", "bash", "fetch"))), (k + 1).cast("int"))
@@ -581,7 +586,7 @@ _POLICY_SQL = """SELECT c_custkey AS call_id, CASE c_custkey % 6 WHEN 0 THEN 'bl
 
 def record_origins(spark, sf_dir):
     v = _nation_vault(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id"))
     reads = c.join(v.select("session_id", "value"), "session_id").select("session_id", F.concat(F.lit("/f/"), _id("c_custkey")).alias("path"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("key: "), F.col("value"))).otherwise(F.substring("value", 1, 12)).alias("text"))
     return V.record_origins(v, reads).select("session_id", "name", F.array_join("origins", ",").alias("origins"))
 
@@ -650,7 +655,7 @@ _FORMATS = (
 
 def _shaped(spark, sf_dir):
     """A customer's text with one value of a format: those of the list above, a key in upper case, two parts, three parts, a private key whole and cut."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 17).alias("kind"))
+    c = _customers(spark, sf_dir).select("c_custkey", (F.col("c_custkey") % 17).alias("kind"))
     h = _hex(_id("c_custkey"), 64)
     value = F.lit(None).cast("string")
     for i, (_, prefix, n) in enumerate(_FORMATS):
@@ -700,7 +705,7 @@ _KEYED = (
 
 
 def _keyed_rows(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_KEYED)).alias("kind"))
+    c = _customers(spark, sf_dir).select("c_custkey", (F.col("c_custkey") % len(_KEYED)).alias("kind"))
     value = F.concat(F.lit("pW-"), _hex(_id("c_custkey"), 14))
     text = F.lit(None).cast("string")
     for i, (before, after, _) in enumerate(_KEYED):
@@ -730,7 +735,7 @@ def _mixed(c, n: int):
 
 def entropy_tier(spark, sf_dir):
     """Tier 3 on tokens that no keyword stands near: random ones with their evidence; digests, words, paths and numbers are none."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = _customers(spark, sf_dir).select("c_custkey")
     key = _id("c_custkey")
     forms = (_mixed(key, 40), _hex(key, 40), F.concat(F.lit("getCustomer"), F.lit("AccountBalanceFor")), F.concat(F.lit("/usr/share/"), _hex(key, 20)), F.concat(F.lit("build-"), key, F.lit("-2026-11-27-0001")))
     token = F.element_at(F.array(*forms), (F.col("c_custkey") % len(forms) + 1).cast("int"))
@@ -751,7 +756,7 @@ SELECT c_custkey, 'entropy' AS confidence, CAST(4 AS BIGINT) AS span_start, t AS
 
 def exclusions(spark, sf_dir):
     """Values inside references, certificates, data URIs, templates and paths are no findings; the one after them is."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = _customers(spark, sf_dir).select("c_custkey")
     key = _id("c_custkey")
     forms = (
         F.concat(F.lit("token={{sec:k_"), key, F.lit("}} ")),
@@ -787,7 +792,7 @@ _CAPTURE_VAULT_SQL = (
 
 def suggest_taken(spark, sf_dir):
     """New values take the numbers that the vault leaves free."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = _customers(spark, sf_dir).select("c_custkey")
     key = _id("c_custkey")
     found = c.select("c_custkey", F.explode(F.array(*(F.struct(F.lit(10 * i).alias("start"), F.lit(10 * i + 5).alias("end"), F.concat(F.lit(f"v{i}-"), key).alias("value"), F.lit("key").alias("hint")) for i in range(3)))).alias("f")).select("c_custkey", "f.*")
     texts = c.select("c_custkey", F.repeat(F.lit("x"), 40).alias("text"))
@@ -829,7 +834,7 @@ _FUNCTIONS_SQL = f"""WITH {_SYNTH_SQL} SELECT c_custkey, CASE kind {" ".join(f"W
 
 def completion(spark, sf_dir):
     """What a reference begun in each customer's text may become: names of its nation's vault."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"))
+    c = _customers(spark, sf_dir).select("c_custkey", F.col("c_nationkey").alias("n"))
     vault = c.select(_id("n").alias("session_id"), F.concat(F.lit("k_"), F.col("c_custkey") % 10, F.lit("-"), F.col("c_custkey") % 3).alias("name"), F.lit("v").alias("value"), F.col("c_custkey").alias("seq"))
     vault = vault.groupBy("session_id", "name").agg(F.min("seq").alias("seq"))
     typed = F.concat(F.lit("{{sec:a}} and {{sec:"), F.when(F.col("c_custkey") % 4 == 0, F.lit("k_")).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("k_"), F.col("c_custkey") % 10)).when(F.col("c_custkey") % 4 == 2, F.lit("zz")).otherwise(F.lit("a}}")))
@@ -844,7 +849,7 @@ SELECT c_custkey, CASE WHEN typed IS NOT NULL THEN coalesce(string_agg(name, ','
 
 def gap_numbers(spark, sf_dir):
     """A new value of each customer takes the next number of its base that the vault of its nation leaves free."""
-    c = table(spark, sf_dir, "customer").select(_id("c_nationkey").alias("session_id"), "c_custkey")
+    c = _customers(spark, sf_dir).select(_id("c_nationkey").alias("session_id"), "c_custkey")
     base = F.concat(F.lit("key_"), F.col("c_custkey") % 4)
     taken = c.where("c_custkey % 3 = 0").select("session_id", F.concat(base, F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("-"), 2 + F.floor(F.col("c_custkey") / 3) % 90)).otherwise("")).alias("name"))
     rank = F.row_number().over(Window.partitionBy("session_id", base).orderBy("c_custkey"))
@@ -897,7 +902,7 @@ def scrub_text(spark, sf_dir):
     """Known values by reference, shapes by marker, and the value of a shape where it stands bare or encoded."""
     v = _nation_vault(spark, sf_dir)
     own = F.concat(F.lit("qT-"), _hex(_id("c_custkey"), 14))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id"), own.alias("own")).join(v.select("session_id", "value"), "session_id")
+    rows = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id"), own.alias("own")).join(v.select("session_id", "value"), "session_id")
     text = F.concat(F.lit("db "), F.col("value"), F.lit("\npassword="), F.col("own"), F.lit("\nbare "), F.col("own"), F.lit(" coded "), P.base64_line(F.col("own")), F.lit(" end"))
     done = mask.scrub(rows.select("c_custkey", "session_id", text.alias("text")), v, "session_id")
     return done.select("c_custkey", "masked", F.col("hits").cast("long").alias("hits"))
@@ -909,7 +914,7 @@ _SCRUB_SQL = "SELECT c_custkey, 'db {{sec:v_' || c_nationkey || '}}' || chr(10)
 def nested_values(spark, sf_dir):
     """Known values in arrays of structs and in maps; payloads are passed over and counted."""
     v = _nation_vault(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
     part = lambda t, text, data: F.struct(F.lit(t).alias("type"), text.alias("text"), data.alias("data"))
     m = F.struct(F.lit("tool").alias("role"), F.array(part("text", F.concat(F.lit("a "), F.col("value"), F.lit(" b "), F.upper(F.hex(F.col("value").cast("binary")))), F.lit("x")), part("image/png", F.lit("pic"), F.col("value"))).alias("parts"), F.create_map(F.lit("k"), F.col("value")).alias("notes"))
     done = messages.mask_outgoing(c.select("c_custkey", "session_id", m.alias("m")), ["m"], v)
@@ -923,7 +928,7 @@ FROM (SELECT c_custkey, n_name, '{{sec:v_' || c_nationkey || '}}' AS r FROM cust
 def tool_values(spark, sf_dir):
     """Values are masked in results of all tools, shapes not in those of file tools when that is switched off."""
     v = _nation_vault(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
+    c = _customers(spark, sf_dir).select("c_custkey", _id("c_nationkey").alias("session_id")).join(v.select("session_id", "value"), "session_id")
     tool = F.element_at(F.array(*map(F.lit, ("read", "bash", "grep"))), (F.col("c_custkey") % 3 + 1).cast("int"))
     text = F.concat(F.col("value"), F.lit(" secret=qT-"), _hex(_id("c_custkey"), 10))
     done = messages.mask_results(c.select("c_custkey", "session_id", tool.alias("tool"), text.alias("text")), messages.Options(mask_file_reads=False), vault=v)
@@ -936,7 +941,7 @@ _TOOL_VALUES_SQL = "SELECT c_custkey, '{{sec:v_' || c_nationkey || '}} secret='
 def policy_deliver(spark, sf_dir):
     """What a call receives once the policy has let its references expand."""
     v = _nation_vault(spark, sf_dir).withColumn("source", F.lit("prompt")).withColumn("origins", F.array(F.lit("/src/app.py")))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call_id"), _id("c_nationkey").alias("session_id"))
+    c = _customers(spark, sf_dir).select(F.col("c_custkey").alias("call_id"), _id("c_nationkey").alias("session_id"))
     k = F.col("call_id") % 4
     ref = F.concat(F.lit("x {{sec:v_"), F.col("session_id"), F.lit("}} {{sec:no}}"))
     tool = F.element_at(F.array(*map(F.lit, ("write", "edit", "fetch", "bash"))), (k + 1).cast("int"))
@@ -951,7 +956,7 @@ SELECT c_custkey AS call_id, CASE k WHEN 0 THEN given WHEN 1 THEN ref ELSE '' EN
 
 def guess_lines(spark, sf_dir):
     """Tier 3 findings as lines of a report that hold no value."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("see "), _mixed(_id("c_custkey"), 40), F.lit(" here")).alias("text"))
+    c = _customers(spark, sf_dir).select("c_custkey", F.concat(F.lit("see "), _mixed(_id("c_custkey"), 40), F.lit(" here")).alias("text"))
     report = messages.guess_report(detect.findings(c, ["c_custkey"]))
     return report.groupBy(F.regexp_extract("line", r"\A(len \d+)", 1).alias("length")).agg(F.count("*").alias("n"))
 
