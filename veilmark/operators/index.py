@@ -14,6 +14,9 @@ one hash only share what is tried.  Strings must have ``LEAST`` characters.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import fresh
 from ..functions.forms import BLANKS
 from ..functions.spans import once, slicer
+from ..functions.windows import PROBES, coded, held, levels, places, whole
 from ..functions.winnow import fingerprints
 
 #: Characters of a gram, and neighbouring grams of which one is chosen.
@@ -33,6 +37,10 @@ HEAD = 256
 SLICE = 1 << 19
 #: Bits of the filter that fingerprints of texts pass before they are dealt out; it decides cost, never results.
 FILTER_BITS = 1 << 24
+#: The filter of ``rows_with`` has 64 bits a string, within these powers of two (64 MB at most), in pieces of 2**18 bits; it decides cost, never results.
+POWERS, PIECE = (18, 29), 18
+#: Strings whose counts a task holds before it gives them out.
+HELD = 1 << 18
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -171,3 +179,106 @@ def with_places(df: DataFrame, text_col: str, strings: DataFrame, out: str) -> D
     exact = slicer(text, lambda between: F.filter(tried, lambda x: between(x["start"], F.least(x["start"] + F.length(x["string"]), F.length(text))) == x["string"]))
     found = F.when(F.col(tried).isNotNull(), exact)
     return once(both, out, F.when(F.size(found) > 0, found)).drop(h, h2, tried)
+
+
+def _string_filter(strings: DataFrame) -> tuple[int, np.ndarray, dict[int, np.ndarray]]:
+    """Power of the filter, its bits, and the lengths of strings of each class (largest power of two up to the length).
+
+    Bits are set for the first window of each string and for the whole of it.  Tasks set them; the driver gets the finished pieces.
+    """
+    lengths: dict[int, list[int]] = {}
+    n = 0
+    for row in strings.groupBy(F.length("string").alias("length")).agg(F.count("*").alias("n")).collect():
+        lengths.setdefault(1 << row["length"].bit_length() - 1, []).append(row["length"])
+        n += row["n"]
+    power = min(POWERS[1], max(POWERS[0], (64 * n).bit_length()))
+    bits = np.zeros(1 << power >> 3, np.uint8)
+    if not n:
+        return power, bits, {}
+    schema = _arrow_schema(ddl := "piece int, bit int")
+
+    def set_bits(batches):
+        for batch in batches:
+            texts = batch.column(0)
+            step = max(1, SLICE // (texts.nbytes // max(1, len(texts)) + 1))
+            for start in range(0, len(texts), step):
+                size, codes = coded(texts.slice(start, step).to_pylist())
+                first = np.cumsum(size) - size
+                for p, h in levels(codes, int(size.max())):
+                    own = np.flatnonzero((size >= p) & (size < 2 * p))
+                    keys = np.concatenate((h[first[own]], whole(h, p, first[own], size[own])))
+                    bit = np.unique(np.concatenate([places(keys, power, probe) for probe in range(PROBES)]))
+                    yield pa.RecordBatch.from_arrays([pa.array((bit >> PIECE).astype(np.int32)), pa.array((bit & (1 << PIECE) - 1).astype(np.int32))], schema=schema)
+
+    def packed(table: pa.Table) -> pa.Table:
+        one = np.zeros(1 << PIECE, np.uint8)
+        one[table["bit"].to_numpy()] = 1
+        return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([np.packbits(one, bitorder="little").tobytes()])})
+
+    pieces = strings.select("string").mapInArrow(set_bits, ddl).distinct().groupBy("piece").applyInArrow(packed, "piece int, bits binary")
+    size = 1 << PIECE >> 3
+    for row in pieces.toLocalIterator():
+        bits[row["piece"] * size : (row["piece"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return power, bits, {p: np.array(sorted(own), np.int64) for p, own in lengths.items()}
+
+
+def _places_in(texts: list[str], power: int, bits: np.ndarray, lengths: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(place of a text, start, length): in each text, the first place of every string that passes the filter."""
+    size, codes = coded(texts)
+    if not lengths or not len(codes):
+        return
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(texts)), size)
+    for p, h in levels(codes, max(lengths)):
+        if p not in lengths:
+            continue
+        some = held(bits, power, h)
+        for n in lengths[p].tolist():
+            at = some[some + n <= ends[owner[some]]]
+            keys = whole(h, p, at, np.int64(n))
+            good = held(bits, power, keys)
+            at, keys = at[good], keys[good]
+            order = np.lexsort((at, keys, owner[at]))
+            at, keys = at[order], keys[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+            # Two strings of one key are both kept: what is left out is compared with the one that stands for it.
+            first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            again, step = np.flatnonzero(~new), max(1, SLICE // n)
+            for i in range(0, len(again), step):
+                own = again[i : i + step]
+                new[own] = (codes[at[own, None] + np.arange(n)] != codes[first[own, None] + np.arange(n)]).any(axis=1)
+            kept = at[new]
+            own = owner[kept]
+            yield from zip(own.tolist(), (kept - (ends - size)[own]).tolist(), [n] * len(kept), strict=True)
+
+
+def rows_with(texts: DataFrame, text_col: str, strings: DataFrame) -> DataFrame:
+    """``string, n``: in how many rows' text each of ``strings`` (string; distinct, of ``LEAST`` characters or more) stands; those in none have no row.
+
+    Texts are not dealt out: a bounded filter of the strings, made here by a job over them, goes to every task, which
+    counts what passes by its text.  So nothing but strings with their counts is shuffled, however many places a common
+    short string has; what only the filter let through meets no string in the join.
+    """
+    shared = strings.sparkSession.sparkContext.broadcast(_string_filter(strings))
+    ddl = "string string, n long"
+    schema = _arrow_schema(ddl)
+
+    def given(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            column = batch.column(0)
+            step = max(1, SLICE // (column.nbytes // max(1, len(column)) + 1))
+            for start in range(0, len(column), step):
+                some = column.slice(start, step).drop_null().to_pylist()
+                counts.update(t for _, t in {(i, some[i][a : a + n]) for i, a, n in _places_in(some, *shared.value)})
+                if len(counts) >= HELD:
+                    yield given(counts)
+                    counts = Counter()
+        yield given(counts)
+
+    each = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl).groupBy("string").agg(F.sum("n").alias("n"))
+    return each.join(strings.select("string").hint("merge"), "string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import fresh
-from ..operators.index import LEAST, with_places
+from ..operators.index import LEAST, rows_with, with_places
 
 MAX_BYTES, NUL_BYTES, MAX_ROWS = 1 << 20, 8192, 500
 
@@ -42,13 +42,13 @@ def listing(spark: SparkSession, path: str, fragment: str = "", limit: int = MAX
 def leak_sweep(texts: DataFrame, canaries: DataFrame, text_col: str = "text") -> DataFrame:
     """``canary, leaks, examined, verdict``: rows that hold each canary, of how many, and clean, hit or nothing examined.
 
-    Any number of canaries is met by postings of winnowed fingerprints and
-    compared in place.  Shorter ones than ``LEAST`` are not looked for: their
-    verdict is ``not examined``, without a count.
+    Any number of canaries is met by a filter of their hashes in every task and
+    counted there (``index.rows_with``).  Shorter ones than ``LEAST`` are not looked
+    for: their verdict is ``not examined``, without a count.
     """
     wanted = canaries.where("canary is not null").select("canary").distinct()
-    found = leak_places(texts, wanted, text_col, [])
-    counts = found.select(F.explode_outer("canaries").alias("canary")).where("canary is not null").groupBy("canary").agg(F.count("*").alias("leaks"))
+    strings = wanted.where(F.length("canary") >= LEAST).select(F.col("canary").alias("string"))
+    counts = rows_with(texts, text_col, strings).select(F.col("string").alias("canary"), F.col("n").alias("leaks"))
     examined = texts.agg(F.count("*").alias("examined"))
     rows = wanted.join(counts, "canary", "left").crossJoin(F.broadcast(examined))
     short = F.length("canary") < LEAST
