@@ -198,3 +198,11 @@ def test_sweep_is_exact_whatever_the_filter_lets_through(spark, monkeypatch):
     found = set(index._places_in(texts, 18, bits, {8: np.array([8])}))
     assert {(i, texts[i][a : a + n]) for i, a, n in found} == {(i, t[a : a + 8]) for i, t in enumerate(texts) for a in range(len(t) - 7)}
     assert len(windows.held(bits, 18, np.arange(5, dtype=np.uint64))) == 5
+
+
+def test_names_search_their_context_once(spark):
+    """The words around a value were searched for again at each use of what was found: hundreds of searches a row."""
+    rows = spark.createDataFrame([(1, "the database password=hunter22abc of production")], "id long, text string")
+    named = naming.suggest_names(detect.findings(rows, ["id"], tiers="evidenced"), rows, ["id"])
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("lower(substring") for line in plan.split("\n")) == 1

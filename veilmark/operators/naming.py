@@ -26,16 +26,20 @@ def _alias(word: Column) -> Column:
 
 def base_name(hint: Column, context: Column) -> Column:
     """The hint and the first two known words of the context, in the order of the list; ``secret`` if there is neither."""
-    low = F.lower(context)
     known = F.coalesce(F.when(hint.isin(*R.ALIASES), _alias(hint)).otherwise(slug(hint)), F.lit(""))
-    own = F.split(known, "_")
-    words = F.array_compact(F.array(*(F.when(low.rlike(rf"\b{w}\b"), R.ALIASES.get(w, w)) for w in R.CONTEXT_WORDS)))
-    present = F.filter(words, lambda w: ~F.exists(own, lambda t: (t == w) | (_alias(t) == w) | (t == _alias(w))))
-    related = F.exists(present, lambda w: w.startswith(known) | known.startswith(w))
-    parts = F.concat(F.when((known != "") & ~related, F.array(known)).otherwise(F.array().cast("array<string>")), F.slice(present, 1, 2))
-    base = F.substring(F.array_join(parts, "_"), 1, 58)
-    base = F.when(base == "", "secret").otherwise(base)
-    return F.when(P.is_valid_name(base), base).otherwise(F.substring(F.concat(F.lit("s_"), base), 1, 64))
+
+    # Each step is bound: named in plain columns, every use would repeat all the searches before it.
+    def named(low: Column, known: Column, own: Column) -> Column:
+        words = F.array_compact(F.array(*(F.when(low.rlike(rf"\b{w}\b"), R.ALIASES.get(w, w)) for w in R.CONTEXT_WORDS)))
+        present = F.filter(words, lambda w: ~F.exists(own, lambda t: (t == w) | (_alias(t) == w) | (t == _alias(w))))
+        return let(let(present, lambda p: joined(known, p)), lambda base: F.when(P.is_valid_name(base), base).otherwise(F.substring(F.concat(F.lit("s_"), base), 1, 64)))
+
+    def joined(known: Column, present: Column) -> Column:
+        related = F.exists(present, lambda w: w.startswith(known) | known.startswith(w))
+        parts = F.concat(F.when((known != "") & ~related, F.array(known)).otherwise(F.array().cast("array<string>")), F.slice(present, 1, 2))
+        return let(F.substring(F.array_join(parts, "_"), 1, 58), lambda base: F.when(base == "", "secret").otherwise(base))
+
+    return let(F.lower(context), lambda low: let(known, lambda k: let(F.split(k, "_"), lambda own: named(low, k, own))))
 
 
 def numbered(new: DataFrame, keys: list[str], taken: DataFrame | None) -> DataFrame:
