@@ -200,6 +200,17 @@ def test_sweep_is_exact_whatever_the_filter_lets_through(spark, monkeypatch):
     assert len(windows.held(bits, 18, np.arange(5, dtype=np.uint64))) == 5
 
 
+def test_masking_is_dealt_out_after_the_search(spark, tmp_path):
+    """Copies of one text share a key and are few bytes: the exchange by key left all of them to one task."""
+    path = str(tmp_path / "rows")
+    spark.range(400).select("id", F.lit("s").alias("session_id"), F.lit("see hunter22abc").alias("text")).write.parquet(path)
+    vault = spark.createDataFrame([("s", "v", "hunter22abc")], "session_id string, name string, value string")
+    done = mask.mask_values(spark.read.parquet(path), vault, "session_id")
+    sizes = done.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) > 2 * spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in sizes) <= 60
+
+
 def test_names_search_their_context_once(spark):
     """The words around a value were searched for again at each use of what was found: hundreds of searches a row."""
     rows = spark.createDataFrame([(1, "the database password=hunter22abc of production")], "id long, text string")

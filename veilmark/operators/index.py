@@ -131,7 +131,16 @@ def with_candidates(df: DataFrame, key: str, texts: Column, strings: DataFrame,
     rows = df.withColumn(h, F.xxhash64(texts))
     own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"), texts.alias("texts"))
     tried = _met(postings(own), anchors(strings), ["k", "tight", "gram"]).groupBy(F.col("k").alias(k), F.col("h").alias(h2)).agg(F.collect_set("f").alias(out))
-    return rows.join(tried, (F.col(key) == F.col(k)) & (F.col(h) == F.col(h2)), "left").drop(h, k, h2)
+    return dealt(rows.join(tried, (F.col(key) == F.col(k)) & (F.col(h) == F.col(h2)), "left").drop(h, k, h2))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly to a fixed number of tasks, before work that takes long for each row.
+
+    After an exchange by key Spark joins partitions of few bytes into one, and copies of a text share a key: one task would do it all.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 #: Lengths of strings from which on a gram and a window of these sizes are used: long strings need few fingerprints of a text.
