@@ -49,6 +49,8 @@ SHORT = 16
 FREQUENT = 400_000
 #: A shingle counts as frequent from this many different documents in a slice of a task.
 SEEN = 3
+#: Shingles of the documents of such a slice.
+HELD = 2_000_000
 #: Rows of ids and set signatures (up to seven numbers, about 100 bytes in a hash table) up to which they are broadcast to
 #: pick out their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -64,33 +66,41 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def often(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that ``tokens`` holds ``SEEN`` times or more, and how many times; ``tokens`` is sorted in place."""
+    tokens.sort()
+    ends = max(0, len(tokens) - SEEN + 1)
+    first = np.concatenate(([True], tokens[1:] != tokens[:-1]))[:ends]
+    first &= tokens[:ends] == tokens[SEEN - 1 :]
+    values = tokens[np.flatnonzero(first)]
+    return values, np.searchsorted(tokens, values, "right") - np.searchsorted(tokens, values)
+
+
 def frequent_shingles(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """Shingles that several different documents of a slice share, with their summed counts; at most ``FREQUENT``."""
 
     def run(batches):
         schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
-        seen, held, room = set(), [], 0
+        # One array holds the sets of a slice: thousands of small ones would leave a worker's memory in pieces.
+        seen, held, room = set(), np.empty(HELD + HELD // 4, np.int64), 0
 
         def flush():
-            every = np.concatenate(held)
-            held.clear()
-            every.sort()  # in place: np.unique would hold three copies
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            tokens, counts = every[first], np.diff(first, append=len(every))
-            often = counts >= SEEN
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], schema=schema)
+            tokens, counts = often(held[:room])
+            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], schema=schema)
 
         for _, texts in text_batches(batches):
             for own in shingle_sets(texts, size):
                 sign = signature(own)
                 if len(own) and sign not in seen:
                     seen.add(sign)
-                    held.append(own)
+                    if room + len(own) > len(held):
+                        held = np.concatenate((held[:room], np.empty(len(own) + HELD // 4, np.int64)))
+                    held[room : room + len(own)] = own
                     room += len(own)
-            if room > 2_000_000:
+            if room > HELD:
                 yield flush()
-                seen, held, room = set(), [], 0
-        if held:
+                seen, room = set(), 0
+        if room:
             yield flush()
 
     counts = docs.select(F.lit(0).alias("i"), text_col).mapInArrow(run, "token long, n long")
@@ -124,9 +134,9 @@ def differing(x: bytes, y: bytes) -> int:
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of each row: id, text hash, two halves of the set's signature, set size, prefix, how many at its start are not frequent, two halves of the prefix's signature, bitmap."""
-    often = frequent_shingles(docs, size, "text").toPandas()
-    often = often.sort_values("token")
-    order = docs.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+    common = frequent_shingles(docs, size, "text").toPandas()
+    common = common.sort_values("token")
+    order = docs.sparkSession.sparkContext.broadcast((common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     ddl = f"{column_ddl(docs, '_id')}, _h long, s1 long, s2 long, n int, prefix array<bigint>, n_rare int, p1 long, p2 long, bits binary"
     schema = pa_schema(ddl)
 
