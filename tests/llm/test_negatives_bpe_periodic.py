@@ -135,6 +135,19 @@ def test_ids_equal_a_peer_and_decode_to_the_text(vocabulary, peer):
         list(bpe.Vocabulary(vocabulary.ranks, "[a-z]+").encode(["a b"]))
 
 
+def test_merged_pieces_are_remembered_beyond_a_full_memory_and_a_task(vocabulary, peer, monkeypatch):
+    merged, asked = vocabulary.merged, []
+    monkeypatch.setattr(vocabulary, "merged", lambda piece: asked.append(piece) or merged(piece))
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    memory, older = {}, {}
+    for word in ("qzxqzxvkw", "vkwvqzx", "zzqxjvk", "qzxqzxvkw"):
+        ids, ends = vocabulary.encode_slice([word], memory, older)
+        assert ids.tolist() == peer.encode_ordinary(word) and ends.tolist() == [len(ids)]
+    assert asked == [b"qzxqzxvkw", b"vkwvqzx", b"zzqxjvk"] and max(len(memory), len(older)) <= 2
+    # Unpickled with the vocabulary, so that each worker has its own.
+    assert vocabulary.memory == ({}, {})
+
+
 def test_bpe_query_on_whole_documents(spark, docs, peer):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = Q.op12_byte_bpe(spark, SF).collect()

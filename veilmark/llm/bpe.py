@@ -18,9 +18,10 @@ named columns are read.  Decoding gives back every text byte for byte.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MAX_ENTRIES = 1 << 20
 BUCKET = 4
 #: Displacements that are tried together.
 TRIES = 256
-#: Merged pre-tokens that a worker remembers.
+#: Merged pre-tokens that a worker remembers, before they become the older ones, of which it keeps as many.
 REMEMBERED = 1 << 18
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -121,10 +122,12 @@ class Vocabulary:
         self.starts[slot], self.lengths[slot], self.ids[slot] = starts, lengths, np.fromiter(ranks.values(), np.int64, len(tokens))
         self.buffer = buffer
         self.singles = [ranks[bytes([b])] for b in range(256)]
-        #: The rank of each pair of bytes, or -1.
-        self.pairs = [ranks.get(bytes(divmod(i, 256)), -1) for i in range(1 << 16)]
+        #: The rank of each pair of bytes, shifted as in the keys of a heap, or -1.
+        self.pairs = [ranks.get(bytes(divmod(i, 256)), -1) << 32 for i in range(1 << 16)]
         self.slot_of = np.full(max(ranks.values()) + 1, -1, np.int64)
         self.slot_of[self.ids] = np.arange(len(tokens))
+        #: What a worker has merged, from task to task.
+        self.memory: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -150,8 +153,7 @@ class Vocabulary:
         n, rank, pairs = len(piece), self.ranks.get, self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # A key holds rank and place, and each place has one key that counts: that of the pair which begins there now.
-        own = [pairs[a << 8 | b] for a, b in pairwise(piece)]
-        own = [r << 32 | i if r >= 0 else -1 for i, r in enumerate(own)]
+        own = [pairs[a << 8 | b] + i for i, (a, b) in enumerate(pairwise(piece))]
         own.append(-1)
         ids = [self.singles[b] for b in piece]
         heap = [key for key in own if key >= 0]
@@ -182,43 +184,52 @@ class Vocabulary:
             i = after[i]
         return tuple(out)
 
-    def encode_slice(self, texts: list[str], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and where those of each text end; ``memory`` keeps merged pre-tokens from slice to slice."""
+    def encode_slice(self, texts: list[str], memory: dict[str, bytes], older: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where those of each text end.
+
+        ``memory`` keeps the ids of merged pre-tokens from slice to slice, four bytes each.  Once full it starts again;
+        what it held is left in ``older``, if given, which words that come often are taken back from.
+        """
         find = regex.compile(self.pattern).findall
         parts = [find(t) for t in texts]
-        flat = [x for p in parts for x in p]
-        if sum(map(len, flat)) != sum(map(len, texts)):
+        flat = list(chain.from_iterable(parts))
+        bounds = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+        if sum(map(len, texts)) != (bounds[-1] if flat else 0):
             raise ValueError("the pattern passes over some characters")
         per_text = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
         if not flat:
             return np.empty(0, np.int32), per_text
         buffer = np.frombuffer("".join(flat).encode(), np.uint8)
-        bounds = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
         if len(buffer) != bounds[-1]:  # offsets of characters become offsets of bytes
             bounds = np.append(np.flatnonzero((buffer & 0xC0) != 0x80), len(buffer))[bounds]
         starts = np.concatenate(([0], bounds[:-1]))
         ids = self.whole(buffer, starts, bounds - starts)
         rest = np.flatnonzero(ids < 0)
-        joined: list[tuple[int, ...]] = []
-        for k in rest.tolist():
-            known = memory.get(flat[k])
+        pieces = list(compress(flat, (ids < 0).tolist()))
+        joined = list(map(memory.get, pieces))
+        past = {} if older is None else older
+        for k in [k for k, known in enumerate(joined) if known is None]:
+            piece = pieces[k]
+            known = memory.get(piece)  # an earlier one of this slice
             if known is None:
                 if len(memory) >= REMEMBERED:
+                    past.clear()
+                    past.update(memory)
                     memory.clear()
-                memory[flat[k]] = known = self.merged(flat[k].encode())
-            joined.append(known)
+                memory[piece] = known = past.get(piece) or array("i", self.merged(piece.encode())).tobytes()
+            joined[k] = known
         counts = np.ones(len(flat), np.int64)
-        counts[rest] = np.fromiter(map(len, joined), np.int64, len(joined))
+        counts[rest] = np.fromiter(map(len, joined), np.int64, len(joined)) // 4
         ends = np.cumsum(counts)
         out = np.empty(ends[-1], np.int32)
-        single = np.ones(len(out), bool)
-        if len(rest):
-            single[np.repeat(ends[rest] - counts[rest], counts[rest]) + np.arange(counts[rest].sum()) - np.repeat(np.cumsum(counts[rest]) - counts[rest], counts[rest])] = False
+        single = np.ones(len(flat), bool)
+        single[rest] = False
+        single = np.repeat(single, counts)
         out[single] = ids[ids >= 0]
-        out[~single] = np.fromiter(chain.from_iterable(joined), np.int32, len(out) - int(single.sum()))
+        out[~single] = np.frombuffer(b"".join(joined), np.int32)
         return out, np.concatenate(([0], ends))[per_text]
 
-    def encode(self, texts: list[str], memory: dict[str, tuple[int, ...]] | None = None) -> Iterable[list[int]]:
+    def encode(self, texts: list[str], memory: dict[str, bytes] | None = None) -> Iterable[list[int]]:
         """The ids of each text."""
         ids, ends = self.encode_slice(texts, {} if memory is None else memory)
         starts = np.concatenate(([0], ends[:-1]))
@@ -245,9 +256,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        memory: dict[str, tuple[int, ...]] = {}
         for keys, texts in text_batches(batches):
-            ids, ends = shared.value.encode_slice(texts, memory)
+            ids, ends = shared.value.encode_slice(texts, *shared.value.memory)
             yield arrow([keys, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))], schema)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
