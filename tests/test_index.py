@@ -217,3 +217,51 @@ def test_names_search_their_context_once(spark):
     named = naming.suggest_names(detect.findings(rows, ["id"], tiers="evidenced"), rows, ["id"])
     plan = named._jdf.queryExecution().optimizedPlan().toString()
     assert max(line.count("lower(substring") for line in plan.split("\n")) == 1
+
+
+def shuffled(spark):
+    """Bytes that each stage so far has written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_many_values_of_one_session_stay_apart(spark, monkeypatch):
+    """Short grams of hexadecimal forms were shared by many values, each of which was tried in each text, and every form was dealt out with all its fingerprints."""
+    n = 4000
+    value = F.concat(F.lit("pw-"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 33))
+    vault = spark.range(n).select(F.lit("s").alias("session_id"), F.concat(F.lit("v"), "id").alias("name"), value.alias("value"))
+    code = F.upper(F.hex(F.col("value").cast("binary")))
+    rows = vault.select("session_id", F.col("name").alias("of"), F.concat(F.lit("see "), "value", F.lit(" and "), F.substring(code, 31, 100)).alias("text"))
+    tried, real = [], mask.with_forms_masked
+    monkeypatch.setattr(mask, "with_forms_masked", lambda df, texts, forms, out: (tried.append(df.select(F.size(forms).alias("n"))), real(df, texts, forms, out))[1])
+    before = shuffled(spark)
+    wrong = mask.mask_values(rows, vault, "session_id", token=None).where("masked <> concat('see {{sec:', of, '}} and {{sec:', of, '}}') or hits <> 2")
+    assert wrong.count() == 0
+    assert 0 < sum(b for stage, b in shuffled(spark).items() if stage not in before) < 5000 * n
+    assert tried[0].agg(F.max("n")).first()[0] < 20
+
+
+def test_every_form_of_every_length_is_met(spark):
+    """Values of 8 to 60 characters, some with blanks, as they are and in each encoding with blanks put in, whole and cut."""
+    rng = random.Random(11)
+    values, texts = [], []
+    for n in (*range(8, 41), 60, 300):
+        value = "".join(rng.choice("abcXYZ0189+/?>~é   ") if i % 5 else rng.choice("qrst") for i in range(n))
+        raw = value.encode()
+        b64, code = base64.b64encode(raw).decode(), raw.hex()
+        values.append(value)
+        forms_ = {b64, b64.rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="), code, code.upper()}
+        cut = {e[:a] if a else e[-26:] for e in (b64.rstrip("="), code.upper()) if len(e) >= 42 for a in (25, 0)}
+        texts += [(value, f"é {value}!")] + [(value, "é " + " \n".join(e[i : i + 7] for i in range(0, len(e), 7)) + " !") for e in forms_] + [(value, f"é {e} !") for e in cut]
+    vault = spark.createDataFrame([("s", f"n{i}", v) for i, v in enumerate(values)], "session_id string, name string, value string")
+    rows = spark.createDataFrame([("s", v, t) for v, t in texts], "session_id string, value string, text string")
+    done = mask.mask_values(rows, vault, "session_id", token="#").collect()
+    assert len(done) == len(texts) > 200
+    assert [(r.value, r.text, r.masked) for r in done if r.masked.replace(" !", "!") != "é #!" or r.hits != 1] == []
+
+
+def test_keys_of_two_types_meet(spark):
+    vault = spark.createDataFrame([(7, "v", "hunter22abc"), (8, "w", "other-value")], "session_id long, name string, value string")
+    rows = spark.createDataFrame([(7, "see hunter22abc and other-value"), (9, "hunter22abc")], "session_id int, text string")
+    assert {r.masked for r in mask.mask_values(rows, vault, "session_id", token="#").collect()} == {"see # and other-value", "hunter22abc"}

@@ -17,7 +17,7 @@ from ..functions.columns import fresh
 from ..functions.forms import BLANKS
 from ..functions.spans import cut_and_join, once
 from .index import with_candidates
-from .mask import forms_of, shape_hits, with_forms_masked
+from .mask import known_values, shape_hits, value_forms, with_forms_masked
 from .naming import adopted_base
 from .vault import adopt
 
@@ -53,12 +53,12 @@ def outgoing(messages: DataFrame, versions: DataFrame) -> DataFrame:
     Null text stays null.  Values meet messages by an index, so neither long
     conversations nor large vaults stand in one row.
     """
-    texts, forms, cut, one, done = fresh([*messages.columns, "sent_from", "sent_to", "masked", "hits"], "texts", "forms", "cut", "one", "done")
-    given = forms_of(versions.withColumn("key", F.struct("conv_id", "valid_from", "valid_to")), "key", None)
-    strings = given.select(F.col("k.conv_id").alias("k"), F.struct("f.*", F.col("k.valid_from").alias("since"), F.col("k.valid_to").alias("until")).alias("f"))
-    rows = with_candidates(messages.withColumn(texts, F.array_compact(F.array("text"))), "conv_id", F.col(texts), strings, forms)
+    texts, values, forms, cut, one, done = fresh([*messages.columns, "sent_from", "sent_to", "masked", "hits"], "texts", "values", "forms", "cut", "one", "done")
+    every = F.array_compact(F.array("text"))
+    rows = with_candidates(messages, "conv_id", every, known_values(versions, "conv_id", None, "valid_from", "valid_to"), values).withColumn(texts, every)
     tight = F.regexp_replace("text", BLANKS.pattern, "")
-    rows = rows.withColumn(forms, F.filter(forms, lambda f: F.when(f["tight"], tight.contains(f["form"])).otherwise(F.col("text").contains(f["form"]))))
+    given = F.flatten(F.transform(values, lambda v: F.transform(value_forms(v["value"], v["token"]), lambda f: F.struct(f["form"], f["tight"], f["grows"], f["token"], v["valid_from"].alias("since"), v["valid_to"].alias("until")))))
+    rows = once(rows, forms, F.filter(given, lambda f: F.when(f["tight"], tight.contains(f["form"])).otherwise(F.col("text").contains(f["form"]))))
     ends = F.flatten(F.transform(F.coalesce(F.col(forms), F.array()), lambda f: F.array_compact(F.array(f["since"], f["until"])))).cast("array<long>")
     later = F.filter(ends, lambda t: t > F.col("turn"))
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.col("turn").cast("long")), later)))
@@ -75,7 +75,7 @@ def outgoing(messages: DataFrame, versions: DataFrame) -> DataFrame:
         "masked": cut_and_join(valued["masked"], F.col(cut), lambda x: F.lit(R.MARKER)),
         "hits": F.coalesce(valued["hits"] + F.size(cut), F.lit(0)),
     }
-    return rows.withColumns(masked).drop(texts, forms, one, done, cut)
+    return rows.withColumns(masked).drop(texts, values, forms, one, done, cut)
 
 
 def sent(requests: DataFrame, outgoing_rows: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Search for many strings in many texts by an inverted index of fingerprints.
 
-Each string gives one of its winnowed fingerprints, the one that the fewest
-strings of its key have; the fingerprints of a text meet them by an equality
-join on key and fingerprint, and group into the few strings that a text may
-hold.  Those come back to the row, where the search is exact.  Work follows the
-length of texts and their hits, not the number of strings; no row carries all
-strings of its key, and a hot key is spread by fingerprint.
-
-Rows are known by the key and a hash of their texts.  So a run that repeats a
-task gives the same rows, copies of a text share their list, and two texts of
-one hash only share what is tried.  Strings must have ``LEAST`` characters.
+Each string gives one winnowed fingerprint of each form that it is sought by,
+the one that the fewest forms of its key have; the fingerprints of a text meet
+them by an equality join on key and fingerprint, and group into the few strings
+that a text may hold.  Those come back to the row, where the search is exact.
+Work follows the length of texts and their hits, not the number of strings; no
+row carries all strings of its key, and a hot key is spread by fingerprint.
+
+Rows are known by the key and a hash of their texts, strings by a hash, and a
+fingerprint is hashed with its key.  So a run that repeats a task gives the same
+rows, copies of a text share their list, and what only shares a hash is only
+tried: strings of other keys than the row's drop out where the lists are made.
+Strings must have ``LEAST`` characters.
 """
 
 from __future__ import annotations
@@ -35,8 +37,13 @@ LEAST = GRAM + WINDOW - 1
 HEAD = 256
 #: Characters whose fingerprints are taken together.
 SLICE = 1 << 19
-#: Bits of the filter that fingerprints of texts pass before they are dealt out; it decides cost, never results.
-FILTER_BITS = 1 << 24
+#: Least length, gram and window of a class of forms: long grams are shared by few, and a text has few fingerprints of them.
+#: With grams of 6, a form in hexadecimal met every three digits that any value has.
+CLASSES = ((LEAST, GRAM, WINDOW), (16, 12, 5), (24, 16, 9))
+#: Fingerprints of a form of which the rarest is chosen; it decides cost, never results.
+OPTIONS = 8
+#: Bits of the filter (32 MB at most) that fingerprints of texts pass before they are dealt out; it decides cost, never results.
+FILTER_BITS = 1 << 28
 #: The filter of ``rows_with`` has 64 bits a string, within these powers of two (64 MB at most), in pieces of 2**18 bits; it decides cost, never results.
 POWERS, PIECE = (18, 29), 18
 #: Strings whose counts a task holds before it gives them out.
@@ -54,27 +61,57 @@ def _kind(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
 
-def anchors(strings: DataFrame) -> DataFrame:
-    """``k, tight, gram, f``: for each string of ``strings`` (k, f with form and tight) its rarest fingerprint."""
-    ddl = f"{_kind(strings, 'k')}, {_kind(strings, 'f')}, gram long"
-    schema = _arrow_schema(ddl)
+def _classed(forms: list[str], tight: bool, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of forms, fingerprints) of each class that ``forms`` may be met by; with ``most``, each form is of one class and gives so many at most.
+
+    A fingerprint carries its class.  Forms with blanks have the first class only, as one of its own.
+    """
+    lengths = np.fromiter(map(len, forms), np.int64, len(forms))
+    for i, (least, gram, window) in enumerate(CLASSES if tight else CLASSES[:1]):
+        longer = CLASSES[i + 1][0] if tight and most and i + 1 < len(CLASSES) else None
+        some = np.flatnonzero((lengths >= least) & (lengths < longer) if longer else lengths >= least)
+        own, grams, _ = fingerprints([forms[j] for j in some.tolist()], gram, window)
+        if most:
+            count = np.bincount(own, minlength=len(some))
+            rank, n = np.arange(len(own)) - (np.cumsum(count) - count)[own], count[own]
+            kept = (rank == 0) | (rank * most // n != (rank - 1) * most // n)
+            own, grams = own[kept], grams[kept]
+        yield some[own], grams >> 2 | np.int64(i if tight else len(CLASSES)) << 61
+
+
+def _options(strings: DataFrame) -> DataFrame:
+    """``id, place, gram``: the fingerprints of each form that a text must have one of, ``sought`` of ``strings`` (k, id, sought), of which one is wanted.
+
+    Forms are taken without blanks, as long as that leaves ``LEAST`` characters.
+    """
+    schema = _arrow_schema(ddl := f"{_kind(strings, 'k')}, id long, place int, gram long")
 
     def run(batches):
         for batch in batches:
-            forms = [x["form"][:HEAD] for x in batch.column(1).to_pylist()]
-            own, grams, _ = fingerprints(forms, GRAM, WINDOW)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(grams)], schema=schema)
+            k, ids, sought = batch.columns
+            size = sought.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            forms, tight = (x.to_pylist() for x in sought.flatten().flatten())
+            bare = [f if t else BLANKS.sub("", f) for f, t in zip(forms, tight, strict=True)]
+            left = np.array([len(x) >= LEAST for x in bare], bool)
+            for some, texts, of in ((np.flatnonzero(left), bare, True), (np.flatnonzero(~left & ~np.array(tight, bool)), forms, False)):
+                for own, grams in _classed([texts[i][:HEAD] for i in some.tolist()], of, OPTIONS):
+                    at = pa.array(row[some[own]])
+                    yield pa.RecordBatch.from_arrays([k.take(at), ids.take(at), pa.array(place[some[own]].astype(np.int32)), pa.array(grams)], schema=schema)
 
-    each = strings.where(F.length("f.form") >= LEAST).select("k", "f").mapInArrow(run, ddl).withColumn("tight", F.col("f.tight"))
-    each = each.withColumn("n", F.count("*").over(Window.partitionBy("k", "tight", "gram")))
-    rarest = F.min_by("gram", F.struct("n", "gram"))
-    return each.groupBy("k", "f").agg(rarest.alias("gram")).select("k", F.col("f.tight").alias("tight"), "gram", "f")
+    return strings.select("k", "id", "sought").mapInArrow(run, ddl).select("id", "place", F.xxhash64("k", "gram").alias("gram"))
+
+
+def anchors(options: DataFrame) -> DataFrame:
+    """``id, gram``: of the ``options`` of each form the fingerprint that the fewest have."""
+    each = options.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
+    return each.groupBy("id", "place").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).select("id", "gram")
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``k, h, tight, gram``: distinct fingerprints of the strings in ``texts`` of ``rows`` (k, h, texts), as they are and without blanks."""
-    ddl = f"{_kind(rows, 'k')}, h long, tight boolean, gram long"
-    schema = _arrow_schema(ddl)
+    """``h, gram``: distinct fingerprints of the strings in ``texts`` of ``rows`` (k, h, texts), without blanks and as they are."""
+    schema = _arrow_schema(ddl := f"{_kind(rows, 'k')}, h long, gram long")
 
     def slices(texts):
         """(row, string) pairs, about ``SLICE`` characters at a time; null strings are passed over."""
@@ -93,44 +130,56 @@ def postings(rows: DataFrame) -> DataFrame:
         for batch in batches:
             k, h, texts = batch.columns
             for some in slices(texts):
-                for tight in (False, True):
-                    own, grams, _ = fingerprints([BLANKS.sub("", t) if tight else t for _, t in some], GRAM, WINDOW)
-                    row = np.array([i for i, _ in some], np.int64)[own]
-                    order = np.lexsort((grams, row))
-                    row, grams = row[order], grams[order]
-                    new = np.ones(len(row), bool)
-                    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
-                    row, grams = pa.array(row[new]), pa.array(grams[new])
-                    yield pa.RecordBatch.from_arrays([k.take(row), h.take(row), pa.array(np.full(len(row), tight)), grams], schema=schema)
+                place = np.array([i for i, _ in some], np.int64)
+                for tight in (True, False):
+                    for own, grams in _classed([BLANKS.sub("", t) if tight else t for _, t in some], tight):
+                        row = place[own]
+                        order = np.lexsort((grams, row))
+                        row, grams = row[order], grams[order]
+                        new = np.ones(len(row), bool)
+                        new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+                        row, grams = pa.array(row[new]), pa.array(grams[new])
+                        yield pa.RecordBatch.from_arrays([k.take(row), h.take(row), grams], schema=schema)
 
-    return rows.select("k", "h", "texts").mapInArrow(run, ddl)
+    return rows.select("k", "h", "texts").mapInArrow(run, ddl).select("h", F.xxhash64("k", "gram").alias("gram"))
 
 
-def _met(own: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """The equality join of the postings ``own`` and the fingerprints ``wanted``.
+def _met(own: DataFrame, wanted: DataFrame, marked: DataFrame) -> DataFrame:
+    """The equality join of the postings ``own`` and the fingerprints ``wanted``, which are among those ``marked``.
 
-    Few postings meet any: a bitmap of the hashes of ``wanted``, of at most ``FILTER_BITS``, goes to every task, and only what passes
+    Few postings meet any: a bitmap of the hashes of ``marked``, of at most ``FILTER_BITS``, goes to every task, and only what passes
     it is shuffled.  Spark's estimate, which takes what Python makes for no larger than its input, must not choose to
     broadcast either side, so the join names its kind.
     """
-    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("gram"), F.lit(FILTER_BITS))
     word, mask = fresh([*own.columns, *wanted.columns], "word", "mask")
     flag = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    bits = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias(word)).agg(F.bit_or(flag).alias(mask))
-    some = own.withColumn("bit", bit).withColumn(word, F.floor(F.col("bit") / 64)).join(F.broadcast(bits), word)
-    some = some.where(F.col(mask).bitwiseAND(flag) != 0).drop("bit", word, mask)
-    return some.join(wanted.hint("merge"), on)
+    # 64 numbers of 64 bits a row: a row for each number would take many times the room of its bits.
+    bits = marked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(flag).alias("flags"))
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("at") % 64).cast("int"), "flags")))
+    bits = bits.groupBy(F.shiftright("at", 6).alias(word)).agg(held.alias("held"))
+    bits = bits.select(word, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("held")[i], F.lit(0).cast("long"))).alias(mask))
+    some = own.withColumn("bit", bit).withColumn(word, F.shiftright("bit", 12)).join(F.broadcast(bits), word)
+    some = some.where(F.get(mask, (F.shiftright("bit", 6) % 64).cast("int")).bitwiseAND(flag) != 0).drop("bit", word, mask)
+    return some.join(wanted.hint("merge"), "gram")
 
 
 def with_candidates(df: DataFrame, key: str, texts: Column, strings: DataFrame, out: str) -> DataFrame:
-    """``df`` with ``out``: those of ``strings`` (k, f) of the row's ``key`` that its ``texts`` (an array column) may hold, as an array; null if none.
+    """``df`` with ``out``: ``f`` of those of ``strings`` (k, f, sought) of the row's ``key`` that its ``texts`` (an array column) may hold, as an array; null if none.
 
-    Every string that a text holds is in it.  ``f`` is a struct with ``form`` and ``tight`` (blanks of the text do not count).
+    ``sought`` is an array of (form, tight): a text that holds a string has one of
+    them, as it stands or, if ``tight``, without the text's blanks.  All such
+    strings are in ``out``.  Only numbers are dealt out until each text has its strings.
     """
     h, k, h2 = fresh([*df.columns, out], "h", "k", "h2")
-    rows = df.withColumn(h, F.xxhash64(texts))
-    own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"), texts.alias("texts"))
-    tried = _met(postings(own), anchors(strings), ["k", "tight", "gram"]).groupBy(F.col("k").alias(k), F.col("h").alias(h2)).agg(F.collect_set("f").alias(out))
+    kind = df.select(F.col(key).alias("k")).union(strings.select("k")).schema["k"].dataType
+    rows = df.withColumn(h, F.xxhash64(F.col(key).cast(kind), texts))
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("k"), F.col(h).alias("h"), texts.alias("texts"))
+    strings = strings.select(F.col("k").cast(kind).alias("k"), "f", "sought", F.xxhash64("k", "f").alias("id"))
+    options = _options(strings)
+    met = _met(postings(own), anchors(options), options).select("h", "id").distinct()
+    named = met.join(strings.select("id", "k", "f").hint("merge"), "id")
+    tried = named.groupBy(F.col("k").alias(k), F.col("h").alias(h2)).agg(F.collect_set("f").alias(out))
     return dealt(rows.join(tried, (F.col(key) == F.col(k)) & (F.col(h) == F.col(h2)), "left").drop(h, k, h2))
 
 
@@ -181,7 +230,7 @@ def with_places(df: DataFrame, text_col: str, strings: DataFrame, out: str) -> D
         each = _postings_at(some.select(F.col("string").alias("h"), F.col("string").alias("text")), gram, window)
         each = each.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
         rare = each.groupBy("h").agg(F.min(F.struct("n", "gram", "at")).alias("r")).select(F.col("h").alias("string"), "r.gram", F.col("r.at").alias("off"))
-        both = _met(_postings_at(own, gram, window), rare, ["gram"]).select("h", F.struct("string", (F.col("at") - F.col("off")).alias("start")).alias("x"))
+        both = _met(_postings_at(own, gram, window), rare, rare).select("h", F.struct("string", (F.col("at") - F.col("off")).alias("start")).alias("x"))
         met.append(both.where("x.start >= 0"))
     places = met[0].unionByName(met[1]).groupBy(F.col("h").alias(h2)).agg(F.collect_set("x").alias(tried))
     both = rows.join(places, F.col(h) == F.col(h2), "left")

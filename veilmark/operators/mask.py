@@ -44,10 +44,21 @@ def value_forms(value: Column, token: Column) -> Column:
     return F.when(F.length(value) >= R.MIN_VALUE, F.array_distinct(every)).otherwise(F.array().cast(FORM))
 
 
-def forms_of(vault: DataFrame, key: str, token: str | None = R.MARKER) -> DataFrame:
-    """``k, f``: each form of the values of a key; a null ``token`` stands for the value's own reference."""
+def sought_forms(value: Column) -> Column:
+    """Forms (form, tight) of which a text has one if it has any form of the value: a long encoding has its head, a padded one is there without its padding too."""
+    needed = lambda f: ~f["tight"] | f["grows"].isNotNull() | (F.length(f["form"]) < R.WINDOW_FORM) & ~f["form"].endswith("=")
+    return F.transform(F.filter(value_forms(value, F.lit("")), needed), lambda f: F.struct(f["form"].alias("form"), f["tight"].alias("tight")))
+
+
+def known_values(vault: DataFrame, key: str, token: str | None = R.MARKER, *more: str) -> DataFrame:
+    """``k, f, sought``, as the index takes them: each value of a key with its token and the columns ``more``; a null ``token`` stands for the value's own reference."""
     name = F.lit(token) if token is not None else P.ref_token(F.col("name"))
-    return vault.select(F.col(key).alias("k"), F.explode(value_forms(F.col("value"), name)).alias("f"))
+    return vault.select(F.col(key).alias("k"), F.struct("value", name.alias("token"), *more).alias("f"), sought_forms(F.col("value")).alias("sought"))
+
+
+def forms_of(values: Column) -> Column:
+    """All forms of an array of values with their tokens."""
+    return F.flatten(F.transform(values, lambda v: value_forms(v["value"], v["token"])))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("masked", T.StringType()), T.StructField("hits", T.IntegerType())])))
@@ -69,13 +80,14 @@ def mask_values(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text
     """``df`` with ``out`` and ``hits``: every known value of the row's ``key`` in ``vault`` (key, name, value) is masked.
 
     A null ``token`` masks a value with its own reference.  Values are met by an
-    index of their forms (``index.with_candidates``), so a key may have any number.
+    index (``index.with_candidates``), so a key may have any number.
     """
-    texts, forms, done = fresh([*df.columns, out, "hits"], "texts", "forms", "done")
-    own = df.withColumn(texts, F.array_compact(F.array(F.col(text_col))))
-    own = with_forms_masked(with_candidates(own, key, F.col(texts), forms_of(vault, key, token), forms), texts, forms, done)
+    texts, values, forms, done = fresh([*df.columns, out, "hits"], "texts", "values", "forms", "done")
+    every = F.array_compact(F.array(F.col(text_col)))
+    own = with_candidates(df, key, every, known_values(vault, key, token), values).withColumn(texts, every)
+    own = with_forms_masked(once(own, forms, forms_of(F.col(values))), texts, forms, done)
     first = F.get(done, F.lit(0))
-    return own.withColumns({out: first["masked"], "hits": F.coalesce(first["hits"], F.lit(0))}).drop(texts, forms, done)
+    return own.withColumns({out: first["masked"], "hits": F.coalesce(first["hits"], F.lit(0))}).drop(texts, values, forms, done)
 
 
 HIT = "array<struct<start:int,end:int,value:string,kind:string,hint:string>>"
@@ -136,15 +148,16 @@ def scrub_texts(df: DataFrame, vault: DataFrame, key: str, texts: str, out: str,
     """``df`` with ``out``, array of (masked, hits), for the strings of the array column ``texts``: known values of the row's ``key`` by
     their references, then credential shapes, then the values of these shapes in any string of the row, bare or encoded
     (by the marker, as they have no name yet)."""
-    forms, known, found, given, bare = fresh([*df.columns, out], "forms", "known", "found", "given", "bare")
-    df = with_forms_masked(with_candidates(df, key, F.col(texts), forms_of(vault, key, None), forms), texts, forms, known)
+    values, forms, known, found, given, bare = fresh([*df.columns, out], "values", "forms", "known", "found", "given", "bare")
+    df = with_candidates(df, key, F.col(texts), known_values(vault, key, None), values)
+    df = with_forms_masked(once(df, forms, forms_of(F.col(values))), texts, forms, known)
     one = lambda k: F.when(F.lit(shapes) if isinstance(shapes, bool) else shapes, shape_hits(k["masked"], hints=False)).otherwise(F.array().cast(HIT))
     df = once(df, found, F.transform(known, one))
     cut = F.zip_with(known, found, lambda k, h: cut_and_join(k["masked"], h, lambda x: F.lit(R.MARKER)))
     df = df.withColumn(given, cut).withColumn(forms, shape_forms(F.flatten(found)))
     df = with_forms_masked(df, given, forms, bare)
     hits = F.zip_with(F.zip_with(known, found, lambda k, h: k["hits"] + F.size(h)), bare, lambda n, b: F.struct(b["masked"].alias("masked"), (n + b["hits"]).alias("hits")))
-    return df.withColumn(out, hits).drop(forms, known, found, given, bare)
+    return df.withColumn(out, hits).drop(values, forms, known, found, given, bare)
 
 
 def scrub(df: DataFrame, vault: DataFrame, key: str, text_col: str = "text", shapes: bool | Column = True) -> DataFrame:

@@ -91,9 +91,9 @@ def record_origins(vault: DataFrame, reads: DataFrame) -> DataFrame:
 def held_names(texts: DataFrame, values: DataFrame, text_col: str) -> DataFrame:
     """``texts`` with ``name``, a row for each value of the text's session that it holds literally; values have ``MIN_VALUE`` characters."""
     (tried,) = fresh([*texts.columns, "name"], "tried")
-    raw = values.select(F.col("session_id").alias("k"), F.struct(F.col("value").alias("form"), F.lit(False).alias("tight"), "name").alias("f"))
+    raw = values.select(F.col("session_id").alias("k"), F.struct("value", "name").alias("f"), F.array(F.struct(F.col("value").alias("form"), F.lit(False).alias("tight"))).alias("sought"))
     rows = with_candidates(texts, "session_id", F.array(F.col(text_col)), raw, tried).where(F.col(tried).isNotNull())
-    names = F.transform(F.filter(tried, lambda x: F.col(text_col).contains(x["form"])), lambda x: x["name"])
+    names = F.transform(F.filter(tried, lambda x: F.col(text_col).contains(x["value"])), lambda x: x["name"])
     return rows.withColumn("name", F.explode_outer(names)).drop(tried).where("name is not null")
 
 
