@@ -19,15 +19,24 @@ def fingerprints(texts: list[str], q: int, w: int) -> tuple[np.ndarray, np.ndarr
     n = len(codes) - q + 1
     if n < w:
         return (np.empty(0, np.int64),) * 3
-    h = np.zeros(n, np.uint64)
-    for j in range(q):
-        h = h * _BASE + codes[j : j + n]
+    h = codes[:n].copy()
+    for j in range(1, q):
+        h *= _BASE
+        h += codes[j : j + n]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     h = (h >> np.uint64(1)).astype(np.int64)
+    # The least of each window and the first of equal ones, without an array of all windows.
+    m = n - w + 1
+    least, at = h[:m].copy(), np.arange(m)
+    for j in range(1, w):
+        less = h[j : j + m] < least
+        np.copyto(least, h[j : j + m], where=less)
+        at[less] = np.flatnonzero(less) + j
     owner = np.repeat(np.arange(len(texts)), lengths)
     # Windows that reach into the next text choose nothing.
-    inside = np.flatnonzero(owner[: n - w + 1] == owner[q + w - 2 :])
-    chosen = np.unique(np.lib.stride_tricks.sliding_window_view(h, w)[inside].argmin(axis=1) + inside)
+    picked = np.zeros(n, bool)
+    picked[at[owner[:m] == owner[q + w - 2 :]]] = True
+    chosen = np.flatnonzero(picked)
     own = owner[chosen]
     return own, h[chosen], chosen - (np.cumsum(lengths) - lengths)[own]
